@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import array
+import json
 import os
+import re
 import tempfile
 import uuid
 
@@ -74,20 +76,43 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+#: A word of Latin letters, maybe with a comma or full stop: its letters are one unit of the tokenizer, and the mark another.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+
+
+def _byte_level() -> dict[int, str]:
+    """Latin letters in lower case, each UTF-8 byte as its character in byte-level vocabularies.
+
+    Bytes that print stand for themselves; the others follow from U+0100 on.
+    """
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    chars = dict(zip(prints, map(chr, prints), strict=True)) | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(prints))}
+    return {ord(c): "".join(chars[b] for b in c.lower().encode()) for c in map(chr, [*range(65, 91), *range(0xC0, 0x100)]) if c.isalpha()}
+
+
+_BYTE_LEVEL = _byte_level()
+
+
 class WordEncoder:
     """Token ids of texts, with the ids of each blank-separated word kept.
 
     The tokenizer drops white space and never lets a token reach across it, so
-    the ids of a text are those of its words in a row. Words are encoded by the
-    tokenizers library; frequent ones are looked up. ``limit`` bounds the kept
-    words, ``longest`` their length; neither changes a result.
+    the ids of a text are those of its words in a row. A word is encoded by the
+    tokenizers library: plain Latin words, which its rules only lower-case, by
+    its model at once, all others by the whole tokenizer. Words seen lately are
+    looked up in two generations of at most ``limit`` words of at most
+    ``longest`` letters, which bounds the memory and changes no result.
     """
 
-    def __init__(self, path: str, limit: int = 400_000, longest: int = 40):
+    def __init__(self, path: str, limit: int = 350_000, longest: int = 40):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self._tokenizer.to_str())
+        self._plain = "Lowercase" in str(rules.get("normalizer")) and "ByteLevel" in str(rules.get("pre_tokenizer"))
+        self._model = self._tokenizer.model
         self._known: dict[str, bytes] = {"": b""}
+        self._older: dict[str, bytes] = {}
         self._limit, self._longest = limit, longest
 
     def ids(self, text: str | None) -> bytes:
@@ -95,19 +120,38 @@ class WordEncoder:
         if not text:
             return b""
         words = text.replace("\n", " ").split(" ")
-        known = self._known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        new = [w for w in set(words) if w not in known]
-        fresh = dict(zip(new, (array.array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        out = b"".join([known[w] if w in known else fresh[w] for w in words])
-        if len(known) + len(fresh) > self._limit:
-            known.clear()
-            known[""] = b""
-        known.update((w, b) for w, b in fresh.items() if len(w) <= self._longest)
-        return out
+        out = list(map(self._known.get, words))
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    out[i] = self._word(words[i])
+        return b"".join(out)
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word, which is then among the known ones."""
+        if (ids := self._known.get(word)) is not None:
+            return ids
+        if (ids := self._older.get(word)) is None:
+            if self._plain and (m := _PLAIN.fullmatch(word)):
+                if m[2]:
+                    ids = self._word(m[1]) + self._whole(m[2])
+                else:
+                    ids = array.array("I", [t.id for t in self._model.tokenize(word.translate(_BYTE_LEVEL))]).tobytes()
+            else:
+                ids = self._whole(word)
+        if len(word) <= self._longest:
+            if len(self._known) >= self._limit:
+                self._older, self._known = self._known, {"": b""}
+            self._known[word] = ids
+        return ids
+
+    def _whole(self, word: str) -> bytes:
+        if len(word) == 1 and (ids := self._known.get(word)) is not None:
+            return ids
+        ids = array.array("I", self._tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(word) == 1:
+            self._known[word] = ids
+        return ids
 
 
 def encoder(path: str) -> WordEncoder:
