@@ -20,21 +20,21 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Candidates and queries in a block, about.
-CANDIDATES, QUERY_ROWS = 2048, 128
+#: Candidates and queries in a block, about, and the queries scored together.
+CANDIDATES, QUERY_ROWS, TILE = 4096, 512, 16
 PACKED = pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("ends", pa.binary()), ("terms", pa.binary()), ("weights", pa.binary())])
 
 
-def _packed(rows: DataFrame, n: int) -> DataFrame:
-    """Rows (id, terms, weights) as ``n`` blocks of flat arrays, ids ascending."""
+def _packed(rows: DataFrame, n: int, kind: str) -> DataFrame:
+    """Rows (id, terms, weights) as ``n`` blocks of flat arrays, ids ascending, weights of the NumPy type ``kind``."""
 
     def pack(t: pa.Table) -> pa.Table:
         ids, parts = t["id"].to_numpy(), [t[c].combine_chunks() for c in ("terms", "weights")]
         order = np.argsort(ids, kind="stable")
         rows = [p.take(pa.array(order)) for p in parts]
         ends = np.cumsum([len(x) for x in rows[0]], dtype=np.int64)
-        flat = [r.flatten().to_numpy().astype(np.int64) for r in rows]
-        return pa.Table.from_batches([common.batch(PACKED, [t["block"][0].as_py()], [ids[order].astype(np.int64).tobytes()], [ends.tobytes()], [flat[0].tobytes()], [flat[1].tobytes()])])
+        terms, weights = (r.flatten().to_numpy() for r in rows)
+        return pa.Table.from_batches([common.batch(PACKED, [t["block"][0].as_py()], [ids[order].astype(np.int64).tobytes()], [ends.tobytes()], [terms.astype(np.int32).tobytes()], [weights.astype(kind).tobytes()])])
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     return dealt.groupBy("block").applyInArrow(pack, "block int, ids binary, ends binary, terms binary, weights binary")
@@ -43,45 +43,55 @@ def _packed(rows: DataFrame, n: int) -> DataFrame:
 class BlockIndex:
     """The inverted index of one block of candidates."""
 
-    def __init__(self, ids: np.ndarray, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, narrow: bool):
-        self.ids, n, kind = ids, len(ids), np.int32 if narrow else np.int64
+    def __init__(self, ids: np.ndarray, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray):
+        self.ids, n = ids, len(ids)
         rows = np.repeat(np.arange(n), np.diff(ends, prepend=0))
         order = np.argsort(terms, kind="stable")
         names, first = np.unique(terms[order], return_index=True)
         self.postings: dict[int, tuple[np.ndarray | None, np.ndarray]] = {}
         for t, i, j in zip(names.tolist(), first, [*first[1:], len(terms)], strict=True):
-            who, w = rows[order[i:j]], weights[order[i:j]].astype(kind)
+            who, w = rows[order[i:j]], weights[order[i:j]]
             if 4 * len(who) >= n:  # a posting that most candidates have is kept with its gaps as zeros
-                dense = np.zeros(n, kind)
-                np.add.at(dense, who, w)
+                dense = np.zeros(n, w.dtype)
+                dense[who] = w
                 self.postings[t] = (None, dense)
             else:
                 self.postings[t] = (who, w)
-        self.kind = kind
+        self._added = np.zeros((TILE, n), weights.dtype)
 
-    def scores(self, terms: list[int], weights: list[int]) -> np.ndarray:
-        """The inner products of one query with all candidates of the block."""
-        out = np.zeros(len(self.ids), self.kind)
-        for t, w in zip(terms, weights, strict=True):
+    def scores(self, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The inner products of at most TILE queries with all candidates, accumulated term after term."""
+        n = len(ends)
+        out, added = np.zeros((n, len(self.ids)), weights.dtype), self._added[:n]
+        rows = np.repeat(np.arange(n), np.diff(ends, prepend=0))
+        order = np.argsort(terms, kind="stable")
+        names, first = np.unique(terms[order], return_index=True)
+        for t, i, j in zip(names.tolist(), first, [*first[1:], len(terms)], strict=True):
             if posting := self.postings.get(t):
                 who, values = posting
+                mine = rows[order[i:j]]
                 if who is None:
-                    out += values * self.kind(w)
+                    w = np.zeros((n, 1), weights.dtype)
+                    w[mine, 0] = weights[order[i:j]]
+                    np.multiply(w, values, out=added)
+                    out += added
                 else:
-                    np.add.at(out, who, values * self.kind(w))
-        return out.astype(np.int64)
-
-    def best(self, own: int, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the k best but ``own``; equal scores by smaller id."""
-        keep = np.flatnonzero(self.ids != own)
-        s = scores[keep]
-        if len(s) > k:
-            least = np.partition(s, len(s) - k)[len(s) - k]
-            sure, tied = np.flatnonzero(s > least), np.flatnonzero(s == least)
-            at = np.concatenate([sure, tied[: k - len(sure)]])  # ids ascend
-        else:
-            at = np.arange(len(s))
-        return self.ids[keep[at]], s[at]
+                    out[np.ix_(mine, who)] += np.multiply.outer(weights[order[i:j]], values)
+        return out
+
+    def best(self, queries: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query ids, ids and scores of the k best of each query but its own; equal scores by smaller id."""
+        n, lowest = scores.shape[1], np.iinfo(scores.dtype).min
+        for r, (i, j) in enumerate(zip(np.searchsorted(self.ids, queries, "left"), np.searchsorted(self.ids, queries, "right"), strict=True)):
+            scores[r, i:j] = lowest
+        least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(queries), lowest)
+        out = []
+        for r, s in enumerate(scores):
+            at = np.flatnonzero(s >= max(least[r], lowest + 1))  # ids ascend
+            if len(at) > k:
+                at = np.sort(np.concatenate([at[s[at] > least[r]], at[s[at] == least[r]]])[:k])
+            out.append((np.full(len(at), queries[r]), self.ids[at], s[at].astype(np.int64)))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
@@ -99,29 +109,29 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     most_w = F.coalesce(F.max(F.array_max(F.transform("weights", F.abs))), F.lit(0))
     (n, most), (nq, wq) = candidates.agg(F.count("*"), size).first(), queries.agg(F.count("*"), most_w).first()
     blocks, query_blocks = max(1, math.ceil(n / CANDIDATES)), max(1, math.ceil(nq / QUERY_ROWS))
-    narrow = int(most) * int(wq) < 2**31  # no sum can leave 32 bits
+    kind = "int32" if int(most) * int(wq) < 2**31 - 2 else "int64"  # no sum can leave its bits
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
+        kinds = (np.int64, np.int64, np.int32, np.dtype(kind))
         at, index = None, None
         for b in batches:
             for row in b.to_pylist():
-                ids, ends, terms, weights = (np.frombuffer(row[c], np.int64) for c in ("ids", "ends", "terms", "weights"))
+                ids, ends, terms, weights = (np.frombuffer(row[c], t) for c, t in zip(("ids", "ends", "terms", "weights"), kinds, strict=True))
                 if row["block"] != at:
-                    at, index = row["block"], BlockIndex(ids, ends, terms, weights, narrow)
-                qids, qends, qterms, qweights = (np.frombuffer(row["q_" + c], np.int64) for c in ("ids", "ends", "terms", "weights"))
-                out: list[tuple] = []
-                for q, i, j in zip(qids.tolist(), [0, *qends[:-1].tolist()], qends.tolist(), strict=True):
-                    found, s = index.best(q, index.scores(qterms[i:j].tolist(), qweights[i:j].tolist()), k)
-                    out.append((np.full(len(found), q), found, s))
-                yield common.batch(schema, *(np.concatenate(c) for c in zip(*out, strict=True)))
-
-    left = _packed(candidates.select("id", "terms", "weights"), blocks)
-    right = _packed(queries.select("id", "terms", "weights"), query_blocks)
+                    at, index = row["block"], BlockIndex(ids, ends, terms, weights)
+                qids, qends, qterms, qweights = (np.frombuffer(row["q_" + c], t) for c, t in zip(("ids", "ends", "terms", "weights"), kinds, strict=True))
+                for i in range(0, len(qids), TILE):
+                    base, ends = (qends[i - 1] if i else 0), qends[i : i + TILE]
+                    scores = index.scores(ends - base, qterms[base : ends[-1]], qweights[base : ends[-1]])
+                    yield common.batch(schema, *index.best(qids[i : i + TILE], scores, k))
+
+    left = _packed(candidates.select("id", "terms", "weights"), blocks, kind)
+    right = _packed(queries.select("id", "terms", "weights"), query_blocks, kind)
     right = right.select(F.col("block").alias("q_block"), *[F.col(c).alias("q_" + c) for c in ("ids", "ends", "terms", "weights")])
     # a stated query set against all rows, block by block
     pairs = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(left.hint("merge"), "block")
-    met = pairs.repartition(max(common.shuffle_partitions(spark), min(blocks * query_blocks, 4096)), "block", "q_block").sortWithinPartitions("block")
+    met = pairs.repartition(min(blocks * query_blocks, 4096), "block", "q_block").sortWithinPartitions("block")
     found = met.mapInArrow(score, "query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
