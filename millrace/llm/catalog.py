@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ngram_join, token_files, topk
+from . import chat, decontaminate, ngram_join, token_files, topk
 
-_MODULES = (token_files, ngram_join, chat, topk)
+_MODULES = (token_files, decontaminate, ngram_join, chat, topk)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
