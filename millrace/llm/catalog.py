@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, ngram_join, token_files, topk
+from . import chat, decontaminate, ngram_join, substring_dedup, token_files, topk, toxicity
 
-_MODULES = (token_files, decontaminate, ngram_join, chat, topk)
+_MODULES = (token_files, substring_dedup, decontaminate, ngram_join, toxicity, chat, topk)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
