@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, ngram_join, packing, substring_dedup, token_files, topk, toxicity
+from . import chat, decontaminate, html_wrappers, ngram_join, packing, substring_dedup, token_files, topk, toxicity
 
-_MODULES = (token_files, substring_dedup, decontaminate, ngram_join, packing, toxicity, chat, topk)
+_MODULES = (token_files, substring_dedup, decontaminate, ngram_join, html_wrappers, packing, toxicity, chat, topk)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
