@@ -8,6 +8,7 @@ import os
 import re
 import tempfile
 import uuid
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -76,8 +77,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-#: A word of Latin letters, maybe with a comma or full stop: its letters are one unit of the tokenizer, and the mark another.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: A word of Latin letters, maybe with ASCII marks behind: its letters are one unit of the tokenizer, and the marks another.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
 def _byte_level() -> dict[int, str]:
@@ -104,7 +105,7 @@ class WordEncoder:
     ``longest`` letters, which bounds the memory and changes no result.
     """
 
-    def __init__(self, path: str, limit: int = 350_000, longest: int = 40):
+    def __init__(self, path: str, limit: int = 300_000, longest: int = 40):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -113,18 +114,33 @@ class WordEncoder:
         self._model = self._tokenizer.model
         self._known: dict[str, bytes] = {"": b""}
         self._older: dict[str, bytes] = {}
+        self._marks: dict[str, bytes] = {}
+        self._frequent: dict[str, bytes] = {}  # few enough for the processor's cache
+        self._counts: Counter[str] = Counter()
+        self._texts = 0
         self._limit, self._longest = limit, longest
 
     def ids(self, text: str | None) -> bytes:
         """The ids of the whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if self._plain and "<|" not in text:  # else a control string in capitals would become one
+            try:
+                text.isascii() or text.encode("latin-1")
+                text = text.lower()  # as the tokenizer does; fewer words to know
+            except UnicodeEncodeError:
+                pass
         words = text.replace("\n", " ").split(" ")
-        out = list(map(self._known.get, words))
+        out = list(map(self._frequent.get, words))
         if None in out:
-            for i, ids in enumerate(out):
-                if ids is None:
-                    out[i] = self._word(words[i])
+            known, word = self._known.get, self._word
+            out = [known(words[i]) or word(words[i]) if ids is None else ids for i, ids in enumerate(out)]
+        if self._texts < 400:  # the first texts tell which words are frequent
+            self._texts += 1
+            self._counts.update(words)
+            if self._texts == 400:
+                self._frequent = {w: self._known[w] for w, _ in self._counts.most_common(20_000) if w in self._known}
+                self._counts.clear()
         return b"".join(out)
 
     def _word(self, word: str) -> bytes:
@@ -132,9 +148,12 @@ class WordEncoder:
         if (ids := self._known.get(word)) is not None:
             return ids
         if (ids := self._older.get(word)) is None:
-            if self._plain and (m := _PLAIN.fullmatch(word)):
-                if m[2]:
-                    ids = self._word(m[1]) + self._whole(m[2])
+            if self._plain and word.isascii() and word.isalpha():  # lower case by now
+                ids = array.array("I", [t.id for t in self._model.tokenize(word.lower())]).tobytes()
+            elif self._plain and (m := _PLAIN.fullmatch(word)):
+                letters, marks = m.groups()
+                if marks:
+                    ids = self._word(letters) + self._whole(marks)
                 else:
                     ids = array.array("I", [t.id for t in self._model.tokenize(word.translate(_BYTE_LEVEL))]).tobytes()
             else:
@@ -146,11 +165,12 @@ class WordEncoder:
         return ids
 
     def _whole(self, word: str) -> bytes:
-        if len(word) == 1 and (ids := self._known.get(word)) is not None:
+        short = len(word) <= 4
+        if short and (ids := self._marks.get(word)) is not None:
             return ids
         ids = array.array("I", self._tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(word) == 1:
-            self._known[word] = ids
+        if short and len(self._marks) < 10_000:
+            self._marks[word] = ids
         return ids
 
 
