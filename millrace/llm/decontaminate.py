@@ -74,6 +74,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     ``start`` counts words from 0; ``length`` is ``window``, or all words of a
     shorter item. Every occurrence of every window is given once.
     """
+    return _hits(docs, benchmark, window)[0]
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """What hits() gives, and doc_id, text_hash and n_words of every row of ``docs``."""
     items = benchmark.where("item_id IS NOT NULL").select("item_id", words(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     items = common.written(items, "items")
     # lengths below the window: at most window - 1 numbers, whatever the benchmark's size
@@ -87,8 +92,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     prints = common.written(prints, "prints")
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    marked = rows.select("doc_id", "text_hash", F.explode(_once(words(F.col("text")), lambda ws: _fingerprints(ws, window, short))).alias("print"))
-    met = _join_small(marked, prints, "print").groupBy("doc_id", "text_hash").agg(F.collect_set("print").alias("prints"))
+    both = _once(words(F.col("text")), lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), _fingerprints(ws, window, short).alias("prints")))
+    marked = common.written(rows.select("doc_id", "text_hash", both.alias("b")).select("doc_id", "text_hash", "b.*"), "marked")
+    met = _join_small(marked.select("doc_id", "text_hash", F.explode("prints").alias("print")), prints, "print").groupBy("doc_id", "text_hash").agg(F.collect_set("print").alias("prints"))
     met = common.written(met, "met")
     # the hit documents again, to extend the hits to whole windows
     key = [rows["doc_id"].eqNullSafe(met["doc_id"]), rows["text_hash"] == met["text_hash"]]
@@ -108,7 +114,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
         return F.concat(of(gram, window), *[of(n, n) for n in short])
 
     tried = found.select("doc_id", "text_hash", F.explode(_once(F.struct("ws", "prints"), lambda r: candidates(r["ws"], r["prints"]))).alias("w")).select("doc_id", "text_hash", "w.*")
-    return _join_small(tried, windows, ["length", "said"]).select("doc_id", "text_hash", "start", "length", "item_id")
+    spans = _join_small(tried, windows, ["length", "said"]).select("doc_id", "text_hash", "start", "length", "item_id")
+    return spans, marked.select("doc_id", "text_hash", "n_words")
 
 
 def _covered(spans: Column) -> Column:
@@ -133,14 +140,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     id hit nothing. Rows that repeat a document are judged alike; extra columns
     are left out; an empty table gives no rows and an empty benchmark no hits.
     """
-    docs = docs.select("doc_id", "text")
-    spans = hits(docs, benchmark, window)
+    spans, rows = _hits(docs.select("doc_id", "text"), benchmark, window)
     per = spans.groupBy("doc_id", "text_hash").agg(
         _covered(F.array_sort(F.collect_set(F.struct("start", "length")))).alias("n_hit"),
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
     )
     per = common.written(per, "hits").select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "n_hit", "items")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     out = _join_small(rows, per, [rows["doc_id"].eqNullSafe(per["hit_id"]), rows["text_hash"] == per["hit_hash"]], "left")
     n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))
