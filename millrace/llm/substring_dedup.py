@@ -21,6 +21,8 @@ from . import common
 
 #: Words that a run of repeating lines needs, to be removed.
 MIN_WORDS = 13
+#: Repeating lines (of about 60 bytes) that may be broadcast; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def lines(text: str | None) -> list[tuple[int, int, int, bytes]]:
@@ -56,7 +58,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     rank = F.struct("doc_id", "text_hash", "line", "start")
     # partial minima before the shuffle; a digest has one row after it
     first = rows.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last").select("digest", "first")
-    found = rows.join(first, "digest").where(~(F.struct("doc_id", "text_hash", "line").eqNullSafe(F.struct("first.doc_id", "first.text_hash", "first.line"))))
+    # a table of its own, so that the join's large keys can be split
+    first = common.written(first, "first")
+    found = rows.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, "digest").where(~(F.struct("doc_id", "text_hash", "line").eqNullSafe(F.struct("first.doc_id", "first.text_hash", "first.line"))))
     return found.select("doc_id", "text_hash", "line", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
 
 
