@@ -138,7 +138,7 @@ class Packer:
 
 def _sketch(text: Column) -> Column:
     """The smallest hash of a text's longer words, which texts with many words in common are likely to share."""
-    some = F.filter(F.split(F.coalesce(text, F.lit("")), "[ \n]"), lambda w: F.length(w) >= 8)
+    some = F.filter(F.split(F.coalesce(text, F.lit("")), " "), lambda w: F.octet_length(w) >= 12)
     return F.coalesce(F.array_min(F.transform(some, lambda w: F.xxhash64(w))), F.lit(0).cast("long"))
 
 
