@@ -202,19 +202,20 @@ def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (id, component) after the links (a, b) have joined components; a component's label is its smallest.
 
     In a round every component hooks on its smallest neighbour, and two steps of
-    pointer jumping shorten what has been hooked. Each round ends as a table in
-    the shared folder.
+    pointer jumping shorten what has been hooked. Documents of one label move
+    together, and labels only fall, so links whose ends have one label are done;
+    the rounds end when all links are. Each round ends as a table in the shared
+    folder.
     """
-    edges = links
-    while True:  # after the first round the ends of the links are labels, which are ids
+    edges = links.select("a", "b")
+    while True:
         a, b = labels.select(F.col("id").alias("a"), F.col("component").alias("x")), labels.select(F.col("id").alias("b"), F.col("component").alias("y"))
-        apart = edges.join(a, "a").join(b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        edges = common.written(apart, "links")
-        if edges.isEmpty():
+        apart = common.written(edges.join(a, "a").join(b, "b").where("x <> y"), "links")
+        if apart.isEmpty():
             return labels
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = both.groupBy(F.col("a").alias("from")).agg(F.least(F.min("b"), F.first("a")).alias("to"))
-        hooks = common.written(hooks, "hooks")
+        edges = apart.select("a", "b")
+        both = apart.select(F.col("x").alias("from"), F.col("y").alias("to")).union(apart.select("y", "x"))
+        hooks = common.written(both.groupBy("from").agg(F.least(F.min("to"), F.col("from")).alias("to")), "hooks")
         for _ in range(2):
             then = hooks.select(F.col("from").alias("to"), F.col("to").alias("then"))
             hooks = hooks.join(then, "to", "left").select("from", F.coalesce("then", "to").alias("to"))
