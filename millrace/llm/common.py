@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import array
+import gc
 import json
 import os
 import re
@@ -55,10 +56,49 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     The files outlive lost executors; they go with the shared folder.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
+    return _stored(df, shared_path(df.sparkSession, name))
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables of one operator call in the shared folder, which are deleted as soon as they are not needed.
+
+    ``with Scratch(spark) as tmp:`` deletes what is left at its end, so a result
+    has to be written elsewhere before.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._folder = spark, shared_path(spark, "scratch")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self._delete(self._folder)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a table of this call."""
+        return _stored(df, f"{self._folder}/{name}-{uuid.uuid4().hex}")
+
+    def drop(self, name: str) -> None:
+        """Delete the tables called ``name``, and let Spark delete shuffle files that nothing refers to."""
+        for found in self._files().globStatus(self._path(f"{self._folder}/{name}-*")) or []:
+            self._files().delete(found.getPath(), True)
+        gc.collect()
+        self._spark._jvm.System.gc()
+
+    def _path(self, path: str):
+        return self._spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _files(self):
+        return self._path(self._folder).getFileSystem(self._spark._jsc.hadoopConfiguration())
+
+    def _delete(self, path: str) -> None:
+        self._files().delete(self._path(path), True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

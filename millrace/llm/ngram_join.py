@@ -12,14 +12,16 @@ into fragments, and a document's set falls into one segment per fragment.
    classes, each with its own ``hi``; a set takes part in its own class and, as
    the smaller partner, in the next.
 2. Copies. Documents with equal sets are one class and the class one candidate.
-3. Hubs. In each meeting under a key, one document is compared with the others:
-   as many pairs as rows. The overlap of a pair is counted segment by segment
-   and summed per pair. A second round takes a hub from what the first left.
-4. The rest. Pairs that meet under a key and are still in different components
-   are compared block against block on short digests of finer segments: the
-   segments that differ bound the difference from below. What the bound does not
-   rule out is counted as in 3. No pair is left out, none is listed within a
-   component.
+3. Hubs. In each meeting under a key, one document is paired with the others: as
+   many pairs as rows. Short digests of finer segments bound the difference of a
+   pair from below; of pairs that they do not rule out the overlap is counted
+   segment by segment and summed per pair. A second round takes a hub from what
+   the first left.
+4. The rest. Documents that meet under a key and are still in different
+   components are compared block against block by their digests: first by coarse
+   ones, which leave out documents without a possible partner, then by finer
+   ones. What is not ruled out is counted as in 3. No pair is left out, none is
+   listed within a component.
 
 Components are found by hooking and pointer jumping over tables in the shared
 folder. Nothing is collected; the driver sees counts.
@@ -36,15 +38,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Segments in which verified overlaps are counted.
 SEGMENTS = 4
-#: Rows of one side of a block in step 4, and the largest number of digests of one document there.
+#: Rows of one side of a block in step 4, and the largest number of digests of one document.
 BLOCK, DIGESTS = 1024, 1024
+#: Bits of a key that hold its size class.
+LEVEL_BITS = 9
 #: Ids (8 bytes each) that may be broadcast; beyond it tables are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -121,7 +125,7 @@ def _segment_sums(h: np.ndarray, m: int) -> np.ndarray:
 
 
 def signatures(h: np.ndarray, per_cent: int) -> np.ndarray:
-    """The keys under which a set meets every other that may be similar enough."""
+    """The keys under which a set meets every other that may be similar enough. The low bits tell the size class."""
     out = []
     _, parts, spare = _classes(per_cent)
     for level in _levels(len(h), per_cent):
@@ -131,14 +135,25 @@ def signatures(h: np.ndarray, per_cent: int) -> np.ndarray:
         full = sums != 0
         if m - np.count_nonzero(full) <= spare[level]:
             sums, which = sums[full], which[full]
-        out.append(_mix(_mix(sums + np.uint64(level)) + which))
+        low = np.uint64(LEVEL_BITS)
+        out.append(_mix(_mix(sums) + which) >> low << low | np.uint64(level))
     return np.concatenate(out)
 
 
 def digests(h: np.ndarray, level: int, per_cent: int) -> bytes:
     """One byte for each of the finer segments of a set in a size class."""
     m = min(DIGESTS, 4 * _classes(per_cent)[1][level])
-    return (_segment_sums(h, m) >> np.uint64(56)).astype(np.uint8).tobytes()
+    return _segment_sums(h, m).astype(np.uint8).tobytes()
+
+
+def _coarse(fine: bytes) -> bytes:
+    """The digests of two finer segments each as one; they add up."""
+    return np.frombuffer(fine, np.uint8).reshape(-1, 2).sum(axis=1).astype(np.uint8).tobytes()
+
+
+def _possible(differ: np.ndarray, n: np.ndarray, m: np.ndarray, per_cent: int) -> np.ndarray:
+    """Whether sets of n and m n-grams, at least ``differ`` of them in one alone, may be similar enough."""
+    return (100 * np.minimum(n, m) >= per_cent * np.maximum(n, m)) & (differ <= (100 - per_cent) * (n + m) // (100 + per_cent))
 
 
 def _sets(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
@@ -166,8 +181,14 @@ def _with_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if small else ids, column, "left_semi")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents ``ids`` (id, without repeats)."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _with_ids(named, ids.withColumnRenamed("id", "doc_id"), "doc_id")
+
+
 def _segments(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """doc_id, fragment and n-gram hashes of the documents ``ids``; and under fragment -1 nothing."""
+    """id, fragment and n-gram hashes of the documents ``ids``."""
     schema = pa.schema([("id", pa.int64()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +205,48 @@ def _segments(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 at = np.cumsum([0, *map(len, grams)]).astype(np.int32)
                 yield common.batch(schema, names, which, pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(grams).astype(np.int64))))
 
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = _with_ids(named, ids.withColumnRenamed("id", "doc_id"), "doc_id")
-    return rows.mapInArrow(work, "id long, fragment int, grams array<long>").dropDuplicates(["id", "fragment"])
+    return _texts(docs, ids).mapInArrow(work, "id long, fragment int, grams array<long>").dropDuplicates(["id", "fragment"])
+
+
+def _digest_rows(docs: DataFrame, ids: DataFrame, k: int, per_cent: int) -> DataFrame:
+    """id, level, n, and coarse and fine digests of the documents ``ids``, for each of their size classes."""
+    schema = pa.schema([("id", pa.int64()), ("level", pa.int32()), ("n", pa.int64()), ("coarse", pa.binary()), ("fine", pa.binary())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part, rows = b.slice(i, 500), []
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    h = shingle_hashes(text.as_py(), k)
+                    for level in _levels(len(h), per_cent):
+                        d = digests(h, level, per_cent)
+                        rows.append((doc_id, level, len(h), _coarse(d), d))
+                yield common.batch(schema, *zip(*rows, strict=True))
+
+    return _texts(docs, ids).mapInArrow(work, "id long, level int, n long, coarse binary, fine binary").dropDuplicates(["id", "level"])
 
 
-def _links(pairs: DataFrame, segments: DataFrame, per_cent: int) -> DataFrame:
+def _not_ruled_out(pairs: DataFrame, marks: DataFrame, per_cent: int) -> DataFrame:
+    """Those of the pairs (a, b, level) that digests leave possible, as (a, b)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m = (batch.column(i).to_numpy() for i in range(4))
+            differ = np.array([np.count_nonzero(np.frombuffer(x.as_buffer(), np.uint8) != np.frombuffer(y.as_buffer(), np.uint8)) for x, y in zip(batch.column(4), batch.column(5), strict=True)], dtype=np.int64)
+            keep = _possible(differ, n, m, per_cent)
+            yield common.batch(schema, a[keep], b[keep])
+
+    left = marks.select(F.col("id").alias("a"), "level", F.col("n").alias("na"), F.col("fine").alias("fa"))
+    right = marks.select(F.col("id").alias("b"), "level", F.col("n").alias("nb"), F.col("fine").alias("fb"))
+    both = pairs.join(left, ["a", "level"]).join(right, ["b", "level"]).select("a", "b", "na", "nb", "fa", "fb")
+    return both.mapInArrow(work, "a long, b long").distinct()
+
+
+def _links(pairs: DataFrame, docs: DataFrame, k: int, per_cent: int, tmp: common.Scratch) -> DataFrame:
     """Those of the pairs (a, b) that are similar enough: overlaps counted per fragment, then summed."""
+    pairs = tmp.keep(pairs, "pairs")
+    segments = tmp.keep(_segments(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k), "segments")
     left = segments.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("left"))
     right = segments.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("right"))
     partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("left", "right")).alias("both"), (F.size("left") + F.size("right")).alias("sizes"))
@@ -198,7 +254,7 @@ def _links(pairs: DataFrame, segments: DataFrame, per_cent: int) -> DataFrame:
     return total.where(100 * F.col("i") >= per_cent * (F.col("s") - F.col("i"))).select("a", "b")
 
 
-def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
+def connect(labels: DataFrame, links: DataFrame, tmp: common.Scratch) -> DataFrame:
     """``labels`` (id, component) after the links (a, b) have joined components; a component's label is its smallest.
 
     In a round every component hooks on its smallest neighbour, and two steps of
@@ -210,65 +266,49 @@ def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
     edges = links.select("a", "b")
     while True:
         a, b = labels.select(F.col("id").alias("a"), F.col("component").alias("x")), labels.select(F.col("id").alias("b"), F.col("component").alias("y"))
-        apart = common.written(edges.join(a, "a").join(b, "b").where("x <> y"), "links")
+        apart = tmp.keep(edges.join(a, "a").join(b, "b").where("x <> y"), "links")
         if apart.isEmpty():
             return labels
         edges = apart.select("a", "b")
         both = apart.select(F.col("x").alias("from"), F.col("y").alias("to")).union(apart.select("y", "x"))
-        hooks = common.written(both.groupBy("from").agg(F.least(F.min("to"), F.col("from")).alias("to")), "hooks")
+        hooks = tmp.keep(both.groupBy("from").agg(F.least(F.min("to"), F.col("from")).alias("to")), "hooks")
         for _ in range(2):
             then = hooks.select(F.col("from").alias("to"), F.col("to").alias("then"))
             hooks = hooks.join(then, "to", "left").select("from", F.coalesce("then", "to").alias("to"))
         moved = labels.join(hooks.select(F.col("from").alias("component"), "to"), "component", "left")
-        labels = common.written(moved.select("id", F.coalesce("to", "component").alias("component")), "labels")
+        labels = tmp.keep(moved.select("id", F.coalesce("to", "component").alias("component")), "labels")
+
+
+def _level() -> Column:
+    return F.pmod("key", F.lit(1 << LEVEL_BITS)).cast("int").alias("level")
 
 
 def _hub_pairs(met: DataFrame, labels: DataFrame, second: bool) -> DataFrame:
-    """Pairs of one document of each meeting with the others, of different components."""
+    """Pairs (a, b, level) of one document of each meeting with the others, of different components."""
     rows = met.join(labels, "id")
     hub = rows.groupBy("key").agg(F.min_by("id", F.struct("component", "id")).alias("hub"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
     if second:  # a hub from what the smallest component has left over
         hub = rows.join(hub.select("key", "least"), "key").where("component <> least").groupBy("key").agg(F.min("id").alias("hub"))
     home = labels.select(F.col("id").alias("hub"), F.col("component").alias("home"))
     pairs = rows.join(hub.select("key", "hub").join(home, "hub"), "key").where("component <> home")
-    return pairs.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+    return pairs.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"), _level()).distinct()
 
 
-def _block_pairs(met: DataFrame, labels: DataFrame, docs: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """Pairs that meet, are of different components, and that digests of finer segments do not rule out."""
+def _open(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, id, component and number of blocks of the meetings of several components."""
     rows = met.join(labels, "id")
     keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
-    open_rows = common.written(rows.join(keys.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key"), "open")
-    ids = open_rows.select("id").distinct()
-    marks_schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("marks", pa.list_(pa.struct([("key", pa.int64()), ("digest", pa.binary())])))])
+    return rows.join(keys.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").select("key", "id", "component", "blocks")
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 200):
-                part, sizes, marks = b.slice(i, 200), [], []
-                for text, wanted in zip(part.column(1), part.column(2).to_pylist(), strict=True):
-                    h, keep, own = shingle_hashes(text.as_py(), k), set(wanted), []
-                    for level in _levels(len(h), per_cent):
-                        m = _classes(per_cent)[1][level]
-                        sums = _segment_sums(h, m)
-                        named = _mix(_mix(sums + np.uint64(level)) + np.arange(m, dtype=np.uint64)).astype(np.int64)
-                        if found := [x for x in named.tolist() if x in keep]:
-                            d = digests(h, level, per_cent)
-                            own += [{"key": x, "digest": d} for x in found]
-                    sizes.append(len(h))
-                    marks.append(own)
-                yield common.batch(marks_schema, part.column(0), sizes, marks)
-
-    wanted = open_rows.groupBy(F.col("id").alias("doc_id")).agg(F.collect_set("key").alias("wanted"))
-    texts = _with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids.withColumnRenamed("id", "doc_id"), "doc_id").dropDuplicates(["doc_id"])
-    marks = texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(mark, "id long, n long, marks array<struct<key: long, digest: binary>>")
-    marked = marks.select("id", "n", F.explode("marks").alias("m")).select("id", "n", "m.key", "m.digest")
-    full = open_rows.join(marked, ["id", "key"])
+
+def _block_pairs(rows: DataFrame, marks: DataFrame, per_cent: int) -> DataFrame:
+    """key, a and b that meet, are of different components, and that digests (id, level, n, digest) do not rule out."""
+    full = rows.withColumn("level", _level()).join(marks, ["id", "level"])
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     # each row goes to its block's meetings with all blocks of the key
     dealt = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "digest")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -276,7 +316,7 @@ def _block_pairs(met: DataFrame, labels: DataFrame, docs: DataFrame, k: int, per
         def close() -> Iterator[pa.RecordBatch]:
             if len(held) < 2 or len({r[2] for r in held}) < 2:
                 return
-            (_, i, j), (own, ids, comp, sizes, marks) = at, zip(*held, strict=True)
+            (key, i, j), (own, ids, comp, sizes, marks) = at, zip(*held, strict=True)
             own, ids, comp, sizes = np.array(own), np.array(ids), np.array(comp), np.array(sizes)
             marks = np.frombuffer(b"".join(marks), np.uint8).reshape(len(held), -1)
             out_a, out_b = [], []
@@ -284,17 +324,12 @@ def _block_pairs(met: DataFrame, labels: DataFrame, docs: DataFrame, k: int, per
                 y = np.flatnonzero(comp[x + 1 :] != comp[x]) + x + 1
                 if i != j:
                     y = y[own[y] != own[x]]
-                y = y[(100 * np.minimum(sizes[y], sizes[x]) >= per_cent * np.maximum(sizes[y], sizes[x]))]
-                if not len(y):
-                    continue
-                differ = np.count_nonzero(marks[y] != marks[x], axis=1)
-                y = y[differ <= (100 - per_cent) * (sizes[y] + sizes[x]) // (100 + per_cent)]
+                y = y[_possible(np.count_nonzero(marks[y] != marks[x], axis=1), sizes[y], sizes[x], per_cent)]
                 out_a.append(np.minimum(ids[y], ids[x]))
                 out_b.append(np.maximum(ids[y], ids[x]))
-            if out_a:
-                pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1)
-                if pairs.shape[1]:
-                    yield common.batch(schema, pairs[0], pairs[1])
+            pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1)
+            if pairs.shape[1]:
+                yield common.batch(schema, np.full(pairs.shape[1], key), pairs[0], pairs[1])
 
         for b in batches:
             for key, i, j, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -305,7 +340,20 @@ def _block_pairs(met: DataFrame, labels: DataFrame, docs: DataFrame, k: int, per
         yield from close()
 
     met_blocks = common.spread(dealt, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    return met_blocks.mapInArrow(compare, "a long, b long").distinct()
+    return met_blocks.mapInArrow(compare, "key long, a long, b long")
+
+
+def _possible_ids(rows: DataFrame, marks: DataFrame, per_cent: int) -> DataFrame:
+    """key and id of the meetings in which a document has a possible partner by coarse digests."""
+    pairs = _block_pairs(rows, marks.select("id", "level", "n", F.col("coarse").alias("digest")), per_cent)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("key", pa.int64()), ("id", pa.int64())])
+        for b in batches:
+            both = np.unique(np.concatenate([np.stack([b.column(0), b.column(c)]) for c in (1, 2)], axis=1), axis=1)
+            yield common.batch(schema, both[0], both[1])
+
+    return pairs.mapInArrow(ends, "key long, id long").distinct()
 
 
 def components(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
@@ -319,21 +367,33 @@ def components(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
     no rows. The sets are compared exactly, on 64-bit hashes of their n-grams.
     """
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text").unionByName(docs.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("string").alias("text")))
-    sets = common.written(_sets(docs, k, per_cent), "sets")
-    classes = sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    classes = common.written(classes, "classes")
-    firsts = _with_ids(sets.select(F.col("doc_id").alias("id"), "keys"), classes.select("id").distinct(), "id")
-    rows = firsts.select("id", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key")
-    shared = common.written(shared, "shared")
-    met = common.written(_with_ids(rows, shared, "key").distinct(), "met")
-    labels = common.written(met.select("id").distinct().withColumn("component", F.col("id")), "labels")
-    segments = common.written(_segments(docs, labels.select("id"), k), "segments")
-    for pairs in (lambda: _hub_pairs(met, labels, False), lambda: _hub_pairs(met, labels, True), lambda: _block_pairs(met, labels, docs, k, per_cent)):
-        labels = connect(labels, _links(pairs(), segments, per_cent))
-    of_class = classes.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    out = sets.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    spark = docs.sparkSession
+    with common.Scratch(spark) as tmp:
+        sets = tmp.keep(_sets(docs, k, per_cent), "sets")
+        classes = tmp.keep(sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
+        firsts = _with_ids(sets.select(F.col("doc_id").alias("id"), "keys"), classes.select("id").distinct(), "id")
+        rows = firsts.select("id", F.explode("keys").alias("key"))
+        # an id has a key once, so a key of several rows is one of several ids
+        shared = tmp.keep(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+        met = tmp.keep(_with_ids(rows, shared, "key").distinct(), "met")
+        members = tmp.keep(sets.select("doc_id", "n_shingles", "digest"), "members")
+        tmp.drop("sets")
+        labels = tmp.keep(met.select("id").distinct().withColumn("component", F.col("id")), "labels")
+        marks = tmp.keep(_digest_rows(docs, labels.select("id"), k, per_cent), "marks")
+        for second in (False, True):
+            pairs = _not_ruled_out(_hub_pairs(met, labels, second), marks, per_cent)
+            labels = connect(labels, _links(pairs, docs, k, per_cent, tmp), tmp)
+            tmp.drop("segments")
+        open_rows = tmp.keep(_open(met, labels), "open")
+        left = tmp.keep(_possible_ids(open_rows, marks, per_cent), "left")
+        fine = marks.select("id", "level", "n", F.col("fine").alias("digest"))
+        pairs = _block_pairs(open_rows.join(left, ["key", "id"]), fine, per_cent).select("a", "b").distinct()
+        labels = connect(labels, _links(pairs, docs, k, per_cent, tmp), tmp)
+        tmp.drop("open")
+        of_class = classes.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
+        of_class = tmp.keep(of_class, "components")
+        out = members.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        return common.written(out, "near-duplicates")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

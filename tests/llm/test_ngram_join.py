@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from millrace.llm import ngram_join
+from millrace.llm import common, ngram_join
 
 
 def brute(rows, k, per_cent):
@@ -82,5 +82,6 @@ def test_no_documents(none):
 def test_connect(spark):
     links = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(100, 5), (101, 100)]
     labels = spark.createDataFrame([(i, i) for i in [*range(60), 100, 101]], "id long, component long")
-    got = {r["id"]: r["component"] for r in ngram_join.connect(labels, spark.createDataFrame(links, "a long, b long")).collect()}
+    with common.Scratch(spark) as tmp:
+        got = {r["id"]: r["component"] for r in ngram_join.connect(labels, spark.createDataFrame(links, "a long, b long"), tmp).collect()}
     assert all(got[i] == i // 20 * 20 for i in range(60)) and got[100] == got[101] == 0
