@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Settings whose default would change results: names are case-sensitive, times are UTC.
@@ -12,3 +16,20 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     """A session with the engine's settings; sizes such as shuffle partitions are the cluster's."""
     builder = SparkSession.builder.config(map=SETTINGS | settings)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application; machines that have it need not be told."""
+    if spark.sparkContext.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    # Spark's file server reads the archive whenever an executor asks, so it stays as long as the driver
+    path = f"{tempfile.mkdtemp(prefix='millrace-code-')}/{package.name}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(spark.sparkContext.applicationId)
