@@ -151,8 +151,8 @@ def _coarse(fine: bytes) -> bytes:
     return np.frombuffer(fine, np.uint8).reshape(-1, 2).sum(axis=1).astype(np.uint8).tobytes()
 
 
-def _possible(differ: np.ndarray, n: np.ndarray, m: np.ndarray, per_cent: int) -> np.ndarray:
-    """Whether sets of n and m n-grams, at least ``differ`` of them in one alone, may be similar enough."""
+def _possible(differ, n, m, per_cent: int):
+    """Whether sets of n and m n-grams, at least ``differ`` of them in one alone, may be similar enough; numbers or arrays."""
     return (100 * np.minimum(n, m) >= per_cent * np.maximum(n, m)) & (differ <= (100 - per_cent) * (n + m) // (100 + per_cent))
 
 
@@ -311,33 +311,49 @@ def _block_pairs(rows: DataFrame, marks: DataFrame, per_cent: int) -> DataFrame:
     schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, held, out = None, [], []
 
-        def close() -> Iterator[pa.RecordBatch]:
-            if len(held) < 2 or len({r[2] for r in held}) < 2:
+        def close() -> None:
+            """Compare the rows of a meeting's two blocks: (own, id, component, n, digest)."""
+            (key, i, j), rest = at, list(held)
+            if len({r[2] for r in rest}) < 2:
                 return
-            (key, i, j), (own, ids, comp, sizes, marks) = at, zip(*held, strict=True)
+            if len(rest) == 2:
+                (p, a, _, n, x), (q, b, _, m, y) = rest
+                if i == j or p != q:
+                    differ = np.count_nonzero(np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8))
+                    if _possible(differ, n, m, per_cent):
+                        out.append((key, np.array([min(a, b)]), np.array([max(a, b)])))
+                return
+            own, ids, comp, sizes, marks = zip(*rest, strict=True)
             own, ids, comp, sizes = np.array(own), np.array(ids), np.array(comp), np.array(sizes)
-            marks = np.frombuffer(b"".join(marks), np.uint8).reshape(len(held), -1)
-            out_a, out_b = [], []
-            for x in range(len(held) - 1):
+            marks = np.frombuffer(b"".join(marks), np.uint8).reshape(len(rest), -1)
+            for x in range(len(rest) - 1):
                 y = np.flatnonzero(comp[x + 1 :] != comp[x]) + x + 1
                 if i != j:
                     y = y[own[y] != own[x]]
                 y = y[_possible(np.count_nonzero(marks[y] != marks[x], axis=1), sizes[y], sizes[x], per_cent)]
-                out_a.append(np.minimum(ids[y], ids[x]))
-                out_b.append(np.maximum(ids[y], ids[x]))
-            pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1)
-            if pairs.shape[1]:
-                yield common.batch(schema, np.full(pairs.shape[1], key), pairs[0], pairs[1])
+                if len(y):
+                    out.append((key, np.minimum(ids[y], ids[x]), np.maximum(ids[y], ids[x])))
+
+        def made() -> pa.RecordBatch:
+            keys, a, b = zip(*out, strict=True)
+            out.clear()
+            return common.batch(schema, np.repeat(keys, [len(x) for x in a]), np.concatenate(a), np.concatenate(b))
 
         for b in batches:
             for key, i, j, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (key, i, j) != at:
-                    yield from close()
+                    if len(held) > 1:
+                        close()
+                        if len(out) > 5000:
+                            yield made()
                     at, held = (key, i, j), []
                 held.append(tuple(rest))
-        yield from close()
+        if len(held) > 1:
+            close()
+        if out:
+            yield made()
 
     met_blocks = common.spread(dealt, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
     return met_blocks.mapInArrow(compare, "key long, a long, b long")
