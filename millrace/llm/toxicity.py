@@ -107,12 +107,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, passes: in
 
     def learn(t: pa.Table) -> pa.Table:
         order = np.lexsort((t["doc_id"].to_numpy(), t["turn"].to_numpy()))
-        x = [features(v.as_py()) for v in t["text"]]
-        y = t["toxic"].to_numpy()
+        flat, ends = bytearray(), [0]  # one block of memory, which goes back as a whole
+        for v in t["text"]:
+            flat += features(v.as_py()).tobytes()
+            ends.append(len(flat) // 4)
+        x, y = np.frombuffer(flat, np.int32), t["toxic"].to_numpy()
         model = Ftrl()
         for _ in range(passes):
             for i in order:
-                model.learn(x[i], int(y[i] > 0), TOXIC_WEIGHT if y[i] > 0 else 1.0)
+                model.learn(x[ends[i] : ends[i + 1]], int(y[i] > 0), TOXIC_WEIGHT if y[i] > 0 else 1.0)
         at, w, bias = model.sparse()
         return pa.table({"at": [at.tobytes()], "w": [w.tobytes()], "bias": [bias]}, schema=pa.schema([("at", pa.binary()), ("w", pa.binary()), ("bias", pa.float64())]))
 
@@ -132,12 +135,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshol
     sent = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("score", "predicted")
 
-    @F.pandas_udf("double")
-    def scores(texts):
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
         at, w, bias = sent.value
         dense = np.zeros(1 << BITS, np.float32)
         dense[at] = w
-        return texts.map(lambda t: probability(bias + float(dense[features(t)].sum(dtype=np.float64))), na_action=None).astype("float64")
+        return pa.array([probability(bias + float(dense[features(t.as_py())].sum(dtype=np.float64))) for t in texts], pa.float64())
 
     return docs.withColumn("score", scores("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
