@@ -9,9 +9,11 @@ import os
 import re
 import tempfile
 import uuid
-from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,6 +119,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+#: Bytes of texts that are encoded together, about.
+SLICE = 8 << 20
 #: A word of Latin letters, maybe with ASCII marks behind: its letters are one unit of the tokenizer, and the marks another.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
@@ -155,40 +159,48 @@ class WordEncoder:
         self._known: dict[str, bytes] = {"": b""}
         self._older: dict[str, bytes] = {}
         self._marks: dict[str, bytes] = {}
-        self._frequent: dict[str, bytes] = {}  # few enough for the processor's cache
-        self._counts: Counter[str] = Counter()
-        self._texts = 0
         self._limit, self._longest = limit, longest
 
     def ids(self, text: str | None) -> bytes:
         """The ids of the whole text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self._plain and "<|" not in text:  # else a control string in capitals would become one
-            try:
-                text.isascii() or text.encode("latin-1")
-                text = text.lower()  # as the tokenizer does; fewer words to know
-            except UnicodeEncodeError:
-                pass
-        words = text.replace("\n", " ").split(" ")
-        out = list(map(self._frequent.get, words))
-        if None in out:
-            known, word = self._known.get, self._word
-            out = [known(words[i]) or word(words[i]) if ids is None else ids for i, ids in enumerate(out)]
-        if self._texts < 400:  # the first texts tell which words are frequent
-            self._texts += 1
-            self._counts.update(words)
-            if self._texts == 400:
-                self._frequent = {w: self._known[w] for w, _ in self._counts.most_common(20_000) if w in self._known}
-                self._counts.clear()
-        return b"".join(out)
+        words = text.replace("\n", " ").split(" ") if text else []
+        return b"".join([self._word(w) for w in words])
+
+    def batches(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The ids of many texts, some at a time: the first text's index, where each text's ids end, and all ids.
+
+        Each different word is looked up once, and its ids are copied to where
+        it occurs. SLICE bounds the bytes of the texts taken together.
+        """
+        texts = pc.fill_null(texts, "")
+        turn = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(texts)]
+        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+            if last > first:
+                yield first, *self._slice(texts.slice(first, last - first))
+
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self._plain and not pc.any(pc.match_substring(texts, "<|")).as_py():  # else a control string in capitals would become one
+            texts = pc.ascii_lower(texts)
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        known, word = self._known.get, self._word
+        found = [known(w) or word(w) for w in words.dictionary.to_pylist()]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        at = words.indices.to_numpy()
+        each = size[at]
+        ends = np.cumsum(each)
+        places = np.repeat((start[at] - (ends - each)).astype(np.int32), each) + np.arange(ends[-1], dtype=np.int32)
+        offsets = lists.offsets.to_numpy()
+        return np.concatenate([[0], ends])[offsets[1:] - offsets[0]], flat[places]
 
     def _word(self, word: str) -> bytes:
         """The ids of a word, which is then among the known ones."""
         if (ids := self._known.get(word)) is not None:
             return ids
         if (ids := self._older.get(word)) is None:
-            if self._plain and word.isascii() and word.isalpha():  # lower case by now
+            if self._plain and word.isascii() and word.isalpha():
                 ids = array.array("I", [t.id for t in self._model.tokenize(word.lower())]).tobytes()
             elif self._plain and (m := _PLAIN.fullmatch(word)):
                 letters, marks = m.groups()

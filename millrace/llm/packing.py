@@ -155,7 +155,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2) -
     """
     if window < 1 or window & (window - 1):
         raise ValueError("the window must be a power of two")
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer = common.encoder(tokenizer), Packer(window, TaskContext.get().partitionId() << 32)
@@ -168,14 +167,15 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2) -
                 packer.done.clear()
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.frombuffer(enc.ids(text.as_py()) + end, dtype="<u4")
-                shard.append((doc_id, ids))
-                held += len(ids)
-                if len(shard) >= SHARD_DOCS or held >= SHARD_IDS:
-                    packer.shard(shard)
-                    shard, held = [], 0
-                    yield from out()
+            names = b.column(0).to_pylist()
+            for first, ends, ids in enc.batches(b.column(1)):
+                for i, own in enumerate(np.split(ids, ends[:-1])):
+                    shard.append((names[first + i], np.append(own, np.uint32(end_id))))
+                    held += len(own) + 1
+                    if len(shard) >= SHARD_DOCS or held >= SHARD_IDS:
+                        packer.shard(shard)
+                        shard, held = [], 0
+                        yield from out()
         if shard:
             packer.shard(shard)
         packer.finish()

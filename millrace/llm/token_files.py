@@ -36,8 +36,6 @@ FORMAT = {
 }
 ROWS = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 ROWS_DDL = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
-#: Ids that one Arrow batch on its way back to the JVM holds, beyond one document.
-BATCH_IDS = 2_000_000
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
@@ -49,33 +47,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
     empty table gives files without rows. The sort moves texts, not ids; texts
     are cut up nowhere, so a text must fit into a worker's memory.
     """
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, start = common.encoder(tokenizer), TaskContext.get().partitionId(), 0
-        rows: list[tuple[int, bytes]] = []
-
-        def out() -> pa.RecordBatch:
-            nonlocal start
-            n = np.array([len(b) // 4 for _, b in rows], dtype=np.int64)
-            offsets = np.concatenate([[0], np.cumsum(n)])
-            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(b for _, b in rows), dtype="<i4")))
-            made = common.batch(ROWS, [d for d, _ in rows], np.full(len(rows), part, np.int32), start + offsets[:-1], n, ids)
-            start += int(offsets[-1])
-            rows.clear()
-            return made
-
-        held = 0
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = enc.ids(text.as_py()) + end
-                if rows and held + len(ids) // 4 > BATCH_IDS:
-                    yield out()
-                    held = 0
-                rows.append((doc_id, ids))
-                held += len(ids) // 4
-        if rows:
-            yield out()
+            for first, ends, ids in enc.batches(b.column(1)):
+                n = np.diff(ends, prepend=0) + 1
+                ids = np.insert(ids, ends, end_id).astype(np.int32)
+                offsets = np.concatenate([[0], np.cumsum(n)])
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+                yield common.batch(ROWS, b.column(0).slice(first, len(n)), np.full(len(n), part, np.int32), start + offsets[:-1], n, lists)
+                start += int(offsets[-1])
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode, ROWS_DDL).write.options(**FORMAT).parquet(path)

@@ -1,5 +1,7 @@
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -15,9 +17,15 @@ def whole():
     return lambda t: made.encode(t or "", add_special_tokens=False).ids
 
 
-def test_encoder_is_the_library(whole, words):
+def test_encoder_is_the_library(whole, words, monkeypatch):
+    monkeypatch.setattr(common, "SLICE", 300)
     enc = common.WordEncoder(common.tokenizer_path(), limit=20)
     texts = [t for t in ODD if t] + ["It's 12 don't, ok.,", "ΑΣ ΑΣ. İ ﬁ", "wor.d ... ,, é́", "<|STARTOFTEXT|> <|startoftext|>x", "À l'œuvre; Straße, ÿ Ÿ µ ª", " ".join(words), "osí. íx í"] * 2
+    flat = []
+    for first, ends, ids in enc.batches(pa.array([*texts, None], pa.string())):
+        assert first == len(flat)
+        flat += [x.tobytes() for x in np.split(ids, ends[:-1])]
+    assert flat.pop() == b"" and flat == [enc.ids(t) for t in texts]
     for t in texts:
         assert enc.ids(t) == b"".join(i.to_bytes(4, "little") for i in whole(t)), t
 
@@ -43,7 +51,9 @@ def test_format_and_selective_reads(spark, docs, tmp_path):
     token_files.write_tokens(docs[0], path, common.tokenizer_path())
     file = next((tmp_path / "tokens").glob("*.parquet"))
     columns = {c["path_in_schema"]: c for c in (pq.ParquetFile(file).metadata.row_group(0).column(i).to_dict() for i in range(5))}
-    assert "DELTA_BINARY_PACKED" in columns["doc_id"]["encodings"] and columns["doc_id"]["has_offset_index"] and columns["doc_id"]["has_column_index"]
+    assert "DELTA_BINARY_PACKED" in columns["doc_id"]["encodings"] 
+    column = pq.ParquetFile(file).metadata.row_group(0).column(0)
+    assert column.has_offset_index and column.has_column_index
     assert any("DICTIONARY" in e for e in next(c for p, c in columns.items() if p.startswith("ids"))["encodings"])
     plan = token_files.read_index(spark, path).where("doc_id = 5")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan" in plan or "EqualTo(doc_id,5)" in plan
