@@ -313,7 +313,7 @@ def extract(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
     """
     wrappers = common.written(infer(pages) if wrappers is None else wrappers, "wrappers")
     size = wrappers.agg(F.sum(F.length("host") + F.length("wrapper") + 64)).first()[0] or 0
-    schema = pa.schema([("page_id", pages.schema["page_id"].dataType.typeName() == "long" and pa.int64() or pa.string()), ("url", pa.string()), ("text", pa.string())])
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Wrapper] = {}
@@ -328,9 +328,9 @@ def extract(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
             yield common.batch(schema, b.column(0), b.column(1), texts)
 
     host_of = F.udf(host, "string", useArrow=True)
-    rows = pages.select("page_id", "url", "html").withColumn("host", host_of("url"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("host", host_of("url"))
     both = rows.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host")
-    return both.select("page_id", "url", "html", "wrapper").mapInArrow(read, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")
+    return both.select("page_id", "url", "html", "wrapper").mapInArrow(read, "page_id long, url string, text string")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

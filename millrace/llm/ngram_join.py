@@ -46,7 +46,7 @@ from . import common
 #: Segments in which verified overlaps are counted.
 SEGMENTS = 4
 #: Rows of one side of a block in step 4, and the largest number of digests of one document.
-BLOCK, DIGESTS = 1024, 1024
+BLOCK, DIGESTS = 1024, 2048
 #: Bits of a key that hold its size class.
 LEVEL_BITS = 9
 #: Ids (8 bytes each) that may be broadcast; beyond it tables are joined by a shuffle.
@@ -142,13 +142,13 @@ def signatures(h: np.ndarray, per_cent: int) -> np.ndarray:
 
 def digests(h: np.ndarray, level: int, per_cent: int) -> bytes:
     """One byte for each of the finer segments of a set in a size class."""
-    m = min(DIGESTS, 4 * _classes(per_cent)[1][level])
+    m = min(DIGESTS, 8 * _classes(per_cent)[1][level])
     return _segment_sums(h, m).astype(np.uint8).tobytes()
 
 
 def _coarse(fine: bytes) -> bytes:
-    """The digests of two finer segments each as one; they add up."""
-    return np.frombuffer(fine, np.uint8).reshape(-1, 2).sum(axis=1).astype(np.uint8).tobytes()
+    """The digests of four finer segments each as one; they add up."""
+    return np.frombuffer(fine, np.uint8).reshape(-1, 4).sum(axis=1).astype(np.uint8).tobytes()
 
 
 def _possible(differ, n, m, per_cent: int):
@@ -283,39 +283,53 @@ def _level() -> Column:
     return F.pmod("key", F.lit(1 << LEVEL_BITS)).cast("int").alias("level")
 
 
-def _hub_pairs(met: DataFrame, labels: DataFrame, second: bool) -> DataFrame:
+def _hub_pairs(met: DataFrame, labels: DataFrame, second: bool, tmp: common.Scratch) -> DataFrame:
     """Pairs (a, b, level) of one document of each meeting with the others, of different components."""
     rows = met.join(labels, "id")
     hub = rows.groupBy("key").agg(F.min_by("id", F.struct("component", "id")).alias("hub"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
     if second:  # a hub from what the smallest component has left over
         hub = rows.join(hub.select("key", "least"), "key").where("component <> least").groupBy("key").agg(F.min("id").alias("hub"))
     home = labels.select(F.col("id").alias("hub"), F.col("component").alias("home"))
-    pairs = rows.join(hub.select("key", "hub").join(home, "hub"), "key").where("component <> home")
+    # tables of their own on both sides, so that the join's large keys can be split
+    hub, rows = tmp.keep(hub.select("key", "hub").join(home, "hub"), "hubs"), tmp.keep(rows, "rows")
+    pairs = rows.join(hub, "key").where("component <> home")
     return pairs.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"), _level()).distinct()
 
 
-def _open(met: DataFrame, labels: DataFrame) -> DataFrame:
+def _open(met: DataFrame, labels: DataFrame, tmp: common.Scratch) -> DataFrame:
     """key, id, component and number of blocks of the meetings of several components."""
-    rows = met.join(labels, "id")
+    rows = tmp.keep(met.join(labels, "id"), "rows")
     keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
-    return rows.join(keys.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").select("key", "id", "component", "blocks")
+    keys = tmp.keep(keys.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "keys")
+    return rows.join(keys, "key").select("key", "id", "component", "blocks")
+
 
+def _block_pairs(rows: DataFrame, marks: DataFrame, per_cent: int, pairs: bool) -> DataFrame:
+    """a and b that meet, are of different components, and that digests (id, level, n, digest) do not rule out.
 
-def _block_pairs(rows: DataFrame, marks: DataFrame, per_cent: int) -> DataFrame:
-    """key, a and b that meet, are of different components, and that digests (id, level, n, digest) do not rule out."""
+    Without ``pairs``: key and id of all that have such a partner.
+    """
     full = rows.withColumn("level", _level()).join(marks, ["id", "level"])
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     # each row goes to its block's meetings with all blocks of the key
     dealt = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "digest")
-    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    names = ("a", "b") if pairs else ("key", "id")
+    schema = pa.schema([(n, pa.int64()) for n in names])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, out = None, [], []
 
+        def note(key: int, a: np.ndarray, b: np.ndarray) -> None:
+            if pairs:
+                out.append((np.minimum(a, b), np.maximum(a, b)))
+            else:
+                ids = np.unique(np.concatenate([a, b]))
+                out.append((np.full(len(ids), key), ids))
+
         def close() -> None:
             """Compare the rows of a meeting's two blocks: (own, id, component, n, digest)."""
-            (key, i, j), rest = at, list(held)
+            (key, i, j), rest = at, held
             if len({r[2] for r in rest}) < 2:
                 return
             if len(rest) == 2:
@@ -323,23 +337,27 @@ def _block_pairs(rows: DataFrame, marks: DataFrame, per_cent: int) -> DataFrame:
                 if i == j or p != q:
                     differ = np.count_nonzero(np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8))
                     if _possible(differ, n, m, per_cent):
-                        out.append((key, np.array([min(a, b)]), np.array([max(a, b)])))
+                        note(key, np.array([a]), np.array([b]))
                 return
             own, ids, comp, sizes, marks = zip(*rest, strict=True)
             own, ids, comp, sizes = np.array(own), np.array(ids), np.array(comp), np.array(sizes)
             marks = np.frombuffer(b"".join(marks), np.uint8).reshape(len(rest), -1)
+            left, right = [], []
             for x in range(len(rest) - 1):
                 y = np.flatnonzero(comp[x + 1 :] != comp[x]) + x + 1
                 if i != j:
                     y = y[own[y] != own[x]]
                 y = y[_possible(np.count_nonzero(marks[y] != marks[x], axis=1), sizes[y], sizes[x], per_cent)]
                 if len(y):
-                    out.append((key, np.minimum(ids[y], ids[x]), np.maximum(ids[y], ids[x])))
+                    left.append(np.full(len(y), ids[x]))
+                    right.append(ids[y])
+            if left:
+                note(key, np.concatenate(left), np.concatenate(right))
 
         def made() -> pa.RecordBatch:
-            keys, a, b = zip(*out, strict=True)
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
             out.clear()
-            return common.batch(schema, np.repeat(keys, [len(x) for x in a]), np.concatenate(a), np.concatenate(b))
+            return common.batch(schema, *columns)
 
         for b in batches:
             for key, i, j, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -356,20 +374,7 @@ def _block_pairs(rows: DataFrame, marks: DataFrame, per_cent: int) -> DataFrame:
             yield made()
 
     met_blocks = common.spread(dealt, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    return met_blocks.mapInArrow(compare, "key long, a long, b long")
-
-
-def _possible_ids(rows: DataFrame, marks: DataFrame, per_cent: int) -> DataFrame:
-    """key and id of the meetings in which a document has a possible partner by coarse digests."""
-    pairs = _block_pairs(rows, marks.select("id", "level", "n", F.col("coarse").alias("digest")), per_cent)
-
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.int64()), ("id", pa.int64())])
-        for b in batches:
-            both = np.unique(np.concatenate([np.stack([b.column(0), b.column(c)]) for c in (1, 2)], axis=1), axis=1)
-            yield common.batch(schema, both[0], both[1])
-
-    return pairs.mapInArrow(ends, "key long, id long").distinct()
+    return met_blocks.mapInArrow(compare, f"{names[0]} long, {names[1]} long").distinct()
 
 
 def components(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
@@ -397,13 +402,14 @@ def components(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
         labels = tmp.keep(met.select("id").distinct().withColumn("component", F.col("id")), "labels")
         marks = tmp.keep(_digest_rows(docs, labels.select("id"), k, per_cent), "marks")
         for second in (False, True):
-            pairs = _not_ruled_out(_hub_pairs(met, labels, second), marks, per_cent)
+            pairs = _not_ruled_out(_hub_pairs(met, labels, second, tmp), marks, per_cent)
             labels = connect(labels, _links(pairs, docs, k, per_cent, tmp), tmp)
             tmp.drop("segments")
-        open_rows = tmp.keep(_open(met, labels), "open")
-        left = tmp.keep(_possible_ids(open_rows, marks, per_cent), "left")
-        fine = marks.select("id", "level", "n", F.col("fine").alias("digest"))
-        pairs = _block_pairs(open_rows.join(left, ["key", "id"]), fine, per_cent).select("a", "b").distinct()
+            tmp.drop("rows")
+        open_rows = tmp.keep(_open(met, labels, tmp), "open")
+        digest = lambda name: marks.select("id", "level", "n", F.col(name).alias("digest"))
+        left = tmp.keep(_block_pairs(open_rows, digest("coarse"), per_cent, pairs=False), "left")
+        pairs = _block_pairs(open_rows.join(left, ["key", "id"]), digest("fine"), per_cent, pairs=True)
         labels = connect(labels, _links(pairs, docs, k, per_cent, tmp), tmp)
         tmp.drop("open")
         of_class = classes.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
