@@ -225,3 +225,14 @@ def test_scoring(catalog):
 def test_frames_match(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "a long, b string")
     assert frames_match(a, a.select("b", "a").orderBy(F.desc("a"))) and not frames_match(a, a.distinct())
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([(1, "x", 2.0, "no")], "id long, s string, v double, other string").write.parquet(str(tmp_path / "t"))
+    catalog = Catalog(spark)
+    catalog.register("d", "t", spark.read.parquet(str(tmp_path / "t")), ["id"])
+    df = Compiler(catalog, "d").compile("db.t.find({'v': {'$gt': 1}, 's': {'$ne': 'y'}}, {'s': 1})").dataframe()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(v,1.0)" in plan and "EqualNullSafe(s,y)" in plan
+    assert "ReadSchema: struct<s:string,v:double>" in plan
+    assert df.collect()[0].asDict() == {"s": "x"}
