@@ -1,4 +1,3 @@
-import hashlib
 import random
 import re
 
@@ -67,7 +66,6 @@ def test_winnowing_guarantee(spark):
     bench = spark.createDataFrame([(7, "before " + " ".join(shared) + " after")], "item_id long, text string")
     got = decontaminate.contamination(df, bench).collect()
     assert all(r["n_hit"] == 10 and r["items"] == ["7"] for r in got)
-    assert hashlib.sha256(b"7").hexdigest()
 
 
 def test_main_path_is_native(spark, docs):
