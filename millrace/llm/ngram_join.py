@@ -38,7 +38,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -237,8 +237,8 @@ def _not_ruled_out(pairs: DataFrame, marks: DataFrame, per_cent: int) -> DataFra
             keep = _possible(differ, n, m, per_cent)
             yield common.batch(schema, a[keep], b[keep])
 
-    left = marks.select(F.col("id").alias("a"), "level", F.col("n").alias("na"), F.col("fine").alias("fa"))
-    right = marks.select(F.col("id").alias("b"), "level", F.col("n").alias("nb"), F.col("fine").alias("fb"))
+    left = marks.select(F.col("id").alias("a"), "level", F.col("n").alias("na"), F.col("coarse").alias("fa"))
+    right = marks.select(F.col("id").alias("b"), "level", F.col("n").alias("nb"), F.col("coarse").alias("fb"))
     both = pairs.join(left, ["a", "level"]).join(right, ["b", "level"]).select("a", "b", "na", "nb", "fa", "fb")
     return both.mapInArrow(work, "a long, b long").distinct()
 
@@ -394,9 +394,9 @@ def components(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
         classes = tmp.keep(sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
         firsts = _with_ids(sets.select(F.col("doc_id").alias("id"), "keys"), classes.select("id").distinct(), "id")
         rows = firsts.select("id", F.explode("keys").alias("key"))
-        # an id has a key once, so a key of several rows is one of several ids
-        shared = tmp.keep(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-        met = tmp.keep(_with_ids(rows, shared, "key").distinct(), "met")
+        # an id has a key once, so a key of several rows is one of several ids; one shuffle finds and keeps them
+        meets = F.count("*").over(Window.partitionBy("key")) > 1
+        met = tmp.keep(rows.select("id", "key", meets.alias("meets")).where("meets").select("id", "key").distinct(), "met")
         members = tmp.keep(sets.select("doc_id", "n_shingles", "digest"), "members")
         tmp.drop("sets")
         labels = tmp.keep(met.select("id").distinct().withColumn("component", F.col("id")), "labels")
