@@ -4,8 +4,8 @@ Lines are normalised (A-Z lower-cased, runs of ASCII white space one space) and
 digested. Digests are grouped over the whole corpus, and the occurrence of the
 lowest rank, which is doc_id, then the text's hash, then the line's place, is
 the one that stays. Every other occurrence repeats it. Repeating lines that
-follow each other in a document form a run; a run of at least ``min_words``
-words is removed, a shorter one (a heading, a licence line) stays.
+follow each other in a document form a run; by default every run is removed,
+with ``min_words`` only those of at least so many words.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words that a run of repeating lines needs, to be removed.
+#: Words of a run of repeating lines from which ORACLE_SQL removes it; the query removes shorter ones too.
 MIN_WORDS = 13
 #: Repeating lines (of about 60 bytes) that may be broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -64,7 +64,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "text_hash", "line", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = 1) -> DataFrame:
     """``docs``, all columns, with the text that stays, ``n_lines`` and ``removed``.
 
     ``removed`` lists the removed lines: start and end in the original text in

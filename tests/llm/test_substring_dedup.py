@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from millrace.llm import substring_dedup
 
 from .conftest import ODD
@@ -65,3 +66,14 @@ def test_null_ids_rank_first(docs):
     got = substring_dedup.dedup(docs[0]).collect()
     assert len(got) == len(docs[1])
     assert {r["text"] for r in got if r["doc_id"] is None} == {None, "no id"}
+
+
+def test_short_lines_go_from_query_and_stage(spark, tmp_path):
+    rows = [(1, "Short line\nalpha"), (2, "short  LINE\nbeta"), (3, "gamma\nshort line\ndelta\nalpha")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {1: "Short line\nalpha", 2: "beta", 3: "gamma\ndelta"}
+    got = substring_dedup.op2_substring_dedup(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want and {r["doc_id"]: r["n_removed"] for r in got} == {1: 0, 2: 1, 3: 2}
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_repeated_passages(spark, docs, "").collect()
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in kept} == {d: (t, len(t)) for d, t in want.items()}
