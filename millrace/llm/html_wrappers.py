@@ -11,9 +11,9 @@ turn, so a large host is never gathered in one place.
 Each text slot knows its path of elements and how much text and link text pages
 have in it. From these the wrapper picks the region of the main text: what is
 marked as the article, else as the main part, else the smallest element that
-has most of the text outside of links. A page is matched against its wrapper's
-expression and its region's texts are read off, without elements that serve
-other purposes.
+has most of the text outside of links, with all other paths whose text is not
+mostly links. The region's texts of a page are read off, without elements that
+serve other purposes. A page that has no text there is read by its own region.
 """
 
 from __future__ import annotations
@@ -203,7 +203,12 @@ def _other(path: str) -> bool:
 
 
 def region(slots: dict[str, list[int]]) -> list[str]:
-    """The paths under which the main text lies: those marked as articles, else as main parts, else the richest."""
+    """The paths under which the main text lies: those marked as articles, else as main parts, else the richest.
+
+    Beside the richest element there are, each with a "=" before it, the paths
+    outside of it that hold more other text than links; only they are meant, and
+    not what lies under them.
+    """
     free = {p: s for p, s in slots.items() if not _other(p)}
     marks = (lambda k: k[0] == "article" or "articlebody" in k, lambda k: k[0] == "main" or "main" in k[1:], lambda k: k[0] not in ("html", "body") and MAIN_WORDS.intersection(k[1:]))
     for marked in marks:
@@ -225,10 +230,13 @@ def region(slots: dict[str, list[int]]) -> list[str]:
     if not mass:
         return []
     enough = 0.8 * mass.get("", 0)
-    return [max((p for p in mass if mass[p] >= enough), key=lambda p: (p.count("/") + bool(p), p), default="")]
+    top = max((p for p in mass if mass[p] >= enough), key=lambda p: (p.count("/") + bool(p), p), default="")
+    return [top, *sorted(f"={p}" for p, (_, chars, links) in free.items() if chars > 2 * links and not under(p, top))]
 
 
 def under(path: str, top: str) -> bool:
+    if top.startswith("="):
+        return path == top[1:]
     return not top or path == top or path.startswith(top + "/")
 
 
@@ -247,14 +255,14 @@ class Wrapper:
         return "".join(self._char(x) if isinstance(x, str) else f"(?:{self._regex(x[1:])}){x[0]}+" for x in expr)
 
     def text(self, page: str | None) -> str:
-        """The main text of a page; a page that does not fit the wrapper is judged by its own."""
+        """The main text of a page; a page without text in the wrapper's region is judged by its own."""
         stream = tokens(page)
-        where = paths(stream)
-        tops = self.region
-        fits = self._match.fullmatch("".join(self._chars.get("t" if k == "t" else f"{k}:{key}", "\0") for k, key, _, _ in stream))
-        if not fits and not any(under(p, top) for p in where for top in tops if top):
+        own = [(t[2], p) for t, p in zip(stream, paths(stream), strict=True) if t[0] == "t" and not _other(p)]
+        found = [t for t, p in own if any(under(p, top) for top in self.region)]
+        if own and not found:
             tops = region(wrapper_of(page)["slots"])
-        return " ".join(t[2] for t, p in zip(stream, where, strict=True) if t[0] == "t" and not _other(p) and any(under(p, top) for top in tops))
+            found = [t for t, p in own if any(under(p, top) for top in tops)]
+        return " ".join(found)
 
 
 def host(url: str | None) -> str:

@@ -26,6 +26,21 @@ def test_main_text_without_marks():
     assert W.Wrapper(made).text(page.format("some text")) == "some text some text again"
 
 
+def test_pages_of_several_layouts_on_a_host(spark):
+    bodies = ["<nav>Menu</nav><article><p>in article</p></article>", "<nav>Menu</nav><main><p>in main</p></main>", "<div class=content><p>in content</p></div>", "<div><p>no mark</p></div>", "<nav>Menu</nav>"]
+    pages = [(i, url, f"<body>{b}</body>") for url in ("http://a.org/x", None) for i, b in enumerate(bodies)]
+    got = W.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)).collect()
+    assert all(r["text"] == ["in article", "in main", "in content", "no mark", ""][r["page_id"]] for r in got) and len(got) == 10
+
+
+def test_unmarked_text_beside_the_richest_element():
+    page = "<body>Loose<div id=top><a href=x>One</a> <a href=y>Two</a></div><div id=c><p>{0}</p></div><div id=d>A short end</div><div id=low><a href=z>Links</a></div></body>"
+    made = None
+    for i in range(5):
+        made = W.merge(made, W.wrapper_of(page.format(f"text number {i} " * 30)))
+    assert W.Wrapper(made).text(page.format("some text")) == "Loose some text A short end"
+
+
 def test_inference():
     assert W.fold(list("abababc")) == [["+", "a", "b"], "c"]
     assert W.fold(["x", "a", "b", "a", "b", "y"]) == ["x", ["+", "a", "b"], "y"]
