@@ -25,8 +25,8 @@ from . import common
 
 #: Documents and token ids of a shard, about: they bound a task's memory.
 SHARD_DOCS, SHARD_IDS = 1024, 4_000_000
-#: BM25 parameters, and the share of a shard's documents above which a token id is a stop word.
-K1, B, STOP = 1.2, 0.75, 0.1
+#: BM25 parameters, and the share of a shard's documents above which a token id is a stop word: at 1 none is.
+K1, B, STOP = 1.2, 0.75, 1.0
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PIECES_DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 

@@ -64,6 +64,17 @@ def test_bm25_against_the_formula():
         assert np.allclose(index.scores(seed), want, rtol=1e-5)
 
 
+def test_common_terms_count():
+    """Terms of half the shard's documents still tell which documents are related, and which come next."""
+    docs = [np.array([100 * (i % 2) + j for j in range(1, 9)] + [1000 + i], np.uint32) for i in range(40)]
+    index = packing.Bm25Shard(docs)
+    for seed in range(40):
+        assert np.array_equal(index.scores(seed) > 0, np.arange(40) % 2 == seed % 2)
+    packer = packing.Packer(64, 0)
+    packer.shard(list(enumerate(docs)))
+    assert [d % 2 for d, *_ in packer.done[:8]] == [0] * 8
+
+
 def test_neighbours_share_a_window():
     """Documents on one subject meet, though they lie far apart in the shard."""
     rng = np.random.default_rng(5)
