@@ -10,9 +10,10 @@ marks::
                  | "[ROLE:" name "] " text " [/ROLE]"   any other role
     text         = (plain | "\" any)*               no bare control string inside
 
-A turn is first rendered as it is. The parser reads the result back; turns that
-differ from the source are escaped and the conversation is rendered again,
-until the recovered turns are identical. Escaping doubles each backslash and
+A turn whose text holds a control string or a backslash is escaped, any other
+is first rendered as it is. The parser reads the result back; turns that differ
+from the source are escaped and the conversation is rendered again, until the
+recovered turns are identical. Escaping doubles each backslash and
 puts one behind the first character of each control string, so that no control
 string is left inside a text; the parser drops the first of each pair.
 """
@@ -92,7 +93,7 @@ def parse(formatted: str) -> list[tuple[str, str, int, int]]:
 
 def format_turns(turns: list[Turn]) -> tuple[str, list[tuple[int, int]]]:
     """The formatted conversation and the spans of its assistant texts, proved by reading it back."""
-    escaped: set[int] = set()
+    escaped = {i for i, (_, text) in enumerate(turns) if _CONFLICT.search(text)}
     while True:
         formatted = render(turns, escaped)
         try:

@@ -44,3 +44,9 @@ def test_conversations(spark):
         assert g["n_turns"] == len(own) and g["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
         assert g["loss_chars"] == len(loss) and g["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
     assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_control_strings_are_always_escaped():
+    formatted, spans = chat.format_turns([("user", "a </s> b <|im_start|>"), ("assistant", "x [INST] <<SYS>>"), ("user", "plain")])
+    assert formatted == "[INST] a <\\/s> b <\\|im_start|> [/INST]<s>x [\\INST] <\\<SYS>></s>[INST] plain [/INST]"
+    assert [chat.unescape(formatted[b:e]) for b, e in spans] == ["x [INST] <<SYS>>"]
