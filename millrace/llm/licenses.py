@@ -6,11 +6,13 @@ index maps a fingerprint to the templates and places that have it. A document's
 fingerprints pick candidates: places where the difference of document and
 template position agrees within a band. There the template is aligned with the
 document's words by dynamic programming within the band, and a match reports
-how much of the template was found, and where.
+how much of the template was found, and where. Short templates also have so many
+single words in the index that every match shares one.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 GRAM, WINDOW = 3, 2
+#: Templates of fewer words are also found by single words; in longer ones with a fifth of the words changed four in a row are left.
+SHORT = 20
 #: Half the width of the band, at least, and as a share of the template's words.
 BAND, BAND_SHARE = 4, 0.1
 #: The share of a template's words that a match must have.
@@ -34,16 +38,16 @@ TEMPLATE_BYTES = 16 << 20
 TEMPLATES = {
     "apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-3-clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
     "bsd-line": "Redistribution and use in source and binary forms, with or without modification, are permitted.",
     "cc-by-4.0-line": "Licensed under CC BY 4.0.",
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0-line": "Licensed under CC BY-SA 4.0.",
     "cc-by-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "isc": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
-    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "gpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "isc": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "mit-line": "Released under the MIT License.",
     "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
@@ -120,22 +124,38 @@ def align(template: np.ndarray, words: np.ndarray, band: int) -> tuple[int, int,
 class TemplateIndex:
     """The inverted index of the templates' fingerprints."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
         self.names, self.words = [], []
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        single: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for name, text in sorted(templates.items()):
-            h = _hashes(word_spans(text)[0])
+            words = word_spans(text)[0]
+            h = _hashes(words)
             if not len(h):
                 continue
             for at, value in zip(*(x.tolist() for x in fingerprints(h)), strict=True):
                 places[value].append((len(self.names), at))
+            if len(h) < SHORT:
+                # a match lacks at most so many words that one of these is in it; longer ones are rarer
+                lacking = len(h) - math.ceil(coverage * len(h) - 1e-9)
+                for at in sorted(range(len(h)), key=lambda i: -len(words[i]))[: lacking + 1]:
+                    single[int(h[at])].append((len(self.names), at))
             self.names.append(name)
             self.words.append(h)
         self.places = dict(places)
         self._sorted = np.array(sorted(places), dtype=np.uint64)
+        self.single = dict(single)
+        self._words = np.array(sorted(single), dtype=np.uint64)
 
     def candidates(self, h: np.ndarray) -> list[tuple[int, int]]:
-        """Template and expected place of its first word, one for each group of near diagonals."""
+        """Template and expected place of its first word, one for each group of near diagonals, and each of single words."""
+        found = set()
+        if len(self._words):
+            hit = np.flatnonzero(self._words[np.minimum(np.searchsorted(self._words, h), len(self._words) - 1)] == h)
+            found = {(t, p - q) for p in hit.tolist() for t, q in self.single[int(h[p])]}
+        return sorted(found.union(self._near(h)))
+
+    def _near(self, h: np.ndarray) -> list[tuple[int, int]]:
         at, values = fingerprints(h)
         if not len(at) or not len(self._sorted):
             return []
@@ -200,7 +220,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     schema = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("matched", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("template_start", pa.int64()), ("template_end", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = TemplateIndex(sent.value)
+        index = TemplateIndex(sent.value, coverage)
         for b in batches:
             rows = [(doc_id, *m) for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True) for m in index.matches(text.as_py(), coverage)]
             if rows:

@@ -68,3 +68,33 @@ def test_scan(spark, none):
     with pytest.raises(ValueError):
         licenses.scan(df, {"big": "x" * (licenses.TEMPLATE_BYTES + 1)})
     assert np.array_equal(licenses.fingerprints(licenses._hashes([]))[0], [])
+
+
+def test_templates_end_where_the_licences_do():
+    ends = {"mit": "OTHER DEALINGS IN THE SOFTWARE.", "isc": "PERFORMANCE OF THIS SOFTWARE.", "bsd-3-clause": "THE POSSIBILITY OF SUCH DAMAGE.", "gpl-3.0-notice": "see <https://www.gnu.org/licenses/>."}
+    index = licenses.TemplateIndex(licenses.TEMPLATES)
+    for name, end in ends.items():
+        text = licenses.TEMPLATES[name]
+        assert text.endswith(end)
+        words = text.split(" ")
+        assert name not in [m[0] for m in index.matches(" ".join(words[: len(words) * 6 // 10]), 0.8)]
+
+
+def test_short_templates_with_changed_words(words):
+    """Every short template is found at the coverage, whichever words differ or come between."""
+    rng = random.Random(6)
+    found = licenses.TemplateIndex(licenses.TEMPLATES).matches("Released under an MIT License", 0.8)
+    assert [m[:2] for m in found] == [("mit-line", 0.8)]
+    for name, text in licenses.TEMPLATES.items():
+        own = licenses.word_spans(text)[0]
+        if len(own) >= licenses.SHORT:
+            continue
+        index = licenses.TemplateIndex({name: text})
+        for _ in range(100):
+            changed = list(own)
+            for i in rng.sample(range(len(own)), len(own) // 5):
+                changed[i] = "zzz"
+            near = ["yy"] * 6 + changed + ["yy"] * 6
+            t, w = licenses._hashes(own), licenses._hashes(near)
+            equal = max(licenses.align(t, np.concatenate([np.zeros(max(0, 4 - d), np.uint64), w[max(0, d - 4) :]])[: len(own) + 8], 4)[0] for d in range(len(near)))
+            assert bool(index.matches(" ".join(near), 0.8)) == (equal >= 0.8 * len(own)), near
