@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import queries
 from millrace.operators.results import frames_match, is_empty, json_safe, results_match, scored_value
 from millrace.operators.scoring import build_gold, run_case, run_cases
 from millrace.plans.compiler import Compiler
@@ -236,3 +237,12 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     assert "GreaterThan(v,1.0)" in plan and "EqualNullSafe(s,y)" in plan
     assert "ReadSchema: struct<s:string,v:double>" in plan
     assert df.collect()[0].asDict() == {"s": "x"}
+
+
+def test_registered_queries_cover_all_rows(spark, tmp_path):
+    for name in queries.TABLES:
+        spark.createDataFrame([(1,)], f"{name}_id long").write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, rows, schema in (("customer", [(1,), (51,), (900,)], "c_custkey long"), ("orders", [(7, 1), (8, 900), (9, 51), (10, 2)], "o_orderkey long, o_custkey long")):
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{tmp_path}/{name}.parquet")
+    assert sorted(r["o_orderkey"] for r in queries.queries()["replace_root"](spark, str(tmp_path)).collect()) == [7, 8, 9]
+    assert {r["id"] for r in queries.schema_cards(spark, str(tmp_path)).collect()} == {f"tables.{name}" for name in queries.TABLES}
