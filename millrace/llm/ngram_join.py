@@ -157,18 +157,19 @@ def _possible(differ, n, m, per_cent: int):
 
 
 def _sets(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty) and keys."""
+    """doc_id, n_shingles, digest of the set (null if it is empty or has no id) and keys."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 part, sizes, names, keys = b.slice(i, 1000), [], [], []
-                for text in part.column(1):
+                for doc_id, text in zip(part.column(0), part.column(1), strict=True):
                     h = shingle_hashes(text.as_py(), k)
                     sizes.append(len(h))
-                    names.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
-                    keys.append(signatures(h, per_cent) if len(h) else np.zeros(0, np.uint64))
+                    linked = len(h) and doc_id.is_valid
+                    names.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if linked else None)
+                    keys.append(signatures(h, per_cent) if linked else np.zeros(0, np.uint64))
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 yield common.batch(schema, part.column(0), sizes, names, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).astype(np.int64))))
 
@@ -384,10 +385,11 @@ def components(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
     ``k``-word shingles is at least ``per_cent`` times the union; component_id is
     the smallest doc_id that links reach. Null or blank texts have an empty set,
     linked with nothing, and are their own component. Rows that share a doc_id
-    are one node when linked. Extra columns are left out; an empty table gives
+    are one node when linked. A row with a null doc_id has its shingles counted,
+    but is no node: it is linked with nothing, and its component is null. Extra columns are left out; an empty table gives
     no rows. The sets are compared exactly, on 64-bit hashes of their n-grams.
     """
-    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text").unionByName(docs.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("string").alias("text")))
+    docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     with common.Scratch(spark) as tmp:
         sets = tmp.keep(_sets(docs, k, per_cent), "sets")

@@ -85,3 +85,10 @@ def test_connect(spark):
     with common.Scratch(spark) as tmp:
         got = {r["id"]: r["component"] for r in ngram_join.connect(labels, spark.createDataFrame(links, "a long, b long"), tmp).collect()}
     assert all(got[i] == i // 20 * 20 for i in range(60)) and got[100] == got[101] == 0
+
+
+def test_rows_without_an_id_are_counted_and_not_linked(spark):
+    text = "a b c d e f"
+    df = spark.createDataFrame([(None, text), (None, text), (None, None), (4, text), (2, text)], "doc_id long, text string")
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.components(df, 3, 90).collect()]
+    assert sorted(got, key=str) == sorted([(None, 4, None), (None, 4, None), (None, 0, None), (4, 4, 2), (2, 4, 2)], key=str)
