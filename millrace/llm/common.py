@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import array
+import ctypes
+import functools
 import gc
 import json
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +38,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in
-    tests on one machine, a temporary folder is made and kept for the session.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset and all
+    runs on one machine, as in tests, a temporary folder is made and kept for the
+    session; on a cluster there is no such folder, and that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         path = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -116,11 +121,47 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(shuffle_partitions(df.sparkSession), *[F.col(k) for k in keys])
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+def tidied(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of a task's batches that gives freed memory back to the system at the task's end.
 
+    Python workers are kept for later tasks, and freed memory would else stay theirs.
+    """
 
-#: Bytes of texts that are encoded together, about.
-SLICE = 8 << 20
+    @functools.wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    """Give freed memory back to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+#: Bytes of texts that are encoded together, about: by words, and as whole texts, whose encodings are larger.
+SLICE, WHOLE_SLICE = 4 << 20, 1 << 20
+#: The rules under which white space parts words for good and plain Latin letters are only lower-cased.
+WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 #: A word of Latin letters, maybe with ASCII marks behind: its letters are one unit of the tokenizer, and the marks another.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
@@ -138,49 +179,65 @@ def _byte_level() -> dict[int, str]:
 _BYTE_LEVEL = _byte_level()
 
 
-class WordEncoder:
-    """Token ids of texts, with the ids of each blank-separated word kept.
+def _slices(texts: pa.Array, size: int) -> Iterator[tuple[int, pa.Array]]:
+    """The texts some at a time, of about ``size`` bytes, each with the index of its first."""
+    turn = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // size
+    cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(texts)]
+    for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+        if last > first:
+            yield first, texts.slice(first, last - first)
 
-    The tokenizer drops white space and never lets a token reach across it, so
-    the ids of a text are those of its words in a row. A word is encoded by the
-    tokenizers library: plain Latin words, which its rules only lower-case, by
-    its model at once, all others by the whole tokenizer. Words seen lately are
-    looked up in two generations of at most ``limit`` words of at most
-    ``longest`` letters, which bounds the memory and changes no result.
-    """
 
-    def __init__(self, path: str, limit: int = 300_000, longest: int = 40):
-        from tokenizers import Tokenizer
+class Encoder:
+    """Token ids of whole texts, as the tokenizers library gives them."""
+
+    def __init__(self, tokenizer):
+        self._tokenizer = tokenizer
+
+    def ids(self, text: str | None) -> bytes:
+        """The ids of the whole text as little-endian unsigned 32-bit integers."""
+        return self._whole(text or "")
+
+    def batches(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The ids of many texts, some at a time: the first text's index, where each text's ids end, and all ids."""
+        for first, part in _slices(pc.fill_null(texts, ""), WHOLE_SLICE):
+            found = [e.ids for e in self._tokenizer.encode_batch_fast(part.to_pylist(), add_special_tokens=False)]
+            yield first, np.cumsum([len(x) for x in found]), np.fromiter((i for x in found for i in x), "<u4")
+
+    def _whole(self, text: str) -> bytes:
+        return array.array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-        self._tokenizer = Tokenizer.from_file(path)
-        rules = json.loads(self._tokenizer.to_str())
-        self._plain = "Lowercase" in str(rules.get("normalizer")) and "ByteLevel" in str(rules.get("pre_tokenizer"))
-        self._model = self._tokenizer.model
+
+class WordEncoder(Encoder):
+    """Token ids of texts for tokenizers with WORD_RULES, with the ids of each blank-separated word kept.
+
+    These rules drop white space and let no token reach across it, so the ids of
+    a text are those of its words in a row. A word is encoded by the tokenizers
+    library: plain Latin words, which the rules only lower-case, by its model at
+    once, all others by the whole tokenizer. Words seen lately are looked up in
+    two generations of at most ``limit`` words of at most ``longest`` letters
+    (about 200 bytes a word), which bounds the memory and changes no result.
+    """
+
+    def __init__(self, tokenizer, limit: int = 100_000, longest: int = 40):
+        super().__init__(tokenizer)
+        self._model = tokenizer.model
         self._known: dict[str, bytes] = {"": b""}
         self._older: dict[str, bytes] = {}
         self._marks: dict[str, bytes] = {}
         self._limit, self._longest = limit, longest
 
     def ids(self, text: str | None) -> bytes:
-        """The ids of the whole text as little-endian unsigned 32-bit integers."""
         words = text.replace("\n", " ").split(" ") if text else []
         return b"".join([self._word(w) for w in words])
 
     def batches(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """The ids of many texts, some at a time: the first text's index, where each text's ids end, and all ids.
-
-        Each different word is looked up once, and its ids are copied to where
-        it occurs. SLICE bounds the bytes of the texts taken together.
-        """
-        texts = pc.fill_null(texts, "")
-        turn = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // SLICE
-        cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(texts)]
-        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
-            if last > first:
-                yield first, *self._slice(texts.slice(first, last - first))
+        # each different word is looked up once, and its ids are copied to where it occurs
+        for first, part in _slices(pc.fill_null(texts, ""), SLICE):
+            yield first, *self._slice(part)
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if self._plain and not pc.any(pc.match_substring(texts, "<|")).as_py():  # else a control string in capitals would become one
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # else a control string in capitals would become one
             texts = pc.ascii_lower(texts)
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words = lists.flatten().dictionary_encode()
@@ -200,37 +257,48 @@ class WordEncoder:
         if (ids := self._known.get(word)) is not None:
             return ids
         if (ids := self._older.get(word)) is None:
-            if self._plain and word.isascii() and word.isalpha():
+            if word.isascii() and word.isalpha():
                 ids = array.array("I", [t.id for t in self._model.tokenize(word.lower())]).tobytes()
-            elif self._plain and (m := _PLAIN.fullmatch(word)):
+            elif (m := _PLAIN.fullmatch(word)):
                 letters, marks = m.groups()
                 if marks:
-                    ids = self._word(letters) + self._whole(marks)
+                    ids = self._word(letters) + self._mark(marks)
                 else:
                     ids = array.array("I", [t.id for t in self._model.tokenize(word.translate(_BYTE_LEVEL))]).tobytes()
             else:
-                ids = self._whole(word)
+                ids = self._mark(word)
         if len(word) <= self._longest:
             if len(self._known) >= self._limit:
                 self._older, self._known = self._known, {"": b""}
             self._known[word] = ids
         return ids
 
-    def _whole(self, word: str) -> bytes:
+    def _mark(self, word: str) -> bytes:
         short = len(word) <= 4
         if short and (ids := self._marks.get(word)) is not None:
             return ids
-        ids = array.array("I", self._tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        ids = self._whole(word)
         if short and len(self._marks) < 10_000:
             self._marks[word] = ids
         return ids
 
 
-def encoder(path: str) -> WordEncoder:
+def read_encoder(path: str, **limits: int) -> Encoder:
+    """An encoder for the tokenizer file ``path``: by words if its rules are WORD_RULES, else of whole texts."""
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(path)
+    rules = json.loads(made.to_str())
+    by_words = all(rules.get(k) == v for k, v in WORD_RULES.items()) and rules["model"]["type"] == "BPE" and not rules["model"].get("dropout")
+    return WordEncoder(made, **limits) if by_words else Encoder(made)
+
+
+def encoder(path: str) -> Encoder:
     """The worker's encoder for ``path``; a reused worker keeps it from task to task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS.clear()
+        _ENCODERS[path] = read_encoder(path)
     return _ENCODERS[path]
 
 

@@ -48,6 +48,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
     are cut up nowhere, so a text must fit into a worker's memory.
     """
 
+    @common.tidied
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, start = common.encoder(tokenizer), TaskContext.get().partitionId(), 0
         for b in batches:
@@ -89,6 +90,7 @@ def ids_crc32(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and the crc32 of the ids as unsigned 32-bit integers."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
+    @common.tidied
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(3)

@@ -11,6 +11,7 @@ passes over each whole text once.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,8 +88,8 @@ def probability(margin: float) -> float:
 
 
 def held_out(doc_id: Column) -> Column:
-    """Whether labels of a document are kept from training: crc32 of its id as text leaves 1 on division by 3."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    """Whether labels of a document are kept from training: crc32 of its id as text leaves 1 on division by 3; not without an id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, float]:
@@ -117,6 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, passes: in
             for i in order:
                 model.learn(x[ends[i] : ends[i + 1]], int(y[i] > 0), TOXIC_WEIGHT if y[i] > 0 else 1.0)
         at, w, bias = model.sparse()
+        del flat, x, model
+        common.release()
         return pa.table({"at": [at.tobytes()], "w": [w.tobytes()], "bias": [bias]}, schema=pa.schema([("at", pa.binary()), ("w", pa.binary()), ("bias", pa.float64())]))
 
     found = texts.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(learn, "at binary, w binary, bias double").collect()  # a row, of 8 bytes a coordinate at most
@@ -135,13 +138,15 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshol
     sent = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("score", "predicted")
 
-    @F.arrow_udf("double")
-    def scores(texts: pa.Array) -> pa.Array:
+    @common.tidied
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         at, w, bias = sent.value
         dense = np.zeros(1 << BITS, np.float32)
         dense[at] = w
-        return pa.array([probability(bias + float(dense[features(t.as_py())].sum(dtype=np.float64))) for t in texts], pa.float64())
+        for texts in batches:
+            yield pa.array([probability(bias + float(dense[features(t.as_py())].sum(dtype=np.float64))) for t in texts], pa.float64())
 
+    scores = F.arrow_udf(scored, "double")
     return docs.withColumn("score", scores("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

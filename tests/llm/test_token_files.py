@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -19,7 +20,8 @@ def whole():
 
 def test_encoder_is_the_library(whole, words, monkeypatch):
     monkeypatch.setattr(common, "SLICE", 300)
-    enc = common.WordEncoder(common.tokenizer_path(), limit=20)
+    enc = common.read_encoder(common.tokenizer_path(), limit=20)
+    assert isinstance(enc, common.WordEncoder)
     texts = [t for t in ODD if t] + ["It's 12 don't, ok.,", "ΑΣ ΑΣ. İ ﬁ", "wor.d ... ,, é́", "<|STARTOFTEXT|> <|startoftext|>x", "À l'œuvre; Straße, ÿ Ÿ µ ª", " ".join(words), "osí. íx í"] * 2
     flat = []
     for first, ends, ids in enc.batches(pa.array([*texts, None], pa.string())):
@@ -30,6 +32,30 @@ def test_encoder_is_the_library(whole, words, monkeypatch):
         assert enc.ids(t) == b"".join(i.to_bytes(4, "little") for i in whole(t)), t
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_public_tokenizer_as_the_library(name, words, monkeypatch):
+    monkeypatch.setattr(common, "WHOLE_SLICE", 200)
+    path = common.tokenizer_path(name)
+    library, enc = Tokenizer.from_file(path), common.read_encoder(path)
+    assert isinstance(enc, common.WordEncoder) == (name == common.TOKENIZER)
+    texts = [t for t in ODD if t] + ["  two  blanks and\n\nlines\t", "It's DON'T <|endoftext|> x", " ".join(words), None, "", "é́ ﬁ Ａ　b\u00a0c\u2028d"]
+    flat = []
+    for first, ends, ids in enc.batches(pa.array(texts, pa.string())):
+        assert first == len(flat)
+        flat += [x.tolist() for x in np.split(ids, ends[:-1])]
+    assert flat == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(enc.ids(t), "<u4").tolist() for t in texts] == flat
+
+
+def test_rules_that_differ_are_not_taken_for_words(tmp_path):
+    rules = json.loads(Tokenizer.from_file(common.tokenizer_path()).to_str())
+    rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L} ]+"
+    (tmp_path / "other.json").write_text(json.dumps(rules))
+    enc, library = common.read_encoder(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert not isinstance(enc, common.WordEncoder)
+    assert np.frombuffer(enc.ids("two words"), "<u4").tolist() == library.encode("two words", add_special_tokens=False).ids
+
+
 def test_files_hold_every_document(spark, docs, whole, tmp_path):
     df, rows = docs
     path = str(tmp_path / "tokens")
