@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Documents and token ids of a shard, about: they bound a task's memory.
-SHARD_DOCS, SHARD_IDS = 1024, 4_000_000
+#: Documents and token ids of a shard, about: they bound a task's memory (about 60 bytes an id).
+SHARD_DOCS, SHARD_IDS = 1024, 1_000_000
 #: BM25 parameters, and the share of a shard's documents above which a token id is a stop word: at 1 none is.
 K1, B, STOP = 1.2, 0.75, 1.0
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -137,9 +137,12 @@ class Packer:
 
 
 def _sketch(text: Column) -> Column:
-    """The smallest hash of a text's longer words, which texts with many words in common are likely to share."""
+    """A hash of the smallest hash of a text's longer words, which texts with many words in common are likely to share.
+
+    Long texts have small smallest hashes; hashed again, they lie anywhere in the order.
+    """
     some = F.filter(F.split(F.coalesce(text, F.lit("")), " "), lambda w: F.octet_length(w) >= 12)
-    return F.coalesce(F.array_min(F.transform(some, lambda w: F.xxhash64(w))), F.lit(0).cast("long"))
+    return F.xxhash64(F.coalesce(F.array_min(F.transform(some, lambda w: F.xxhash64(w))), F.lit(0).cast("long")))
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2) -> DataFrame:
@@ -156,6 +159,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2) -
     if window < 1 or window & (window - 1):
         raise ValueError("the window must be a power of two")
 
+    @common.tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer = common.encoder(tokenizer), Packer(window, TaskContext.get().partitionId() << 32)
         shard: list[tuple[int | None, np.ndarray]] = []
