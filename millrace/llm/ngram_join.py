@@ -10,13 +10,19 @@ into fragments, and a document's set falls into one segment per fragment.
    them leaves them out, since one of the common segments must then hold
    n-grams; a document with more of them keeps them as keys. Sizes fall into
    classes, each with its own ``hi``; a set takes part in its own class and, as
-   the smaller partner, in the next.
+   the smaller partner, in the next. Of a set with e empty segments s + 1 - e keys
+   are common with any partner, so in the order of how many documents meet under
+   them its s - e most frequent keys of a class may go: the rarest common key of
+   two sets is among what both keep. That empties the meetings under passages
+   that many documents share. Of keys under which the same documents meet one is
+   enough; it weighs as much as all of them.
 2. Copies. Documents with equal sets are one class and the class one candidate.
-3. Hubs. In each meeting under a key, one document is paired with the others: as
-   many pairs as rows. Short digests of finer segments bound the difference of a
-   pair from below; of pairs that they do not rule out the overlap is counted
-   segment by segment and summed per pair. A second round takes a hub from what
-   the first left.
+3. Hubs. In each meeting under a key, one document is the hub, and each document
+   is paired with the hub that it shares the most keys with: at most as many pairs
+   as documents. Short digests of finer segments bound the difference of a pair
+   from below; of pairs that they do not rule out the overlap is counted segment
+   by segment and summed per pair. A second round takes its hubs from what the
+   smallest component of a meeting left over.
 4. The rest. Documents that meet under a key and are still in different
    components are compared block against block by their digests: first by coarse
    ones, which leave out documents without a possible partner, then by finer
@@ -126,18 +132,25 @@ def _segment_sums(h: np.ndarray, m: int) -> np.ndarray:
 
 def signatures(h: np.ndarray, per_cent: int) -> np.ndarray:
     """The keys under which a set meets every other that may be similar enough. The low bits tell the size class."""
-    out = []
+    return _keys(h, per_cent)[0]
+
+
+def _keys(h: np.ndarray, per_cent: int) -> tuple[np.ndarray, list[int]]:
+    """A set's keys, and for each of its size classes how many of them it can do without."""
+    out, over = [], []
     _, parts, spare = _classes(per_cent)
     for level in _levels(len(h), per_cent):
         m = parts[level]
         sums = _segment_sums(h, m)
         which = np.arange(m, dtype=np.uint64)
         full = sums != 0
-        if m - np.count_nonzero(full) <= spare[level]:
+        empty = m - int(np.count_nonzero(full))
+        over.append(max(0, spare[level] - empty))
+        if empty <= spare[level]:
             sums, which = sums[full], which[full]
         low = np.uint64(LEVEL_BITS)
         out.append(_mix(_mix(sums) + which) >> low << low | np.uint64(level))
-    return np.concatenate(out)
+    return np.concatenate(out), over
 
 
 def digests(h: np.ndarray, level: int, per_cent: int) -> bytes:
@@ -157,23 +170,27 @@ def _possible(differ, n, m, per_cent: int):
 
 
 def _sets(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if it is empty or has no id) and keys."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    """doc_id, n_shingles, digest of the set (null if it is empty or has no id), keys, the first size class and what each class can do without."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("level", pa.int32()), ("over", pa.list_(pa.int32()))])
 
+    @common.tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 1000):
-                part, sizes, names, keys = b.slice(i, 1000), [], [], []
+                part, sizes, names, keys, levels, overs = b.slice(i, 1000), [], [], [], [], []
                 for doc_id, text in zip(part.column(0), part.column(1), strict=True):
                     h = shingle_hashes(text.as_py(), k)
                     sizes.append(len(h))
                     linked = len(h) and doc_id.is_valid
                     names.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if linked else None)
-                    keys.append(signatures(h, per_cent) if linked else np.zeros(0, np.uint64))
+                    own, over = _keys(h, per_cent) if linked else (np.zeros(0, np.uint64), [])
+                    keys.append(own)
+                    overs.append(over)
+                    levels.append(_levels(len(h), per_cent)[0] if linked else None)
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                yield common.batch(schema, part.column(0), sizes, names, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).astype(np.int64))))
+                yield common.batch(schema, part.column(0), sizes, names, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).astype(np.int64))), levels, overs)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n_shingles long, digest binary, keys array<long>, level int, over array<int>")
 
 
 def _with_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -189,30 +206,28 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _segments(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id, fragment and n-gram hashes of the documents ``ids``."""
-    schema = pa.schema([("id", pa.int64()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
+    """id, fragment and n-gram hashes (ascending, 8 bytes each) of the documents ``ids``."""
+    schema = pa.schema([("id", pa.int64()), ("fragment", pa.int32()), ("grams", pa.binary())])
 
+    @common.tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                names, which, grams = [], [], []
+                part, rows = b.slice(i, 500), []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     h = shingle_hashes(text.as_py(), k)
                     ends = _cut(h, SEGMENTS)
-                    names += [doc_id] * SEGMENTS
-                    which += range(SEGMENTS)
-                    grams += [h[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
-                at = np.cumsum([0, *map(len, grams)]).astype(np.int32)
-                yield common.batch(schema, names, which, pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(grams).astype(np.int64))))
+                    rows += [(doc_id, f, h[ends[f] : ends[f + 1]].tobytes()) for f in range(SEGMENTS)]
+                yield common.batch(schema, *zip(*rows, strict=True))
 
-    return _texts(docs, ids).mapInArrow(work, "id long, fragment int, grams array<long>").dropDuplicates(["id", "fragment"])
+    return _texts(docs, ids).mapInArrow(work, "id long, fragment int, grams binary").dropDuplicates(["id", "fragment"])
 
 
 def _digest_rows(docs: DataFrame, ids: DataFrame, k: int, per_cent: int) -> DataFrame:
     """id, level, n, and coarse and fine digests of the documents ``ids``, for each of their size classes."""
     schema = pa.schema([("id", pa.int64()), ("level", pa.int32()), ("n", pa.int64()), ("coarse", pa.binary()), ("fine", pa.binary())])
 
+    @common.tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 500):
@@ -231,26 +246,47 @@ def _not_ruled_out(pairs: DataFrame, marks: DataFrame, per_cent: int) -> DataFra
     """Those of the pairs (a, b, level) that digests leave possible, as (a, b)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @common.tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, n, m = (batch.column(i).to_numpy() for i in range(4))
-            differ = np.array([np.count_nonzero(np.frombuffer(x.as_buffer(), np.uint8) != np.frombuffer(y.as_buffer(), np.uint8)) for x, y in zip(batch.column(4), batch.column(5), strict=True)], dtype=np.int64)
+            differ = np.array([np.count_nonzero(_bytes(x) != _bytes(y)) for x, y in zip(batch.column(4), batch.column(5), strict=True)], dtype=np.int64)
             keep = _possible(differ, n, m, per_cent)
             yield common.batch(schema, a[keep], b[keep])
 
-    left = marks.select(F.col("id").alias("a"), "level", F.col("n").alias("na"), F.col("coarse").alias("fa"))
-    right = marks.select(F.col("id").alias("b"), "level", F.col("n").alias("nb"), F.col("coarse").alias("fb"))
+    left = marks.select(F.col("id").alias("a"), "level", F.col("n").alias("na"), F.col("fine").alias("fa"))
+    right = marks.select(F.col("id").alias("b"), "level", F.col("n").alias("nb"), F.col("fine").alias("fb"))
     both = pairs.join(left, ["a", "level"]).join(right, ["b", "level"]).select("a", "b", "na", "nb", "fa", "fb")
     return both.mapInArrow(work, "a long, b long").distinct()
 
 
+def _bytes(value: pa.Scalar, of: type = np.uint8) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), of)
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two ascending arrays without repeats have in common."""
+    if not len(a) or not len(b):
+        return 0
+    return int(np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b))
+
+
 def _links(pairs: DataFrame, docs: DataFrame, k: int, per_cent: int, tmp: common.Scratch) -> DataFrame:
     """Those of the pairs (a, b) that are similar enough: overlaps counted per fragment, then summed."""
     pairs = tmp.keep(pairs, "pairs")
     segments = tmp.keep(_segments(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k), "segments")
     left = segments.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("left"))
     right = segments.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("right"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("left", "right")).alias("both"), (F.size("left") + F.size("right")).alias("sizes"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64()), ("sizes", pa.int64())])
+
+    @common.tidied
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(_bytes(x, np.uint64), _bytes(y, np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield common.batch(schema, batch.column(0), batch.column(1), [_overlap(x, y) for x, y in found], [len(x) + len(y) for x, y in found])
+
+    met = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "left", "right")
+    partial = met.mapInArrow(count, "a long, b long, both long, sizes long")
     total = partial.groupBy("a", "b").agg(F.sum("both").alias("i"), F.sum("sizes").alias("s"))
     return total.where(100 * F.col("i") >= per_cent * (F.col("s") - F.col("i"))).select("a", "b")
 
@@ -284,8 +320,31 @@ def _level() -> Column:
     return F.pmod("key", F.lit(1 << LEVEL_BITS)).cast("int").alias("level")
 
 
+def _meetings(sets: DataFrame, tmp: common.Scratch) -> DataFrame:
+    """id, key and weight: the keys of several ids, without the most frequent ones that a set can do without.
+
+    Of the keys that the same ids have the smallest stays, and weight is their number.
+    """
+    rows = sets.select("id", F.explode("keys").alias("key"))
+    # an id has a key once, so a key of several rows is one of several ids; one shuffle finds and keeps them
+    n = F.count("*").over(Window.partitionBy("key"))
+    every = tmp.keep(rows.select("id", "key", n.alias("n")).where("n > 1").distinct(), "all")
+    own = sets.select("id", F.col("level").alias("first"), "over").dropDuplicates(["id"])
+    turn = F.row_number().over(Window.partitionBy("id", "level").orderBy(F.desc("n"), "key"))
+    ranked = every.join(own, "id").withColumn("level", _level()).withColumn("turn", turn)
+    rows = tmp.keep(ranked.where(F.col("turn") > F.get("over", F.col("level") - F.col("first"))).select("id", "key"), "all")
+    # who meets under a key: their number, the first and the last, and two sums of 64-bit hashes
+    who = [F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
+    keys = rows.groupBy("key").agg(*who).where("n > 1").groupBy("n", "least", "most", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
+    return rows.join(tmp.keep(keys.select("key", "weight"), "all"), "key").select("id", "key", "weight")
+
+
 def _hub_pairs(met: DataFrame, labels: DataFrame, second: bool, tmp: common.Scratch) -> DataFrame:
-    """Pairs (a, b, level) of one document of each meeting with the others, of different components."""
+    """A pair (a, b, level) for each document that meets a hub of another component: the one it shares most keys with.
+
+    The hub of a meeting is a document of its smallest component, or with
+    ``second`` the smallest of the others.
+    """
     rows = met.join(labels, "id")
     hub = rows.groupBy("key").agg(F.min_by("id", F.struct("component", "id")).alias("hub"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
     if second:  # a hub from what the smallest component has left over
@@ -293,8 +352,9 @@ def _hub_pairs(met: DataFrame, labels: DataFrame, second: bool, tmp: common.Scra
     home = labels.select(F.col("id").alias("hub"), F.col("component").alias("home"))
     # tables of their own on both sides, so that the join's large keys can be split
     hub, rows = tmp.keep(hub.select("key", "hub").join(home, "hub"), "hubs"), tmp.keep(rows, "rows")
-    pairs = rows.join(hub, "key").where("component <> home")
-    return pairs.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"), _level()).distinct()
+    shared = rows.join(hub, "key").where("component <> home").groupBy("id", "hub").agg(F.sum("weight").alias("n"), F.min(_level()).alias("level"))
+    best = shared.groupBy("id").agg(F.max_by(F.struct("hub", "level"), F.struct("n", "hub")).alias("best")).select("id", "best.*")
+    return best.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"), "level").distinct()
 
 
 def _open(met: DataFrame, labels: DataFrame, tmp: common.Scratch) -> DataFrame:
@@ -318,6 +378,7 @@ def _block_pairs(rows: DataFrame, marks: DataFrame, per_cent: int, pairs: bool)
     names = ("a", "b") if pairs else ("key", "id")
     schema = pa.schema([(n, pa.int64()) for n in names])
 
+    @common.tidied
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, out = None, [], []
 
@@ -385,41 +446,75 @@ def components(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
     ``k``-word shingles is at least ``per_cent`` times the union; component_id is
     the smallest doc_id that links reach. Null or blank texts have an empty set,
     linked with nothing, and are their own component. Rows that share a doc_id
-    are one node when linked. A row with a null doc_id has its shingles counted,
+    are one document, linked by any of its texts. A row with a null doc_id has its shingles counted,
     but is no node: it is linked with nothing, and its component is null. Extra columns are left out; an empty table gives
     no rows. The sets are compared exactly, on 64-bit hashes of their n-grams.
     """
     docs = docs.select("doc_id", "text")
-    spark = docs.sparkSession
-    with common.Scratch(spark) as tmp:
-        sets = tmp.keep(_sets(docs, k, per_cent), "sets")
-        classes = tmp.keep(sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
-        firsts = _with_ids(sets.select(F.col("doc_id").alias("id"), "keys"), classes.select("id").distinct(), "id")
-        rows = firsts.select("id", F.explode("keys").alias("key"))
-        # an id has a key once, so a key of several rows is one of several ids; one shuffle finds and keeps them
-        meets = F.count("*").over(Window.partitionBy("key")) > 1
-        met = tmp.keep(rows.select("id", "key", meets.alias("meets")).where("meets").select("id", "key").distinct(), "met")
-        members = tmp.keep(sets.select("doc_id", "n_shingles", "digest"), "members")
-        tmp.drop("sets")
-        labels = tmp.keep(met.select("id").distinct().withColumn("component", F.col("id")), "labels")
-        marks = tmp.keep(_digest_rows(docs, labels.select("id"), k, per_cent), "marks")
-        for second in (False, True):
-            pairs = _not_ruled_out(_hub_pairs(met, labels, second, tmp), marks, per_cent)
-            labels = connect(labels, _links(pairs, docs, k, per_cent, tmp), tmp)
-            tmp.drop("segments")
-            tmp.drop("rows")
-        open_rows = tmp.keep(_open(met, labels, tmp), "open")
-        digest = lambda name: marks.select("id", "level", "n", F.col(name).alias("digest"))
-        left = tmp.keep(_block_pairs(open_rows, digest("coarse"), per_cent, pairs=False), "left")
-        pairs = _block_pairs(open_rows.join(left, ["key", "id"]), digest("fine"), per_cent, pairs=True)
-        labels = connect(labels, _links(pairs, docs, k, per_cent, tmp), tmp)
-        tmp.drop("open")
-        of_class = classes.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-        of_class = tmp.keep(of_class, "components")
-        out = members.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    with common.Scratch(docs.sparkSession) as tmp:
+        several = _renumbered(docs, tmp)
+        if several is None:
+            return common.written(_components(docs, k, per_cent, tmp), "near-duplicates")
+        docs, again = several
+        # the components of the single texts, joined wherever texts share an id
+        made = tmp.keep(_components(docs, k, per_cent, tmp), "texts").withColumnRenamed("doc_id", "id")
+        made = tmp.keep(made.join(again, "id", "left").select("id", "n_shingles", "component_id", F.coalesce("doc_id", "id").alias("doc_id")), "named")
+        real = made.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        hub = real.groupBy("doc_id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("z")).where("a <> z").select("doc_id", "a")
+        links = tmp.keep(real.join(hub, "doc_id").where("a <> component_id").select("a", F.col("component_id").alias("b")).distinct(), "links")
+        whole = connect(made.where("component_id IS NOT NULL").select(F.col("component_id").alias("id"), F.col("component_id").alias("component")).distinct(), links, tmp)
+        made = tmp.keep(made.join(whole.select(F.col("id").alias("component_id"), "component"), "component_id", "left"), "joined")
+        least = tmp.keep(made.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+        out = made.drop("component_id").join(least, "component", "left").select("doc_id", "n_shingles", "component_id")
         return common.written(out, "near-duplicates")
 
 
+def _renumbered(docs: DataFrame, tmp: common.Scratch) -> tuple[DataFrame, DataFrame] | None:
+    """If rows of different texts share ids: the documents with an id of its own for each such row, and what stood for what.
+
+    The new ids are above all others. None if no texts share an id.
+    """
+    hashes = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"))
+    several = hashes.groupBy("doc_id").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).where("least <> most").select("doc_id")
+    several = tmp.keep(several, "several")
+    if several.isEmpty():
+        return None
+    top = hashes.agg(F.max("doc_id")).first()[0] + 1
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # numbered in the written table, so that a repeated task cannot number anew
+    again = tmp.keep(_with_ids(named, several, "doc_id").withColumn("id", F.lit(top) + F.monotonically_increasing_id()), "again")
+    rest = named.join(several, "doc_id", "left_anti")
+    return rest.union(again.select("id", "text")), again.select("id", "doc_id")
+
+
+def _components(docs: DataFrame, k: int, per_cent: int, tmp: common.Scratch) -> DataFrame:
+    """What components() gives, for documents whose texts are the same if their ids are; lasts as long as ``tmp``."""
+    sets = tmp.keep(_sets(docs, k, per_cent), "sets")
+    classes = tmp.keep(sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
+    firsts = _with_ids(sets.withColumnRenamed("doc_id", "id"), classes.select("id").distinct(), "id")
+    met = tmp.keep(_meetings(firsts, tmp), "met")
+    tmp.drop("all")
+    members = tmp.keep(sets.select("doc_id", "n_shingles", "digest"), "members")
+    tmp.drop("sets")
+    labels = tmp.keep(met.select("id").distinct().withColumn("component", F.col("id")), "labels")
+    marks = tmp.keep(_digest_rows(docs, labels.select("id"), k, per_cent), "marks")
+    for second in (False, True):
+        pairs = _not_ruled_out(_hub_pairs(met, labels, second, tmp), marks, per_cent)
+        labels = connect(labels, _links(pairs, docs, k, per_cent, tmp), tmp)
+        tmp.drop("segments")
+        tmp.drop("rows")
+    open_rows = tmp.keep(_open(met, labels, tmp), "open")
+    digest = lambda name: marks.select("id", "level", "n", F.col(name).alias("digest"))
+    left = tmp.keep(_block_pairs(open_rows, digest("coarse"), per_cent, pairs=False), "left")
+    pairs = _block_pairs(open_rows.join(left, ["key", "id"]), digest("fine"), per_cent, pairs=True)
+    labels = connect(labels, _links(pairs, docs, k, per_cent, tmp), tmp)
+    tmp.drop("open")
+    of_class = classes.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
+    of_class = tmp.keep(of_class, "components")
+    out = members.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents: three-word shingles, nine tenths."""
     return components(common.table(spark, sf_dir, "documents", "doc_id", "text"), 3, 90)

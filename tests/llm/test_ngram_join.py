@@ -92,3 +92,27 @@ def test_rows_without_an_id_are_counted_and_not_linked(spark):
     df = spark.createDataFrame([(None, text), (None, text), (None, None), (4, text), (2, text)], "doc_id long, text string")
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.components(df, 3, 90).collect()]
     assert sorted(got, key=str) == sorted([(None, 4, None), (None, 4, None), (None, 0, None), (4, 4, 2), (2, 4, 2)], key=str)
+
+
+def test_texts_that_share_an_id_are_linked_by_any_of_them(spark, words):
+    rng = random.Random(12)
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    one, two, three = make(60), make(60), make(60)
+    near = lambda t: t.rsplit(" ", 1)[0] + " end"
+    rows = [(9, one), (4, near(one)), (9, two), (7, near(two)), (7, two), (8, three), (3, near(three)), (3, None), (5, ""), (5, make(40)), (6, make(40)), (6, make(40)), (None, one)]
+    for turn in range(2):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3 + turn)
+        got = ngram_join.components(df, 3, 90).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None) == brute([r for r in rows if r[0] is not None], 3, 90)
+        assert [(r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is None] == [(58, None)]
+
+
+def test_passages_that_most_documents_share(spark, words):
+    rng = random.Random(13)
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    common_part = make(80)
+    rows = [(i, f"{make(rng.randint(5, 60))} {common_part} {make(rng.randint(0, 9))}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for k, per_cent in ((5, 80), (2, 60)):
+        got = ngram_join.components(df, k, per_cent).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(rows, k, per_cent)
