@@ -77,3 +77,10 @@ def test_short_lines_go_from_query_and_stage(spark, tmp_path):
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.drop_repeated_passages(spark, docs, "").collect()
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in kept} == {d: (t, len(t)) for d, t in want.items()}
+
+
+def test_passages_are_counted_where_they_stay_and_where_they_go(spark):
+    half = [" ".join(f"{c}{i}" for i in range(30)) for c in "ab"]
+    rows = [(1, "\n".join(["own", *half])), (2, f"{half[0].upper()}\n\n{half[1]}\nend"), (3, f"{half[0]}\nbetween\n{half[1]}"), (4, "a line\na line"), (5, None)]
+    got = {r["doc_id"]: (r["n_passages"], r["n_passages_removed"], r["n_repeated"], len(r["removed"])) for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 0, 2, 0), 2: (1, 1, 2, 2), 3: (0, 0, 2, 2), 4: (0, 0, 0, 1), 5: (0, 0, 0, 0)}
