@@ -23,6 +23,7 @@ import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -45,7 +46,9 @@ OTHER_WORDS = set("ad ads adv advert adverts advertisement advertising banner pr
 #: Words that mark the main text.
 MAIN_WORDS = set("article articlebody post entry story content main".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([A-Za-z][^\s/>]*+))")
+#: The rest of a tag. A quote opens a value only behind "=" and if it is closed, else it is an ordinary character.
+_REST = re.compile(r"((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>")
 _ATTR = re.compile(r"(class|id|role|itemprop|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 
 Token = tuple[str, str, str, int]  # kind (o, c or t), key, text, link characters
@@ -61,6 +64,35 @@ def _key(name: str, attributes: str) -> str:
     return " ".join([name, *words])
 
 
+@lru_cache(maxsize=64)
+def _close(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}\s*>", re.I)
+
+
+def _markup(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Start, end, slash, name and attributes of each tag, in order; comments and the like have no name.
+
+    A tag without an end is none. Where quoted values would take in the rest of
+    the page, quotes no longer count from there on, so that a page is read in
+    time in proportion to its length. The reader sends where to go on.
+    """
+    at, quotes = 0, True
+    while m := _OPEN.search(page, at):
+        begin = at = m.end()
+        if m[1] or m[2]:
+            end = page.find("-->" if m[1] else "]]>", begin)
+            at = end + 3 if end >= 0 else len(page)
+            yield m.start(), at, "", "", ""
+            continue
+        rest = _REST.match(page, begin) if m[5] and quotes else None
+        quotes = quotes and (rest is not None or not m[5])
+        end = rest.end() - 1 if rest else page.find(">", begin)
+        if end < 0:
+            return
+        at = end + 1
+        at = max(at, (yield m.start(), at, m[4] or "", (m[5] or "").lower(), page[begin:end] if m[5] else "") or 0)
+
+
 def tokens(page: str | None) -> list[Token]:
     """The token stream of a page. Tags that are cut off are text; comments and raw content are dropped."""
     out: list[Token] = []
@@ -83,29 +115,34 @@ def tokens(page: str | None) -> list[Token]:
             links = 0
 
     page = page or ""
-    while m := _TAG.search(page, at):
-        say(page[at : m.start()])
-        at, name = m.end(), (m[2] or "").lower()
+    found, onward = _markup(page), None
+    while True:
+        try:
+            start, end, slash, name, attributes = found.send(onward)
+        except StopIteration:
+            break
+        say(page[at:start])
+        at, onward = end, None
         if not name:
             continue
         if name == "br":
             text.append(" ")
         elif name in RAW:
             flush()
-            if not m[1] and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            if not slash and not attributes.endswith("/"):
+                close = _close(name).search(page, at)
+                at = onward = close.end() if close else len(page)
         elif name in INLINE:
             if name == "a":
-                depth = max(0, depth + (-1 if m[1] else 1))
+                depth = max(0, depth + (-1 if slash else 1))
         else:
             flush()
-            if m[1]:
+            if slash:
                 depth = 0
                 if name not in OPEN_ENDED:
                     out.append(("c", name, "", 0))
             elif name not in VOID:
-                out.append(("o", _key(name, m[3]), "", 0))
+                out.append(("o", _key(name, attributes), "", 0))
     say(page[at:])
     flush()
     return out

@@ -1,3 +1,5 @@
+import time
+
 from millrace.llm import html_wrappers as W
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
@@ -65,3 +67,21 @@ def test_cut_off_markup():
     assert W.tokens("a <b>x</b> <div class='u'>y</div> <a href='") == [("t", "", "a x", 0), ("o", "div u", "", 0), ("t", "", "y", 0), ("c", "div", "", 0), ("t", "", "<a href='", 0)]
     assert [t[2] for t in W.tokens("<script>if (a < b) {}") if t[0] == "t"] == []
     assert W.host("HTTP://A.Example.org:80/x") == "a.example.org" and W.host(None) == "" and W.host("http://[bad") == ""
+
+
+def test_hostile_pages_end_in_time():
+    began = time.monotonic()
+    for page in ("<p>text</p><a href=http://example.org/" + "abc" * 5000, '<a href=xxxx" >tail</a>' * 3000, '<a x="' * 60_001, "<a x='>" * 40_001 + "end", "<a" * 100_000, "<!--" * 50_000, "<script>" * 30_000, "<![CDATA[" * 30_000, "a=\"'" * 50_000 + ">", "<p " + "=" * 100_000, "<b =\"" * 20_000 + ">x"):
+        W.tokens(page)
+        W.tokens(f"<article>{page}</article>")
+    for i in range(len(PAGE)):  # every prefix
+        W.tokens(PAGE[:i])
+    assert time.monotonic() - began < 20
+
+
+def test_odd_quotes():
+    said = lambda page: [t[2] for t in W.tokens(page) if t[0] == "t"]
+    assert said('<a href=xxxx" >tail</a> more') == ["tail more"]
+    assert said('<p title="a > b">one</p><p class=x\'>two</p>') == ["one", "two"]
+    assert said("<p id='open>one</p>two") == ["one", "two"]
+    assert said('<img alt="x>y">z') == ["z"]
