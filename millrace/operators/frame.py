@@ -10,15 +10,17 @@ from pyspark.sql import types as T
 
 from ..functions.values import quoted
 
-#: Columns of this prefix carry the natural order and are no fields of a document.
+#: Columns of this prefix carry the order of the rows and are no fields of a document; those with a d behind it rank downwards.
 HIDDEN = "__natural_"
+DOWN = f"{HIDDEN}d"
 
 
 @dataclass(frozen=True)
 class Frame:
     df: DataFrame
-    #: Whether the rows are sorted by a stage before this one.
+    #: Whether the rows lie in order, and whether a $sort gave that order, so that a result has to show it.
     sorted: bool = False
+    ranked: bool = False
 
     @property
     def fields(self) -> dict[str, T.DataType]:
@@ -29,9 +31,9 @@ class Frame:
         return [n for n in self.df.columns if n.startswith(HIDDEN)]
 
     def natural(self) -> list[Column]:
-        """What ranks rows that a query does not: the collection's order, or a group's key."""
+        """The order of the rows: that of the last $sort, then the collection's order or a group's key."""
         if self.hidden:
-            return [F.col(n) for n in self.hidden]
+            return [F.col(n).desc() if n.startswith(DOWN) else F.col(n) for n in self.hidden]
         key = self.fields.get("_id")
         return [F.col("_id")] if key is not None and not isinstance(key, T.NullType | T.MapType) else []
 
@@ -42,13 +44,25 @@ class Frame:
         """The given fields and the natural order."""
         return self.of(self.df.select(*columns, *self.hidden))
 
+    def by(self, keys: list[tuple[Column, bool]]) -> Frame:
+        """The rows in the order of ``keys`` (a column, and whether it ranks upwards); ties keep the order from before the last $sort.
+
+        The order is carried by columns. Rows move only where a limit or the result needs them to.
+        """
+        base = [n for n in self.hidden if not n.startswith((DOWN, f"{HIDDEN}u"))]
+        kept = [F.col(n) for n in base] or [c.alias(f"{HIDDEN}0") for c in self.natural() if not self.hidden]
+        made = [c.alias(f"{HIDDEN}u{i}" if up else f"{DOWN}{i}") for i, (c, up) in enumerate(keys)]
+        fields = [F.col(quoted(n)) for n in self.fields]
+        return replace(self, df=self.df.select(*fields, *made, *kept), sorted=False, ranked=True)
+
     def visible(self) -> DataFrame:
-        """The fields alone; those that are null in every document are of string type."""
+        """The fields alone, in order after a $sort; those that are null in every document are of string type."""
+        df = self.df.orderBy(*self.natural()) if self.ranked and not self.sorted and self.hidden else self.df
         columns = []
         for name, kind in self.fields.items():
             c = F.col(quoted(name))
             columns.append(c.cast("string").alias(name) if isinstance(kind, T.NullType) else c)
-        return self.df.select(*columns)
+        return df.select(*columns)
 
 
 def scan(df: DataFrame, order: list[str]) -> Frame:

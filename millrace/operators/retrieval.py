@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import quoted
@@ -150,30 +151,56 @@ def generate(prompts: DataFrame, model: Callable[[str], str]) -> DataFrame:
     return prompts.mapInPandas(run, f"{schema}, generated_query string, error string, latency_s double")
 
 
-def schema_block(cards: DataFrame) -> DataFrame:
+#: The wording of prompts: of the schema block's head, of the examples' head, and of one example. Callers may give their own.
+WORDING = {
+    "schema": "Schema of {database}, {n} collection(s):\n",
+    "examples": "The {n} most similar questions asked before, with their queries:\n\n",
+    "example": "{rank}. Question: {question}\nQuery: {query}\n",
+}
+
+
+def _worded(text: str, **parts: Column) -> Column:
+    """A text with columns in place of its {names}."""
+    pieces = [F.lit(p) if i % 2 == 0 else F.coalesce(parts[p].cast("string"), F.lit("None")) for i, p in enumerate(re.split(r"\{(\w+)\}", text))]
+    return F.concat(*pieces)
+
+
+def schema_block(cards: DataFrame, wording: dict[str, str] = WORDING) -> DataFrame:
     """database and its rendered schema, collections in order of name."""
     line = F.concat(F.lit("- "), "collection", F.lit(": { "), F.array_join(F.transform("fields", lambda f: F.concat(f["name"], F.lit(" ("), f["type"], F.lit(")"))), ", "), F.lit(" }"))
     per = cards.groupBy("database").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("collection", line.alias("line")))).alias("lines"))
-    head = F.concat(F.lit("Schema ("), "database", F.lit(", "), F.col("n").cast("string"), F.lit(" collection(s) -- retrieved database, full schema):\n"))
+    head = _worded(wording["schema"], database=F.col("database"), n=F.col("n"))
     return per.select("database", F.concat_ws("\n", head, F.transform("lines", lambda x: x["line"])).alias("schema_block"))
 
 
-def prompts(cases: DataFrame, near: DataFrame, pool: DataFrame, cards: DataFrame, header: str, rules: str, notes: dict[str, str] | None = None, k: int = 10) -> DataFrame:
+def numeric_note(cards: DataFrame, fields: dict[str, list[str]], text: str) -> dict[str, str]:
+    """For each database of ``fields``, the ``text`` with {fields} in the place of its numeric-string fields, as collection.field.
+
+    Of the fields (collection.field) those are named that the database's cards have, in the given order; a database without any has no note.
+    """
+    known = {(r["database"], f"{r['collection']}.{f['name']}") for r in cards.where(F.col("database").isin(list(fields))).collect() for f in r["fields"]}
+    named = {d: [f for f in wanted if (d, f) in known] for d, wanted in fields.items()}
+    return {d: text.replace("{fields}", ", ".join(found)) for d, found in named.items() if found}
+
+
+def prompts(cases: DataFrame, near: DataFrame, pool: DataFrame, cards: DataFrame, header: str, rules: str, notes: dict[str, str] | None = None, k: int = 10, wording: dict[str, str] = WORDING) -> DataFrame:
     """A prompt row for each case (id, question, database, complexity).
 
     ``near`` is what neighbours() gives with the database as label, ``pool`` has
-    id, question and normalized_query. ``notes`` are texts by database, a few.
+    id, question and normalized_query. ``notes`` are texts by database, a few,
+    as numeric_note() makes them. All sentences are the caller's: ``header``,
+    ``rules``, ``notes`` and ``wording``.
     """
     voted = vote(near, k).withColumnRenamed("predicted", "predicted_database")
     shown = near.where(F.col("rank") <= k).join(pool.select("id", F.col("question").alias("q"), "normalized_query"), "id")
     listed = shown.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "label", "q", "normalized_query"))).alias("ex"))
-    one = F.transform("ex", lambda e: F.concat(F.lit("Example "), e["rank"].cast("string"), F.lit(":\nQuestion: "), F.coalesce(e["q"], F.lit("None")), F.lit("\nQuery: "), F.coalesce(e["normalized_query"], F.lit("None")), F.lit("\n")))
-    examples = F.concat(F.lit("Example question/query pairs (top-"), F.size("ex").cast("string"), F.lit(" most similar past questions):\n\n"), F.array_join(one, "\n"))
+    one = F.transform("ex", lambda e: _worded(wording["example"], rank=e["rank"], question=e["q"], query=e["normalized_query"]))
+    examples = F.concat(_worded(wording["examples"], n=F.size("ex")), F.array_join(one, "\n"))
     note = F.lit("")
     for database, text in (notes or {}).items():
         note = F.when(F.col("predicted_database") == database, F.lit(text)).otherwise(note)
-    rows = cases.withColumnRenamed("id", "query_id").join(voted, "query_id").join(listed, "query_id").join(schema_block(cards).withColumnRenamed("database", "predicted_database"), "predicted_database", "left")
-    empty = F.concat(F.lit("Schema ("), "predicted_database", F.lit(", 0 collection(s) -- retrieved database, full schema):\n"))
+    rows = cases.withColumnRenamed("id", "query_id").join(voted, "query_id").join(listed, "query_id").join(schema_block(cards, wording).withColumnRenamed("database", "predicted_database"), "predicted_database", "left")
+    empty = _worded(wording["schema"], database=F.col("predicted_database"), n=F.lit(0))
     text = F.concat(F.lit(header), examples, F.lit("\n"), F.coalesce("schema_block", empty), note, F.lit("\n" + rules))
     return rows.select(
         F.col("query_id").alias("id"), "question", F.col("database").alias("gold_database"), "predicted_database",

@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 
 from ..functions.expressions import Scope, evaluate
 from ..functions.values import Value, document, quoted, resolve
-from ..plans.ir import Chain, ExistsLookup, FlatLookup, QueryError, SortedGroup, Stage
+from ..plans.ir import Chain, ExistsLookup, FlatLookup, QueryError, Stage
 from .accumulators import accumulate
 from .filters import condition
-from .frame import HIDDEN, Frame
+from .frame import DOWN, HIDDEN, Frame
 
 
 class Context:
@@ -124,7 +124,7 @@ def add_fields(frame: Frame, spec: dict, context: Context | None = None) -> Fram
 
 def sort(frame: Frame, spec: Any, context: Context | None = None) -> Frame:
     """$sort: null lowest; ties keep the collection's order. Unknown paths rank nothing."""
-    return frame.of(frame.df.orderBy(*_sort_columns(frame, spec), *frame.natural()), sorted=True) if spec else frame
+    return frame.by(_sort_keys(frame, spec)) if spec else frame
 
 
 def _directions(spec: Any) -> dict[str, int]:
@@ -137,7 +137,7 @@ def _directions(spec: Any) -> dict[str, int]:
     return out
 
 
-def _sort_columns(frame: Frame, spec: Any) -> list[Column]:
+def _sort_keys(frame: Frame, spec: Any) -> list[tuple[Column, bool]]:
     out = []
     for name, way in _directions(spec).items():
         v = resolve(frame.fields, name)
@@ -146,35 +146,36 @@ def _sort_columns(frame: Frame, spec: Any) -> list[Column]:
         c = v.column
         if isinstance(v.kind, T.ArrayType):  # an array ranks by its least or greatest element
             c = F.array_min(c) if way > 0 else F.array_max(c)
-        out.append(c.asc_nulls_first() if way > 0 else c.desc_nulls_last())
+        out.append((c, way > 0))
     return out
 
 
 def limit(frame: Frame, n: int, context: Context | None = None) -> Frame:
     if not isinstance(n, int) or isinstance(n, bool) or n < 0:
         raise QueryError("a limit must be a whole number")
-    return frame.of(_ordered(frame).limit(n))
+    return frame.of(_ordered(frame).limit(n), sorted=True)
 
 
 def skip(frame: Frame, n: int, context: Context | None = None) -> Frame:
     if not isinstance(n, int) or isinstance(n, bool) or n < 0:
         raise QueryError("a number to skip must be whole")
-    return frame.of(_ordered(frame).offset(n))
+    return frame.of(_ordered(frame).offset(n), sorted=True)
 
 
 def _ordered(frame: Frame) -> Any:
     return frame.df if frame.sorted or not frame.hidden else frame.df.orderBy(*frame.natural())
 
 
-def group(frame: Frame, spec: dict, context: Context | None = None, order: Column | None = None) -> Frame:
-    """$group. Over no documents a group of all gives no row."""
+def group(frame: Frame, spec: dict, context: Context | None = None) -> Frame:
+    """$group. Over no documents a group of all gives no row. $first, $last and $push follow the order of the rows, without a sort where its keys allow it."""
     if not isinstance(spec, dict) or "_id" not in spec:
         raise QueryError("a group specification must include an _id")
-    scope = Scope(frame.fields)
-    key = evaluate(spec["_id"], scope)
+    key = evaluate(spec["_id"], Scope(frame.fields))
     column = F.lit(None).cast("string") if key.bracket in ("missing", "null") else key.column
-    if order is None and frame.hidden and any(isinstance(v, dict) and {"$first", "$last", "$push"} & set(v) for v in spec.values()):
-        order = F.struct(*frame.natural())
+    order = None
+    if frame.hidden and any(isinstance(v, dict) and {"$first", "$last", "$push"} & set(v) for v in spec.values()):
+        frame, order = _rank(frame, column)
+    scope = Scope(frame.fields)
     made = {name: accumulate(a, scope, order) for name, a in spec.items() if name != "_id"}
     grouped = frame.df.groupBy(column.alias("_id"))
     if not made:
@@ -183,27 +184,24 @@ def group(frame: Frame, spec: dict, context: Context | None = None, order: Colum
     return Frame(df)
 
 
-def sorted_group(frame: Frame, node: SortedGroup, context: Context | None = None) -> Frame:
-    """A group of sorted rows: the extreme row by a rank that needs no sort, where the keys allow it."""
-    key = node.spec.get("_id")
-    same = {key[1:]} if isinstance(key, str) and key.startswith("$") else {v[1:] for v in key.values() if isinstance(v, str) and v.startswith("$")} if isinstance(key, dict) else set()
-    wanted = {n: w for n, w in _directions(node.sort).items() if n not in same}
+def _rank(frame: Frame, key: Column) -> tuple[Frame, Column]:
+    """A column whose ascending order within a group's ``key`` is the order of the rows.
+
+    Numbers and times that rank downwards are negated. Other types cannot be; with
+    such a key rows are numbered by a window.
+    """
     parts: list[Column] = []
-    for name, way in wanted.items():
-        v = resolve(frame.fields, name)
-        if v.kind is None:
-            continue
-        if way > 0:
-            parts.append(v.column)
-        elif v.bracket in ("number", "time", "boolean"):
-            number = v.column.cast("double") if not isinstance(v.kind, T.LongType | T.IntegerType | T.ShortType | T.ByteType) else v.column
-            parts += [v.column.isNull(), -(number if v.bracket != "boolean" else v.column.cast("int"))]
-        else:  # descending text: rank by a window over the key
-            scope = Scope(frame.fields)
-            over = Window.partitionBy(evaluate(key, scope).column).orderBy(*_sort_columns(frame, wanted), *frame.natural())
-            ranked = frame.of(frame.df.withColumn(f"{HIDDEN}rank", F.row_number().over(over)))
-            return group(ranked, node.spec, context, F.struct(F.col(f"{HIDDEN}rank")))
-    return group(frame, node.spec, context, F.struct(*(parts + frame.natural() or [F.lit(0)])))
+    for name in frame.hidden:
+        kind, c = frame.df.schema[name].dataType, F.col(name)
+        if not name.startswith(DOWN):
+            parts.append(c)
+        elif isinstance(kind, T.BooleanType | T.NumericType | T.TimestampType | T.TimestampNTZType):
+            number = c if isinstance(kind, T.NumericType) else c.cast("int") if isinstance(kind, T.BooleanType) else F.unix_micros(c.cast("timestamp"))
+            parts += [c.isNull(), -(number.cast("decimal(20,0)") if isinstance(kind, T.LongType) else number)]
+        else:
+            numbered = frame.df.withColumn(f"{HIDDEN}rank", F.row_number().over(Window.partitionBy(key).orderBy(*frame.natural())))
+            return frame.of(numbered), F.col(f"{HIDDEN}rank")
+    return frame, F.struct(*parts)
 
 
 def unwind(frame: Frame, spec: Any, context: Context | None = None) -> Frame:
@@ -344,8 +342,6 @@ def apply(frame: Frame, stage: Any, context: Context, below: set[str] | None = N
             return flat_lookup(frame, stage, context, below)
         case ExistsLookup():
             return exists_lookup(frame, stage, context)
-        case SortedGroup():
-            return sorted_group(frame, stage, context)
         case Stage("$lookup", spec):
             return lookup(frame, spec, context, below)
         case Stage(op, spec) if op in STAGES:

@@ -63,11 +63,3 @@ class ExistsLookup:
 
     spec: dict
     found: bool
-
-
-@dataclass(frozen=True)
-class SortedGroup:
-    """A group that takes first or last values of the order before it."""
-
-    sort: dict
-    spec: dict

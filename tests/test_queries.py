@@ -7,7 +7,7 @@ from millrace import queries
 from millrace.operators.results import frames_match, is_empty, json_safe, results_match, scored_value
 from millrace.operators.scoring import build_gold, run_case, run_cases
 from millrace.plans.compiler import Compiler
-from millrace.plans.ir import ExistsLookup, FlatLookup, QueryError, SortedGroup, Stage
+from millrace.plans.ir import ExistsLookup, FlatLookup, QueryError, Stage
 from millrace.plans.rewrites import rewrite
 from millrace.sources.catalog import Catalog
 
@@ -170,13 +170,44 @@ def test_rewrites():
     assert isinstance(rewrite([look, Stage("$unwind", "$v")])[0], FlatLookup)
     assert isinstance(rewrite([look, Stage("$match", {"v": {"$size": 0}}), Stage("$project", {"a": 1})])[0], ExistsLookup)
     assert rewrite([look, Stage("$match", {"v": {"$size": 0}})])[0] is look  # the array is still shown
-    assert isinstance(rewrite([Stage("$sort", {"a": 1}), Stage("$group", {"_id": "$b", "x": {"$first": "$c"}})])[0], SortedGroup)
+
+
+SORTED = [
+    ("[{'$sort': {'v': -1}}, {'$group': {'_id': None, 'x': {'$push': '$v'}}}]", [30, 20, 10]),
+    ("[{'$sort': {'v': -1}}, {'$match': {'v': {'$gt': 10}}}, {'$group': {'_id': None, 'x': {'$first': '$v'}}}]", 30),
+    ("[{'$sort': {'n': -1}}, {'$project': {'v': 1, '_id': 0}}, {'$group': {'_id': None, 'x': {'$push': '$v'}}}]", [20, 30, 10]),
+    ("[{'$sort': {'n': 1}}, {'$addFields': {'w': '$v'}}, {'$limit': 2}, {'$group': {'_id': None, 'x': {'$last': '$w'}}}]", 30),
+    ("[{'$sort': {'v': 1}}, {'$skip': 1}, {'$group': {'_id': None, 'x': {'$push': '$v'}}}]", [20, 30]),
+    ("[{'$sort': {'g': 1, 'v': -1}}, {'$group': {'_id': None, 'x': {'$push': '$v'}}}]", [30, 10, 20]),
+    ("[{'$sort': {'v': -1}}, {'$sort': {'g': 1}}, {'$group': {'_id': None, 'x': {'$push': '$v'}}}]", [10, 30, 20]),
+    ("[{'$group': {'_id': '$v', 'g': {'$max': '$g'}}}, {'$sort': {'g': -1}}, {'$group': {'_id': None, 'x': {'$push': '$_id'}}}]", [20, 10, 30]),
+]
+
+
+@pytest.mark.parametrize("fuse", [True, False])
+@pytest.mark.parametrize(("stages", "want"), SORTED)
+def test_groups_follow_the_sort_before_them(spark, fuse, stages, want):
+    made = Catalog(spark)
+    made.register("d", "t", spark.createDataFrame([(10, "a", "x"), (30, "b", "x"), (20, "c", "y")], "v long, n string, g string"))
+    (row,) = Compiler(made, "d", fuse).compile(f"db.t.aggregate({stages})").materialize()
+    assert row["x"] == want
+
+
+def test_a_sort_holds_for_what_follows(spark):
+    made = Catalog(spark)
+    made.register("d", "t", spark.createDataFrame([(10, "a", "x"), (30, "b", "x"), (20, "c", "y")], "v long, n string, g string"))
+    run = lambda text: Compiler(made, "d").compile(text).materialize()
+    look = "{'$lookup': {'from': 't', 'localField': 'g', 'foreignField': 'g', 'as': 'm'}}"
+    assert [r["v"] for r in run(f"db.t.aggregate([{{'$sort': {{'v': -1}}}}, {look}])")] == [30, 20, 10]
+    assert [r["v"] for r in run(f"db.t.aggregate([{{'$sort': {{'n': -1}}}}, {look}, {{'$limit': 2}}])")] == [20, 30]
 
 
 def test_plans(catalog):
     plan = lambda text: Compiler(catalog, "shop").compile(text).dataframe()._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan(f"db.people.aggregate([{LOOKUP}, {{'$unwind': '$v'}}, {{'$project': {{'id': 1}}}}])")
     assert "LeftAnti" in plan(f"db.people.aggregate([{LOOKUP}, {{'$match': {{'v': {{'$size': 0}}}}}}, {{'$project': {{'id': 1}}}}])")
+    first = plan("db.people.aggregate([{'$sort': {'id': -1}}, {'$group': {'_id': '$name', 'x': {'$first': '$id'}}}])")
+    assert "Sort" not in first and "min_by" in first
     assert "LeftSemi" in plan("db.people.find({'id': {'$in': db.visits.distinct('pid')}})")
 
 

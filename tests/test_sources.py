@@ -84,9 +84,13 @@ def test_vote_and_prompts(spark):
     catalog.register("B", "t", spark.createDataFrame([(1, "x")], "a long, b string"))
     cases = spark.createDataFrame([("q", "how many?", "B", "easy")], "id string, question string, database string, complexity string")
     pool = spark.createDataFrame([(str(i), f"q{i}", f"db.x.find({i})") for i in range(5)], "id string, question string, normalized_query string")
-    row = retrieval.prompts(cases, near, pool, catalog.cards(), "H\n", "R", {"B": "\nN\n"}, k=3).first()
+    note = retrieval.numeric_note(catalog.cards(), {"B": ["t.b", "t.gone"], "C": ["u.x"]}, "\nStrings: {fields}\n")
+    assert note == {"B": "\nStrings: t.b\n"}
+    row = retrieval.prompts(cases, near, pool, catalog.cards(), "H\n", "R", note, k=3).first()
     assert row["database_match"] and row["retrieved_ids"] == ["0", "1", "2"]
-    assert row["system_prompt"] == "H\nExample question/query pairs (top-3 most similar past questions):\n\nExample 1:\nQuestion: q0\nQuery: db.x.find(0)\n\nExample 2:\nQuestion: q1\nQuery: db.x.find(1)\n\nExample 3:\nQuestion: q2\nQuery: db.x.find(2)\n\nSchema (B, 1 collection(s) -- retrieved database, full schema):\n\n- t: { a (int), b (str) }\nN\n\nR"
+    assert row["system_prompt"] == "H\nThe 3 most similar questions asked before, with their queries:\n\n1. Question: q0\nQuery: db.x.find(0)\n\n2. Question: q1\nQuery: db.x.find(1)\n\n3. Question: q2\nQuery: db.x.find(2)\n\nSchema of B, 1 collection(s):\n\n- t: { a (int), b (str) }\nStrings: t.b\n\nR"
+    own = {"schema": "[{database}:{n}]", "examples": "<{n}>", "example": "{query} for {question}"}
+    assert retrieval.prompts(cases, near, pool, catalog.cards(), "", "", k=1, wording=own).first()["system_prompt"] == "<1>db.x.find(0) for q0\n[A:0]\n"
 
 
 def test_neighbours(spark):
