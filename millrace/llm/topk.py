@@ -138,9 +138,15 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
 
 
 def whole_vectors(rows: DataFrame, id_column: str, vector: str, scale: int) -> DataFrame:
-    """Sparse rows of ``floor(scale * x)`` for each component; vectors with nulls or non-finite components go."""
+    """Sparse rows of ``floor(scale * x)`` for each component; vectors with nulls or non-finite components go.
+
+    So do vectors whose scaled components come to 2 ** 31 or more together, taken
+    without sign: their products with others like them need not fit into 64 bits.
+    """
     x = F.col(vector).cast("array<double>")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    large = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.abs(v * scale) + 1) >= float(2**31)
+    bad = bad | large
     cells = F.transform(x, lambda v, i: F.struct(i.cast("int").alias("t"), F.floor(v * scale).alias("w")))
     kept = F.filter(cells, lambda c: c["w"] != 0)
     return rows.where(F.col(id_column).isNotNull() & F.col(vector).isNotNull() & ~bad).select(F.col(id_column).cast("long").alias("id"), kept.alias("c")).select("id", F.col("c.t").alias("terms"), F.col("c.w").alias("weights"))

@@ -34,3 +34,12 @@ def test_large_weights_and_few_rows(spark):
     assert sorted(tuple(r) for r in topk.top_k(rows, rows, 5).collect())[:2] == [(0, 1, 1, 6_000_000_000_000_000_000), (0, 2, 2, -5)]
     assert topk.top_k(rows, rows, 5).count() == 6
     assert topk.top_k(rows, rows.limit(0), 5).count() == 0 and topk.top_k(rows.limit(0), rows, 5).count() == 0
+
+
+def test_vectors_whose_scores_need_not_fit_take_no_part(spark):
+    rows = [(0, [0.5, 1.0]), (20, [3e38, 1.0]), (1, [-3e38, -3e38]), (2, [float("inf"), 0.0]), (3, [2.0, 1e7]), (40, []), (4, [1.0, None])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    made = topk.whole_vectors(df, "vec_id", "embedding", 64)
+    assert sorted(r["id"] for r in made.collect()) == [0, 3, 40]
+    got = topk.top_k(made.where("id % 20 = 0"), made, 20).collect()
+    assert sorted((r["query_id"], r["id"], r["score"]) for r in got) == [(0, 3, 128 * 32 + 64 * 640_000_000), (0, 40, 0), (40, 0, 0), (40, 3, 0)]
