@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.compiler import Compiler
+from ..plans.frontend import check, normalize, strip_fences
 from ..sources.catalog import Catalog
 from .results import is_empty, json_safe, results_match, scored_value
 
@@ -48,6 +51,21 @@ def build_gold(catalog: Catalog, cases: Iterable[dict]) -> tuple[list[dict], lis
     return records, empty, failed, len(records) - len(empty) - len(failed)
 
 
+def normalized(cases: DataFrame, column: str = "generated_query") -> DataFrame:
+    """``cases``, all columns, with normalized_query, notes on what was rewritten, and the reason of a refusal ("" if none).
+
+    A null text counts as an empty one; columns of the new names are replaced.
+    """
+    kind = T.StructType([T.StructField("normalized_query", T.StringType()), T.StructField("notes", T.ArrayType(T.StringType())), T.StructField("reason", T.StringType())])
+
+    def rewrite(texts: pd.Series) -> pd.DataFrame:
+        made = [normalize(strip_fences(t or "")) for t in texts]
+        return pd.DataFrame({"normalized_query": [t for t, _ in made], "notes": [n for _, n in made], "reason": [check(t) for t, _ in made]})
+
+    made = cases.drop(*kind.names).withColumn("__made", F.pandas_udf(rewrite, kind)(F.col(column)))
+    return made.select("*", "__made.*").drop("__made")
+
+
 def per_cent(test: Column) -> Column:
     """The share of rows for which a test is true, in per cent to two places; null and false count as not."""
     return F.round(100 * F.count_if(test.eqNullSafe(True)) / F.greatest(F.count(F.lit(1)), F.lit(1)), 2)

@@ -101,8 +101,8 @@ TEXTS: dict[str, tuple[str, str]] = {
         "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     ),
     "nin_subquery_anti": (
-        "db.customer.find({'c_custkey': {'$nin': db.orders.distinct('o_custkey')}}, {'c_custkey': 1})",
-        "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+        "db.customer.find({'c_custkey': {'$nin': db.orders.distinct('o_custkey', {'o_orderstatus': 'P'})}}, {'c_custkey': 1})",
+        "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
     ),
     "group_count": ("db.orders.aggregate([{'$match': {'o_orderstatus': 'F'}}, {'$group': {'_id': '$o_orderpriority', 'n': {'$sum': 1}}}, {'$sort': {'n': -1}}])", "SELECT o_orderpriority AS _id, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1"),
     "group_multi_agg": (
@@ -147,20 +147,20 @@ TEXTS: dict[str, tuple[str, str]] = {
         "SELECT o_orderkey, l_linenumber AS line, l_quantity AS qty FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_totalprice > 300000",
     ),
     "lookup_unwind_outer": (
-        "db.customer.aggregate([{'$lookup': {'from': 'orders', 'localField': 'c_custkey', 'foreignField': 'o_custkey', 'as': 'o'}}, {'$unwind': {'path': '$o', 'preserveNullAndEmptyArrays': True}}, {'$project': {'_id': 0, 'c_custkey': 1, 'k': '$o.o_orderkey'}}])",
-        "SELECT c_custkey, o_orderkey AS k FROM customer LEFT JOIN orders ON o_custkey = c_custkey",
+        "db.customer.aggregate([{'$lookup': {'from': 'labels', 'localField': 'c_custkey', 'foreignField': 'doc_id', 'as': 'o'}}, {'$unwind': {'path': '$o', 'preserveNullAndEmptyArrays': True}}, {'$project': {'_id': 0, 'c_custkey': 1, 'k': '$o.quality'}}])",
+        "SELECT c_custkey, quality AS k FROM customer LEFT JOIN labels ON doc_id = c_custkey",
     ),
     "lookup_three_way": (
         "db.customer.aggregate([{'$lookup': {'from': 'nation', 'localField': 'c_nationkey', 'foreignField': 'n_nationkey', 'as': 'n'}}, {'$unwind': '$n'}, {'$lookup': {'from': 'region', 'localField': 'n.n_regionkey', 'foreignField': 'r_regionkey', 'as': 'r'}}, {'$unwind': '$r'}, {'$group': {'_id': '$r.r_name', 'n': {'$sum': 1}}}])",
         "SELECT r_name AS _id, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1",
     ),
     "lookup_anti": (
-        "db.customer.aggregate([{'$lookup': {'from': 'orders', 'localField': 'c_custkey', 'foreignField': 'o_custkey', 'as': 'os'}}, {'$match': {'os': {'$size': 0}}}, {'$project': {'_id': 0, 'c_custkey': 1}}])",
-        "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+        "db.customer.aggregate([{'$lookup': {'from': 'labels', 'localField': 'c_custkey', 'foreignField': 'doc_id', 'as': 'os'}}, {'$match': {'os': {'$size': 0}}}, {'$project': {'_id': 0, 'c_custkey': 1}}])",
+        "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM labels WHERE doc_id = c_custkey)",
     ),
     "lookup_semi": (
-        "db.customer.aggregate([{'$lookup': {'from': 'orders', 'localField': 'c_custkey', 'foreignField': 'o_custkey', 'as': 'os'}}, {'$match': {'os': {'$ne': []}}}, {'$project': {'_id': 0, 'c_custkey': 1}}])",
-        "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+        "db.customer.aggregate([{'$lookup': {'from': 'labels', 'localField': 'c_custkey', 'foreignField': 'doc_id', 'as': 'os'}}, {'$match': {'os': {'$ne': []}}}, {'$project': {'_id': 0, 'c_custkey': 1}}])",
+        "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM labels WHERE doc_id = c_custkey)",
     ),
     "group_then_lookup": (
         "db.supplier.aggregate([{'$group': {'_id': '$s_nationkey', 'n': {'$sum': 1}}}, {'$lookup': {'from': 'nation', 'localField': '_id', 'foreignField': 'n_nationkey', 'as': 'na'}}, {'$project': {'_id': 0, 'name': '$na.n_name', 'n': 1}}])",
@@ -208,7 +208,25 @@ TEXTS: dict[str, tuple[str, str]] = {
     ),
     "replace_root": (
         "db.customer.aggregate([{'$lookup': {'from': 'orders', 'localField': 'c_custkey', 'foreignField': 'o_custkey', 'as': 'o'}}, {'$unwind': '$o'}, {'$replaceRoot': {'newRoot': '$o'}}, {'$project': {'_id': 0, 'o_orderkey': 1, 'o_custkey': 1}}])",
-        "SELECT o_orderkey, o_custkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey <= 50",
+        "SELECT o_orderkey, o_custkey FROM orders JOIN customer ON c_custkey = o_custkey",
+    ),
+    "group_push_against_stored_order": (
+        "db.nation.aggregate([{'$sort': {'n_name': -1}}, {'$group': {'_id': '$n_regionkey', 'names': {'$push': '$n_name'}}}])",
+        "SELECT n_regionkey AS _id, list(n_name ORDER BY n_name DESC) AS names FROM nation GROUP BY 1",
+    ),
+    "sort_match_group_first": (
+        "db.orders.aggregate([{'$sort': {'o_totalprice': -1}}, {'$match': {'o_orderstatus': 'F'}}, {'$group': {'_id': '$o_custkey', 'order': {'$first': '$o_orderkey'}, 'low': {'$last': '$o_totalprice'}}}])",
+        "SELECT o_custkey AS _id, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS order, min(o_totalprice) AS low FROM orders WHERE o_orderstatus = 'F' GROUP BY 1",
+    ),
+    "literal_dollar_match": ("db.customer.aggregate([{'$match': {'c_mktsegment': {'$ne': '$c_name'}}}, {'$count': 'n'}])", "SELECT count(*) AS n FROM customer WHERE c_mktsegment IS DISTINCT FROM '$c_name'"),
+    "sort_unknown_path": ("db.nation.aggregate([{'$sort': {'gone': 1}}, {'$limit': 4}, {'$project': {'_id': 0, 'n_name': 1}}])", "SELECT n_name FROM nation ORDER BY n_nationkey LIMIT 4"),
+    "cast_before_join": (
+        "db.customer.aggregate([{'$project': {'_id': 0, 'c_custkey': 1, 'k': {'$toInt': {'$toString': '$c_custkey'}}}}, {'$lookup': {'from': 'labels', 'localField': 'k', 'foreignField': 'doc_id', 'as': 'l'}}, {'$unwind': '$l'}, {'$project': {'_id': 0, 'c_custkey': 1, 'toxic': '$l.toxic'}}])",
+        "SELECT c_custkey, toxic FROM customer JOIN labels ON doc_id = c_custkey",
+    ),
+    "text_key_never_meets_number": (
+        "db.customer.aggregate([{'$project': {'_id': 0, 'c_nationkey': 1, 'k': {'$toString': '$c_custkey'}}}, {'$lookup': {'from': 'labels', 'localField': 'k', 'foreignField': 'doc_id', 'as': 'l'}}, {'$group': {'_id': '$c_nationkey', 'n': {'$sum': 1}, 'found': {'$max': {'$size': '$l'}}}}])",
+        "SELECT c_nationkey AS _id, count(*) AS n, 0 AS found FROM customer GROUP BY 1",
     ),
     "exclusion_projection": ("db.region.find({}, {'_id': 0, 'r_name': 0})", "SELECT r_regionkey FROM region"),
 }
@@ -290,6 +308,53 @@ def metric_group_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.group_means(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_brand", ["p_size", "p_retailprice"])
 
 
+def normalize_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recorded text for each order, in the shell's dialect, fenced: its canonical form, and why it is refused."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderstatus")
+    quoted = F.concat(F.lit("```python\nlist(db.orders.find({'o_custkey': "), F.col("o_custkey").cast("string"), F.lit(", 'x': null, 'y': \"null\"}))\n```"))
+    other = F.when(F.col("o_orderstatus") == "F", F.lit("db.orders.countDocuments()")).when(F.col("o_orderstatus") == "P", F.lit("db.orders.find({}).count()")).otherwise(quoted)
+    made = scoring.normalized(rows.withColumn("generated_query", other))
+    return made.select("id", "normalized_query", F.size("notes").cast("long").alias("n_notes"), "reason")
+
+
+def case_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases run and compared with gold results: right, wrong, empty, refused, failing and without a database."""
+    made = catalog(spark, sf_dir)
+    texts = {
+        "count": "db.customer.count_documents({})",
+        "rows": "list(db.nation.find({'n_regionkey': 1}, {'_id': 0, 'n_name': 1}))",
+        "wrong": "db.orders.count_documents({'o_orderstatus': 'P'})",
+        "empty": "db.orders.find({'o_orderstatus': 'none'})",
+        "refused": "db.orders.find({}).count()",
+        "failing": "db.orders.aggregate([{'$group': {'n': {'$sum': 1}}}])",
+        "skipped": "db.orders.find({})",
+    }
+    cases = [{"id": i, "database": None if i == "skipped" else DATABASE, "normalized_query": q} for i, q in texts.items()]
+    right = {"wrong": "db.orders.count_documents({'o_orderstatus': 'F'})", "rows": "db.nation.find({'n_regionkey': 1}, {'_id': 0, 'n_name': 1}, sort=[('n_name', -1)])"}
+    gold, _, _, _ = scoring.build_gold(made, [c | {"normalized_query": right.get(c["id"], c["normalized_query"])} for c in cases])
+    records = scoring.run_cases(made, cases, gold)
+    rows = [(r["id"], r["status"], r.get("non_empty_rate"), r.get("execution_accuracy"), r["result"] if isinstance(r.get("result"), int) else len(r["result"]) if "result" in r else None) for r in records]
+    return spark.createDataFrame(rows, "id string, status string, non_empty_rate boolean, execution_accuracy boolean, size long")
+
+
+def slice_and_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose id is a labelled one, paired with the order of the same number, and ids without a customer."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("text"))
+    wanted = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"))
+    kept, lacking = scoring.slice_of(rows, wanted)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("text"))
+    return scoring.paired(kept, orders).unionByName(lacking.select("id", F.lit(None).cast("string").alias("reference"), F.lit("no such row").alias("prediction")))
+
+
+def merged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three score tables by brand, merged where all have the brand, with the three-component mean."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").withColumnRenamed("p_brand", "Model")
+    execution = parts.groupBy("Model").agg(F.count(F.lit(1)).alias("n"))
+    code = parts.where("p_size > 5").groupBy("Model").agg(F.round(F.max("p_size") / 100, 4).alias("ngram_match_score"), F.round(F.min("p_size") / 100, 4).alias("weighted_ngram_match_score"), F.round(F.avg("p_size") / 100, 4).alias("syntax_match_score"))
+    bert = parts.where("p_retailprice > 950").groupBy("Model").agg(F.count(F.lit(1)).alias("dear"))
+    return scoring.merged(execution, scoring.three_component_mean(code), bert)
+
+
 _RANKED = """
 WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 r AS (
@@ -326,6 +391,11 @@ SELECT lang, CAST(floor(n * 0.2) AS BIGINT) + CASE WHEN turn <= rest THEN 1 ELSE
             _CARD.format("region", "r_regionkey (int), r_name (str)"),
             _CARD.format("nation", "n_nationkey (int), n_name (str), n_regionkey (int)"),
             _CARD.format("orders", "o_orderkey (int), o_custkey (int), o_orderstatus (str), o_totalprice (float), o_orderdate (datetime), o_orderpriority (str)"),
+            _CARD.format("customer", "c_custkey (int), c_name (str), c_nationkey (int), c_acctbal (float), c_mktsegment (str)"),
+            _CARD.format("supplier", "s_suppkey (int), s_name (str), s_nationkey (int), s_acctbal (float)"),
+            _CARD.format("lineitem", "l_orderkey (int), l_partkey (int), l_suppkey (int), l_linenumber (int), l_quantity (float), l_extendedprice (float), l_discount (float), l_tax (float), l_returnflag (str), l_linestatus (str), l_shipdate (datetime)"),
+            _CARD.format("events", "event_id (int), ts (datetime), user_id (int), event_type (str), value (float), props (str)"),
+            _CARD.format("labels", "doc_id (int), quality (int), toxic (int)"),
             _CARD.format("part", "p_partkey (int), p_name (str), p_brand (str), p_type (str), p_size (int), p_retailprice (float)"),
         ]),
     ),
@@ -340,6 +410,32 @@ round(100.0 * count(*) FILTER (WHERE doc_id % 7 <> 0) / count(*), 2) AS "RanOK"
         arm_summary,
         """SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS "Arm", count(*) FILTER (WHERE quality = 1) AS "Correct", count(*) AS "Total",
 round(100.0 * count(*) FILTER (WHERE quality = 1) / count(*), 2) AS "Accuracy", round(sqrt(0.25 / count(*)) * 100, 4) AS "StandardError" FROM labels GROUP BY 1""",
+    ),
+    "normalize_cases": (
+        normalize_cases,
+        """SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'db.orders.count_documents({})' WHEN 'P' THEN 'db.orders.find({}).count()'
+ELSE 'db.orders.find({''o_custkey'': ' || o_custkey || ', ''x'': None, ''y'': ''null''})' END AS normalized_query,
+CAST(CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'P' THEN 0 ELSE 1 END AS BIGINT) AS n_notes, CASE WHEN o_orderstatus = 'P' THEN 'method not allowed: count' ELSE '' END AS reason FROM orders""",
+    ),
+    "case_records": (
+        case_records,
+        """SELECT 'count' AS id, 'PASS' AS status, TRUE AS non_empty_rate, TRUE AS execution_accuracy, (SELECT count(*) FROM customer) AS size
+UNION ALL SELECT 'rows', 'PASS', TRUE, TRUE, (SELECT count(*) FROM nation WHERE n_regionkey = 1)
+UNION ALL SELECT 'wrong', 'PASS', TRUE, FALSE, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P')
+UNION ALL SELECT 'empty', 'PASS', FALSE, TRUE, 0 UNION ALL SELECT 'refused', 'FAIL', FALSE, FALSE, NULL
+UNION ALL SELECT 'failing', 'FAIL', FALSE, FALSE, NULL UNION ALL SELECT 'skipped', 'SKIPPED', NULL, NULL, NULL""",
+    ),
+    "slice_and_pairs": (
+        slice_and_pairs,
+        """SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS reference, o_orderpriority AS prediction FROM customer JOIN orders ON o_orderkey = c_custkey WHERE c_custkey IN (SELECT doc_id FROM labels)
+UNION ALL SELECT DISTINCT CAST(doc_id AS VARCHAR), NULL, 'no such row' FROM labels WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT c_custkey FROM customer)""",
+    ),
+    "merged_scores": (
+        merged_scores,
+        """WITH e AS (SELECT p_brand AS "Model", count(*) AS n FROM part GROUP BY 1), b AS (SELECT p_brand AS "Model", count(*) AS dear FROM part WHERE p_retailprice > 950 GROUP BY 1),
+c AS (SELECT p_brand AS "Model", round(max(p_size) / 100, 4) AS ngram_match_score, round(min(p_size) / 100, 4) AS weighted_ngram_match_score, round(avg(p_size) / 100, 4) AS syntax_match_score FROM part WHERE p_size > 5 GROUP BY 1)
+SELECT "Model", n, ngram_match_score, weighted_ngram_match_score, syntax_match_score, round((ngram_match_score + weighted_ngram_match_score + syntax_match_score) / 3, 4) AS codebleu_3component, dear
+FROM e JOIN c USING ("Model") JOIN b USING ("Model")""",
     ),
     "metric_group_mean": (metric_group_mean, "SELECT p_brand, round(avg(p_size), 4) AS p_size, round(avg(p_retailprice), 4) AS p_retailprice FROM part GROUP BY 1"),
 }
