@@ -1,33 +1,35 @@
 """HTML extraction (operator 6) by wrappers: union-free regular expressions inferred per host.
 
-A page becomes a stream of tokens: opening and closing tags of block elements
-and text. Repetitions inside a page are folded into repeated groups. The folded
-streams of a host are then aligned one after another with the host's wrapper:
-equal tokens stay, texts become slots, a group that one side repeats becomes a
-repeated group, and what only one side has becomes optional. Each task infers
-wrappers of the pages it reads, and the wrappers of the tasks are aligned in
-turn, so a large host is never gathered in one place.
-
-Each text slot knows its path of elements and how much text and link text pages
-have in it. From these the wrapper picks the region of the main text: what is
-marked as the article, else as the main part, else the smallest element that
-has most of the text outside of links, with all other paths whose text is not
-mostly links. The region's texts of a page are read off, without elements that
-serve other purposes. A page that has no text there is read by its own region.
+A page becomes a balanced stream of tokens: tags of block elements and texts.
+Runs of a group of tokens are folded into repeated groups. The folded streams of
+a host are aligned one after another with the host's wrapper: equal tokens stay,
+texts that differ become slots, a group that one side repeats becomes a repeated
+group, and what only one side has becomes optional. Elements are aligned with
+their content, so that a group always has the ends of what begins in it.
+
+A page is read by its host's expression, which gives each text its place there.
+The places of the main text are those in the region that the wrapper picks: what
+is marked as the article, else as the main part, else the smallest element that
+has most of the varying text outside of links, with all other paths whose text
+is not mostly links. Left out are elements that serve other purposes, and text
+that is the same on most pages of the host, unless it is a heading: that is the
+template's. Where nothing varies, nothing is left out. A page that the expression
+does not hold, or that has no text in the region, is read by its own expression.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
+import itertools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,86 +150,221 @@ def tokens(page: str | None) -> list[Token]:
     return out
 
 
-def paths(stream: list[Token]) -> list[str]:
-    """The path of open elements of each token; an end tag closes what is open inside its element."""
+def symbols(page: str | None) -> tuple[list[str], list[Token]]:
+    """The page as a balanced stream of "e:key" (an element), "c" (its end), "o:key" (a tag alone) and "t", and its texts.
+
+    An end tag closes what is open inside its element; without an open element it
+    is none. What is nested more than ``DEPTH`` deep belongs to the element there.
+    """
+    out: list[str] = []
+    texts: list[Token] = []
     stack: list[str] = []
-    out, path = [], ""
-    for kind, key, _, _ in stream:
-        if kind == "c":
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].split(" ", 1)[0] == key:
-                    del stack[i:]
+    opened: dict[str, int] = {}
+    for token in tokens(page):
+        kind, key = token[0], token[1]
+        if kind == "t":
+            out.append("t")
+            texts.append(token)
+        elif kind == "c":
+            while opened.get(key, 0):
+                name = stack.pop()
+                opened[name] -= 1
+                if len(stack) < DEPTH:
+                    out.append("c")
+                if name == key:
                     break
-            path = "/".join(stack)
-        elif kind == "o" and key.split(" ", 1)[0] not in OPEN_ENDED:
-            stack.append(key)
-            path = "/".join(stack)
-        out.append(path)
-    return out
+        elif (name := key.split(" ", 1)[0]) in OPEN_ENDED:
+            out.append(f"o:{key}")
+        else:
+            if len(stack) < DEPTH:
+                out.append(f"e:{key}")
+            stack.append(name)
+            opened[name] = opened.get(name, 0) + 1
+    out += ["c"] * min(len(stack), DEPTH)
+    return out, texts
+
+
+# ---- expressions: lists of items
+#   ["o", key], ["e", key, items], ["+", items], ["?", [item]] and texts ["t", value, weight, pages, chars, links]
+# The value of a text names what a page has there, all repetitions in a row; it is null where pages differ.
+
+#: Values are polynomials modulo a prime, so that those of rows of texts follow from those of their parts.
+PRIME, BASE = (1 << 61) - 1, 1_000_003
+#: Levels of elements that an expression has.
+DEPTH = 100
+
+Join = Callable[[list, list], list]
+
+
+def _value(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") % PRIME
+
+
+def in_a_row(a: list, b: list) -> list:
+    """What a page has at two places that become one."""
+    return ["t", (a[1] * b[2] + b[1]) % PRIME, a[2] * b[2] % PRIME, 1, a[4] + b[4], a[5] + b[5]]
+
+
+def on_pages(a: list, b: list) -> list:
+    """What two sets of pages have at the same place."""
+    same = a[1] is not None and a[1:3] == b[1:3]
+    return ["t", a[1] if same else None, a[2] if same else 0, a[3] + b[3], a[4] + b[4], a[5] + b[5]]
+
+
+def mixed(a: list, b: list) -> list:
+    """Two places of several pages that become one: their values say nothing any more."""
+    return ["t", None, 0, max(a[3], b[3]), a[4] + b[4], a[5] + b[5]]
 
 
-# ---- expressions: nested lists of "o:key", "c:name", "t", ["+", ...] and ["?", ...]
+def head(x: list) -> str:
+    """What an item has to share with another to be aligned with it; an optional item meets its content."""
+    if x[0] == "t":
+        return "t"
+    if x[0] == "?":
+        return head(x[1][0])
+    return f"({' '.join(map(_strict, x[1]))})" if x[0] == "+" else f"{x[0]}:{x[1]}"
 
 
-def fold(symbols: list) -> list:
-    """The symbols with every run of a group of up to eight symbols as one repeated group."""
+def _strict(x: list) -> str:
+    return f"?{head(x)}" if x[0] == "?" else head(x)
+
+
+def both(x: list, y: list, join: Join) -> list:
+    """The item that holds two of the same head."""
+    if x[0] == "?" or y[0] == "?":
+        return ["?", [both(x[1][0] if x[0] == "?" else x, y[1][0] if y[0] == "?" else y, join)]]
+    if x[0] == "t":
+        return join(x, y)
+    if x[0] == "o":
+        return x
+    return [*x[:-1], align(x[-1], y[-1], join)]
+
+
+def fold(items: list, join: Join) -> list:
+    """The items with every run of a group, however long, as one repeated group."""
     out: list = []
-    for s in symbols:
-        out.append(s)
-        again = True
-        while again:
-            again = False
-            for n in range(1, min(8, len(out)) + 1):
-                last = out[-n:]
-                if len(out) > n and isinstance(out[-n - 1], list) and out[-n - 1][0] == "+" and out[-n - 1][1:] == last:
-                    del out[-n:]
-                elif len(out) >= 2 * n and out[-2 * n : -n] == last and not (n == 1 and isinstance(last[0], list)):
-                    out[-2 * n :] = [["+", *last]]
-                    again = True
-                    break
+    known: dict[str, str] = {}
+    marks = ""  # a character for the head of each item
+    groups: list[int] = []  # where the repeated groups are
+
+    def push(x: list) -> None:
+        nonlocal marks
+        if x[0] == "+":
+            groups.append(len(out))
+        out.append(x)
+        marks += known.setdefault(_strict(x), chr(0xF0000 + len(known)) if len(known) < 0xFFFF else chr(0x20000 + len(known)))
+
+    def pop(n: int) -> list:
+        nonlocal marks
+        last = out[-n:]
+        del out[-n:]
+        marks = marks[:-n]
+        while groups and groups[-1] >= len(out):
+            groups.pop()
+        return last
+
+    def meets() -> bool:
+        """Whether the last items repeat the group or the items before them; if so, they are one group now."""
+        for g in reversed(groups):
+            n = len(out) - 1 - g
+            if n and len(out[g][1]) == n and all(_strict(x) == _strict(y) for x, y in zip(out[g][1], out[-n:], strict=True)):
+                last = pop(n)
+                (group,) = pop(1)
+                push(["+", [both(x, y, join) for x, y in zip(group[1], last, strict=True)]])
+                return True
+        size = len(marks)
+        near = range(1, min(16, size // 2) + 1)
+        for n in itertools.chain(near, _distances(marks)):
+            if marks[size - n :] == marks[size - 2 * n : size - n] and not (n == 1 and out[-1][0] == "+"):
+                last = pop(n)
+                push(["+", [both(x, y, join) for x, y in zip(pop(n), last, strict=True)]])
+                return True
+        return len(out) > 1 and out[-1][0] == out[-2][0] == "+" and marks[-1] == marks[-2] and one()
+
+    def one() -> bool:
+        last = pop(1)[0]
+        push(both(pop(1)[0], last, join))
+        return True
+
+    for x in items:
+        push(x)
+        while meets():
+            pass
     return out
 
 
-def align(a: list, b: list) -> list:
-    """The smallest expression of this kind that holds both."""
-    if a == b:
-        return a
-    bare = lambda x: json.dumps(x[1:] if isinstance(x, list) and x[0] == "?" else [x])  # noqa: E731  an optional group meets its content
-    left, right = [bare(x) for x in a], [bare(x) for x in b]
+def _distances(marks: str) -> Iterator[int]:
+    """How far before the end the last sixteen characters occur, if it is more than sixteen and at most half."""
+    size = len(marks)
+    at = size - 17
+    while (at := marks.rfind(marks[-16:], 0, at + 16)) >= 0 and 2 * (n := size - 16 - at) <= size:
+        yield n
+        at -= 1
+
+
+def _grouped(items: list, other: list) -> list:
+    """The items with each run that the other side repeats as a group of one."""
+    for group in {head(x): x for x in other if x[0] == "+"}.values():
+        want = [head(x) for x in group[1]]
+        heads, out, i = [head(x) for x in items], [], 0
+        while i < len(items):
+            if heads[i : i + len(want)] == want:
+                out.append(["+", items[i : i + len(want)]])
+                i += len(want)
+            else:
+                out.append(items[i])
+                i += 1
+        items = out
+    return items
+
+
+def align(a: list, b: list, join: Join) -> list:
+    """The expression that holds both: equal heads meet, what one side repeats is a group, what one side lacks is optional."""
+    left, right = [head(x) for x in a], [head(x) for x in b]
+    if left == right:
+        return [both(x, y, join) for x, y in zip(a, b, strict=True)]
+    a, b = _grouped(a, b), _grouped(b, a)
+    left, right = [head(x) for x in a], [head(x) for x in b]
     out: list = []
     for op, i, j, k, m in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
         if op == "equal":
-            out += [x if isinstance(x, list) and x[0] == "?" else y for x, y in zip(a[i:j], b[k:m], strict=True)]
-            continue
-        x, y = a[i:j], b[k:m]
-        if len(x) == 1 and isinstance(x[0], list) and x[0][0] == "+" and x[0][1:] == y:
-            out += x
-        elif len(y) == 1 and isinstance(y[0], list) and y[0][0] == "+" and y[0][1:] == x:
-            out += y
+            out += [both(x, y, join) for x, y in zip(a[i:j], b[k:m], strict=True)]
         else:
-            out += [s if isinstance(s, list) and s[0] == "?" else ["?", s] for s in [*x, *y]]
-    return fold(out)
+            out += [x if x[0] == "?" else ["?", [x]] for x in [*a[i:j], *b[k:m]]]
+    return fold(out, in_a_row if join is in_a_row else mixed)
 
 
 def wrapper_of(page: str | None) -> dict:
-    """The wrapper of one page: its folded expression, and by path its pages, characters and link characters."""
-    stream = tokens(page)
-    slots: dict[str, list[int]] = {}
-    for (kind, _, text, links), path in zip(stream, paths(stream), strict=True):
-        if kind == "t":
-            s = slots.setdefault(path, [1, 0, 0])
-            s[1] += len(text)
-            s[2] += links
-    return {"expr": fold([t[0] if t[0] == "t" else f"{t[0]}:{t[1]}" for t in stream]), "slots": slots}
+    """The wrapper of one page: its folded expression."""
+    stream, texts = symbols(page)
+    said = iter(texts)
+    levels: list[list] = [[]]
+    keys: list[str] = []
+    for s in stream:
+        if s == "t":
+            _, _, text, links = next(said)
+            levels[-1].append(["t", _value(text), BASE, 1, len(text), links])
+        elif s == "c":
+            items = fold(levels.pop(), in_a_row)
+            levels[-1].append(["e", keys.pop(), items])
+        elif s[0] == "o":
+            levels[-1].append(["o", s[2:]])
+        else:
+            levels.append([])
+            keys.append(s[2:])
+    return {"pages": 1, "items": fold(levels[0], in_a_row)}
 
 
 def merge(a: dict | None, b: dict) -> dict:
-    if a is None:
-        return b
-    slots = {p: list(s) for p, s in a["slots"].items()}
-    for p, s in b["slots"].items():
-        slots[p] = [x + y for x, y in zip(slots.get(p, [0, 0, 0]), s, strict=True)]
-    return {"expr": align(a["expr"], b["expr"]), "slots": slots}
+    """The wrapper of the pages of both."""
+    return b if a is None else {"pages": a["pages"] + b["pages"], "items": align(a["items"], b["items"], on_pages)}
+
+
+def shape(items: list) -> int:
+    """A digest of an expression without its texts; wrappers of one shape merge to the same in any order."""
+    bare = lambda x: "t" if x[0] == "t" else [*x[:-1], [bare(y) for y in x[-1]]] if isinstance(x[-1], list) else x
+    text = json.dumps([bare(x) for x in items])
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
 
 
 def _other(path: str) -> bool:
@@ -259,16 +396,16 @@ def region(slots: dict[str, list[int]]) -> list[str]:
         if found:
             return sorted(found)
     mass: dict[str, int] = {}
-    for p, (_, chars, links) in free.items():
+    for p, (_, _, rich) in free.items():
         keys = p.split("/") if p else []
         for i in range(len(keys) + 1):
             at = "/".join(keys[:i])
-            mass[at] = mass.get(at, 0) + chars - 2 * links
+            mass[at] = mass.get(at, 0) + rich
     if not mass:
         return []
     enough = 0.8 * mass.get("", 0)
     top = max((p for p in mass if mass[p] >= enough), key=lambda p: (p.count("/") + bool(p), p), default="")
-    return [top, *sorted(f"={p}" for p, (_, chars, links) in free.items() if chars > 2 * links and not under(p, top))]
+    return [top, *sorted(f"={p}" for p, (chars, links, _) in free.items() if chars > 2 * links and not under(p, top))]
 
 
 def under(path: str, top: str) -> bool:
@@ -278,28 +415,126 @@ def under(path: str, top: str) -> bool:
 
 
 class Wrapper:
-    """A host's wrapper, ready to read pages."""
+    """A host's wrapper, ready to read pages.
+
+    The expression is a program: symbols to be met, and jumps. A page's stream is
+    followed through it on all ways at once, of which the first that leads to
+    the end tells the place of each text. A place is read if its path lies in
+    the region and its text is not the template's.
+    """
 
     def __init__(self, made: dict):
-        self.region = region(made["slots"])
-        self._chars: dict[str, str] = {}
-        self._match = re.compile(self._regex(made["expr"]))
+        self._met: list[str] = []  # the symbol met at each step of the program, "" for a jump
+        self._next: list[list[int]] = []  # where it goes on
+        places: dict[int, tuple[str, list]] = {}
+        self._write(made["items"], [], places)
+        self._onward: dict[int, dict[str, list[int]]] = {}
+        pages = made["pages"]
+        # the same on most pages of a host, so far as there are some
+        fixed = {at for at, (path, t) in places.items() if t[1] is not None and t[3] >= max(TEMPLATE_PAGES, pages / 2) and not HEADING.search(path)}
+        slots: dict[str, list[int]] = {}
+        for at, (path, t) in places.items():
+            s = slots.setdefault(path, [0, 0, 0])
+            own = at not in fixed or len(fixed) == len(places)
+            slots[path] = [s[0] + t[4], s[1] + t[5], s[2] + own * (t[4] - 2 * t[5])]
+        tops = region(slots)
+        self._free = {at for at, (path, _) in places.items() if not _other(path)}
+        self._read = {at for at in self._free if any(under(places[at][0], top) for top in tops)}
+        varies = any(places[at][1][1] is None for at in self._read)
+        self._fixed = {at: places[at][1][1:3] for at in fixed & self._read} if varies else {}
+
+    def _write(self, items: list, keys: list[str], places: dict[int, tuple[str, list]]) -> None:
+        def step(symbol: str) -> int:
+            self._met.append(symbol)
+            self._next.append([len(self._met)])
+            return len(self._met) - 1
+
+        for x in items:
+            if x[0] == "t":
+                places[step("t")] = ("/".join(keys), x)
+            elif x[0] == "o":
+                step(f"o:{x[1]}")
+            elif x[0] == "e":
+                step(f"e:{x[1]}")
+                self._write(x[2], [*keys, x[1]], places)
+                step("c")
+            elif x[0] == "?":
+                at = step("")
+                self._write(x[1], keys, places)
+                self._next[at].append(len(self._met))
+            else:
+                at = len(self._met)
+                self._write(x[1], keys, places)
+                self._next[step("")].insert(0, at)
+
+    def _after(self, at: int) -> dict[str, list[int]]:
+        """By symbol, the steps that may meet it next from a place in the program, preferred ones first; "" is the end."""
+        if at not in self._onward:
+            found: dict[str, list[int]] = {}
+            seen, todo = set(), [at]
+            while todo:
+                p = todo.pop()
+                if p in seen:
+                    continue
+                seen.add(p)
+                if p == len(self._met):
+                    found.setdefault("", []).append(p)
+                elif self._met[p]:
+                    found.setdefault(self._met[p], []).append(p)
+                else:
+                    todo += reversed(self._next[p])
+            self._onward[at] = found
+        return self._onward[at]
+
+    def places(self, stream: list[str]) -> list[int] | None:
+        """The step of the program that each symbol of a page meets, or None if the expression does not hold the page."""
+        came: list[dict[int, int]] = []
+        now: dict[int, int] = {-1: -1}
+        for s in [*stream, ""]:
+            then: dict[int, int] = {}
+            for p in now:
+                for q in self._after(p + 1).get(s, ()):
+                    then.setdefault(q, p)
+            if not then:
+                return None
+            came.append(then)
+            now = then
+        at = came.pop()[len(self._met)]
+        out = []
+        for step in reversed(came):
+            out.append(at)
+            at = step[at]
+        return out[::-1]
+
+    def found(self, stream: list[str], texts: list[Token]) -> list[str] | None:
+        """The main text's blocks; None if the expression does not hold the page, or all of its text lies elsewhere."""
+        met = self.places(stream)
+        if met is None:
+            return None
+        said = [(at, t[2]) for at, t in zip([at for at, s in zip(met, stream, strict=True) if s == "t"], texts, strict=True) if at in self._free]
+        read = [(at, text) for at, text in said if at in self._read]
+        if said and not read:
+            return None
+        here: dict[int, list] = {}
+        for at, text in read:
+            if at in self._fixed:
+                one = ["t", _value(text), BASE, 1, 0, 0]
+                here[at] = in_a_row(here[at], one) if at in here else one
+        gone = {at for at, t in here.items() if t[1:3] == self._fixed[at]}
+        return [text for at, text in read if at not in gone]
 
-    def _char(self, symbol: str) -> str:
-        return self._chars.setdefault(symbol, chr(0xF0000 + len(self._chars)))
+    def text(self, page: str | None) -> str:
+        """The main text of a page; a page that the expression does not hold, or without text in the region, is read by its own."""
+        stream, texts = symbols(page)
+        blocks = self.found(stream, texts)
+        if blocks is None:
+            blocks = Wrapper(wrapper_of(page)).found(stream, texts)
+        return " ".join(blocks or [])
 
-    def _regex(self, expr: list) -> str:
-        return "".join(self._char(x) if isinstance(x, str) else f"(?:{self._regex(x[1:])}){x[0]}+" for x in expr)
 
-    def text(self, page: str | None) -> str:
-        """The main text of a page; a page without text in the wrapper's region is judged by its own."""
-        stream = tokens(page)
-        own = [(t[2], p) for t, p in zip(stream, paths(stream), strict=True) if t[0] == "t" and not _other(p)]
-        found = [t for t, p in own if any(under(p, top) for top in self.region)]
-        if own and not found:
-            tops = region(wrapper_of(page)["slots"])
-            found = [t for t, p in own if any(under(p, top) for top in tops)]
-        return " ".join(found)
+#: Pages of a host from which on a text that is the same on most of them, outside of headings, is the template's.
+TEMPLATE_PAGES = 10
+HEADING = re.compile(r"(^|/)h[1-6]( |$|/)")
 
 
 def host(url: str | None) -> str:
@@ -309,42 +544,58 @@ def host(url: str | None) -> str:
         return ""
 
 
-#: Wrappers that a task holds before it hands them on, and bytes of wrappers that may be broadcast.
-HELD, BROADCAST_BYTES = 5000, 32 << 20
+#: Wrappers that a task holds before it hands them on, wrappers aligned in a task, and bytes of wrappers that may be broadcast.
+HELD, ALIGNED, BROADCAST_BYTES = 5000, 64, 32 << 20
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """host and wrapper (JSON) of all hosts of ``pages`` (url, html)."""
-    schema = pa.schema([("host", pa.string()), ("part", pa.int64()), ("wrapper", pa.string())])
+    """host and wrapper (JSON) of all hosts of ``pages`` (url, html), the same however the pages are dealt out.
+
+    Tasks merge pages of one shape, whose order is of no matter. The shapes of a
+    host are then aligned in order of their digests, about ``ALIGNED`` at a time,
+    and what comes out likewise, in as many rounds as their number asks for.
+    """
+    schema = pa.schema([("host", pa.string()), ("shape", pa.int64()), ("wrapper", pa.string())])
+    columns = "host string, shape long, wrapper string"
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict] = {}
-        part = TaskContext.get().partitionId()
+        held: dict[tuple[str, int], dict] = {}
 
         def out() -> pa.RecordBatch:
-            made = common.batch(schema, list(held), [part] * len(held), [json.dumps(w) for w in held.values()])
+            made = common.batch(schema, [h for h, _ in held], [n for _, n in held], [json.dumps(w) for w in held.values()])
             held.clear()
             return made
 
         for b in batches:
             for url, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                name = host(url)
-                held[name] = merge(held.get(name), wrapper_of(page.as_py()))
+                w = wrapper_of(page.as_py())
+                key = (host(url), shape(w["items"]))
+                held[key] = merge(held.get(key), w)
                 if len(held) > HELD:
                     yield out()
         if held:
             yield out()
 
-    def join(t: pa.Table) -> pa.Table:
-        made = None
-        for w in sorted(t["wrapper"].to_pylist()):
-            made = merge(made, json.loads(w))
-        return pa.table({"host": [t["host"][0].as_py()], "part": [t["part"][0].as_py() // 16], "wrapper": [json.dumps(made)]}, schema=schema)
-
-    parts = pages.select("url", "html").mapInArrow(learn, "host string, part long, wrapper string")
-    # sixteen tasks' wrappers of a host at a time, then the rest
-    some = parts.withColumn("part", F.col("part") % 16).groupBy("host", "part").applyInArrow(join, "host string, part long, wrapper string")
-    return some.groupBy("host").applyInArrow(join, "host string, part long, wrapper string").select("host", "wrapper")
+    def join(parts: int) -> Callable[[pa.Table], pa.Table]:
+        def run(t: pa.Table) -> pa.Table:
+            merged: dict[int, dict] = {}
+            rows = t.sort_by("shape")
+            for n, w in zip(rows["shape"].to_pylist(), rows["wrapper"], strict=True):
+                merged[n] = merge(merged.get(n), json.loads(w.as_py()))
+            made = None
+            for w in merged.values():
+                made = merge(made, w)
+            return pa.table({"host": [rows["host"][0].as_py()], "shape": [rows["shape"][0].as_py() % parts], "wrapper": [json.dumps(made)]}, schema=schema)
+
+        return run
+
+    found = common.written(pages.select("url", "html").mapInArrow(learn, columns), "shapes")
+    n, rounds = found.count(), [1]
+    while rounds[0] * ALIGNED < n:
+        rounds.insert(0, rounds[0] * ALIGNED)
+    for parts in rounds:
+        found = found.groupBy("host", F.pmod("shape", F.lit(parts)).alias("part")).applyInArrow(join(parts), columns)
+    return found.select("host", "wrapper")
 
 
 def extract(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:

@@ -1,3 +1,6 @@
+import json
+import random
+import re
 import time
 
 from millrace.llm import html_wrappers as W
@@ -43,13 +46,71 @@ def test_unmarked_text_beside_the_richest_element():
     assert W.Wrapper(made).text(page.format("some text")) == "Loose some text A short end"
 
 
+def leaves(text, **keys):
+    """Items of a stream written as letters: capitals are tags alone, the others texts."""
+    return [["o", c] if c.isupper() else ["t", W._value(c), W.BASE, 1, 1, 0] for c in text]
+
+
+def written(items):
+    """An expression as a pattern over the heads of its items."""
+    out = ""
+    for x in items:
+        if x[0] in "+?":
+            out += f"(?:{written(x[1])}){x[0]}"
+        elif x[0] == "e":
+            out += re.escape(f"<e:{x[1]}>") + written(x[2]) + "<c>"
+        else:
+            out += "<t>" if x[0] == "t" else re.escape(f"<o:{x[1]}>")
+    return out
+
+
+def held(made, page):
+    return re.fullmatch(written(made["items"]), "".join(f"<{s}>" for s in W.symbols(page)[0])) is not None
+
+
+def heads(items):
+    return [W._strict(x) for x in items]
+
+
 def test_inference():
-    assert W.fold(list("abababc")) == [["+", "a", "b"], "c"]
-    assert W.fold(["x", "a", "b", "a", "b", "y"]) == ["x", ["+", "a", "b"], "y"]
-    assert W.align(["a", "b", "c"], ["a", "c"]) == ["a", ["?", "b"], "c"]
-    assert W.align(["a", ["+", "p", "t"], "c"], ["a", "p", "t", "c"]) == ["a", ["+", "p", "t"], "c"]
-    one = W.align(W.align(["a", "b"], ["a"]), ["a", "b"])
-    assert one == ["a", ["?", "b"]]
+    assert heads(W.fold(leaves("ABABABC"), W.in_a_row)) == ["(o:A o:B)", "o:C"]
+    assert heads(W.fold(leaves("XABABY"), W.in_a_row)) == ["o:X", "(o:A o:B)", "o:Y"]
+    long = "ABCDEFGHIJKLMNOPQRSTUVWXY"
+    assert len(W.fold(leaves(long * 3 + "Z"), W.in_a_row)) == 2  # however long
+    assert heads(W.align(leaves("ABC"), leaves("AC"), W.on_pages)) == ["o:A", "?o:B", "o:C"]
+    group = W.fold(leaves("APaPaC"), W.in_a_row)
+    assert heads(W.align(group, leaves("APaC"), W.on_pages)) == heads(group) == ["o:A", "(o:P t)", "o:C"]
+    (slot,) = W.align(leaves("a"), leaves("b"), W.on_pages)
+    (fixed,) = W.align(leaves("a"), leaves("a"), W.on_pages)
+    assert slot[1] is None and fixed[1] == W._value("a") and slot[3] == fixed[3] == 2
+
+
+def random_page(rng, depth=0):
+    out = ""
+    for _ in range(rng.randint(0, 5 - depth)):
+        kind = rng.randrange(5)
+        if kind < 2 or depth > 2:
+            out += rng.choice(["<p>", "<li class=x>", ""]) + rng.choice(["a", "b", "c"])
+        else:
+            name = rng.choice(["div", "section class=s", "h2"])
+            out += f"<{name}>{random_page(rng, depth + 1)}</{name.split()[0]}>" * rng.choice([1, 1, 2, 3])
+    return out
+
+
+def test_wrappers_hold_their_pages_and_place_texts_as_a_regular_expression_would():
+    rng = random.Random(3)
+    for _ in range(150):
+        pages = [random_page(rng) for _ in range(rng.randint(1, 5))]
+        made = None
+        for page in pages:
+            made = W.merge(made, W.wrapper_of(page))
+        wrapper = W.Wrapper(made)
+        for page in pages:
+            stream = W.symbols(page)[0]
+            assert held(made, page)
+            assert [wrapper._met[at] for at in wrapper.places(stream)] == stream
+        for page in (random_page(rng) for _ in range(10)):  # other pages are held just where the pattern holds them
+            assert (wrapper.places(W.symbols(page)[0]) is not None) == held(made, page)
 
 
 def test_pages_match_their_wrapper():
@@ -57,10 +118,38 @@ def test_pages_match_their_wrapper():
     made = None
     for p in pages:
         made = W.merge(made, W.wrapper_of(p))
-    wrapper = W.Wrapper(made)
     for p in pages:
-        symbols = "".join(wrapper._chars["t" if k == "t" else f"{k}:{key}"] for k, key, _, _ in W.tokens(p))
-        assert wrapper._match.fullmatch(symbols)
+        assert held(made, p) and W.Wrapper(made).places(W.symbols(p)[0]) is not None
+
+
+SAME = "<body><div><div class=x>Get our app!<p>It is free.</div><div class=y><h2>Story</h2><p>{0} one<p>{0} two</div><p>Printed on paper.</body>"
+
+
+def test_text_of_the_template_is_left_out():
+    pages = [SAME.format(f"text {i}") for i in range(W.TEMPLATE_PAGES)]
+    made = None
+    for page in pages:
+        made = W.merge(made, W.wrapper_of(page))
+    wrapper = W.Wrapper(made)
+    assert [wrapper.text(p) for p in pages] == [f"Story text {i} one text {i} two" for i in range(W.TEMPLATE_PAGES)]
+    # a page that has something else at such a place keeps it, and a heading stays
+    assert "It costs a lot." in wrapper.text(pages[0].replace("It is free.", "It costs a lot."))
+    # with another expression, another text: of one page or of copies nothing is known to be the template's
+    assert W.Wrapper(W.wrapper_of(pages[0])).text(pages[0]) == "Get our app! It is free. Story text 0 one text 0 two Printed on paper."
+    copies = None
+    for _ in range(W.TEMPLATE_PAGES):
+        copies = W.merge(copies, W.wrapper_of(pages[0]))
+    assert W.Wrapper(copies).text(pages[0]).startswith("Get our app!")
+
+
+def test_results_do_not_depend_on_how_pages_are_dealt_out(spark):
+    rng = random.Random(5)
+    bodies = [f"<body><nav>n</nav><div class=x>Promo<div>{random_page(rng)}</div></div></body>" for _ in range(150)]
+    df = spark.createDataFrame([(i, f"http://h{i % 2}.org/", b) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    found = [sorted(map(tuple, W.infer(df.repartition(n, "page_id")).collect())) for n in (1, 3, 7)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 2
+    for h, made in found[0]:
+        assert all(held(json.loads(made), b) for i, b in enumerate(bodies) if h == f"h{i % 2}.org")
 
 
 def test_cut_off_markup():
@@ -79,6 +168,15 @@ def test_hostile_pages_end_in_time():
     assert time.monotonic() - began < 20
 
 
+def test_odd_nesting_ends_in_time():
+    began = time.monotonic()
+    deep = [f"{t}x" * 20_000 for t in ("<div>", "<p>", "<div></p>", "<section></div>", "<li><div>a</div>", "<div class=a><p>b<h2>")]
+    deep.append("".join(f"<{random.Random(1).choice('pq')}{i % 7}>x" for i in range(5000)))
+    for page in deep:
+        W.Wrapper(W.merge(W.wrapper_of(page), W.wrapper_of(page + "<h1>y</h1>"))).text(page)
+    assert time.monotonic() - began < 40
+
+
 def test_odd_quotes():
     said = lambda page: [t[2] for t in W.tokens(page) if t[0] == "t"]
     assert said('<a href=xxxx" >tail</a> more') == ["tail more"]
