@@ -7,30 +7,49 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.values import quoted
 
-#: Queries whose vectors (8 bytes a number) one task may hold; more are searched block by block.
-QUERY_BLOCK = 4096
+#: Queries, and rows of the pool, that meet in one task.
+QUERY_BLOCK, POOL_BLOCK = 16_384, 16_384
+#: Queries of a block that are scored at once.
+TILE = 128
 
 
 def stratified_split(rows: DataFrame, strata: str, key: str = "id", fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """``rows`` with ``held_out``: exactly the rounded-up fraction of all, shared out over the strata by largest remainder.
 
-    Which rows of a stratum are held out follows from a hash of key and seed.
-    The strata's sizes, one row each, decide the quotas; a null stratum is one.
+    Which rows of a stratum are held out follows from a hash of key and seed: those
+    up to a bound. Counts of ranges of the hash tell in which range the bound lies,
+    and only the rows of that range are ranked, so no stratum is sorted whole. The
+    strata's sizes, one row each, decide the quotas; a null stratum is one. Rows of
+    the same key share a side, so with repeated keys a stratum may exceed its quota.
     """
-    sizes = rows.groupBy(strata).agg(F.count(F.lit(1)).alias("__n"))
+    hashed = F.xxhash64(F.col(quoted(key)), F.lit(seed))
+    keyed = rows.select(F.col(quoted(strata)).alias("__s"), F.col(quoted(key)).alias("__k"), hashed.alias("__h"), F.shiftright(hashed, 50).alias("__range"))
+    ranges = keyed.groupBy("__s", "__range").agg(F.count(F.lit(1)).alias("__in"))
+    sizes = ranges.groupBy("__s").agg(F.sum("__in").alias("__n"))
     # a total over the strata alone; ties of remainders go by size, then name
     total = sizes.agg(F.ceil(F.round(F.sum("__n") * fraction, 6)).alias("__want"), F.sum(F.floor(F.col("__n") * fraction)).alias("__have"))
     want, have = total.first() or (0, 0)
     rest = int((want or 0) - (have or 0))
-    turn = F.row_number().over(Window.orderBy(F.desc(F.col("__n") * fraction - F.floor(F.col("__n") * fraction)), F.desc("__n"), F.col(quoted(strata)).asc_nulls_first()))
-    quotas = sizes.select(F.col(quoted(strata)).alias("__s"), (F.floor(F.col("__n") * fraction) + (turn <= rest).cast("int")).alias("__quota"))
-    place = F.row_number().over(Window.partitionBy(strata).orderBy(F.xxhash64(F.col(quoted(key)), F.lit(seed)), F.col(quoted(key))))
-    return rows.withColumn("__place", place).join(quotas, F.col(quoted(strata)).eqNullSafe(F.col("__s"))).withColumn("held_out", F.col("__place") <= F.col("__quota")).drop("__place", "__s", "__quota")
+    turn = F.row_number().over(Window.orderBy(F.desc(F.col("__n") * fraction - F.floor(F.col("__n") * fraction)), F.desc("__n"), F.col("__s").asc_nulls_first()))
+    quotas = sizes.select(F.col("__s").alias("__t"), (F.floor(F.col("__n") * fraction) + (turn <= rest).cast("int")).alias("__quota"))
+    upto = ranges.withColumn("__upto", F.sum("__in").over(Window.partitionBy("__s").orderBy("__range")))
+    left = F.col("__quota") - F.col("__upto") + F.col("__in")  # of the range that has the bound
+    cuts = upto.join(quotas, F.col("__s").eqNullSafe(F.col("__t"))).where((left > 0) & (left <= F.col("__in"))).select("__t", F.col("__range").alias("__cut"), left.alias("__left"))
+    near = keyed.join(cuts, F.col("__s").eqNullSafe(F.col("__t")) & (F.col("__range") == F.col("__cut")))
+    place = F.row_number().over(Window.partitionBy("__s").orderBy("__h", "__k"))
+    bounds = near.withColumn("__place", place).where(F.col("__place") == F.col("__left")).select("__t", F.struct(F.col("__h").alias("h"), F.col("__k").alias("k")).alias("__bound"))
+    mine = F.struct(hashed.alias("h"), F.col(quoted(key)).alias("k"))
+    both = rows.join(bounds, F.col(quoted(strata)).eqNullSafe(F.col("__t")), "left")
+    return both.withColumn("held_out", F.coalesce(mine <= F.col("__bound"), F.lit(False))).drop("__t", "__bound")
 
 
 def leaks(split: DataFrame, key: str = "id") -> DataFrame:
@@ -42,52 +61,51 @@ def leaks(split: DataFrame, key: str = "id") -> DataFrame:
 def neighbours(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     """query_id, rank, id, label and score: the ``k`` nearest of the pool by cosine, exactly; ties by id.
 
-    ``queries`` holds id and vector, ``pool`` id, vector and label. The pool is
-    read by partition, and each keeps its k best for a block of queries; those
-    are merged. Fewer than k in the pool give fewer rows. Vectors that are null
-    or zero take no part.
+    ``queries`` holds id and vector, ``pool`` id, vector and label. Blocks of both
+    meet in the cluster, each in a task that keeps a query's k best of the block;
+    those are merged. Fewer than k in the pool give fewer rows. Vectors that are
+    null, zero or hold a null or NaN take no part.
     """
-    spark = pool.sparkSession
-    label = pool.schema["label"].dataType.simpleString()
-    key = pool.schema["id"].dataType.simpleString()
-    asked = queries.where("vector IS NOT NULL").select("id", F.col("vector").cast("array<double>").alias("vector"))
-    n = asked.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    dealt = asked.withColumn("__block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    found = None
-    for i in range(blocks):
-        rows = dealt.where(F.col("__block") == i).select("id", "vector").collect()  # at most about QUERY_BLOCK rows
-        if not rows:
-            continue
-        sent = spark.sparkContext.broadcast(([r["id"] for r in rows], np.array([r["vector"] for r in rows], dtype=np.float64)))
-        part = pool.where("vector IS NOT NULL").select("id", F.col("vector").cast("array<double>").alias("vector"), "label").mapInPandas(_nearest(sent, k), f"query_id {queries.schema['id'].dataType.simpleString()}, id {key}, label {label}, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], f"query_id {queries.schema['id'].dataType.simpleString()}, rank int, id {key}, label {label}, score double")
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    asked, offered = queries.where("vector IS NOT NULL").select("id", vector), pool.where("vector IS NOT NULL").select("id", vector, "label")
+    blocks, parts = (max(1, -(-df.count() // size)) for df, size in ((asked, QUERY_BLOCK), (offered, POOL_BLOCK)))
+    dealt = lambda n: F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("block", dealt(blocks)).withColumn("part", every(parts)).groupBy("block", "part")
+    right = offered.withColumn("part", dealt(parts)).withColumn("block", every(blocks)).groupBy("block", "part")
+    kinds = [queries.schema["id"].dataType, pool.schema["id"].dataType, pool.schema["label"].dataType, T.DoubleType()]
+    made = T.StructType([T.StructField(n, kind) for n, kind in zip(("query_id", "id", "label", "score"), kinds, strict=True)])
+    found = left.cogroup(right).applyInArrow(_nearest(k, to_arrow_schema(made)), made)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "label", "score")
 
 
-def _nearest(sent, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = sent.value
-        norm = np.linalg.norm(q, axis=1)
-        q = np.divide(q, norm[:, None], out=np.zeros_like(q), where=norm[:, None] > 0)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            v = np.stack(pdf["vector"].to_numpy())
-            size = np.linalg.norm(v, axis=1)
-            pdf, v = pdf[size > 0], v[size > 0] / size[size > 0][:, None]
-            order = np.argsort(pdf["id"].to_numpy(), kind="stable")
-            scores = np.round(q @ v[order].T, 12)  # sums in another order are still ties
-            out = []
-            for i, s in enumerate(scores):
-                if norm[i] > 0:
-                    best = np.argsort(-s, kind="stable")[:k]
-                    out.append(pd.DataFrame({"query_id": ids[i], "id": pdf["id"].to_numpy()[order][best], "label": pdf["label"].to_numpy()[order][best], "score": s[best]}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+def _unit(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The rows whose vectors have a direction, and the vectors at unit length."""
+    v = pc.list_flatten(rows["vector"]).to_numpy().astype(np.float64).reshape(len(rows), -1)
+    size = np.linalg.norm(v, axis=1)
+    return rows.filter(pa.array(size > 0)), v[size > 0] / size[size > 0][:, None]
+
+
+def _nearest(k: int, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(asked: pa.Table, offered: pa.Table) -> pa.Table:
+        if not len(asked) or not len(offered):
+            return schema.empty_table()
+        asked, q = _unit(asked)
+        offered, v = _unit(offered.sort_by("id"))
+        whose, which, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        n = len(offered)
+        for i in range(0, len(asked) if n else 0, TILE):
+            tile = np.round(q[i : i + TILE] @ v.T, 12)  # sums in another order are still ties
+            least = np.partition(tile, n - k, axis=1)[:, n - k] if n > k else np.full(len(tile), -np.inf)
+            for r, s in enumerate(tile):
+                at = np.flatnonzero(s >= least[r])  # ids ascend
+                at = at[np.argsort(-s[at], kind="stable")][:k]
+                whose.append(np.full(len(at), i + r))
+                which.append(at)
+                scores.append(s[at])
+        near = offered.take(pa.array(np.concatenate(which)))
+        return pa.table({"query_id": asked["id"].take(pa.array(np.concatenate(whose))), "id": near["id"], "label": near["label"], "score": np.concatenate(scores)})
 
     return run
 

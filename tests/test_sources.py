@@ -100,6 +100,43 @@ def test_neighbours(spark):
     assert retrieval.neighbours(rows.where("id = 4"), rows, 3).count() == 0
 
 
+def test_split_bounds_and_plan(spark, monkeypatch):
+    rows = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id") % 3).alias("s"), F.lit(1).alias("held"))
+    split = retrieval.stratified_split(rows, "s", fraction=0.3)
+    want = {}
+    for r in rows.select("s", "id", F.xxhash64("id", F.lit(42)).alias("h")).collect():
+        want.setdefault(r["s"], []).append((r["h"], r["id"]))
+    held = {}
+    for r in split.where("held_out").collect():
+        held.setdefault(r["s"], set()).add(r["id"])
+    assert sum(map(len, held.values())) == 900
+    for s, ids in held.items():
+        assert ids == {i for _, i in sorted(want[s])[: len(ids)]}  # the first by hash
+    assert retrieval.stratified_split(rows, "s", fraction=0.0).where("held_out").count() == 0
+    assert retrieval.stratified_split(rows, "s", fraction=1.0).where("held_out").count() == 3000
+    assert retrieval.stratified_split(rows.limit(0), "s").count() == 0
+    many = retrieval.stratified_split(rows.union(rows), "s")  # rows of a key share a side
+    assert many.groupBy("id").agg(F.count_distinct("held_out").alias("n")).where("n > 1").count() == 0
+
+
+def test_neighbours_in_blocks_are_those_of_a_full_search(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-2, 3, (300, 4)).astype(float)  # many ties, copies and zeros
+    rows = spark.createDataFrame([(f"v{i:03}", [float(x) for x in v], "ab"[i % 2]) for i, v in enumerate(vectors)], "id string, vector array<float>, label string")
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(retrieval, "POOL_BLOCK", 37)
+    monkeypatch.setattr(retrieval, "TILE", 8)
+    got = {}
+    for r in retrieval.neighbours(rows.where("id < 'v060'"), rows, 12).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], r["label"]))
+    size = np.linalg.norm(vectors, axis=1)
+    for i in range(60):
+        ranked = sorted((-round(float(vectors[i] @ vectors[j] / size[i] / size[j]), 12), j) for j in range(300) if size[i] > 0 and size[j] > 0)
+        assert got.get(f"v{i:03}", []) == [(f"v{j:03}", "ab"[j % 2]) for _, j in ranked[:12]]
+
+
 def test_embed_and_generate(spark):
     import numpy as np
 
