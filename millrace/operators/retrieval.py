@@ -71,11 +71,12 @@ def neighbours(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     blocks, parts = (max(1, -(-df.count() // size)) for df, size in ((asked, QUERY_BLOCK), (offered, POOL_BLOCK)))
     dealt = lambda n: F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.withColumn("block", dealt(blocks)).withColumn("part", every(parts)).groupBy("block", "part")
-    right = offered.withColumn("part", dealt(parts)).withColumn("block", every(blocks)).groupBy("block", "part")
+    left = asked.withColumn("block", dealt(blocks)).withColumn("part", every(parts)).withColumnRenamed("id", "query_id")
+    right = offered.withColumn("part", dealt(parts)).withColumn("block", every(blocks)).withColumn("pooled", F.lit(True))
+    both = left.unionByName(right, allowMissingColumns=True).groupBy("block", "part")
     kinds = [queries.schema["id"].dataType, pool.schema["id"].dataType, pool.schema["label"].dataType, T.DoubleType()]
     made = T.StructType([T.StructField(n, kind) for n, kind in zip(("query_id", "id", "label", "score"), kinds, strict=True)])
-    found = left.cogroup(right).applyInArrow(_nearest(k, to_arrow_schema(made)), made)
+    found = both.applyInArrow(_nearest(k, to_arrow_schema(made)), made)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "label", "score")
 
@@ -87,8 +88,9 @@ def _unit(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
     return rows.filter(pa.array(size > 0)), v[size > 0] / size[size > 0][:, None]
 
 
-def _nearest(k: int, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(asked: pa.Table, offered: pa.Table) -> pa.Table:
+def _nearest(k: int, schema: pa.Schema) -> Callable[[pa.Table], pa.Table]:
+    def run(both: pa.Table) -> pa.Table:
+        asked, offered = both.filter(pc.is_null(both["pooled"])), both.filter(pc.is_valid(both["pooled"]))
         if not len(asked) or not len(offered):
             return schema.empty_table()
         asked, q = _unit(asked)
@@ -105,7 +107,7 @@ def _nearest(k: int, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Tab
                 which.append(at)
                 scores.append(s[at])
         near = offered.take(pa.array(np.concatenate(which)))
-        return pa.table({"query_id": asked["id"].take(pa.array(np.concatenate(whose))), "id": near["id"], "label": near["label"], "score": np.concatenate(scores)})
+        return pa.table({"query_id": asked["query_id"].take(pa.array(np.concatenate(whose))), "id": near["id"], "label": near["label"], "score": np.concatenate(scores)})
 
     return run
 
