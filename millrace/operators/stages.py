@@ -9,9 +9,9 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import Scope, evaluate
+from ..functions.expressions import Scope, evaluate, truth
 from ..functions.values import Value, document, quoted, resolve
-from ..plans.ir import Chain, ExistsLookup, FlatLookup, QueryError, Stage
+from ..plans.ir import Chain, CountLookup, ExistsLookup, FlatLookup, QueryError, SpreadGroup, Stage
 from .accumulators import accumulate
 from .filters import condition
 from .frame import DOWN, HIDDEN, Frame
@@ -288,6 +288,28 @@ def exists_lookup(frame: Frame, node: ExistsLookup, context: Context) -> Frame:
     return frame.of(kept.drop(node.spec["as"]) if node.spec["as"] in frame.fields else kept, sorted=False)
 
 
+def count_lookup(frame: Frame, node: CountLookup, context: Context) -> Frame:
+    """A lookup whose matches are only counted: a join with one row of counts for each key."""
+    _, local, other, df = _sides(frame, node.spec, context)
+    fields = {f.name: f.dataType for f in df.schema if f.name != "__key"}
+    meets = {"all": lambda c: F.lit(True), "expression": lambda c: truth(evaluate(c, Scope(fields))), "filter": lambda c: condition(c, fields, context.scalar)}
+    right = df.groupBy(other.alias("__key")).agg(*[F.count_if(F.coalesce(meets[how](cond), F.lit(False))).alias(n) for n, how, cond in node.counts])
+    joined = frame.df.join(right, local.eqNullSafe(F.col("__key")), "left")
+    made = [F.coalesce(F.col(n), F.lit(0)).alias(n) for n, _, _ in node.counts]
+    return frame.of(joined.select(*[F.col(quoted(n)) for n in frame.fields if n != node.spec["as"]], *made, *frame.hidden), sorted=False)
+
+
+def spread_group(frame: Frame, node: SpreadGroup, context: Context) -> Frame:
+    """$group of all with a list that is unwound: the documents beside the one row of totals, in the order of the list."""
+    v = evaluate(node.spec[node.name]["$push"], Scope(frame.fields))
+    if v.kind is None:
+        return unwind(group(frame, node.spec), f"${node.name}")
+    totals = group(frame, {k: a for k, a in node.spec.items() if k != node.name}).df
+    both = frame.df.select(v.column.alias("__item"), *frame.hidden).crossJoin(F.broadcast(totals))  # at most one row
+    columns = [F.col("__item").alias(n) if n == node.name else F.col(quoted(n)) for n in ["_id", *(k for k in node.spec if k != "_id")]]
+    return frame.of(both.select(*columns, *frame.hidden), sorted=False)
+
+
 def count(frame: Frame, name: str, context: Context | None = None) -> Frame:
     """$count: one row, or none over no documents."""
     df = frame.df.agg(F.count(F.lit(1)).alias(name)).filter(F.col(quoted(name)) > 0)
@@ -342,6 +364,10 @@ def apply(frame: Frame, stage: Any, context: Context, below: set[str] | None = N
             return flat_lookup(frame, stage, context, below)
         case ExistsLookup():
             return exists_lookup(frame, stage, context)
+        case CountLookup():
+            return count_lookup(frame, stage, context)
+        case SpreadGroup():
+            return spread_group(frame, stage, context)
         case Stage("$lookup", spec):
             return lookup(frame, spec, context, below)
         case Stage(op, spec) if op in STAGES:

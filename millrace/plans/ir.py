@@ -63,3 +63,23 @@ class ExistsLookup:
 
     spec: dict
     found: bool
+
+
+@dataclass(frozen=True)
+class CountLookup:
+    """A lookup of which only numbers of matches are read: all, or those that meet a condition.
+
+    ``counts`` holds for each field its condition: an expression over a match, a
+    filter of matches, or None.
+    """
+
+    spec: dict
+    counts: tuple[tuple[str, str, Any], ...]
+
+
+@dataclass(frozen=True)
+class SpreadGroup:
+    """A group of all documents whose list ``name`` is unwound at once: each document with the totals."""
+
+    spec: dict
+    name: str

@@ -156,6 +156,15 @@ def test_lookups(run):
         "{'$match': {'v': []}}, {'$count': 'n'}",
         "{'$match': {'v': {'$ne': []}}}",
         "{'$match': {'v.cost': {'$gt': 10}}}, {'$project': {'id': 1, 'n': {'$size': '$v'}}}",
+        "{'$project': {'id': 1, 'n': {'$size': '$v'}, 'm': {'$size': {'$filter': {'input': '$v', 'as': 'x', 'cond': {'$gt': ['$$x.cost', 8]}}}}}}",
+        "{'$match': {'v.cost': {'$ne': 7}}}, {'$project': {'id': 1}}",
+        "{'$match': {'v.cost': {'$in': [7, 20]}, 'v.pid': 1}}, {'$project': {'id': 1}}",
+        "{'$match': {'$expr': {'$gt': [{'$size': '$v'}, 1]}}}, {'$group': {'_id': '$team', 'n': {'$sum': {'$size': '$v'}}}}",
+        "{'$project': {'id': 1, 'n': {'$size': {'$filter': {'input': '$v', 'cond': {'$eq': ['$$this.pid', '$id']}}}}}}",
+        "{'$match': {'v.zip': 1}}, {'$count': 'n'}, {'$unionWith': 'people'}",
+        "{'$group': {'_id': None, 'top': {'$max': '$id'}, 'all': {'$push': {'i': '$id', 't': '$team'}}}}, {'$unwind': '$all'}",
+        "{'$sort': {'id': -1}}, {'$group': {'_id': None, 'all': {'$push': '$team'}, 'n': {'$sum': 1}}}, {'$unwind': '$all'}, {'$limit': 2}",
+        "{'$group': {'_id': None, 'all': {'$push': '$nothing'}, 'n': {'$sum': 1}}}, {'$unwind': '$all'}, {'$unionWith': 'people'}",
     ],
 )
 def test_fused_is_the_same(catalog, tail):
@@ -206,6 +215,9 @@ def test_plans(catalog):
     plan = lambda text: Compiler(catalog, "shop").compile(text).dataframe()._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan(f"db.people.aggregate([{LOOKUP}, {{'$unwind': '$v'}}, {{'$project': {{'id': 1}}}}])")
     assert "LeftAnti" in plan(f"db.people.aggregate([{LOOKUP}, {{'$match': {{'v': {{'$size': 0}}}}}}, {{'$project': {{'id': 1}}}}])")
+    for tail in ("{'$project': {'id': 1, 'n': {'$size': '$v'}}}", "{'$match': {'v.cost': {'$gt': 10}}}, {'$project': {'id': 1}}"):
+        assert "collect_list" not in plan(f"db.people.aggregate([{LOOKUP}, {tail}])")
+    assert "collect_list" not in plan("db.people.aggregate([{'$group': {'_id': None, 'm': {'$avg': '$id'}, 'all': {'$push': '$id'}}}, {'$unwind': '$all'}])")
     first = plan("db.people.aggregate([{'$sort': {'id': -1}}, {'$group': {'_id': '$name', 'x': {'$first': '$id'}}}])")
     assert "Sort" not in first and "min_by" in first
     assert "LeftSemi" in plan("db.people.find({'id': {'$in': db.visits.distinct('pid')}})")
