@@ -214,11 +214,17 @@ def unwind(frame: Frame, spec: Any, context: Context | None = None) -> Frame:
     v = resolve(frame.fields, name)
     if v.kind is None:
         return frame if keep else frame.of(frame.df.filter(F.lit(False)))
-    if "." in name:
-        raise QueryError("$unwind takes a top-level field")
+    head, _, below = name.partition(".")
+    if below and not _documents(frame.fields, name):  # a path is not followed into an array
+        return frame if keep else frame.of(frame.df.filter(F.lit(False)))
     if not isinstance(v.kind, T.ArrayType):
         return frame if keep else frame.of(frame.df.filter(v.column.isNotNull()))
     others = [F.col(quoted(n)) for n in frame.fields]
+    if below:  # the field lies in a document, which stays with the element in it
+        made = (F.posexplode_outer if keep else F.posexplode)(v.column)
+        inner = ".".join(quoted(n) for n in below.split("."))
+        df = frame.df.select("*", made.alias("__at", "__item")).withColumn(head, F.col(quoted(head)).withField(inner, F.col("__item")))
+        return frame.of((df.withColumn(index, F.col("__at").cast("long")) if index else df).drop("__at", "__item"))
     if index:
         made = F.posexplode_outer(v.column) if keep else F.posexplode(v.column)
         df = frame.df.select("*", made.alias("__at", "__item")).withColumn(name, F.col("__item")).withColumn(index, F.col("__at").cast("long")).drop("__at", "__item")
@@ -227,6 +233,12 @@ def unwind(frame: Frame, spec: Any, context: Context | None = None) -> Frame:
     return frame.select([made.alias(n) if n == name else c for n, c in zip(frame.fields, others, strict=True)])
 
 
+def _documents(fields: dict[str, T.DataType], path: str) -> bool:
+    """Whether all of a path but its end are documents."""
+    names = path.split(".")
+    return all(isinstance(resolve(fields, ".".join(names[:i])).kind, T.StructType) for i in range(1, len(names)))
+
+
 def _sides(frame: Frame, spec: dict, context: Context) -> tuple[Frame, Column, Column, Any]:
     """The foreign frame, its key as __key, and the local key, comparable without coercion."""
     if missing := {"from", "localField", "foreignField", "as"} - set(spec):

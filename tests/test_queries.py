@@ -223,6 +223,20 @@ def test_plans(catalog):
     assert "LeftSemi" in plan("db.people.find({'id': {'$in': db.visits.distinct('pid')}})")
 
 
+def test_unwind_inside_a_document(spark):
+    made = Catalog(spark)
+    rows = [(1, ([5, 6], "x")), (2, ([], "y")), (3, None), (4, (None, "z"))]
+    made.register("d", "t", spark.createDataFrame(rows, "id long, a struct<b: array<int>, c: string>"))
+    run = lambda text: Compiler(made, "d").compile(text).materialize()
+    got = run("db.t.aggregate([{'$unwind': '$a.b'}])")
+    assert sorted((r["id"], r["a"]["b"], r["a"]["c"]) for r in got) == [(1, 5, "x"), (1, 6, "x")]
+    got = run("db.t.aggregate([{'$unwind': {'path': '$a.b', 'preserveNullAndEmptyArrays': True, 'includeArrayIndex': 'i'}}, {'$project': {'id': 1, 'i': 1, 'b': '$a.b', 'c': '$a.c'}}])")
+    assert sorted((r["id"], r["i"], r["b"], r["c"]) for r in got if r["id"] < 2) == [(1, 0, 5, "x"), (1, 1, 6, "x")]
+    assert sorted((r["id"], r["i"], r["b"], r["c"] or "") for r in got if r["id"] > 1) == [(2, None, None, "y"), (3, None, None, ""), (4, None, None, "z")]
+    nested = "db.t.aggregate([{'$group': {'_id': None, 'l': {'$push': '$a'}}}, {'$unwind': '$l.b'}])"
+    assert run(nested) == []
+
+
 def test_unwind_and_reshaping(run):
     assert [(r["id"], r["xs"]) for r in run("db.mixed.aggregate([{'$unwind': '$xs'}, {'$project': {'id': 1, 'xs': 1}}])")] == [(1, 1), (1, 2)]
     got = run("db.mixed.aggregate([{'$unwind': {'path': '$xs', 'preserveNullAndEmptyArrays': True, 'includeArrayIndex': 'i'}}, {'$project': {'id': 1, 'xs': 1, 'i': 1}}])")
