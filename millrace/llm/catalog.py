@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_wrappers, licenses, ngram_join, packing, substring_dedup, token_files, topk, toxicity
+from . import centroids, chat, decontaminate, html_wrappers, licenses, ngram_join, packing, pieces, substring_dedup, token_files, topk, toxicity
 
-_MODULES = (token_files, substring_dedup, decontaminate, ngram_join, licenses, html_wrappers, packing, toxicity, chat, topk)
+_MODULES = (token_files, substring_dedup, decontaminate, ngram_join, licenses, html_wrappers, packing, toxicity, chat, topk, pieces, centroids)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
