@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -305,3 +306,14 @@ def encoder(path: str) -> Encoder:
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     """An Arrow batch of Python or NumPy columns under ``schema``."""
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def packed_numbers(numbers: np.ndarray) -> bytes:
+    """Whole numbers below 2 ** 32, compressed: bytes of one weight lie together, so small numbers take little room."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.compress(planes.tobytes(), 3)
+
+
+def unpacked_numbers(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()

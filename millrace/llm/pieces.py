@@ -19,7 +19,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,23 +35,6 @@ _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
 _BLOCKS_DDL = "block string, docs array<bigint>, sizes array<int>, places binary, slots binary, parts array<struct<part: int, lengths: binary, chunks: binary>>"
 
 
-def _zip(data: bytes | np.ndarray) -> bytes:
-    return zstandard.compress(bytes(data) if isinstance(data, bytes) else data.tobytes(), 3)
-
-
-def _unzip(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), kind)
-
-
-def _planes(numbers: np.ndarray) -> bytes:
-    """Small whole numbers, the bytes of one weight together, which compresses well."""
-    return _zip(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T))
-
-
-def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(_unzip(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
 class Model:
     """A sentencepiece model, and whether its texts may be cut into chunks."""
 
@@ -141,7 +123,7 @@ def _blocks(docs: DataFrame, path: str, parts: int) -> DataFrame:
                     rows.append({"part": int(part[by_part[i]]), "lengths": np.array([len(m) for m in mine], "<u4").tobytes(), "chunks": b"".join(mine)})
                 ids = b.column(0).slice(first, len(some))
                 made_blocks += 1  # the table is written once, so its task's number and this one name a block for good
-                yield common.batch(schema, [f"{TaskContext.get().partitionId()}-{made_blocks}"], pa.array([ids.to_pylist()], schema.field("docs").type), [sizes], [_planes(rank[codes])], [_planes(slot[by_count])], [rows])
+                yield common.batch(schema, [f"{TaskContext.get().partitionId()}-{made_blocks}"], pa.array([ids.to_pylist()], schema.field("docs").type), [sizes], [common.packed_numbers(rank[codes])], [common.packed_numbers(slot[by_count])], [rows])
 
     return docs.mapInArrow(common.tidied(work), _BLOCKS_DDL)
 
@@ -167,8 +149,8 @@ def _segmented(parts: DataFrame, path: str) -> DataFrame:
         for r, mine in zip(rows, at, strict=True):
             out["block"].append(r["block"])
             out["part"].append(r["part"])
-            out["counts"].append(_planes(np.array([len(found[i]) for i in mine])))
-            out["ids"].append(_planes(np.concatenate([found[i] for i in mine])))
+            out["counts"].append(common.packed_numbers(np.array([len(found[i]) for i in mine])))
+            out["ids"].append(common.packed_numbers(np.concatenate([found[i] for i in mine])))
         common.release()
         return pa.table(out, pa.schema([("block", pa.string()), ("part", pa.int32()), ("counts", pa.binary()), ("ids", pa.binary())]))
 
@@ -213,14 +195,14 @@ def _joined(docs: DataFrame, path: str, tell, ddl: str) -> DataFrame:
         def work(mine: pa.Table, found: pa.Table) -> pa.Table:
             made, columns = model(path), []
             order = np.argsort(found["part"].to_numpy(), kind="stable").tolist()
-            counts = np.concatenate([np.zeros(0, "<u4"), *[_from_planes(found["counts"][i].as_py()) for i in order]]).astype(np.int64)
-            flat = np.concatenate([np.zeros(0, "<u4"), *[_from_planes(found["ids"][i].as_py()) for i in order]])
+            counts = np.concatenate([np.zeros(0, "<u4"), *[common.unpacked_numbers(found["counts"][i].as_py()) for i in order]]).astype(np.int64)
+            flat = np.concatenate([np.zeros(0, "<u4"), *[common.unpacked_numbers(found["ids"][i].as_py()) for i in order]])
             starts = np.cumsum(counts) - counts
             for row in mine.select(["docs", "sizes", "places", "slots"]).to_pylist():
-                slot = _from_planes(row["slots"]).astype(np.int64)
+                slot = common.unpacked_numbers(row["slots"]).astype(np.int64)
                 size, start = counts[slot], starts[slot]  # by rank
                 words = [" ".join(map(str, flat[i : i + k].tolist())) for i, k in zip(start.tolist(), size.tolist(), strict=True)]
-                places, begin = _from_planes(row["places"]), 0
+                places, begin = common.unpacked_numbers(row["places"]), 0
                 for doc, k in zip(row["docs"], row["sizes"], strict=True):
                     at = places[begin : begin + k]
                     begin += k
