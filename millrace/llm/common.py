@@ -90,7 +90,11 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` as a table of this call."""
-        return _stored(df, f"{self._folder}/{name}-{uuid.uuid4().hex}")
+        return _stored(df, self.path(name))
+
+    def path(self, name: str) -> str:
+        """A new path for a table of this call."""
+        return f"{self._folder}/{name}-{uuid.uuid4().hex}"
 
     def drop(self, name: str) -> None:
         """Delete the tables called ``name``, and let Spark delete shuffle files that nothing refers to."""

@@ -12,13 +12,16 @@ Texts themselves are never shuffled, and a frequent chunk is one row a block.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,12 +29,13 @@ from pyspark.sql import functions as F
 from . import common
 
 MODEL = "piece_bpe_32k.model"
-#: Bytes of the texts of a block, about; a text stays whole.
-BLOCK = 8 << 20
+#: Characters of the texts of a block, about; a text stays whole.
+BLOCK = 32 << 20
 #: Fixed value: the marker that white space becomes.
 MARK = "▁"
 #: A chunk: markers and what follows up to the next, or a line end and what follows (no piece holds one).
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
+_BLOCKS = pa.schema([("block", pa.string()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("places", pa.binary()), ("slots", pa.binary()), ("parts", pa.list_(pa.struct([("part", pa.int32()), ("lengths", pa.binary()), ("chunks", pa.binary())])))])
 _BLOCKS_DDL = "block string, docs array<bigint>, sizes array<int>, places binary, slots binary, parts array<struct<part: int, lengths: binary, chunks: binary>>"
 
 
@@ -94,40 +98,52 @@ def model(path: str) -> Model:
 
 
 def _blocks(docs: DataFrame, path: str, parts: int) -> DataFrame:
-    """Texts in blocks: their chunks by part of the table, and for each place the chunk's rank by frequency in the block."""
+    """Texts in blocks: their chunks by part of the table, and for each place the chunk's rank by frequency in the block.
+
+    A task fills a block from as many batches as it takes; what it keeps of
+    texts is their distinct chunks and a number for each place.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, made_blocks = model(path), 0
-        schema = pa.schema([("block", pa.string()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("places", pa.binary()), ("slots", pa.binary()), ("parts", pa.list_(pa.struct([("part", pa.int32()), ("lengths", pa.binary()), ("chunks", pa.binary())])))])
+        made, done = model(path), 0
+        ids, sizes, codes, size = [], [], [], 0
+        known: dict[str, int] = defaultdict(itertools.count().__next__)
+
+        def block() -> pa.RecordBatch:  # the table is written once, so the numbers of its task and in it name a block for good
+            return _block(f"{TaskContext.get().partitionId()}-{done}", ids, sizes, np.concatenate(codes), [c.encode() for c in known], parts)
+
         for b in batches:
-            texts = pc.fill_null(b.column(1), "")
-            for first, some in common._slices(texts, BLOCK):
-                sizes, flat = [], []
-                for t in some:
-                    found = made.chunks(t.as_py())
-                    sizes.append(len(found))
-                    flat += found
-                coded = pa.array(flat, pa.large_string()).dictionary_encode()
-                del flat
-                codes = coded.indices.to_numpy()
-                names = [c.encode() for c in coded.dictionary.to_pylist()]
-                part = np.fromiter((zlib.crc32(n) % parts for n in names), np.int64, len(names))
-                by_part = np.argsort(part, kind="stable")  # slots: the chunks in order of their part
-                by_count = np.argsort(-np.bincount(codes, minlength=len(names)), kind="stable")
-                slot, rank = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
-                slot[by_part], rank[by_count] = np.arange(len(names)), np.arange(len(names))
-                cuts = np.flatnonzero(np.diff(part[by_part], prepend=-1))
-                rows = []
-                for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(names)], strict=True):
-                    mine = [names[k] for k in by_part[i:j]]
-                    rows.append({"part": int(part[by_part[i]]), "lengths": np.array([len(m) for m in mine], "<u4").tobytes(), "chunks": b"".join(mine)})
-                ids = b.column(0).slice(first, len(some))
-                made_blocks += 1  # the table is written once, so its task's number and this one name a block for good
-                yield common.batch(schema, [f"{TaskContext.get().partitionId()}-{made_blocks}"], pa.array([ids.to_pylist()], schema.field("docs").type), [sizes], [common.packed_numbers(rank[codes])], [common.packed_numbers(slot[by_count])], [rows])
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                t = text.as_py() or ""
+                found = made.chunks(t)
+                ids.append(doc)
+                sizes.append(len(found))
+                codes.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
+                size += len(t)
+                if size >= BLOCK:
+                    yield block()
+                    done += 1
+                    ids, sizes, codes, size = [], [], [], 0
+                    known = defaultdict(itertools.count().__next__)
+        if ids:
+            yield block()
 
     return docs.mapInArrow(common.tidied(work), _BLOCKS_DDL)
 
 
+def _block(key: str, ids: list, sizes: list[int], codes: np.ndarray, names: list[bytes], parts: int) -> pa.RecordBatch:
+    part = [zlib.crc32(n) % parts for n in names]
+    by_part = np.array(sorted(range(len(names)), key=lambda k: (part[k], names[k])), np.int64)  # slots: the chunks in order of their part
+    by_count = np.argsort(-np.bincount(codes, minlength=len(names)), kind="stable")
+    slot, rank = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
+    slot[by_part], rank[by_count] = np.arange(len(names)), np.arange(len(names))
+    rows = []
+    for p, mine in itertools.groupby(by_part.tolist(), part.__getitem__):
+        some = [names[k] for k in mine]
+        rows.append({"part": p, "lengths": common.packed_numbers(np.array([len(n) for n in some])), "chunks": zstandard.compress(b"".join(some), 3)})
+    return common.batch(_BLOCKS, [key], pa.array([ids], _BLOCKS.field("docs").type), [sizes], [common.packed_numbers(rank[codes])], [common.packed_numbers(slot[by_count])], [rows])
+
+
 def _segmented(parts: DataFrame, path: str) -> DataFrame:
     """Of each part of the table and each block the ids of its chunks; every chunk of a part is segmented once.
 
@@ -141,8 +157,8 @@ def _segmented(parts: DataFrame, path: str) -> DataFrame:
         known: dict[bytes, int] = {}
         at = []
         for r in rows:
-            ends = np.cumsum(np.frombuffer(r["lengths"], "<u4"), dtype=np.int64).tolist()
-            text = r["chunks"]
+            ends = np.cumsum(common.unpacked_numbers(r["lengths"]), dtype=np.int64).tolist()
+            text = zstandard.decompress(r["chunks"])
             at.append([known.setdefault(text[i:j], len(known)) for i, j in zip([0, *ends[:-1]], ends, strict=True)])
         found = [np.array(x, "<u4") for x in made.segment([c.decode() for c in known])]
         out = {"block": [], "part": [], "counts": [], "ids": []}
@@ -188,7 +204,11 @@ def _joined(docs: DataFrame, path: str, tell, ddl: str) -> DataFrame:
     spark = docs.sparkSession
     n = common.shuffle_partitions(spark)
     with common.Scratch(spark) as tmp:
-        blocks = tmp.keep(_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path, n), "blocks")
+        # dealt by block into as many files as a shuffle has partitions: the answers go to the blocks, which stay where they are
+        name = f"millrace_pieces_{uuid.uuid4().hex}"
+        made = _blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path, n)
+        made.write.format("parquet").bucketBy(n, "block").option("path", tmp.path("blocks")).saveAsTable(name)
+        blocks = spark.table(name)
         asked = blocks.select("block", F.explode("parts").alias("p")).select("block", "p.*")
         answers = _segmented(asked, path)
 
@@ -218,7 +238,10 @@ def _joined(docs: DataFrame, path: str, tell, ddl: str) -> DataFrame:
             return pa.table([pa.array([c[i] for c in columns], schema.field(i).type) for i in range(len(names))], schema=schema)
 
         places = blocks.select("block", "docs", "sizes", "places", "slots")
-        return common.written(places.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, ddl), "pieces")
+        try:
+            return common.written(places.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, ddl), "pieces")
+        finally:
+            spark.sql(f"DROP TABLE {name}")
 
 
 def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

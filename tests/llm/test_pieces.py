@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 
 from millrace.llm import common, pieces
 
@@ -54,13 +55,14 @@ def test_each_chunk_has_one_part(spark, monkeypatch):
     distinct = {c for i in range(60) for c in made.chunks(f"all these words and {i % 7} more\nlines")}
     blocks = pieces._blocks(docs, PATH, 4)
     asked = blocks.selectExpr("block", "explode(parts) p").select("block", "p.*")
-    sizes = [r["n"] for r in asked.selectExpr("length(lengths) / 4 AS n").collect()]
-    assert sum(sizes) > 3 * len(distinct)  # the blocks ask again and again
     per_part = {}
+    n = 0
     for r in asked.collect():
-        ends = np.cumsum(np.frombuffer(r["lengths"], "<u4")).tolist()
+        ends = np.cumsum(common.unpacked_numbers(r["lengths"])).tolist()
+        n += len(ends)
         for i, j in zip([0, *ends[:-1]], ends, strict=True):
-            per_part.setdefault(bytes(r["chunks"][i:j]).decode(), set()).add(r["part"])
+            per_part.setdefault(zstandard.decompress(r["chunks"])[i:j].decode(), set()).add(r["part"])
+    assert n > 3 * len(distinct)  # the blocks ask again and again
     assert set(per_part) == distinct and all(len(p) == 1 for p in per_part.values())
 
 
@@ -69,3 +71,21 @@ def test_models_that_may_not_be_cut(spark, lib, docs, monkeypatch):
     monkeypatch.setattr(pieces.Model, "_fits", lambda self: False)
     made = pieces.Model(PATH)
     assert made.chunks("a  b") == ["a  b"] and made.segment(["a  b"]) == [lib.encode("a  b")]
+
+
+def test_blocks_stay_where_they_are(spark, docs):
+    """The blocks are read by bucket: only chunks and their ids are shuffled."""
+    spark.sql("SET spark.sql.adaptive.enabled = false")
+    try:
+        seen, plain = [], common.written
+
+        def told(df, name):
+            seen.append(df._jdf.queryExecution().executedPlan().toString())
+            return plain(df, name)
+
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(common, "written", told)
+            pieces.digests(docs[0], PATH)
+        assert seen[0].count("Exchange hashpartitioning") == 2 and "Bucketed: true" in seen[0]
+    finally:
+        spark.sql("SET spark.sql.adaptive.enabled = true")
