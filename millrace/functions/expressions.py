@@ -17,7 +17,8 @@ class Scope:
     """The fields and variables that an expression sees."""
 
     def __init__(self, fields: dict[str, T.DataType], variables: dict[str, Value] | None = None):
-        self.fields, self.variables = fields, variables or {}
+        self.fields = fields
+        self.variables = getattr(fields, "variables", {}) if variables is None else variables
 
     def root(self) -> Value:
         return document({name: resolve(self.fields, name) for name in self.fields})

@@ -42,14 +42,16 @@ def accumulate(spec: Any, scope: Scope, order: Column | None) -> Value:
     if op == "$push":
         if v.kind is None:
             return Value(F.array_compact(F.collect_list(F.lit(None).cast("string"))), T.ArrayType(T.StringType()))
-        wrapped = F.collect_list(F.struct(v.column.alias("v")))  # a list drops bare nulls
+        there = lambda c: c if v.present is None else F.when(v.present, c)  # noqa: E731 - a list drops bare nulls, and so what is missing
+        wrapped = F.collect_list(there(F.struct(v.column.alias("v"))))
         if order is not None:
-            wrapped = F.array_sort(F.collect_list(F.struct(order.alias("o"), v.column.alias("v"))))
+            wrapped = F.array_sort(F.collect_list(there(F.struct(order.alias("o"), v.column.alias("v")))))
         return Value(F.transform(wrapped, lambda x: x["v"]), T.ArrayType(v.kind))
     if op == "$addToSet":
         if v.kind is None:
             return Value(F.collect_set(F.lit(None).cast("string")), T.ArrayType(T.StringType()))
-        return Value(F.transform(F.collect_set(F.struct(v.column.alias("v"))), lambda x: x["v"]), T.ArrayType(v.kind))
+        one = F.struct(v.column.alias("v"))
+        return Value(F.transform(F.collect_set(one if v.present is None else F.when(v.present, one)), lambda x: x["v"]), T.ArrayType(v.kind))
     if op in ("$stdDevPop", "$stdDevSamp"):
         return Value((F.stddev_pop if op == "$stdDevPop" else F.stddev_samp)(v.column), T.DoubleType()) if v.bracket == "number" else literal_aggregate(None)
     raise QueryError(f"unknown group operator '{op}'")

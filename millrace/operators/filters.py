@@ -110,7 +110,9 @@ def _order(v: Value, op: str, value: Value) -> Column:
 
 
 def _exists(at: Value) -> Column:
-    """Fields exist for all documents or none; below an array some element must have the field."""
+    """Whether a document has the field; below an array some element must have it."""
     if at.kind is None:
         return F.lit(False)
-    return F.lit(True) if not isinstance(at.kind, T.ArrayType) else _known(F.size(at.column) >= 0)
+    if at.some is not None:
+        return at.some
+    return F.lit(True) if at.present is None else at.present

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import quoted
+from ..functions.values import HAS, Fields, Value, quoted, resolve, shown
 
 #: Columns of this prefix carry the order of the rows and are no fields of a document; those with a d behind it rank downwards.
 HIDDEN = "__natural_"
 DOWN = f"{HIDDEN}d"
+#: Columns of this prefix carry the variables of a pipeline inside a lookup: all it does is done for each of their tuples.
+CARRIED = "__carried_"
 
 
 @dataclass(frozen=True)
@@ -21,15 +23,22 @@ class Frame:
     #: Whether the rows lie in order, and whether a $sort gave that order, so that a result has to show it.
     sorted: bool = False
     ranked: bool = False
+    #: The variables that stages see, and the columns that carry them.
+    variables: dict[str, str] = field(default_factory=dict)
 
     @property
-    def fields(self) -> dict[str, T.DataType]:
-        return {f.name: f.dataType for f in self.df.schema if not f.name.startswith(HIDDEN)}
+    def fields(self) -> Fields:
+        own = {name: Value(F.col(c), self.df.schema[c].dataType) for name, c in self.variables.items()}
+        return Fields.of(self.df.schema, (HIDDEN, CARRIED), own)
 
     @property
     def hidden(self) -> list[str]:
         return [n for n in self.df.columns if n.startswith(HIDDEN)]
 
+    @property
+    def carried(self) -> list[str]:
+        return [n for n in self.df.columns if n.startswith(CARRIED)]
+
     def natural(self) -> list[Column]:
         """The order of the rows: that of the last $sort, then the collection's order or a group's key."""
         if self.hidden:
@@ -40,9 +49,17 @@ class Frame:
     def of(self, df: DataFrame, sorted: bool | None = None) -> Frame:
         return replace(self, df=df, sorted=self.sorted if sorted is None else sorted)
 
-    def select(self, columns: list[Column]) -> Frame:
-        """The given fields and the natural order."""
-        return self.of(self.df.select(*columns, *self.hidden))
+    def values(self) -> dict[str, Value]:
+        """The fields with their columns."""
+        fields = self.fields
+        return {name: resolve(fields, name) if "." not in name else Value(F.col(quoted(name)), kind) for name, kind in fields.items()}
+
+    def show(self, values: dict[str, Value], df: DataFrame | None = None, sorted: bool | None = None) -> Frame:
+        """Documents of the given fields, with the order and variables they had; fields that are missing in all are left out."""
+        own = {n: v for n, v in values.items() if v.kind is not None}
+        there = [v.present.alias(HAS + n) for n, v in own.items() if v.present is not None]
+        df = self.df if df is None else df
+        return self.of(df.select(*[v.column.alias(n) for n, v in own.items()], *there, *self.carried, *self.hidden), sorted)
 
     def by(self, keys: list[tuple[Column, bool]]) -> Frame:
         """The rows in the order of ``keys`` (a column, and whether it ranks upwards); ties keep the order from before the last $sort.
@@ -52,19 +69,25 @@ class Frame:
         base = [n for n in self.hidden if not n.startswith((DOWN, f"{HIDDEN}u"))]
         kept = [F.col(n) for n in base] or [c.alias(f"{HIDDEN}0") for c in self.natural() if not self.hidden]
         made = [c.alias(f"{HIDDEN}u{i}" if up else f"{DOWN}{i}") for i, (c, up) in enumerate(keys)]
-        fields = [F.col(quoted(n)) for n in self.fields]
-        return replace(self, df=self.df.select(*fields, *made, *kept), sorted=False, ranked=True)
+        rest = [F.col(quoted(n)) for n in self.df.columns if not n.startswith(HIDDEN)]
+        return replace(self, df=self.df.select(*rest, *made, *kept), sorted=False, ranked=True)
 
-    def visible(self) -> DataFrame:
-        """The fields alone, in order after a $sort; those that are null in every document are of string type."""
-        df = self.df.orderBy(*self.natural()) if self.ranked and not self.sorted and self.hidden else self.df
+    def documents(self) -> DataFrame:
+        """The fields, and what tells which documents have them, in order after a $sort; those that are null in every document are of string type."""
+        df = self.df.orderBy(*self.natural()) if self.ranked and not self.sorted and self.hidden and not self.carried else self.df
         columns = []
         for name, kind in self.fields.items():
             c = F.col(quoted(name))
             columns.append(c.cast("string").alias(name) if isinstance(kind, T.NullType) else c)
-        return df.select(*columns)
+        return df.select(*columns, *[F.col(quoted(HAS + n)) for n in self.fields if n in self.fields.ragged])
+
+    def visible(self) -> DataFrame:
+        """The fields alone; a field that a document lacks is null."""
+        df = self.documents()
+        return df.select(*[shown(F.col(quoted(f.name)), f.dataType).alias(f.name) for f in df.schema if not f.name.startswith(HAS)])
 
 
 def scan(df: DataFrame, order: list[str]) -> Frame:
-    """A collection's frame; ``order`` names the columns that its documents are stored by."""
-    return Frame(df.select("*", *[F.col(quoted(c)).alias(f"{HIDDEN}{i}") for i, c in enumerate(order)]))
+    """A collection's frame; ``order`` names the columns that its documents are stored by. Such with two low lines in front are no fields of theirs."""
+    own = [F.col(quoted(c)) for c in df.columns if not (c in order and c.startswith("__"))]
+    return Frame(df.select(*own, *[F.col(quoted(c)).alias(f"{HIDDEN}{i}") for i, c in enumerate(order)]))

@@ -64,16 +64,18 @@ def neighbours(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     ``queries`` holds id and vector, ``pool`` id, vector and label. Blocks of both
     meet in the cluster, each in a task that keeps a query's k best of the block;
     those are merged. Fewer than k in the pool give fewer rows. Vectors that are
-    null, zero or hold a null or NaN take no part.
+    null, zero or hold a null, a NaN or an infinity take no part; those of
+    another length than the query's are no neighbours of it.
     """
     vector = F.col("vector").cast("array<double>").alias("vector")
-    asked, offered = queries.where("vector IS NOT NULL").select("id", vector), pool.where("vector IS NOT NULL").select("id", vector, "label")
+    whole = F.col("vector").isNotNull() & ~F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    asked, offered = (df.select("id", vector, *more).where(whole).withColumn("length", F.size("vector")) for df, more in ((queries, []), (pool, ["label"])))
     blocks, parts = (max(1, -(-df.count() // size)) for df, size in ((asked, QUERY_BLOCK), (offered, POOL_BLOCK)))
     dealt = lambda n: F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.withColumn("block", dealt(blocks)).withColumn("part", every(parts)).withColumnRenamed("id", "query_id")
     right = offered.withColumn("part", dealt(parts)).withColumn("block", every(blocks)).withColumn("pooled", F.lit(True))
-    both = left.unionByName(right, allowMissingColumns=True).groupBy("block", "part")
+    both = left.unionByName(right, allowMissingColumns=True).groupBy("block", "part", "length")
     kinds = [queries.schema["id"].dataType, pool.schema["id"].dataType, pool.schema["label"].dataType, T.DoubleType()]
     made = T.StructType([T.StructField(n, kind) for n, kind in zip(("query_id", "id", "label", "score"), kinds, strict=True)])
     found = both.applyInArrow(_nearest(k, to_arrow_schema(made)), made)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, Window
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import Scope, evaluate, truth
-from ..functions.values import Value, document, quoted, resolve
+from ..functions.values import HAS, Fields, Value, bracket, common_number, document, quoted, resolve
 from ..plans.ir import Chain, CountLookup, ExistsLookup, FlatLookup, QueryError, SpreadGroup, Stage
 from .accumulators import accumulate
 from .filters import condition
-from .frame import DOWN, HIDDEN, Frame
+from ..session import stored
+from .frame import CARRIED, DOWN, HIDDEN, Frame
 
 
 class Context:
@@ -64,23 +66,21 @@ def project(frame: Frame, spec: dict, context: Context | None = None) -> Frame:
     if any(not v and k != "_id" for k, v in flag.items()):
         raise QueryError("a projection cannot both keep and leave out fields")
     scope = Scope(fields)
-    out: dict[str, Column] = {}
+    out: dict[str, Value] = {}
     if flag.get("_id", True) and "_id" in fields and "_id" not in computed:
-        out["_id"] = F.col("_id")
-    if "_id" in computed and (v := evaluate(computed["_id"], scope)).kind is not None:
-        out["_id"] = v.column
-    for name in fields:
+        out["_id"] = resolve(fields, "_id")
+    if "_id" in computed:
+        out["_id"] = evaluate(computed["_id"], scope)
+    for name, value in frame.values().items():
         if name == "_id":
             continue
         inner = [k[len(name) + 1 :] for k in kept if k.startswith(name + ".")]
         if name in kept:
-            out[name] = F.col(quoted(name))
-        elif inner and (v := _narrow(resolve(fields, name), inner)).kind is not None:
-            out[name] = v.column
-    for name, x in computed.items():
-        if name != "_id" and (v := evaluate(x, scope)).kind is not None:
-            out[name] = v.column
-    return frame.select([c.alias(n) for n, c in out.items()])
+            out[name] = value
+        elif inner:
+            out[name] = _narrow(value, inner)
+    out |= {name: evaluate(x, scope) for name, x in computed.items() if name != "_id"}
+    return frame.show(out)
 
 
 def _narrow(at: Value, paths: list[str]) -> Value:
@@ -89,21 +89,22 @@ def _narrow(at: Value, paths: list[str]) -> Value:
         kind = _narrow(Value(at.column, at.kind.elementType), paths).kind
         if kind is None:
             return Value(at.column, None)
-        return Value(F.transform(at.column, lambda x: _narrow(Value(x, at.kind.elementType), paths).column), T.ArrayType(kind))
+        return Value(F.transform(at.column, lambda x: _narrow(Value(x, at.kind.elementType), paths).column), T.ArrayType(kind), at.present)
     if not isinstance(at.kind, T.StructType):
         return Value(at.column, None)
+    inner = Value(at.column, at.kind, full=True)  # fields of a document that is not null
     own: dict[str, Value] = {}
     for name in at.kind.names:
         if name in paths:
-            own[name] = Value(at.column.getField(name), at.kind[name].dataType)
-        elif inner := [p[len(name) + 1 :] for p in paths if p.startswith(name + ".")]:
-            own[name] = _narrow(Value(at.column.getField(name), at.kind[name].dataType), inner)
+            own[name] = resolve({}, name, inner)
+        elif below := [p[len(name) + 1 :] for p in paths if p.startswith(name + ".")]:
+            own[name] = _narrow(resolve({}, name, inner), below)
     made = document(own)
-    return Value(F.when(at.column.isNotNull(), made.column), made.kind)
+    return Value(F.when(at.column.isNotNull(), made.column), made.kind, at.present)
 
 
 def _without(frame: Frame, names: list[str]) -> Frame:
-    df = frame.df.drop(*[n for n in names if n in frame.fields])
+    df = frame.df.drop(*[n for n in names if n in frame.fields], *[HAS + n for n in names])
     for n in names:
         head, _, rest = n.partition(".")
         if rest and isinstance(frame.fields.get(head), T.StructType):
@@ -112,14 +113,31 @@ def _without(frame: Frame, names: list[str]) -> Frame:
 
 
 def add_fields(frame: Frame, spec: dict, context: Context | None = None) -> Frame:
-    """$addFields and $set: new or replaced top-level fields."""
+    """$addFields and $set: new or replaced fields. A dotted name goes into a document, which is made where there is none."""
     scope = Scope(frame.fields)
-    made = {k: evaluate(v, scope) for k, v in spec.items()}
-    if any("." in k for k in made):
-        raise QueryError("$addFields takes top-level fields")
-    columns = [made[n].column.alias(n) if n in made and made[n].kind is not None else F.col(quoted(n)) for n in frame.fields if n not in made or made[n].kind is not None]
-    columns += [v.column.alias(n) for n, v in made.items() if n not in frame.fields and v.kind is not None]
-    return frame.select(columns)
+    out = frame.values()
+    for name, x in spec.items():
+        head, *rest = name.split(".")
+        made = evaluate(x, scope)
+        if not rest:
+            out[head] = made
+        elif made.kind is not None:
+            out[head] = _put(out.get(head), rest, made)
+    return frame.show(out)
+
+
+def _put(at: Value | None, path: list[str], made: Value) -> Value:
+    """A document with a value at a path inside; what is no document gives way to one, and an array gets it in each of its elements."""
+    if at is not None and isinstance(at.kind, T.ArrayType):
+        element = at.kind.elementType
+        kind = _put(Value(F.lit(None), element), path, made).kind
+        return Value(F.transform(at.column, lambda x: _put(Value(x, element), path, made).column), T.ArrayType(kind), at.present)
+    inner = Value(at.column, at.kind, full=True) if at is not None and isinstance(at.kind, T.StructType) else None
+    own = {n: resolve({}, n, inner) for n in at.kind.names if not n.startswith(HAS)} if inner else {}
+    own[path[0]] = made if len(path) == 1 else _put(own.get(path[0]), path[1:], made)
+    if inner and not at.full:  # the fields of a null are missing in the document that takes its place
+        own |= {n: Value(v.column, v.kind, at.column.isNotNull() if v.present is None else v.present & at.column.isNotNull()) for n, v in own.items() if n != path[0]}
+    return document(own)
 
 
 def sort(frame: Frame, spec: Any, context: Context | None = None) -> Frame:
@@ -153,15 +171,33 @@ def _sort_keys(frame: Frame, spec: Any) -> list[tuple[Column, bool]]:
 def limit(frame: Frame, n: int, context: Context | None = None) -> Frame:
     if not isinstance(n, int) or isinstance(n, bool) or n < 0:
         raise QueryError("a limit must be a whole number")
+    if frame.carried:
+        return _placed(frame, lambda place: place <= n)
     return frame.of(_ordered(frame).limit(n), sorted=True)
 
 
+def limit_stage(frame: Frame, n: int, context: Context | None = None) -> Frame:
+    """$limit, which must keep something."""
+    if n == 0 and not isinstance(n, bool):
+        raise QueryError("the limit must be positive")
+    return limit(frame, n)
+
+
 def skip(frame: Frame, n: int, context: Context | None = None) -> Frame:
     if not isinstance(n, int) or isinstance(n, bool) or n < 0:
         raise QueryError("a number to skip must be whole")
+    if frame.carried:
+        return _placed(frame, lambda place: place > n)
     return frame.of(_ordered(frame).offset(n), sorted=True)
 
 
+def _placed(frame: Frame, keep: Callable[[Column], Column]) -> Frame:
+    """The rows of each tuple of variables whose place in their order is to be kept."""
+    order = frame.natural() or [F.lit(1)]
+    place = F.row_number().over(Window.partitionBy(*frame.carried).orderBy(*order))
+    return frame.of(frame.df.withColumn("__place", place).filter(keep(F.col("__place"))).drop("__place"), sorted=False)
+
+
 def _ordered(frame: Frame) -> Any:
     return frame.df if frame.sorted or not frame.hidden else frame.df.orderBy(*frame.natural())
 
@@ -177,11 +213,11 @@ def group(frame: Frame, spec: dict, context: Context | None = None) -> Frame:
         frame, order = _rank(frame, column)
     scope = Scope(frame.fields)
     made = {name: accumulate(a, scope, order) for name, a in spec.items() if name != "_id"}
-    grouped = frame.df.groupBy(column.alias("_id"))
+    grouped = frame.df.groupBy(*frame.carried, column.alias("_id"))
     if not made:
-        return Frame(grouped.agg(F.count(F.lit(1)).alias("__n")).drop("__n"))
+        return Frame(grouped.agg(F.count(F.lit(1)).alias("__n")).drop("__n"), variables=frame.variables)
     df = grouped.agg(*[(v.column.cast("string") if isinstance(v.kind, T.NullType) else v.column).alias(n) for n, v in made.items()])
-    return Frame(df)
+    return Frame(df, variables=frame.variables)
 
 
 def _rank(frame: Frame, key: Column) -> tuple[Frame, Column]:
@@ -197,9 +233,10 @@ def _rank(frame: Frame, key: Column) -> tuple[Frame, Column]:
             parts.append(c)
         elif isinstance(kind, T.BooleanType | T.NumericType | T.TimestampType | T.TimestampNTZType):
             number = c if isinstance(kind, T.NumericType) else c.cast("int") if isinstance(kind, T.BooleanType) else F.unix_micros(c.cast("timestamp"))
-            parts += [c.isNull(), -(number.cast("decimal(20,0)") if isinstance(kind, T.LongType) else number)]
+            whole = isinstance(kind, T.IntegralType) or not isinstance(kind, T.NumericType | T.BooleanType)
+            parts += [c.isNull(), -(number.cast("decimal(20,0)") if whole else number)]  # the least number has no negative of its own type
         else:
-            numbered = frame.df.withColumn(f"{HIDDEN}rank", F.row_number().over(Window.partitionBy(key).orderBy(*frame.natural())))
+            numbered = frame.df.withColumn(f"{HIDDEN}rank", F.row_number().over(Window.partitionBy(*frame.carried, key).orderBy(*frame.natural())))
             return frame.of(numbered), F.col(f"{HIDDEN}rank")
     return frame, F.struct(*parts)
 
@@ -218,19 +255,30 @@ def unwind(frame: Frame, spec: Any, context: Context | None = None) -> Frame:
     if below and not _documents(frame.fields, name):  # a path is not followed into an array
         return frame if keep else frame.of(frame.df.filter(F.lit(False)))
     if not isinstance(v.kind, T.ArrayType):
-        return frame if keep else frame.of(frame.df.filter(v.column.isNotNull()))
-    others = [F.col(quoted(n)) for n in frame.fields]
+        frame = frame if keep else frame.of(frame.df.filter(v.column.isNotNull()))
+        return frame.show(frame.values() | {index: Value(F.lit(None).cast("long"), T.LongType())}) if index else frame
+    explode = (F.posexplode_outer if keep else F.posexplode)(v.column)
+    df = frame.df.select("*", explode.alias("__at", "__item"))
+    out = frame.values()
+    item = Value(F.col("__item"), v.kind.elementType)
+    if keep:  # an empty array goes, and with it the field
+        there = F.coalesce(F.size(v.column) != 0, F.lit(True))
+        item = Value(item.column, item.kind, there if v.present is None else v.present & there)
     if below:  # the field lies in a document, which stays with the element in it
-        made = (F.posexplode_outer if keep else F.posexplode)(v.column)
         inner = ".".join(quoted(n) for n in below.split("."))
-        df = frame.df.select("*", made.alias("__at", "__item")).withColumn(head, F.col(quoted(head)).withField(inner, F.col("__item")))
-        return frame.of((df.withColumn(index, F.col("__at").cast("long")) if index else df).drop("__at", "__item"))
+        at = out[head]
+        out[head] = Value(at.column.withField(inner, item.column), _with(at.kind, below.split("."), item.kind), at.present)
+    else:
+        out[name] = item
     if index:
-        made = F.posexplode_outer(v.column) if keep else F.posexplode(v.column)
-        df = frame.df.select("*", made.alias("__at", "__item")).withColumn(name, F.col("__item")).withColumn(index, F.col("__at").cast("long")).drop("__at", "__item")
-        return frame.of(df)
-    made = F.explode_outer(v.column) if keep else F.explode(v.column)
-    return frame.select([made.alias(n) if n == name else c for n, c in zip(frame.fields, others, strict=True)])
+        out[index] = Value(F.col("__at").cast("long"), T.LongType())
+    return frame.show(out, df)
+
+
+def _with(kind: T.StructType, path: list[str], leaf: T.DataType) -> T.StructType:
+    """The type of a document whose field at ``path`` is of another type."""
+    first, *rest = path
+    return T.StructType([T.StructField(f.name, (_with(f.dataType, rest, leaf) if rest else leaf) if f.name == first else f.dataType) for f in kind])
 
 
 def _documents(fields: dict[str, T.DataType], path: str) -> bool:
@@ -239,57 +287,250 @@ def _documents(fields: dict[str, T.DataType], path: str) -> bool:
     return all(isinstance(resolve(fields, ".".join(names[:i])).kind, T.StructType) for i in range(1, len(names)))
 
 
-def _sides(frame: Frame, spec: dict, context: Context) -> tuple[Frame, Column, Column, Any]:
-    """The foreign frame, its key as __key, and the local key, comparable without coercion."""
-    if missing := {"from", "localField", "foreignField", "as"} - set(spec):
+#: Brackets of values that are not there.
+_EMPTY = ("missing", "null")
+
+
+def _meeting(local: Value, other: Value) -> tuple[Column, Column]:
+    """Two columns that are equal, null to null, where the values match. Null matches null and missing; different types never match."""
+    if local.bracket == other.bracket and local.bracket not in _EMPTY:
+        return local.column, other.column
+    mark = lambda v: F.when(F.lit(True) if v.bracket in _EMPTY else v.column.isNull(), F.lit(1))
+    return F.coalesce(mark(local), F.lit(2)), F.coalesce(mark(other), F.lit(3))
+
+
+def _sides(frame: Frame, spec: dict, context: Context) -> tuple[Fields, Column, Column, Any]:
+    """The foreign fields, the local and the foreign key, which are comparable without coercion, and the foreign rows."""
+    if "startWith" in spec:
+        return _reached(frame, spec, context)
+    needed = {"from", "as"} | (set() if "pipeline" in spec and not {"localField", "foreignField"} & set(spec) else {"localField", "foreignField"})
+    if missing := needed - set(spec):
         raise QueryError(f"$lookup needs {', '.join(sorted(missing))}")
     foreign = context.collection(spec["from"])
+    if "pipeline" in spec:
+        return _correlated(frame, foreign, spec, context)
     local, other = resolve(frame.fields, spec["localField"]), resolve(foreign.fields, spec["foreignField"])
-    if isinstance(local.kind, T.ArrayType):
-        raise QueryError("$lookup from an array field is not supported; unwind it first")
-    df = foreign.visible()
+    df = foreign.documents()
+    whole = other
     if isinstance(other.kind, T.ArrayType):  # a foreign array matches by any element
-        df = df.withColumn("__key", F.explode_outer(F.array_distinct(other.column)))
+        df = df.withColumn("__key", F.explode(F.coalesce(F.array_distinct(other.column), F.array(F.lit(None).cast(other.kind.elementType)))))
         other = Value(F.col("__key"), other.kind.elementType)
-    empty = ("missing", "null")
-    if local.bracket == other.bracket and local.bracket not in empty:
-        return foreign, local.column, other.column, df
-    # of different types only null and missing meet
-    mark = lambda v: F.when(F.lit(True) if v.bracket in empty else v.column.isNull(), F.lit(1))
-    return foreign, F.coalesce(mark(local), F.lit(2)), F.coalesce(mark(other), F.lit(3)), df
+    if isinstance(local.kind, T.ArrayType):
+        return foreign.fields, local.column, F.col("__array"), _by_elements(frame, local, whole, other, df)
+    return foreign.fields, *_meeting(local, other), df
+
 
+def _by_elements(frame: Frame, local: Value, whole: Value, other: Value, df: Any) -> Any:
+    """The foreign rows that an array's elements match, with the array as __array, each once for each different array.
 
-def _needed(fields: dict[str, T.DataType], below: set[str] | None) -> list[str]:
+    Which rows match depends on the array alone, so equal arrays are joined
+    once, and no row needs a number to find its matches again. A null array
+    matches as null does, an empty one nothing. A foreign array that meets
+    several elements counts by the first of them.
+    """
+    element = local.kind.elementType
+    arrays = frame.df.select(local.column.alias("__array")).distinct()
+    each = arrays.withColumn("__mine", F.explode(F.coalesce(F.array_distinct("__array"), F.array(F.lit(None).cast(element)))))
+    mine, theirs = _meeting(Value(F.col("__mine"), element), other)
+    found = each.join(df.withColumn("__theirs", theirs), mine.eqNullSafe(F.col("__theirs")))
+    if isinstance(whole.kind, T.ArrayType) and bracket(element) == other.bracket:
+        both = T.ArrayType(common_number(element, other.kind) if other.bracket == "number" else element)
+        meet = F.array_intersect(F.coalesce(F.array_distinct(whole.column), F.array(F.lit(None).cast(other.kind))).cast(both), F.coalesce(F.col("__array"), F.array(F.lit(None).cast(element))).cast(both))
+        found = found.filter(F.get(meet, F.lit(0)).eqNullSafe(F.col("__key").cast(both.elementType)))
+    return found.drop("__mine", "__theirs")
+
+
+def _conjuncts(spec: Any) -> list:
+    return [c for part in spec["$and"] for c in _conjuncts(part)] if isinstance(spec, dict) and list(spec) == ["$and"] and isinstance(spec["$and"], list) else [spec]
+
+
+def _reads(spec: Any) -> tuple[bool, bool]:
+    """Whether an expression reads fields, and whether variables of the lookup (whose names are not system ones)."""
+    match spec:
+        case str() if spec.startswith("$$"):
+            return spec[2:].partition(".")[0] in ("ROOT", "CURRENT"), spec[2:].partition(".")[0] not in ("ROOT", "CURRENT")
+        case str() if spec.startswith("$"):
+            return True, False
+        case dict() if "$literal" in spec:
+            return False, False
+        case dict() | list() | tuple():
+            each = [_reads(x) for x in (spec.values() if isinstance(spec, dict) else spec)]
+            return any(f for f, _ in each), any(v for _, v in each)
+    return False, False
+
+
+def _correlated(frame: Frame, foreign: Frame, spec: dict, context: Context) -> tuple[Fields, Column, Column, Any]:
+    """A lookup with a pipeline: its result for each different tuple of variables, with the tuple as __tuple.
+
+    The pipeline runs once over all tuples. Of its first filters, equalities of
+    a field and a variable join foreign rows to the tuples, and others of
+    variables are conditions of that join; those of fields alone filter before
+    it. What follows is done for each tuple: groups and counts by it, limits by
+    the place in its order.
+    """
+    scope = Scope(frame.fields)
+    values = {n: evaluate(x, scope) for n, x in (spec.get("let") or {}).items()}
+    outer = {n: Value(F.col(c), frame.df.schema[c].dataType) for n, c in frame.variables.items() if n not in values}
+    values = outer | values
+    if "localField" in spec:
+        values["__local"] = resolve(frame.fields, spec["localField"])
+    depth = 1 + max((int(c[len(CARRIED) :].partition("_")[0]) for c in frame.carried), default=0)
+    kind_of = lambda v: T.StringType() if v.bracket in _EMPTY else v.kind
+    names = {n: f"{CARRIED}{depth}_{i}" for i, n in enumerate(values)}
+    made = {names[n]: Value(v.column.cast("string") if v.bracket in _EMPTY else v.column, kind_of(v)) for n, v in values.items()}
+    tuples = frame.df.select(*[v.column.alias(c) for c, v in made.items()]).distinct() if made else None
+    # what a variable is, inside; a value that is missing or null for all stays so
+    inside = {n: Value(F.col(names[n]), v.kind if v.bracket not in _EMPTY else T.NullType()) for n, v in values.items()}
+
+    rest = list(spec["pipeline"])
+    keys, conditions = [], []
+    plain = foreign
+    if "localField" in spec:
+        local, other = inside["__local"], resolve(foreign.fields, spec["foreignField"])
+        if isinstance(local.kind, T.ArrayType) or isinstance(other.kind, T.ArrayType):
+            raise QueryError("$lookup with a pipeline takes no arrays as localField or foreignField")
+        a, b = _meeting(local, other)
+        keys.append((a, b))
+    while rest and isinstance(rest[0], dict) and list(rest[0]) == ["$match"]:
+        test = dict(rest.pop(0)["$match"])
+        expression = test.pop("$expr", None)
+        if test:
+            plain = matching(plain, test, context)
+        for c in _conjuncts(expression) if expression is not None else []:
+            if not _reads(c)[1]:
+                plain = matching(plain, {"$expr": c}, context)
+                continue
+            pair = _equality(c, plain.fields, inside)
+            keys.append(pair) if pair else conditions.append(c)
+    if tuples is None:
+        joined = plain.df
+    else:
+        variables = {n: v for n, v in inside.items()}
+        seen = Scope(Fields.of(plain.df.schema, (HIDDEN, CARRIED), variables))
+        right = plain.df.select("*", *[b.alias(f"__key{i}") for i, (_, b) in enumerate(keys)])
+        on = [a.eqNullSafe(F.col(f"__key{i}")) for i, (a, _) in enumerate(keys)] + [truth(evaluate(c, seen)) for c in conditions]
+        joined = tuples.join(right, on, "inner") if on else tuples.crossJoin(right)
+        joined = joined.drop(*[f"__key{i}" for i in range(len(keys))])
+    begun = Frame(joined, plain.sorted, plain.ranked, {n: c for n, c in names.items() if n != "__local"})
+    ended = context.pipeline(begun, rest)
+    columns = [F.col(quoted(n)) for n in ended.df.columns if not n.startswith((HIDDEN, CARRIED))]
+    if not made:
+        return ended.fields, F.lit(1), F.lit(1), ended.df.select(*columns)
+    return ended.fields, F.struct(*[v.column.alias(c) for c, v in made.items()]), F.col("__tuple"), ended.df.select(*columns, F.struct(*made).alias("__tuple"))
+
+
+def _equality(c: Any, fields: Fields, inside: dict[str, Value]) -> tuple[Column, Column] | None:
+    """The two columns that an equality of a variable and a field compares, or None if it is something else."""
+    if not (isinstance(c, dict) and list(c) == ["$eq"] and isinstance(c["$eq"], list) and len(c["$eq"]) == 2):
+        return None
+    a, b = c["$eq"]
+    if _reads(a) == (True, False):
+        a, b = b, a
+    if _reads(a) != (False, True) or _reads(b) != (True, False):
+        return None
+    left, right = evaluate(a, Scope({}, inside)), evaluate(b, Scope(fields, {}))
+    return (left.column, right.column) if left.bracket == right.bracket and left.bracket not in _EMPTY else None
+
+
+def _reached(frame: Frame, spec: dict, context: Context) -> tuple[Fields, Column, Column, Any]:
+    """$graphLookup: for each different start, as __start, the documents that are reached from it, each once.
+
+    A start's visited values grow ring by ring, until no ring brings a new one:
+    what a ring finds is joined to the links of the collection, and what was
+    visited before is taken out. Starts and values are dealt by value; a value
+    with many links is split as a skewed key of a join. Each ring is stored, so
+    the plan does not grow with depth.
+    """
+    if missing := {"from", "startWith", "connectFromField", "connectToField", "as"} - set(spec):
+        raise QueryError(f"$graphLookup needs {', '.join(sorted(missing))}")
+    most = spec.get("maxDepth")
+    if most is not None and (not isinstance(most, int) or isinstance(most, bool) or most < 0):
+        raise QueryError("maxDepth must be a whole number")
+    foreign = context.collection(spec["from"])
+    if spec.get("restrictSearchWithMatch"):
+        foreign = matching(foreign, spec["restrictSearchWithMatch"], context)
+    start, to, onward = evaluate(spec["startWith"], Scope(frame.fields)), resolve(foreign.fields, spec["connectToField"]), resolve(foreign.fields, spec["connectFromField"])
+    element = lambda v: v.kind.elementType if isinstance(v.kind, T.ArrayType) else v.kind
+    single = lambda v, kind: F.explode(F.array_distinct(v.column.cast(T.ArrayType(kind)))) if isinstance(v.kind, T.ArrayType) else v.column.cast(kind)
+    kinds = {bracket(element(v)) for v in (start, to)}
+    df = foreign.documents()
+    if len(kinds) > 1 or kinds & set(_EMPTY):  # nothing of one type reaches another
+        df = df.withColumns({"__start": F.lit(1), "__depth": F.lit(0).cast("long")}).filter(F.lit(False))
+        return _with_depth(foreign.fields, spec, df, F.lit(2), F.col("__start"))
+    kind = common_number(element(start), element(to)) if kinds == {"number"} else element(to)
+    starts = frame.df.select(start.column.alias("__start")).distinct()
+    values = starts.select("__start", single(Value(F.col("__start"), start.kind), kind).alias("__value")).distinct()
+    links = None
+    if bracket(element(onward)) in kinds:
+        links = foreign.df.select(single(to, kind).alias("__value"), onward.column.alias("__onward"))
+        links = links.select("__value", single(Value(F.col("__onward"), onward.kind), kind).alias("__next")).distinct()
+    keep = lambda ring: stored(ring.select("__start", "__value", "__depth"))
+    ring = keep(values.withColumn("__depth", F.lit(0).cast("long")))
+    rings, depth = [ring], 0
+    while links is not None and (most is None or depth < most):
+        depth += 1
+        found = ring.join(links.withColumnRenamed("__value", "__from"), F.col("__value").eqNullSafe(F.col("__from"))).select("__start", F.col("__next").alias("__value")).distinct()
+        before = reduce(lambda a, b: a.unionByName(b), rings).select(F.col("__start").alias("__old"), F.col("__value").alias("__known"))
+        new = found.join(before, F.col("__start").eqNullSafe(F.col("__old")) & F.col("__value").eqNullSafe(F.col("__known")), "left_anti")
+        ring = keep(new.withColumn("__depth", F.lit(depth).cast("long")))
+        if ring.isEmpty():
+            break
+        rings.append(ring)
+    visited = reduce(lambda a, b: a.unionByName(b), rings)
+    if isinstance(to.kind, T.ArrayType):  # a document is reached by the first of its values that is
+        at = F.struct(*[F.col(n) for n in foreign.hidden]) if foreign.hidden else F.struct(*[F.col(quoted(n)) for n in foreign.fields])
+        keyed = foreign.df.withColumn("__at", at)
+        least = keyed.select("__at", single(to, kind).alias("__to")).join(visited, F.col("__to").eqNullSafe(F.col("__value"))).groupBy("__start", "__at").agg(F.min("__depth").alias("__depth"))
+        found = least.withColumnRenamed("__at", "__met").join(keyed, F.col("__met").eqNullSafe(F.col("__at"))).drop("__met", "__at", *foreign.hidden)
+    else:
+        found = visited.join(df.withColumn("__to", to.column.cast(kind)), F.col("__value").eqNullSafe(F.col("__to"))).drop("__value", "__to")
+    return _with_depth(foreign.fields, spec, found, start.column, F.col("__start"))
+
+
+def _with_depth(fields: Fields, spec: dict, df: Any, local: Column, other: Column) -> tuple[Fields, Column, Column, Any]:
+    """What $graphLookup gives to a join, with the depth as a field where one is asked for."""
+    name = spec.get("depthField")
+    if name is None:
+        return fields, local, other, df.drop("__depth")
+    return Fields({**fields, name: T.LongType()}, fields.ragged, fields.full), local, other, df.withColumnRenamed("__depth", name)
+
+
+def _needed(fields: Fields, below: set[str] | None) -> list[str]:
     if below is None:
         return list(fields)
     return [n for n in fields if any(p == n or p.startswith(n + ".") for p in below)] or list(fields)[:1]
 
 
+def _element(fields: Fields, names: list[str]) -> Column:
+    """A foreign document of some fields, with what tells which of them it has."""
+    return F.struct(*[F.col(quoted(n)) for n in names], *[F.col(quoted(HAS + n)) for n in names if n in fields.ragged])
+
+
 def lookup(frame: Frame, spec: dict, context: Context, below: set[str] | None = None) -> Frame:
     """$lookup: the matching foreign documents as an array, of the fields that are read later.
 
     Null and missing keys match each other. Keys of different types never do.
     """
-    foreign, local, other, df = _sides(frame, spec, context)
-    names = _needed(foreign.fields, below)
-    element = F.struct(*[F.col(quoted(n)) for n in names]) if names else F.struct(F.lit(None).cast("string").alias("_"))
+    fields, local, other, df = _sides(frame, spec, context)
+    names = _needed(fields, below)
+    element = _element(fields, names) if names else F.struct(F.lit(None).cast("string").alias("_"))
     right = df.groupBy(other.alias("__key")).agg(F.collect_list(element).alias("__found"))
     joined = frame.df.join(right, local.eqNullSafe(F.col("__key")), "left")
-    kind = right.schema["__found"].dataType.simpleString()
-    made = F.coalesce("__found", F.array().cast(kind)).alias(spec["as"])
-    return frame.of(joined.select(*[F.col(quoted(n)) for n in frame.fields if n != spec["as"]], made, *frame.hidden), sorted=False)
+    kind = right.schema["__found"].dataType
+    made = Value(F.coalesce("__found", F.array().cast(kind.simpleString())), kind)
+    return frame.show(frame.values() | {spec["as"]: made}, joined, sorted=False)
 
 
 def flat_lookup(frame: Frame, node: FlatLookup, context: Context, below: set[str] | None = None) -> Frame:
     """A lookup that is unwound: an inner (or left) join, a row for each match."""
     spec = node.spec
-    foreign, local, other, df = _sides(frame, spec, context)
-    names = _needed(foreign.fields, below)
-    if not foreign.fields:
+    fields, local, other, df = _sides(frame, spec, context)
+    if not fields:
         return unwind(lookup(frame, spec, context, below), {"path": f"${spec['as']}", "preserveNullAndEmptyArrays": node.outer})
-    right = df.select(other.alias("__key"), F.struct(*[F.col(quoted(n)) for n in names]).alias("__one"))
+    right = df.select(other.alias("__key"), _element(fields, _needed(fields, below)).alias("__one"))
     joined = frame.df.join(right, local.eqNullSafe(F.col("__key")), "left" if node.outer else "inner")
-    return frame.of(joined.select(*[F.col(quoted(n)) for n in frame.fields if n != spec["as"]], F.col("__one").alias(spec["as"]), *frame.hidden), sorted=False)
+    one = Value(F.col("__one"), right.schema["__one"].dataType, F.col("__one").isNotNull() if node.outer else None, not node.outer)
+    return frame.show(frame.values() | {spec["as"]: one}, joined, sorted=False)
 
 
 def exists_lookup(frame: Frame, node: ExistsLookup, context: Context) -> Frame:
@@ -302,28 +543,30 @@ def exists_lookup(frame: Frame, node: ExistsLookup, context: Context) -> Frame:
 
 def count_lookup(frame: Frame, node: CountLookup, context: Context) -> Frame:
     """A lookup whose matches are only counted: a join with one row of counts for each key."""
-    _, local, other, df = _sides(frame, node.spec, context)
-    fields = {f.name: f.dataType for f in df.schema if f.name != "__key"}
+    fields, local, other, df = _sides(frame, node.spec, context)
     meets = {"all": lambda c: F.lit(True), "expression": lambda c: truth(evaluate(c, Scope(fields))), "filter": lambda c: condition(c, fields, context.scalar)}
     right = df.groupBy(other.alias("__key")).agg(*[F.count_if(F.coalesce(meets[how](cond), F.lit(False))).alias(n) for n, how, cond in node.counts])
     joined = frame.df.join(right, local.eqNullSafe(F.col("__key")), "left")
-    made = [F.coalesce(F.col(n), F.lit(0)).alias(n) for n, _, _ in node.counts]
-    return frame.of(joined.select(*[F.col(quoted(n)) for n in frame.fields if n != node.spec["as"]], *made, *frame.hidden), sorted=False)
+    made = {n: Value(F.coalesce(F.col(n), F.lit(0)), T.LongType(), full=True) for n, _, _ in node.counts}
+    return frame.show({n: v for n, v in frame.values().items() if n != node.spec["as"]} | made, joined, sorted=False)
 
 
 def spread_group(frame: Frame, node: SpreadGroup, context: Context) -> Frame:
     """$group of all with a list that is unwound: the documents beside the one row of totals, in the order of the list."""
     v = evaluate(node.spec[node.name]["$push"], Scope(frame.fields))
-    if v.kind is None:
+    if v.kind is None or frame.carried:
         return unwind(group(frame, node.spec), f"${node.name}")
     totals = group(frame, {k: a for k, a in node.spec.items() if k != node.name}).df
-    both = frame.df.select(v.column.alias("__item"), *frame.hidden).crossJoin(F.broadcast(totals))  # at most one row
+    rows = frame.df if v.present is None else frame.df.filter(v.present)  # what is missing is not listed
+    both = rows.select(v.column.alias("__item"), *frame.hidden).crossJoin(F.broadcast(totals))  # at most one row
     columns = [F.col("__item").alias(n) if n == node.name else F.col(quoted(n)) for n in ["_id", *(k for k in node.spec if k != "_id")]]
     return frame.of(both.select(*columns, *frame.hidden), sorted=False)
 
 
 def count(frame: Frame, name: str, context: Context | None = None) -> Frame:
     """$count: one row, or none over no documents."""
+    if frame.carried:
+        return Frame(frame.df.groupBy(*frame.carried).agg(F.count(F.lit(1)).alias(name)), variables=frame.variables)
     df = frame.df.agg(F.count(F.lit(1)).alias(name)).filter(F.col(quoted(name)) > 0)
     return Frame(df)
 
@@ -334,16 +577,23 @@ def replace_root(frame: Frame, spec: Any, context: Context | None = None) -> Fra
     if not isinstance(v.kind, T.StructType):
         raise QueryError("the new root must be a document")
     df = frame.df.withColumn("__root", v.column)
-    return frame.of(df.select(*[F.col("__root").getField(n).alias(n) for n in v.kind.names], *frame.hidden))
+    return frame.of(df.select(*[F.col("__root").getField(n).alias(n) for n in v.kind.names], *frame.carried, *frame.hidden))
 
 
 def union_with(frame: Frame, spec: Any, context: Context) -> Frame:
-    """$unionWith: the documents of another collection, or of a pipeline over it, as well."""
+    """$unionWith: the documents of another collection, or of a pipeline over it, as well. Each keeps to the fields of its own."""
+    if frame.carried:
+        raise QueryError("$unionWith inside the pipeline of a $lookup is not supported")
     name = spec if isinstance(spec, str) else spec["coll"]
     other = context.collection(name)
     if isinstance(spec, dict) and spec.get("pipeline"):
         other = context.pipeline(other, spec["pipeline"])
-    return Frame(frame.visible().unionByName(other.visible(), allowMissingColumns=True))
+    sides = []
+    ragged = {n for n in [*frame.fields, *other.fields] if n in frame.fields.ragged | other.fields.ragged or (n in frame.fields) != (n in other.fields)}
+    for side in (frame, other):
+        df, own = side.documents(), side.fields
+        sides.append(df.withColumns({HAS + n: F.lit(n in own) for n in ragged if n not in own.ragged}) if ragged else df)
+    return Frame(sides[0].unionByName(sides[1], allowMissingColumns=True))
 
 
 def unset(frame: Frame, spec: Any, context: Context | None = None) -> Frame:
@@ -357,7 +607,7 @@ STAGES: dict[str, Callable[[Frame, Any, Context], Frame]] = {
     "$set": add_fields,
     "$unset": unset,
     "$sort": sort,
-    "$limit": limit,
+    "$limit": limit_stage,
     "$skip": skip,
     "$group": group,
     "$unwind": unwind,
@@ -380,7 +630,7 @@ def apply(frame: Frame, stage: Any, context: Context, below: set[str] | None = N
             return count_lookup(frame, stage, context)
         case SpreadGroup():
             return spread_group(frame, stage, context)
-        case Stage("$lookup", spec):
+        case Stage("$lookup" | "$graphLookup", dict(spec)):
             return lookup(frame, spec, context, below)
         case Stage(op, spec) if op in STAGES:
             return STAGES[op](frame, spec, context)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import Value, resolve
+from ..functions.values import Value, resolve, without_absent
 from ..operators import stages
 from ..operators.frame import Frame, scan
 from ..sources.catalog import Catalog
@@ -33,10 +33,13 @@ class Result:
 
     def materialize(self) -> Any:
         """The result as plain Python: a list of documents or values, a number, a document or None."""
-        rows = self.dataframe().collect()
+        if self.kind in ("cursor", "document"):
+            rows = [without_absent(r.asDict(recursive=True)) for r in self.frame.documents().collect()]
+        else:
+            rows = self.dataframe().collect()
         match self.kind:
             case "cursor":
-                return [r.asDict(recursive=True) for r in rows]
+                return rows
             case "values":
                 return [r[0] for r in rows]
             case "count":
@@ -44,7 +47,7 @@ class Result:
             case "document":
                 if not rows and self.absent:
                     raise IndexError(self.absent)
-                return rows[0].asDict(recursive=True) if rows else None
+                return rows[0] if rows else None
         if not rows:
             raise TypeError(self.absent)
         return rows[0][0]
@@ -73,7 +76,7 @@ class Compiler:
         plan = rewrite([Stage(*next(iter(s.items()))) for s in specs], self.fuse)
         for i, stage in enumerate(plan):
             below = None
-            if isinstance(stage, FlatLookup) or isinstance(stage, Stage) and stage.op == "$lookup" and isinstance(stage.spec, dict):
+            if isinstance(stage, FlatLookup) or isinstance(stage, Stage) and stage.op in ("$lookup", "$graphLookup") and isinstance(stage.spec, dict):
                 below = used(plan[i + 1 :], stage.spec.get("as", "")) if self.fuse else None
             frame = stages.apply(frame, stage, self.context, below)
         return frame
@@ -150,6 +153,8 @@ class Compiler:
         v = resolve(frame.fields, key)
         if v.kind is None:
             return Result("values", Frame(frame.df.select(F.lit(None).cast("string").alias("value")).filter(F.lit(False))))
+        if v.present is not None:
+            frame = frame.of(frame.df.filter(v.present))
         column = F.explode(v.column) if isinstance(v.kind, T.ArrayType) else v.column
         return Result("values", Frame(frame.df.select(column.alias("value")).distinct()))
 
@@ -159,11 +164,15 @@ class Compiler:
         return result
 
     def _scalar(self, chain: Chain) -> Value:
-        """An inner query that stands for one value: a scalar subquery, null where there is none."""
+        """An inner query that stands for one value: a scalar subquery, which fails where there is none."""
         made = self.chain(chain)
         if made.kind not in ("value", "count"):
             raise QueryError("an inner query must give a single value here")
         df = made.dataframe()
+        if made.kind == "value":
+            kind, lacking = df.schema[0].dataType, F.raise_error(F.lit(made.absent))
+            one = df.limit(1).agg(F.count(F.lit(1)).alias("n"), F.first("value").alias("value"))
+            df = one.select(F.when(F.col("n") == 0, lacking.cast(kind)).otherwise(F.col("value")).alias("value"))
         return Value(df.scalar(), df.schema[0].dataType)
 
     def _values(self, chain: Chain) -> tuple[DataFrame, T.DataType | None]:

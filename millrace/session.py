@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings whose default would change results: names are case-sensitive, times are UTC.
 SETTINGS = {"spark.sql.caseSensitive": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true"}
@@ -33,3 +34,20 @@ def ship(spark: SparkSession) -> None:
             out.write(file, file.relative_to(package.parent))
     spark.sparkContext.addPyFile(path)
     _shipped.add(spark.sparkContext.applicationId)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the folder that all machines see (``spark.checkpoint.dir``), read again: its lineage ends here.
+
+    Without such a folder, on one machine, a temporary one is made for the session; on a cluster that is an error.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

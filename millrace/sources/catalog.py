@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.values import HAS, quoted
+
 
 @dataclass(frozen=True)
 class Collection:
@@ -56,13 +58,15 @@ class Catalog:
     def cards(self) -> DataFrame:
         """A schema card for each collection: id, database, collection, fields, doc_count and text.
 
-        A field's type is that of its values; fields with nulls are marked
-        nullable, those of nulls alone unknown. One aggregate runs per collection.
+        The fields are those of the collection's first document. A field's type
+        is that of its values; those that some documents lack or have as null are
+        marked nullable, those of nulls alone unknown. One aggregate runs per
+        collection.
         """
         rows = []
         for database in self.databases():
             for name, c in self.collections(database).items():
-                rows.append(_card(database, name, c.df))
+                rows.append(_card(database, name, c))
         schema = "id string, database string, collection string, fields array<struct<name: string, type: string>>, doc_count long, text string"
         return self.spark.createDataFrame(rows, schema)
 
@@ -77,12 +81,18 @@ def type_name(kind: T.DataType) -> str:
     return "dict" if isinstance(kind, T.StructType) else NAMES.get(kind.simpleString(), kind.simpleString())
 
 
-def _card(database: str, name: str, df: DataFrame) -> tuple:
-    fields = [f for f in df.schema if f.name != "_id"]
-    counts = df.agg(F.count(F.lit(1)), *[F.count(F.col("`" + f.name.replace("`", "``") + "`")) for f in fields]).first()
+def _card(database: str, name: str, c: Collection) -> tuple:
+    df, lacked = c.df, {n.removeprefix(HAS) for n in c.df.columns if n.startswith(HAS)}
+    fields = [f for f in df.schema if f.name != "_id" and not f.name.startswith("__")]
+    n_full = [F.count(F.col(quoted(f.name))) for f in fields]
+    # what the first document has, where documents differ
+    first = [F.min_by(F.col(quoted(HAS + f.name)), F.struct(*[F.col(quoted(o)) for o in c.order])) for f in fields if f.name in lacked] if c.order else [F.first(F.col(quoted(HAS + f.name))) for f in fields if f.name in lacked]
+    counts = df.agg(F.count(F.lit(1)), *n_full, *first).first()
     n, types = counts[0], []
-    for f, full in zip(fields, counts[1:], strict=True):
-        types.append((f.name, ("unknown" if not full else type_name(f.dataType)) + (", nullable" if full < n else "")))
+    there = dict(zip((f.name for f in fields if f.name in lacked), counts[1 + len(fields) :], strict=True))
+    for f, full in zip(fields, counts[1:], strict=False):
+        if there.get(f.name, True):
+            types.append((f.name, ("unknown" if not full else type_name(f.dataType)) + (", nullable" if full < n else "")))
     if not n:
         types = []
     text = f"database: {database}\ncollection: {name}\nfields: " + ", ".join(f"{k} ({v})" for k, v in types)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.values import HAS
 from .catalog import Catalog
 
 #: The column that keeps the place of a document in its file.
@@ -38,14 +42,18 @@ def read_dump(spark: SparkSession, path: str, with_id: bool = True) -> DataFrame
     once (see load()). The first document gives the order of the fields, and the
     first value that is not null a field's type; mixed whole numbers and floats
     are floats, other mixtures text. ``_id`` is a deterministic text per place.
+    A field that some documents lack has a column beside it (HAS before its
+    name) that tells which have it; a field that is null is there.
     """
     text = spark.read.text(path, wholetext=True)
     items = text.select(F.posexplode(F.from_json("value", "array<string>")).alias(ORDINAL, "doc"))
     sample = items.select(F.json_object_keys("doc").alias("k"), ORDINAL)
     first = sample.orderBy(ORDINAL).limit(1).collect()
     names = list(first[0]["k"]) if first else []
-    seen = sample.select(F.explode("k").alias("k")).distinct().collect() if first else []
-    names += sorted(r["k"] for r in seen if r["k"] not in names)
+    # a row per field, not per document
+    seen = {r["k"]: r["n"] for r in sample.select(F.explode(F.array_distinct("k")).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()} if first else {}
+    names += sorted(k for k in seen if k not in names)
+    total = items.count() if first else 0
     # an entry per field, not per document
     wide = items.select(ORDINAL, F.from_json("doc", "map<string,string>").alias("m"), "doc")
     kinds: dict[str, T.DataType] = {}
@@ -54,6 +62,7 @@ def read_dump(spark: SparkSession, path: str, with_id: bool = True) -> DataFrame
         marks = wide.select(*[F.collect_set(r).alias(f"c{i}") for i, r in enumerate(raw)]).first()
         kinds = {n: _of_marks(set(marks[i]) - {""}) for i, n in enumerate(names)}
     columns = [F.col("m").getItem(n).cast(kinds[n]).alias(n) for n in names]
+    columns += [F.array_contains(F.json_object_keys("doc"), n).alias(HAS + n) for n in names if seen[n] < total]
     own_id = [F.format_string("%024x", F.col(ORDINAL)).alias("_id")] if with_id and "_id" not in names else []
     return wide.select(*own_id, *columns, F.col(ORDINAL).cast("long").alias(ORDINAL))
 
@@ -84,9 +93,30 @@ def load(catalog: Catalog, database: str, name: str, path: str) -> bool:
     return True
 
 
-def write_dump(df: DataFrame, path: str) -> None:
-    """The rows as JSON lines, nulls kept; a table's dump in as many files as it has partitions."""
-    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+def write_dump(df: DataFrame, path: str, array: bool = False) -> None:
+    """The rows as JSON lines, nulls kept; a table's dump in as many files as it has partitions.
+
+    With ``array`` as one JSON array in one file, which read_dump() reads; one
+    task writes it, row by row, so it is for what one machine can read again.
+    """
+    lines = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    if not array:
+        lines.write.mode("overwrite").text(path)
+        return
+
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = False
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            out = [("," if begun or i else "[") + t for i, t in enumerate(texts)]
+            begun = begun or bool(out)
+            yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
+        yield pa.RecordBatch.from_pydict({"value": pa.array(["]" if begun else "[]"])})
+
+    if lines.isEmpty():  # of which Spark makes no task
+        df.sparkSession.range(1).select(F.lit("[]").alias("value")).write.mode("overwrite").text(path)
+        return
+    lines.coalesce(1).mapInArrow(bracketed, "value string").write.mode("overwrite").text(path)
 
 
 def store(df: DataFrame, path: str, force: bool = False) -> None:

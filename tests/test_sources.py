@@ -24,7 +24,7 @@ def test_dumps(spark, root):
     expected = {"zoo": ["cats", "none", "list.json", "gone"]}
     assert dumps.load_all(catalog, str(root), expected) == {"zoo": ["none", "gone"]}
     cats = catalog.collection("zoo", "cats").df
-    assert [f.name for f in cats.schema] == ["_id", "name", "age", "kg", "note", "tag", dumps.ORDINAL]
+    assert [f.name for f in cats.schema] == ["_id", "name", "age", "kg", "note", "tag", "__has_tag", dumps.ORDINAL]
     assert [f.dataType.simpleString() for f in cats.schema][1:6] == ["string", "bigint", "double", "string", "string"]
     assert [r["name"] for r in cats.orderBy(dumps.ORDINAL).collect()] == ["Tom", "Io", 'A\n"b"']
     card = catalog.cards().where("collection = 'cats'").first()
