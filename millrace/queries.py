@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import queries_joined
 from .operators import results, retrieval, scoring
 from .plans.compiler import Compiler
 from .sources.catalog import Catalog
@@ -441,6 +442,9 @@ FROM e JOIN c USING ("Model") JOIN b USING ("Model")""",
 }
 
 
+TEXTS |= queries_joined.TEXTS
+
+
 def _text_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: run_text(spark, sf_dir, text)
 
