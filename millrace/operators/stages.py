@@ -13,10 +13,11 @@ from pyspark.sql import types as T
 from ..functions.expressions import Scope, evaluate, truth
 from ..functions.values import HAS, Fields, Value, bracket, common_number, document, quoted, resolve
 from ..plans.ir import Chain, CountLookup, ExistsLookup, FlatLookup, QueryError, SpreadGroup, Stage
+from ..session import stored
 from .accumulators import accumulate
 from .filters import condition
-from ..session import stored
 from .frame import CARRIED, DOWN, HIDDEN, Frame
+from .joins import range_join
 
 
 class Context:
@@ -409,7 +410,8 @@ def _correlated(frame: Frame, foreign: Frame, spec: dict, context: Context) -> t
         seen = Scope(Fields.of(plain.df.schema, (HIDDEN, CARRIED), variables))
         right = plain.df.select("*", *[b.alias(f"__key{i}") for i, (_, b) in enumerate(keys)])
         on = [a.eqNullSafe(F.col(f"__key{i}")) for i, (a, _) in enumerate(keys)] + [truth(evaluate(c, seen)) for c in conditions]
-        joined = tuples.join(right, on, "inner") if on else tuples.crossJoin(right)
+        ranged = None if keys else _ranged(tuples, right, conditions, plain.fields, inside, seen)
+        joined = ranged if ranged is not None else tuples.join(right, on, "inner") if on else tuples.crossJoin(right)
         joined = joined.drop(*[f"__key{i}" for i in range(len(keys))])
     begun = Frame(joined, plain.sorted, plain.ranked, {n: c for n, c in names.items() if n != "__local"})
     ended = context.pipeline(begun, rest)
@@ -419,6 +421,44 @@ def _correlated(frame: Frame, foreign: Frame, spec: dict, context: Context) -> t
     return ended.fields, F.struct(*[v.column.alias(c) for c, v in made.items()]), F.col("__tuple"), ended.df.select(*columns, F.struct(*made).alias("__tuple"))
 
 
+#: Comparisons of a field and a variable: of a field first, and turned round.
+_TURNED = {"$lt": "$gt", "$lte": "$gte", "$gt": "$lt", "$gte": "$lte"}
+
+
+def _ranged(tuples: Any, right: Any, conditions: list, fields: Fields, inside: dict[str, Value], seen: Scope) -> Any:
+    """A join by inequalities of one field and variables, as a point in a span; None if there are none.
+
+    Foreign rows without the field, which expressions take for less than any
+    value, are few or all alike; they meet the tuples by the conditions alone.
+    """
+    bounds: dict[str, list[tuple[str, Value]]] = {}
+    for c in conditions:
+        if not (isinstance(c, dict) and len(c) == 1 and (op := next(iter(c))) in _TURNED and isinstance(c[op], list) and len(c[op]) == 2):
+            continue
+        a, b = c[op]
+        if _reads(a) == (False, True):
+            a, b, op = b, a, _TURNED[op]
+        if isinstance(a, str) and _reads(a) == (True, False) and _reads(b) == (False, True):
+            at, value = evaluate(a, Scope(fields, {})), evaluate(b, Scope({}, inside))
+            if at.bracket == value.bracket and at.bracket in ("number", "time"):
+                bounds.setdefault(a, []).append((op, value))
+    if not bounds:
+        return None
+    path, tests = max(bounds.items(), key=lambda x: len({op[:3] for op, _ in x[1]}))
+    at = evaluate(path, Scope(fields, {})).column
+    endless = {-1: F.lit(float("-inf")), 1: F.lit(float("inf"))}
+    number = lambda v: v.column.cast("double") if v.bracket == "number" else F.unix_micros(v.column.cast("timestamp")).cast("double")
+    lows, highs = ([number(v) for op, v in tests if op.startswith(way)] for way in ("$gt", "$lt"))
+    low = F.greatest(*lows, endless[-1]) if lows else endless[-1]  # a null bound from below holds for all
+    high = F.when(reduce(lambda a, b: a | b, [c.isNull() for c in highs]), F.lit(None)).otherwise(F.least(*highs, endless[1])) if highs else endless[1]  # nothing is less than null
+    whole = reduce(lambda a, b: a & b, [truth(evaluate(c, seen)) for c in conditions])
+    point = number(Value(at, evaluate(path, Scope(fields, {})).kind))
+    there = range_join(tuples, right.filter(at.isNotNull()), (low, high), (point, point), whole)
+    if not right.select(at.alias("x")).schema["x"].nullable:
+        return there
+    return there.unionByName(tuples.join(right.filter(at.isNull()), whole, "inner"))
+
+
 def _equality(c: Any, fields: Fields, inside: dict[str, Value]) -> tuple[Column, Column] | None:
     """The two columns that an equality of a variable and a field compares, or None if it is something else."""
     if not (isinstance(c, dict) and list(c) == ["$eq"] and isinstance(c["$eq"], list) and len(c["$eq"]) == 2):

@@ -443,6 +443,7 @@ FROM e JOIN c USING ("Model") JOIN b USING ("Model")""",
 
 
 TEXTS |= queries_joined.TEXTS
+CALLS |= queries_joined.CALLS
 
 
 def _text_query(text: str) -> Callable[[SparkSession, str], DataFrame]:

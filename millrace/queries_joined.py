@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import joins
+
 _LINKS = "{'from': 'lineitem', 'startWith': '$s_suppkey', 'connectFromField': 'l_suppkey', 'connectToField': 'l_partkey', 'restrictSearchWithMatch': {'l_quantity': {'$gt': 45}}, 'as': 'reached'"
 _WALK = """WITH RECURSIVE e AS (SELECT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_quantity > 45),
 """
@@ -72,8 +79,66 @@ TEXTS: dict[str, tuple[str, str]] = {
         "db.nation.aggregate([{'$addFields': {'at.region': '$n_regionkey', 'at.half.key': {'$divide': ['$n_nationkey', 2]}}}, {'$match': {'at.region': {'$gt': 1}}}, {'$project': {'_id': 0, 'n_name': 1, 'r': '$at.region', 'h': '$at.half.key'}}])",
         "SELECT n_name, n_regionkey AS r, n_nationkey / 2 AS h FROM nation WHERE n_regionkey > 1",
     ),
+    "lookup_pipeline_range": (
+        "db.supplier.aggregate([{'$lookup': {'from': 'customer', 'let': {'b': '$s_acctbal', 'n': '$s_nationkey'}, 'pipeline': [{'$match': {'$expr': {'$and': [{'$gte': ['$c_acctbal', '$$b']}, {'$lt': ['$c_acctbal', {'$add': ['$$b', 25]}]}, {'$ne': ['$c_nationkey', '$$n']}]}}}], 'as': 'c'}}, {'$unwind': '$c'}, {'$project': {'_id': 0, 's_suppkey': 1, 'c': '$c.c_custkey'}}])",
+        "SELECT s_suppkey, c_custkey AS c FROM supplier JOIN customer ON c_acctbal >= s_acctbal AND c_acctbal < s_acctbal + 25 AND c_nationkey <> s_nationkey",
+    ),
     "push_sorted_down": (
         "db.customer.aggregate([{'$sort': {'c_nationkey': -1, 'c_custkey': 1}}, {'$group': {'_id': '$c_mktsegment', 'first': {'$first': '$c_custkey'}, 'keys': {'$push': '$c_custkey'}}}, {'$project': {'first': 1, 'tenth': {'$arrayElemAt': ['$keys', 9]}}}])",
         "SELECT c_mktsegment AS _id, (list(c_custkey ORDER BY c_nationkey DESC NULLS LAST, c_custkey))[1] AS first, (list(c_custkey ORDER BY c_nationkey DESC NULLS LAST, c_custkey))[10] AS tenth FROM customer GROUP BY 1",
     ),
 }
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def range_join_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What happened in the ten minutes before each purchase, by type."""
+    bought = _events(spark, sf_dir).where("event_type = 'purchase'").select(F.col("event_id").alias("bought"), F.col("ts").alias("at"))
+    other = _events(spark, sf_dir).where("event_type <> 'purchase'").select("event_id", "ts", "event_type")
+    met = joins.range_join(other, bought, (F.col("ts"), F.col("ts")), (F.col("at") - F.expr("INTERVAL 10 MINUTES"), F.col("at")))
+    return met.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("bought").alias("purchases"), F.sum("event_id").alias("ids"))
+
+
+def range_join_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' and suppliers' bands of balance that overlap, which are wide for some and narrow for others."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", F.col("c_acctbal").alias("b"))
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey", F.col("s_acctbal").alias("a"))
+    met = joins.range_join(c, s, (F.col("b"), F.col("b") + F.col("c_nationkey")), (F.col("a"), F.col("a") + F.pow(F.lit(2.0), F.col("s_nationkey") % 11)))
+    return met.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.max("c_custkey").alias("last"))
+
+
+def _asof(spark: SparkSession, sf_dir: str, key: Column) -> DataFrame:
+    rows = _events(spark, sf_dir).withColumn("k", key)
+    bought = rows.where("event_type = 'purchase'").select("event_id", "k", "ts")
+    clicks = rows.where("event_type = 'click'").select("k", F.col("ts").alias("at"), F.col("event_id").alias("id"))
+    return joins.asof_join(bought, clicks, "ts", "at", ["k"], "click_", outer=True).select("event_id", "click_id")
+
+
+def asof_join_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user's last click before each purchase."""
+    return _asof(spark, sf_dir, F.col("user_id"))
+
+
+def asof_join_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with one key for half of the users."""
+    return _asof(spark, sf_dir, F.when(F.col("user_id") % 2 == 0, F.lit(-1)).otherwise(F.col("user_id")))
+
+
+_ASOF = "WITH e AS (SELECT *, {0} AS k FROM events) SELECT p.event_id, c.event_id AS click_id FROM (SELECT * FROM e WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'click') c ON p.k = c.k AND p.ts >= c.ts"
+
+#: name: (operator call, SQL)
+CALLS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "range_join_points": (
+        range_join_points,
+        "SELECT o.event_type, count(*) AS n, count(DISTINCT p.event_id) AS purchases, CAST(sum(o.event_id) AS BIGINT) AS ids FROM events p JOIN events o ON o.ts BETWEEN p.ts - INTERVAL 10 MINUTE AND p.ts WHERE p.event_type = 'purchase' AND o.event_type <> 'purchase' GROUP BY 1",
+    ),
+    "range_join_spans": (
+        range_join_spans,
+        "SELECT s_suppkey, count(*) AS n, max(c_custkey) AS last FROM customer JOIN supplier ON c_acctbal <= s_acctbal + pow(2, s_nationkey % 11) AND s_acctbal <= c_acctbal + c_nationkey GROUP BY 1",
+    ),
+    "asof_join_events": (asof_join_events, _ASOF.format("user_id")),
+    "asof_join_hot_key": (asof_join_hot_key, _ASOF.format("CASE WHEN user_id % 2 = 0 THEN -1 ELSE user_id END")),
+}
