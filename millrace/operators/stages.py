@@ -18,6 +18,7 @@ from .accumulators import accumulate
 from .filters import condition
 from .frame import CARRIED, DOWN, HIDDEN, Frame
 from .joins import range_join
+from .windows import window_fields
 
 
 class Context:
@@ -640,6 +641,10 @@ def unset(frame: Frame, spec: Any, context: Context | None = None) -> Frame:
     return _without(frame, [spec] if isinstance(spec, str) else list(spec))
 
 
+def set_window_fields(frame: Frame, spec: dict, context: Context | None = None) -> Frame:
+    return window_fields(frame, spec, context, _sort_keys)
+
+
 STAGES: dict[str, Callable[[Frame, Any, Context], Frame]] = {
     "$match": matching,
     "$project": project,
@@ -656,6 +661,7 @@ STAGES: dict[str, Callable[[Frame, Any, Context], Frame]] = {
     "$replaceRoot": replace_root,
     "$replaceWith": replace_root,
     "$unionWith": union_with,
+    "$setWindowFields": set_window_fields,
 }
 
 
