@@ -188,6 +188,122 @@ def _map(spec: dict, scope: Scope) -> Value:
     return Value(F.transform(source.column, lambda x: evaluate(spec["in"], scope.bind(name, Value(x, element))).column), T.ArrayType(kind))
 
 
+def unified(a: T.DataType | None, b: T.DataType | None) -> T.DataType:
+    """The least type that holds values of both: whole numbers and floats are floats, nulls any type, documents and lists by their parts."""
+    if bracket(a) in ("missing", "null"):
+        return b or T.NullType()
+    if bracket(b) in ("missing", "null"):
+        return a
+    if bracket(a) != bracket(b):
+        raise QueryError(f"a value that may be a {bracket(a)} and a {bracket(b)} has no column type")
+    if bracket(a) == "number":
+        return common_number(a, b)
+    if isinstance(a, T.ArrayType):
+        return T.ArrayType(unified(a.elementType, b.elementType))
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        names = [*a.names, *[n for n in b.names if n not in a.names]]
+        return T.StructType([T.StructField(n, unified(a[n].dataType if n in a.names else None, b[n].dataType if n in b.names else None)) for n in names])
+    return a
+
+
+def widened(c: Column, have: T.DataType | None, want: T.DataType) -> Column:
+    """A value of one type as one of a type that holds it; fields that it lacks are null."""
+    if have is None or isinstance(have, T.NullType):
+        return F.lit(None).cast(want)
+    if isinstance(want, T.StructType):
+        parts = [(widened(c.getField(f.name), have[f.name].dataType, f.dataType) if f.name in have.names else F.lit(None).cast(f.dataType)).alias(f.name) for f in want]
+        return F.when(c.isNotNull(), F.struct(*parts))
+    if isinstance(want, T.ArrayType):
+        return F.transform(c, lambda x: widened(x, have.elementType, want.elementType))
+    return c.cast(want)
+
+
+def _reduce(spec: dict, scope: Scope) -> Value:
+    """$reduce. The type of its value has to be known before data is read: it grows, from that of the first value, until a step leaves it as it is."""
+    source, first = evaluate(spec["input"], scope), evaluate(spec["initialValue"], scope)
+    if source.bracket in ("missing", "null"):
+        return literal(None)
+    element, kind = _as_array(source, "$reduce").elementType, first.kind or T.NullType()
+    step = lambda value, this: evaluate(spec["in"], scope.bind("value", value).bind("this", this))
+    for _ in range(32):
+        grown = unified(kind, step(Value(F.lit(None).cast(kind), kind), Value(F.lit(None).cast(element), element)).kind)
+        if grown == kind:
+            break
+        kind = grown
+    else:
+        raise QueryError("the value of $reduce grows without end")
+    if isinstance(kind, T.NullType):
+        return literal(None)
+
+    def one(value: Column, x: Column) -> Column:
+        made = step(Value(value, kind), Value(x, element))
+        return widened(made.column, made.kind, kind)
+
+    return Value(F.aggregate(source.column, widened(first.column, first.kind, kind), one), kind)
+
+
+def _concat_arrays(spec: Any, scope: Scope) -> Value:
+    items = _many(spec, scope)
+    if any(v.bracket in ("missing", "null") for v in items):
+        return literal(None)
+    kind: T.DataType = T.NullType()
+    for v in items:
+        kind = unified(kind, _as_array(v, "$concatArrays").elementType)
+    whole = T.ArrayType(kind)
+    return Value(F.concat(*[widened(v.column, v.kind, whole) if not isinstance(kind, T.NullType) else v.column for v in items]), whole)
+
+
+def _reverse(spec: Any, scope: Scope) -> Value:
+    v = _many(spec, scope, 1)[0]
+    return literal(None) if v.bracket in ("missing", "null") else Value(F.reverse(v.column), _as_array(v, "$reverseArray"))
+
+
+def _slice(spec: Any, scope: Scope) -> Value:
+    """$slice: the first n elements, the last for a negative n, or n from a place, which counts from the end where it is negative."""
+    v, *at = _many(spec, scope)
+    if v.bracket in ("missing", "null"):
+        return literal(None)
+    kind, size = _as_array(v, "$slice"), F.size(v.column)
+    if len(at) == 1:
+        n = at[0].column.cast("int")
+        return Value(F.when(n >= 0, F.slice(v.column, F.lit(1), F.greatest(n, F.lit(0)))).otherwise(F.slice(v.column, F.greatest(size + n, F.lit(0)) + 1, size)), kind)
+    place, n = (a.column.cast("int") for a in at)
+    return Value(F.slice(v.column, F.when(place >= 0, place).otherwise(F.greatest(size + place, F.lit(0))) + 1, n), kind)
+
+
+def _range(spec: Any, scope: Scope) -> Value:
+    items = [v.column.cast("long") for v in _many(spec, scope)]
+    low, high, step = items[0], items[1], items[2] if len(items) > 2 else F.lit(1).cast("long")
+    some = F.when(step > 0, low < high).otherwise(low > high)
+    return Value(F.when(some, F.sequence(low, high - F.signum(step).cast("long"), step)).otherwise(F.array().cast("array<bigint>")), T.ArrayType(T.LongType()))
+
+
+def _substring(bytes_: bool):
+    """$substr: so many characters (or bytes) from a place counted from 0; all that follow for a negative number."""
+
+    def run(spec: Any, scope: Scope) -> Value:
+        text, at, n = _many(spec, scope, 3)
+        if text.bracket in ("missing", "null"):
+            return literal("")
+        c = F.coalesce(text.column.cast("string"), F.lit(""))
+        start, length = at.column.cast("int"), n.column.cast("int")
+        if bytes_:
+            raw = F.encode(c, "UTF-8")
+            return Value(F.decode(F.substring(raw, start + 1, F.when(length < 0, F.octet_length(c)).otherwise(length)), "UTF-8"), T.StringType())
+        return Value(F.substring(c, start + 1, F.when(length < 0, F.char_length(c)).otherwise(length)), T.StringType())
+
+    return run
+
+
+def _split(spec: Any, scope: Scope) -> Value:
+    text, by = _many(spec, scope, 2)
+    if text.bracket in ("missing", "null"):
+        return literal(None)
+    if text.bracket != "string" or by.bracket != "string":
+        raise QueryError("$split only supports strings")
+    return Value(F.split(text.column, F.concat(F.lit(r"\Q"), by.column, F.lit(r"\E"))), T.ArrayType(T.StringType()))
+
+
 def _size(spec: Any, scope: Scope) -> Value:
     v = _many(spec, scope, 1)[0]
     _as_array(v, "$size")
@@ -277,6 +393,16 @@ OPERATORS: dict[str, Callable[[Any, Scope], Value]] = {
     "$filter": _filter,
     "$map": _map,
     "$size": _size,
+    "$reduce": _reduce,
+    "$concatArrays": _concat_arrays,
+    "$reverseArray": _reverse,
+    "$slice": _slice,
+    "$range": _range,
+    "$substr": _substring(True),
+    "$substrBytes": _substring(True),
+    "$substrCP": _substring(False),
+    "$split": _split,
+    "$strLenCP": lambda spec, scope: Value(F.char_length(_text("$strLenCP", lambda c: c)(spec, scope).column).cast("long"), T.LongType()),
     "$arrayElemAt": _element,
     "$in": _contains,
     "$sum": _of_array("$sum"),

@@ -66,6 +66,11 @@ def _test(at: Value, op: str, arg: Any, scalar: Scalar) -> Column:
         if not isinstance(arg, list | tuple):
             raise QueryError("$in needs an array")
         return reduce(lambda a, b: a | b, [_test(at, "$eq", x, scalar) for x in arg], F.lit(False)) if _mixed(at, arg) else at.column.isin([literal(x).column for x in arg])
+    if op == "$all":
+        if not isinstance(arg, list | tuple):
+            raise QueryError("$all needs an array")
+        each = [_known(_test(at, "$elemMatch", x["$elemMatch"], scalar) if isinstance(x, dict) and list(x) == ["$elemMatch"] else _test(at, "$eq", x, scalar)) for x in arg]
+        return reduce(lambda a, b: a & b, each) if each else F.lit(False)
     if op == "$exists":
         return _exists(at) if arg else ~_exists(at)
     if op == "$size":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 from typing import Any
 
@@ -11,21 +12,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import Scope, evaluate, truth
-from ..functions.values import HAS, Fields, Value, bracket, common_number, document, quoted, resolve
+from ..functions.values import HAS, Fields, Value, bracket, common_number, document, literal, quoted, resolve
 from ..plans.ir import Chain, CountLookup, ExistsLookup, FlatLookup, QueryError, SpreadGroup, Stage
 from ..session import stored
 from .accumulators import accumulate
 from .filters import condition
 from .frame import CARRIED, DOWN, HIDDEN, Frame
 from .joins import range_join
-from .windows import window_fields
+from .windows import cut_points, window_fields
 
 
 class Context:
     """What stages need of the compiler: other collections, and values of inner queries."""
 
-    def __init__(self, collection: Callable[[str], Frame], scalar: Callable[[Chain], Value], values: Callable[[Chain], tuple[Any, T.DataType | None]], pipeline: Callable[[Frame, list], Frame]):
-        self.collection, self.scalar, self.values, self.pipeline = collection, scalar, values, pipeline
+    def __init__(self, collection: Callable[[str], Frame], scalar: Callable[[Chain], Value], values: Callable[[Chain], tuple[Any, T.DataType | None]], pipeline: Callable[[Frame, list], Frame], one_row: Callable[[], Any]):
+        self.collection, self.scalar, self.values, self.pipeline, self.one_row = collection, scalar, values, pipeline, one_row
 
 
 def matching(frame: Frame, spec: dict, context: Context) -> Frame:
@@ -641,6 +642,135 @@ def unset(frame: Frame, spec: Any, context: Context | None = None) -> Frame:
     return _without(frame, [spec] if isinstance(spec, str) else list(spec))
 
 
+def facet(frame: Frame, spec: dict, context: Context) -> Frame:
+    """$facet: one document with the results of several pipelines over the same documents.
+
+    Branches that filter and then group or count are one aggregate: every
+    document goes once to each branch whose filter it meets. Where others need
+    the documents themselves, those are stored once for all branches.
+    """
+    if not isinstance(spec, dict) or not spec or not all(isinstance(p, list) for p in spec.values()):
+        raise QueryError("$facet needs pipelines by name")
+    if odd := next((op for p in spec.values() for s in p for op in s if op == "$facet"), None):
+        raise QueryError(f"{odd} is not allowed inside a $facet")
+    if frame.carried:
+        raise QueryError("$facet inside the pipeline of a $lookup is not supported")
+    grouped = {name: split for name, p in spec.items() if (split := _grouping(p)) is not None}
+    if len(grouped) < len(spec):
+        frame = replace(frame, df=stored(frame.df), sorted=False)
+    made = dict(_grouped_at_once(frame, grouped, context)) if grouped else {}
+    arrays = []
+    for name, pipeline in spec.items():
+        ended = context.pipeline(*((made[name], grouped[name][2]) if name in made else (frame, pipeline)))
+        if not ended.fields:
+            kind = T.ArrayType(T.StructType([T.StructField("_", T.StringType())]))
+            arrays.append((name, kind, None))
+            continue
+        listed = group(ended, {"_id": None, name: {"$push": "$$ROOT"}}).df.select(F.col(quoted(name)).alias("__list"))
+        arrays.append((name, listed.schema[0].dataType, listed))
+    df = context.one_row()
+    for i, (_, kind, listed) in enumerate(arrays):
+        empty = F.array().cast(kind.simpleString())
+        if listed is None:
+            df = df.withColumn(f"__f{i}", empty)
+        else:  # one row at most
+            df = df.join(F.broadcast(listed.withColumnRenamed("__list", f"__f{i}")), F.lit(True), "left").withColumn(f"__f{i}", F.coalesce(f"__f{i}", empty))
+    return Frame(df.select(*[F.col(f"__f{i}").alias(name) for i, (name, _, _) in enumerate(arrays)]))
+
+
+#: Accumulators that no order of documents changes.
+_UNORDERED = {"$sum", "$avg", "$min", "$max", "$count", "$addToSet", "$stdDevPop", "$stdDevSamp"}
+
+
+def _grouping(pipeline: list) -> tuple[list, dict, list] | None:
+    """A pipeline as filters, a group without order, and what follows; None if it is none."""
+    filters: list = []
+    for i, stage in enumerate(pipeline):
+        ((op, spec),) = stage.items()
+        if op == "$match" and not any(isinstance(a, Chain) for t in spec.values() if isinstance(t, dict) for a in t.values()):
+            filters.append(spec)
+        elif op == "$count" and isinstance(spec, str):
+            return filters, {"_id": None, spec: {"$sum": 1}}, [{"$project": {"_id": 0}}, *pipeline[i + 1 :]]
+        elif op == "$group" and isinstance(spec, dict) and "_id" in spec and all(isinstance(a, dict) and set(a) <= _UNORDERED for n, a in spec.items() if n != "_id"):
+            return filters, spec, pipeline[i + 1 :]
+        else:
+            return None
+    return None
+
+
+def _grouped_at_once(frame: Frame, branches: dict[str, tuple[list, dict, list]], context: Context) -> list[tuple[str, Frame]]:
+    """The groups of several branches in one aggregate over one scan; its few rows are stored for the branches."""
+    fields = frame.fields
+    scope = Scope(fields)
+    tests, keys, made = [], [], []
+    for i, (filters, spec, _) in enumerate(branches.values()):
+        test = reduce(lambda a, b: a & b, [condition(f, fields, context.scalar) for f in filters], F.lit(True))
+        tests.append(F.when(test, F.lit(i)))
+        key = evaluate(spec["_id"], scope)
+        keys.append(F.lit(None).cast("string") if key.bracket in _EMPTY else key.column)
+        made.append({n: accumulate(a, scope, None) for n, a in spec.items() if n != "_id"})
+    spread = frame.df.withColumn("__branch", F.explode(F.array_compact(F.array(*tests))))
+    by = [F.when(F.col("__branch") == i, k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    columns = [(v.column.cast("string") if isinstance(v.kind, T.NullType) else v.column).alias(f"__a{i}_{n}") for i, own in enumerate(made) for n, v in own.items()]
+    table = stored(spread.groupBy("__branch", *by).agg(F.count(F.lit(1)).alias("__n"), *columns))
+    out = []
+    for i, (name, own) in enumerate(zip(branches, made, strict=True)):
+        shown = [F.col(f"__k{i}").alias("_id"), *[F.col(quoted(f"__a{i}_{n}")).alias(n) for n in own]]
+        out.append((name, Frame(table.where(F.col("__branch") == i).select(*shown))))
+    return out
+
+
+def bucket(frame: Frame, spec: dict, context: Context | None = None) -> Frame:
+    """$bucket: groups between given boundaries; other values go to ``default``, and are an error without it."""
+    bounds, default = spec.get("boundaries"), spec.get("default")
+    if not isinstance(bounds, list) or len(bounds) < 2 or sorted(bounds) != bounds or len(set(bounds)) != len(bounds):
+        raise QueryError("$bucket needs ascending boundaries")
+    at = evaluate(spec["groupBy"], Scope(frame.fields))
+    if at.bracket != literal(bounds[0]).bracket:
+        raise QueryError("the boundaries are of another type than the values")
+    outside = F.raise_error(F.lit("$bucket: a value is outside of the boundaries")).cast(literal(bounds[0]).kind) if "default" not in spec else F.lit(default)
+    if "default" in spec and literal(default).bracket != at.bracket:
+        raise QueryError("a default of another type than the boundaries has no column type")
+    key = F.lit(None)
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        key = F.when((at.column >= F.lit(low)) & (at.column < F.lit(high)), F.lit(low)).otherwise(key)
+    inside = F.coalesce((at.column >= F.lit(bounds[0])) & (at.column < F.lit(bounds[-1])), F.lit(False))
+    placed = frame.of(frame.df.withColumn("__bucket", F.when(inside, key).otherwise(outside)))
+    return sort(group(placed, {"_id": "$__bucket"} | spec.get("output", {"count": {"$sum": 1}})), {"_id": 1})
+
+
+def bucket_auto(frame: Frame, spec: dict, context: Context | None = None) -> Frame:
+    """$bucketAuto: so many groups of about equal size, equal values together; _id holds the least value of a group and of the next."""
+    n = spec.get("buckets")
+    if not isinstance(n, int) or isinstance(n, bool) or n < 1:
+        raise QueryError("$bucketAuto needs a positive number of buckets")
+    if frame.carried:
+        raise QueryError("$bucketAuto inside the pipeline of a $lookup is not supported")
+    at = evaluate(spec["groupBy"], Scope(frame.fields))
+    if at.bracket in _EMPTY:
+        at = Value(F.lit(None).cast("string"), T.StringType())
+    rows = frame.df.withColumn("__x", at.column)
+    size = lambda rows: max(1, int(rows / n + 0.5))
+    # a group is full at its size, and takes all that equal its last; the last group takes the rest
+    turn = iter(range(n - 2))
+    upto = [x for x, _ in cut_points(rows, "__x", lambda m: size(m) if n > 1 else m, lambda m, done: None if done >= m else m if next(turn, None) is None else done + size(m))]
+    if not upto:
+        return Frame(rows.select(F.lit(None).cast("string").alias("_id")).where(F.lit(False)))
+    low = rows.schema["__x"].dataType
+    place = F.lit(0)
+    for x in upto[:-1]:  # as many as there are buckets
+        place = place + (F.lit(True) if x is None else F.coalesce(F.col("__x") > F.lit(x).cast(low), F.lit(False))).cast("int") if x is not None else place + F.col("__x").isNotNull().cast("int")
+    placed = rows.withColumn("__bucket", place)
+    output = spec.get("output", {"count": {"$sum": 1}})
+    made = group(frame.of(placed), {"_id": "$__bucket"} | output).df
+    ends = placed.groupBy("__bucket").agg(F.min(F.struct("__x")).alias("a"), F.max(F.struct("__x")).alias("b"))
+    after = F.lead("a").over(Window.partitionBy(F.lit(1)).orderBy("__bucket"))  # a row for each bucket
+    ends = ends.select("__bucket", F.struct(F.col("a.__x").alias("min"), F.coalesce(after, F.col("b"))["__x"].alias("max")).alias("__id"))
+    both = made.withColumnRenamed("_id", "__b").join(F.broadcast(ends), F.col("__b") == F.col("__bucket"))
+    out = both.select(F.col("__id").alias("_id"), *[F.col(quoted(k)) for k in output], F.col("__bucket").alias(f"{HIDDEN}u0"))
+    return Frame(out, ranked=True)
+
+
 def set_window_fields(frame: Frame, spec: dict, context: Context | None = None) -> Frame:
     return window_fields(frame, spec, context, _sort_keys)
 
@@ -662,6 +792,9 @@ STAGES: dict[str, Callable[[Frame, Any, Context], Frame]] = {
     "$replaceWith": replace_root,
     "$unionWith": union_with,
     "$setWindowFields": set_window_fields,
+    "$facet": facet,
+    "$bucket": bucket,
+    "$bucketAuto": bucket_auto,
 }
 
 

@@ -250,7 +250,7 @@ def _running(df: DataFrame, by: list[str], place: list[Column], outputs: list[Ou
     local = dealt.withColumns({name: RUNNING[op][0](c).over(within) for name, op, c in parts} | {"__at": F.count(F.lit(1)).over(within)})
     # partitions of more than one range: as many rows as there are ends of ranges
     many = dealt.select("__part", *by).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("__ranges")).where("__ranges > 1").drop("__ranges")
-    ends = joined(local, many, by, "left_semi").groupBy("__part", *by).agg(F.max_by(F.struct(*[name for name, _, _ in parts]), "__at").alias("__end"))
+    ends = (joined(local, many, by, "left_semi") if by else local).groupBy("__part", *by).agg(F.max_by(F.struct(*[name for name, _, _ in parts]), "__at").alias("__end"))
     before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("__part", *by, *[RUNNING[op][1](F.col(f"__end.{name}")).over(before).alias(f"__before{name}") for name, op, _ in parts])
     both = joined(local, carried, ["__part", *by])
@@ -330,3 +330,38 @@ def _moving(df: DataFrame, by: list[str], place: list[Column], o: Output) -> Dat
     true = F.when(F.col("__before").isNull(), F.col("__first")).otherwise(F.col("__zero") + F.pow(F.lit(rest), F.col("__count")) * F.col("__before"))
     shown = F.when(F.col(quoted(value)).isNotNull(), true)
     return both.withColumn(f"__o_{o.name}", shown).drop("__part", "__at", "__first", "__zero", "__count", "__before")
+
+
+def cut_points(df: DataFrame, column: str, first: Callable[[int], int], then: Callable[[int, int], int | None]) -> list[tuple[Any, int]]:
+    """Exact cuts of a column in ascending order: the least value up to which at least so many rows lie, and how many do.
+
+    ``first`` gives from the number of all rows the place to look for first,
+    ``then`` from the number of all and of those up to the last cut the next
+    one, or None. Different values are counted once and summed up along their
+    order; each cut is a lookup in that sorted table, which statistics of its
+    files narrow to the range that holds it.
+    """
+    values = df.groupBy(F.col(column).alias("__x")).agg(F.count(F.lit(1)).alias("__same")).withColumn("__v_upto", F.col("__same"))
+    table = stored(_running(values, [], [F.col("__x")], [Output("upto", "$sum", Value(F.col("__same"), T.LongType()), ("unbounded", "current"))]).select("__x", F.col("__o_upto").alias("upto")))
+    n = table.agg(F.max("upto")).first()[0]
+    out: list[tuple[Any, int]] = []
+    at = first(n) if n else None
+    while at is not None:
+        found = table.where(F.col("upto") >= min(at, n)).agg(F.min_by(F.struct("__x", "upto"), "upto")).first()[0]
+        out.append((found["__x"], found["upto"]))
+        at = then(n, found["upto"])
+    return out
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[Any]:
+    """The least values up to which at least each share of the rows with a value lies; None for all where there is none."""
+    full = df.where(F.col(column).isNotNull())
+    left = sorted(set(shares))
+    found: dict[float, Any] = {}
+    for share in left:  # ascending shares, of one table
+        found[share] = None
+    rest = iter(left)
+    cuts = cut_points(full, column, lambda n: max(1, -int(-n * next(rest) // 1)), lambda n, upto: None if (s := next(rest, None)) is None else max(1, -int(-n * s // 1)))
+    for share, (x, _) in zip(left, cuts, strict=False):
+        found[share] = x
+    return [found[s] for s in shares]

@@ -58,7 +58,7 @@ class Compiler:
 
     def __init__(self, catalog: Catalog, database: str, fuse: bool = True):
         self.catalog, self.database, self.fuse = catalog, database, fuse
-        self.context = stages.Context(self.collection, self._scalar, self._values, self.pipeline)
+        self.context = stages.Context(self.collection, self._scalar, self._values, self.pipeline, lambda: catalog.spark.range(1).select(F.lit(1).alias("__one")))
 
     def compile(self, text: str) -> Result:
         return self.chain(parse(text))
