@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .operators import overlap, retrieval
 from .operators.windows import exact_quantiles
+from .plans.compiler import Compiler
+from .session import shared_folder
+from .sources import dumps
+from .sources.catalog import Catalog
+from .streaming.pipelines import attach
 
 #: name: (query text, SQL)
 TEXTS: dict[str, tuple[str, str]] = {
@@ -89,3 +97,98 @@ CALLS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     ),
 }
 
+
+
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of six hours by type, from the text that a stream takes as well."""
+    pipeline = [{"$match": {"value": {"$gt": 1}}}, {"$group": {"_id": "$event_type", "n": {"$sum": 1}, "top": {"$max": "$value"}}}]
+    text = [{"$tumblingWindow": {"time": "$ts", "interval": {"size": 6, "unit": "hour"}, "allowedLateness": {"size": 10, "unit": "minute"}, "pipeline": pipeline}}]
+    return attach(spark.read.parquet(f"{sf_dir}/events.parquet"), text)
+
+
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a user: events with less than five hours between them."""
+    pipeline = [{"$group": {"_id": "$user_id", "n": {"$sum": 1}, "top": {"$max": "$value"}}}, {"$match": {"n": {"$gt": 1}}}]
+    text = [{"$sessionWindow": {"time": "$ts", "gap": {"size": 5, "unit": "hour"}, "partitionBy": "$user_id", "pipeline": pipeline}}]
+    return attach(spark.read.parquet(f"{sf_dir}/events.parquet"), text)
+
+
+def ngram_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against itself with some words changed: matched, predicted and expected n-grams by length."""
+    pairs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("reference"), F.regexp_replace("text", r" (the|of) ", " a ").alias("prediction"))
+    found = overlap.overlaps(pairs, 2)
+    return found.select("n", *[F.col(c).cast("long").alias(c) for c in ("matched", "predicted", "expected")])
+
+
+def ngram_match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names against part types, with some keywords."""
+    pairs = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("reference"), F.concat_ws(" ", "p_type", "p_brand", "p_size").alias("prediction"))
+    scores = overlap.ngram_scores(pairs, ["Brand#11", "Brand#12"])
+    return scores.select(*[F.round(c, 6).alias(c) for c in scores.columns])
+
+
+def dump_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of one status as a JSON array that is loaded as a collection, and queried."""
+    path = f"{shared_folder(spark)}/dump-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    dumps.write_dump(rows, f"{path}/orders.json", array=True)
+    catalog = Catalog(spark)
+    dumps.load(catalog, "d", "orders", f"{path}/orders.json")
+    text = "db.orders.aggregate([{'$group': {'_id': '$o_orderpriority', 'n': {'$sum': 1}, 'keys': {'$sum': '$o_orderkey'}, 'top': {'$max': '$o_totalprice'}}}])"
+    return Compiler(catalog, "d").compile(text).dataframe()
+
+
+def ragged_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose fields differ by type, as a dump: how many have a field, how many have it as null."""
+    path = f"{shared_folder(spark)}/dump-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = F.col("event_type")
+    lines = F.when(kind == "purchase", F.to_json(F.struct("event_id", "event_type", "value"))).when(kind == "error", F.to_json(F.struct("event_id", "event_type", F.lit(None).cast("double").alias("value")), {"ignoreNullFields": "false"})).otherwise(F.to_json(F.struct("event_id", "event_type")))
+    dumps.write_lines(rows.select(lines.alias("value")), f"{path}/events.json")
+    catalog = Catalog(spark)
+    dumps.load(catalog, "d", "events", f"{path}/events.json")
+    text = "db.events.aggregate([{'$match': {'value': {'$exists': True}}}, {'$group': {'_id': '$event_type', 'n': {'$sum': 1}, 'full': {'$sum': {'$cond': [{'$eq': ['$value', None]}, 0, 1]}}, 'all': {'$push': '$value'}}}, {'$project': {'n': 1, 'full': 1, 'listed': {'$size': '$all'}}}])"
+    return Compiler(catalog, "d").compile(text).dataframe()
+
+
+def split_leakage_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A split by row instead of by key leaks: customers of orders in both halves, and more than once in each."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("id"), (F.col("o_orderkey") % 5 == 0).alias("held_out"))
+    return retrieval.leaks(orders)
+
+
+_GRAMS = r"""WITH d AS (SELECT row_number() OVER () AS r, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda t: t <> '') AS a, list_filter(string_split_regex(regexp_replace(coalesce(text, ''), ' (the|of) ', ' a ', 'g'), '\s+'), lambda t: t <> '') AS b FROM documents),
+s AS (SELECT r, n, unnest(list_transform(range(1, len(a) - n + 2), lambda i: array_to_string(a[i:i + n - 1], ' '))) AS g, 1 AS x, 0 AS y FROM d, range(1, 3) t(n) UNION ALL
+  SELECT r, n, unnest(list_transform(range(1, len(b) - n + 2), lambda i: array_to_string(b[i:i + n - 1], ' '))), 0, 1 FROM d, range(1, 3) t(n)),
+m AS (SELECT r, n, g, sum(x) AS x, sum(y) AS y FROM s GROUP BY ALL),
+p AS (SELECT r, n, sum(least(x, y)) AS matched, sum(y) AS predicted, sum(x) AS expected FROM m GROUP BY ALL)
+SELECT CAST(n AS INTEGER) AS n, CAST(sum(coalesce(matched, 0)) AS BIGINT) AS matched, CAST(sum(greatest(coalesce(predicted, 0), 1)) AS BIGINT) AS predicted, CAST(sum(greatest(coalesce(expected, 0), 1)) AS BIGINT) AS expected
+FROM (SELECT d.r, t.n FROM d, range(1, 3) t(n)) LEFT JOIN p USING (r, n) GROUP BY n"""
+_SCORES = r"""WITH d AS (SELECT row_number() OVER () AS r, list_filter(string_split_regex(concat_ws(' ', p_name, p_type, p_brand), '\s+'), lambda t: t <> '') AS a, list_filter(string_split_regex(concat_ws(' ', p_type, p_brand, p_size), '\s+'), lambda t: t <> '') AS b FROM part),
+s AS (SELECT r, n, unnest(list_transform(range(1, len(a) - n + 2), lambda i: array_to_string(a[i:i + n - 1], ' '))) AS g, 1 AS x, 0 AS y FROM d, range(1, 5) t(n) UNION ALL
+  SELECT r, n, unnest(list_transform(range(1, len(b) - n + 2), lambda i: array_to_string(b[i:i + n - 1], ' '))), 0, 1 FROM d, range(1, 5) t(n)),
+m AS (SELECT r, n, g, sum(x) AS x, sum(y) AS y, CASE WHEN n > 1 OR g IN ('Brand#11', 'Brand#12') THEN 1.0 ELSE 0.2 END AS w FROM s GROUP BY ALL),
+p AS (SELECT r, n, sum(least(x, y)) AS m, sum(y) AS y, sum(least(x, y) * w) AS mw, sum(x * w) AS xw FROM m GROUP BY ALL),
+c AS (SELECT n, sum(coalesce(m, 0)) AS m, sum(greatest(coalesce(y, 0), 1)) AS y, sum(coalesce(mw, 0)) AS mw, sum(greatest(coalesce(xw, 0), 1)) AS xw FROM (SELECT d.r, t.n FROM d, range(1, 5) t(n)) LEFT JOIN p USING (r, n) GROUP BY n),
+z AS (SELECT sum(len(a)) AS h, sum(len(b)) AS k FROM d), e AS (SELECT CASE WHEN k > h THEN 1.0 ELSE exp(1 - h / k) END AS e FROM z)
+SELECT round(any_value(e) * exp(avg(ln(CASE WHEN m > 0 THEN m ELSE 0.1 END / y))), 6) AS ngram_match_score, round(any_value(e) * exp(avg(ln(CASE WHEN mw > 0 THEN mw ELSE 0.1 END / xw))), 6) AS weighted_ngram_match_score FROM c, e"""
+CALLS |= {
+    "event_windows": (
+        event_windows,
+        "SELECT CAST(w AS TIMESTAMP) AS \"windowStart\", CAST(w + INTERVAL 6 HOUR AS TIMESTAMP) AS \"windowEnd\", event_type AS _id, count(*) AS n, max(value) AS top FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS w FROM events WHERE value > 1) GROUP BY ALL",
+    ),
+    "event_sessions": (
+        event_sessions,
+        """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 5 HOUR THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT min(ts) AS "windowStart", max(ts) + INTERVAL 5 HOUR AS "windowEnd", user_id AS _id, count(*) AS n, max(value) AS top FROM s GROUP BY user_id, s HAVING count(*) > 1""",
+    ),
+    "ngram_overlap": (ngram_overlap, _GRAMS),
+    "ngram_match_scores": (ngram_match_scores, _SCORES),
+    "dump_round_trip": (dump_round_trip, "SELECT o_orderpriority AS _id, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, max(o_totalprice) AS top FROM orders WHERE o_orderstatus = 'P' GROUP BY 1"),
+    "ragged_dump": (ragged_dump, "SELECT event_type AS _id, count(*) AS n, CASE WHEN event_type = 'purchase' THEN count(*) ELSE 0 END AS \"full\", count(*) AS listed FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1"),
+    "split_leakage_found": (
+        split_leakage_found,
+        "SELECT count(*) FILTER (WHERE t > 0 AND p > 0) AS overlap, count(*) FILTER (WHERE p > 1) AS pool_duplicates, count(*) FILTER (WHERE t > 1) AS test_duplicates FROM (SELECT o_custkey, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS t, count(*) FILTER (WHERE o_orderkey % 5 <> 0) AS p FROM orders GROUP BY 1)",
+    ),
+}

@@ -36,18 +36,22 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(spark.sparkContext.applicationId)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder that all machines see (``spark.checkpoint.dir``), read again: its lineage ends here.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines see (``spark.checkpoint.dir``).
 
-    Without such a folder, on one machine, a temporary one is made for the session; on a cluster that is an error.
+    Where none is named, on one machine, a temporary one is made for the session; on a cluster that is an error.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/stored-{uuid.uuid4().hex}"
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: its lineage ends here."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

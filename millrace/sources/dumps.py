@@ -100,9 +100,14 @@ def write_dump(df: DataFrame, path: str, array: bool = False) -> None:
     task writes it, row by row, so it is for what one machine can read again.
     """
     lines = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-    if not array:
+    if array:
+        write_lines(lines, path)
+    else:
         lines.write.mode("overwrite").text(path)
-        return
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Documents that are JSON texts already as one array in one file."""
 
     def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun = False
@@ -114,7 +119,7 @@ def write_dump(df: DataFrame, path: str, array: bool = False) -> None:
         yield pa.RecordBatch.from_pydict({"value": pa.array(["]" if begun else "[]"])})
 
     if lines.isEmpty():  # of which Spark makes no task
-        df.sparkSession.range(1).select(F.lit("[]").alias("value")).write.mode("overwrite").text(path)
+        lines.sparkSession.range(1).select(F.lit("[]").alias("value")).write.mode("overwrite").text(path)
         return
     lines.coalesce(1).mapInArrow(bracketed, "value string").write.mode("overwrite").text(path)
 
