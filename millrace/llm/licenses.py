@@ -3,15 +3,17 @@
 Templates are winnowed as in published document fingerprinting: of the hashes of
 ``GRAM`` words the smallest of every ``WINDOW`` in a row is kept. The inverted
 index maps a fingerprint to the templates and places that have it. A document's
-fingerprints pick candidates: places where the difference of document and
-template position agrees within a band. There the template is aligned with the
-document's words by dynamic programming within the band, and a match reports
-how much of the template was found, and where. Short templates also have so many
+fingerprints pick candidates: places where a template may stand. There it is
+aligned with the document's words by dynamic programming within a band around
+the place, as wide as an alignment can stray; a match reports how much of the
+template was found, and where, and what lies beside it is looked at again.
+Short templates also have so many
 single words in the index that every match shares one.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import defaultdict
@@ -27,8 +29,8 @@ from . import common
 GRAM, WINDOW = 3, 2
 #: Templates of fewer words are also found by single words; in longer ones with a fifth of the words changed four in a row are left.
 SHORT = 20
-#: Half the width of the band, at least, and as a share of the template's words.
-BAND, BAND_SHARE = 4, 0.1
+#: Half the width of the band at least.
+BAND = 4
 #: The share of a template's words that a match must have.
 COVERAGE = 0.8
 #: Bytes of templates that may be sent to every task.
@@ -90,35 +92,35 @@ def align(template: np.ndarray, words: np.ndarray, band: int) -> tuple[int, int,
     ``words`` are the document's, the template's first word expected at index
     ``band``; only pairs within ``band`` of the diagonal are compared. Gives the
     number of equal words, and the first and last equal place in the template
-    and in ``words``. A pair of equal words gains 2, and a skipped or different
-    word costs 1, so that far-off chance pairs are left out. Of equal scores the
-    earliest end counts.
+    and in ``words``. A pair of equal words gains 2; a word of the document
+    that the template has not costs 1, so that far-off chance pairs are left
+    out; a word of the template that is left out costs nothing, as coverage
+    counts it. Of equal scores the earliest end counts.
     """
-    n, width = len(template), 2 * band + 1
-    best = (0, 0, 0, 0, 0, 0)
-    above: list[tuple[int, int, int, int]] = [(0, 0, -1, -1)] * width  # score, equal words, first places
-    for i in range(n):
-        row: list[tuple[int, int, int, int]] = []
-        for d in range(width):
-            j = i + d
-            diagonal = above[d]
-            if j < len(words) and template[i] == words[j]:
-                s, k, fi, fj = diagonal
-                cell = (s + 2, k + 1, fi if k else i, fj if k else j)
-            else:
-                s, k, fi, fj = diagonal
-                cell = (s - 1, k, fi, fj)
-                if d + 1 < width and above[d + 1][0] - 1 > cell[0]:
-                    cell = (above[d + 1][0] - 1, *above[d + 1][1:])
-                if d and row[d - 1][0] - 1 > cell[0]:
-                    cell = (row[d - 1][0] - 1, *row[d - 1][1:])
-                if cell[0] < 0:
-                    cell = (0, 0, -1, -1)
-            row.append(cell)
-            if cell[0] > best[0]:
-                best = (cell[0], cell[1], cell[2], i, cell[3], j)
-        above = row
-    return best[1:]
+    width = 2 * band + 1
+    at = np.arange(width)
+    padded = np.concatenate([words, np.zeros(max(0, len(template) + width - len(words)), words.dtype)])
+    inside = len(words)
+    best, where = 0, (0, 0, 0, 0, 0)
+    # of each cell of the row above: score, equal words, and the first equal places
+    score, equal, fi, fj = np.zeros(width, np.int64), np.zeros(width, np.int64), np.full(width, -1), np.full(width, -1)
+    for i, word in enumerate(template):
+        same = (padded[i : i + width] == word) & (at + i < inside)
+        s = np.where(same, score + 2, score - 1)
+        k, f, g = equal + same, np.where(same & (equal == 0), i, fi), np.where(same & (equal == 0), at + i, fj)
+        # the template's word left out: from the cell of the row above at the same word of the document
+        up = np.append(score[1:], -1)
+        over = up > s
+        s, k, f, g = np.where(over, up, s), np.where(over, np.append(equal[1:], 0), k), np.where(over, np.append(fi[1:], -1), f), np.where(over, np.append(fj[1:], -1), g)
+        none = s < 0
+        s, k, f, g = np.where(none, 0, s), np.where(none, 0, k), np.where(none, -1, f), np.where(none, -1, g)
+        # words of the document put in: the best cell to the left, less one for each word; of equal ones the nearest
+        source = np.maximum.accumulate((s + at) * width + at) % width
+        score, equal, fi, fj = s[source] - (at - source), k[source], f[source], g[source]
+        top = int(np.argmax(np.where(source == at, score, -1)))
+        if score[top] > best:
+            best, where = int(score[top]), (int(equal[top]), int(fi[top]), i, int(fj[top]), top + i)
+    return where
 
 
 class TemplateIndex:
@@ -147,35 +149,49 @@ class TemplateIndex:
         self.single = dict(single)
         self._words = np.array(sorted(single), dtype=np.uint64)
 
-    def candidates(self, h: np.ndarray) -> list[tuple[int, int]]:
-        """Template and expected place of its first word, one for each group of near diagonals, and each of single words."""
-        found = set()
+    def candidates(self, h: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """For each template the places in the text of its fingerprints and single words, each with the expected place of its first word."""
+        found: dict[int, set[tuple[int, int]]] = defaultdict(set)
         if len(self._words):
             hit = np.flatnonzero(self._words[np.minimum(np.searchsorted(self._words, h), len(self._words) - 1)] == h)
-            found = {(t, p - q) for p in hit.tolist() for t, q in self.single[int(h[p])]}
-        return sorted(found.union(self._near(h)))
-
-    def _near(self, h: np.ndarray) -> list[tuple[int, int]]:
+            for p in hit.tolist():
+                for t, q in self.single[int(h[p])]:
+                    found[t].add((p, p - q))
         at, values = fingerprints(h)
-        if not len(at) or not len(self._sorted):
-            return []
-        i = np.minimum(np.searchsorted(self._sorted, values), len(self._sorted) - 1)
-        hit = self._sorted[i] == values
-        diagonals: dict[int, set[int]] = defaultdict(set)
-        for p, v in zip(at[hit].tolist(), values[hit].tolist(), strict=True):
-            for t, q in self.places[v]:
-                diagonals[t].add(p - q)
-        out = []
-        for t, ds in diagonals.items():
-            last = None
-            for d in sorted(ds):
-                if last is None or d > last + self.band(t):
-                    out.append((t, d))
-                    last = d
-        return out
+        if len(at) and len(self._sorted):
+            i = np.minimum(np.searchsorted(self._sorted, values), len(self._sorted) - 1)
+            hit = self._sorted[i] == values
+            for p, v in zip(at[hit].tolist(), values[hit].tolist(), strict=True):
+                for t, q in self.places[v]:
+                    found[t].add((p, p - q))
+        return {t: sorted(places) for t, places in found.items()}
 
     def band(self, t: int) -> int:
-        return max(BAND, int(BAND_SHARE * len(self.words[t])))
+        """As far as an alignment of the template can leave its diagonal: what is put in costs less than what it joins gains."""
+        return max(BAND, 2 * len(self.words[t]))
+
+    def _found(self, t: int, h: np.ndarray, places: list[tuple[int, int]], coverage: float) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """The matches of a template, which do not overlap. Around each place the best alignment is taken, then what is left on both sides of it."""
+        n, band = len(self.words[t]), self.band(t)
+        taken: list[tuple[int, int]] = []  # ascending, from and to
+        tried: tuple[int, int, int] | None = None
+        for p, d in places:
+            while True:
+                i = bisect.bisect(taken, (p, len(h)))
+                low = taken[i - 1][1] if i else 0
+                high = taken[i][0] if i < len(taken) else len(h)
+                if p < low or tried is not None and tried[:2] == (low, high) and abs(tried[2] - d) <= band // 2:
+                    break  # in a match, or seen from a place near by, whose band reaches far enough beyond it
+                begin = max(low, d - band)
+                pad = np.zeros(max(0, begin - (d - band)), np.uint64)  # places before the text, or in a match, equal nothing
+                stretch = np.concatenate([pad, h[begin : min(high, d + n + band)]])
+                equal, first, last, x, y = align(self.words[t], stretch, band)
+                if equal < max(1, coverage * n):
+                    tried = (low, high, d)
+                    break
+                shift = begin - len(pad)
+                yield t, equal, x + shift, y + shift, first, last
+                bisect.insort(taken, (x + shift, y + shift + 1))
 
     def matches(self, text: str | None, coverage: float) -> list[tuple[str, float, int, int, int, int, int]]:
         """name, coverage, equal words, span in the text (code points), span in the template (words) of all matches."""
@@ -183,16 +199,7 @@ class TemplateIndex:
         if not words:
             return []
         h = _hashes(words)
-        found = set()
-        for t, d in self.candidates(h):
-            band = self.band(t)
-            begin = max(0, d - band)
-            pad = np.zeros(max(0, band - d), np.uint64)  # places before the text equal nothing
-            stretch = np.concatenate([pad, h[begin : d + len(self.words[t]) + band]])
-            equal, first, last, x, y = align(self.words[t], stretch, band)
-            if equal >= coverage * len(self.words[t]):
-                shift = begin - len(pad)
-                found.add((t, equal, x + shift, y + shift, first, last))
+        found = {m for t, places in self.candidates(h).items() for m in self._found(t, h, places, coverage)}
         # of overlapping matches the one with the most equal words stays
         kept: list[tuple] = []
         for m in sorted(found, key=lambda m: (-m[1], -m[1] / len(self.words[m[0]]), m[2], m[0])):
@@ -209,6 +216,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     template_end (words). Of matches that overlap in a document, the one with the
     most words stays. Whole texts are scanned; null and empty ones and those
     without words have no match, and templates without words match nothing.
+    Words changed or left out anywhere, in one run or in many, leave a match as
+    long as coverage holds; so does a run of words put in that is shorter than
+    twice the template's words on either side of it. Ties go to the earliest.
     Repeated rows give repeated matches; extra columns are left out; an empty
     table gives no rows. Templates beyond TEMPLATE_BYTES are refused, as every
     task holds their index.

@@ -98,3 +98,62 @@ def test_short_templates_with_changed_words(words):
             t, w = licenses._hashes(own), licenses._hashes(near)
             equal = max(licenses.align(t, np.concatenate([np.zeros(max(0, 4 - d), np.uint64), w[max(0, d - 4) :]])[: len(own) + 8], 4)[0] for d in range(len(near)))
             assert bool(index.matches(" ".join(near), 0.8)) == (equal >= 0.8 * len(own)), near
+
+
+@pytest.mark.parametrize("name", ["mit", "bsd-3-clause", "gpl-3.0-notice", "apache-2.0-notice", "isc"])
+def test_runs_left_out_put_in_and_moved(words, name):
+    """A template is found whenever enough of it is left, wherever one run is left out; and when a run is put in."""
+    rng = random.Random(name)
+    own = licenses.word_spans(licenses.TEMPLATES[name])[0]
+    index, n = licenses.TemplateIndex({name: licenses.TEMPLATES[name]}), len(own)
+    noise = lambda k: [rng.choice(words) for _ in range(k)]
+    for k in (1, n // 12, n // 8, n // 5):
+        for _ in range(12):
+            i = rng.randrange(n - k + 1)
+            text = " ".join([*noise(40), *own[:i], *own[i + k :], *noise(40)])
+            (m,) = index.matches(text, 0.8)
+            assert m[0] == name and m[2] >= n - k
+            i = rng.randrange(n // 4, 3 * n // 4)
+            (m,) = index.matches(" ".join([*noise(40), *own[:i], *noise(2 * k), *own[i:], *noise(40)]), 0.8)
+            assert m[2] == n
+    for _ in range(12):  # two runs left out, and one moved to the end
+        i, k = rng.randrange(n // 2), n // 10
+        j = rng.randrange(n // 2, n - k)
+        (m,) = index.matches(" ".join([*noise(9), *own[:i], *own[i + k : j], *own[j + k :], *noise(9)]), 0.8)
+        assert m[2] >= n - 2 * k
+        (m,) = index.matches(" ".join([*own[:i], *own[i + k :], *own[i : i + k]]), 0.8)
+        assert m[2] >= n - k
+
+
+def test_every_occurrence_is_found(words):
+    """Copies side by side, damaged each in another way, with and without text between."""
+    rng = random.Random(8)
+    own = licenses.word_spans(licenses.TEMPLATES["gpl-3.0-notice"])[0]
+    index, n = licenses.TemplateIndex(licenses.TEMPLATES), len(licenses.word_spans(licenses.TEMPLATES["gpl-3.0-notice"])[0])
+    for between in (0, 1, 30, 300):
+        text: list[str] = []
+        for k in range(7):
+            i = rng.randrange(n - n // 6)
+            text += [*([rng.choice(words) for _ in range(between)]), *own[:i], *own[i + k * n // 40 :]]
+        found = index.matches(" ".join(text), 0.8)
+        assert [m[0] for m in found] == ["gpl-3.0-notice"] * 7
+        assert all(a[4] <= b[3] for a, b in zip(found, found[1:], strict=False))
+
+
+def test_whole_scans_equal_alignments_without_a_band(words):
+    """What the index and the band find is what the full table of every template finds."""
+    rng = random.Random(9)
+    index = licenses.TemplateIndex(licenses.TEMPLATES)
+    for _ in range(40):
+        name = rng.choice([n for n in sorted(licenses.TEMPLATES) if len(licenses.word_spans(licenses.TEMPLATES[n])[0]) >= licenses.SHORT])
+        text = licenses.word_spans(licenses.TEMPLATES[name])[0]
+        for _ in range(rng.randint(0, 6)):
+            i, k = rng.randrange(len(text)), rng.randrange(12)
+            text = rng.choice([text[:i] + text[i + k :], text[:i] + [rng.choice(words) for _ in range(k)] + text[i:]]) or ["x"]
+        text = [rng.choice(words) for _ in range(20)] + text + [rng.choice(words) for _ in range(20)]
+        h, t = licenses._hashes(text), index.names.index(name)
+        n = len(index.words[t])
+        wide = len(h) + n
+        equal = licenses.align(index.words[t], np.concatenate([np.zeros(wide, np.uint64), h]), wide)[0]
+        got = [m[2] for m in index.matches(" ".join(text), 0.8) if m[0] == name]
+        assert (max(got, default=0) >= equal) if equal >= 0.8 * n else not got or max(got) >= 0.8 * n
