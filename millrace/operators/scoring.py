@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..plans.compiler import Compiler
 from ..plans.frontend import check, normalize, strip_fences
 from ..sources.catalog import Catalog
-from .results import is_empty, json_safe, results_match, scored_value
+from .results import frames_match, is_empty, json_safe, results_match, scored_value
 
 
 def run_case(catalog: Catalog, case: dict, gold: dict[str, Any] | None = None) -> dict:
@@ -51,6 +51,48 @@ def build_gold(catalog: Catalog, cases: Iterable[dict]) -> tuple[list[dict], lis
     return records, empty, failed, len(records) - len(empty) - len(failed)
 
 
+def run_in_cluster(catalog: Catalog, cases: Iterable[dict], gold: dict[str, str], sample: int = 20) -> list[dict]:
+    """The records of cases whose results may be large: what the driver gets of each is a number and a sample.
+
+    ``gold`` maps ids as text to the queries whose results are right. Rows are
+    counted and compared in the cluster, as multisets, null equal to null;
+    fields may come in any order. A record has the size of the result, whether
+    it is the gold one's (None without one), and at most ``sample`` of its rows;
+    numbers, and single documents by the names of their fields, are compared as
+    run_case() does. A gold query that fails is none.
+    """
+    out = []
+    for case in cases:
+        record = {"id": case["id"], "database": case.get("database"), "query": case["normalized_query"]}
+        if not case.get("database"):
+            out.append(record | {"status": "SKIPPED", "reason": "no database field"})
+            continue
+        compiler = Compiler(catalog, case["database"])
+        try:
+            made = compiler.compile(case["normalized_query"])
+            many = made.kind in ("cursor", "values")
+            value = None if many else json_safe(scored_value(made))
+            size = made.dataframe().count() if many else None
+            shown = json_safe([r.asDict(recursive=True) for r in made.dataframe().limit(sample).collect()]) if many else value
+        except Exception as e:  # noqa: BLE001  whatever goes wrong is the case's result
+            out.append(record | {"status": "FAIL", "error": str(e), "size": None, "non_empty_rate": False, "execution_accuracy": False})
+            continue
+        right = None
+        if (query := gold.get(str(case["id"]))) is not None:
+            try:
+                wanted = compiler.compile(query)
+                if many != (wanted.kind in ("cursor", "values")):
+                    right = False
+                elif many:
+                    right = frames_match(made.dataframe(), wanted.dataframe())
+                else:
+                    right = results_match(value, json_safe(scored_value(wanted)))
+            except Exception:  # noqa: BLE001  as if there were none
+                right = None
+        out.append(record | {"status": "PASS", "size": size, "result": shown, "non_empty_rate": size > 0 if many else not is_empty(value), "execution_accuracy": right})
+    return out
+
+
 def normalized(cases: DataFrame, column: str = "generated_query") -> DataFrame:
     """``cases``, all columns, with normalized_query, notes on what was rewritten, and the reason of a refusal ("" if none).
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import overlap, retrieval
+from .operators import overlap, retrieval, scoring
 from .operators.windows import exact_quantiles
 from .plans.compiler import Compiler
 from .session import shared_folder
@@ -157,6 +157,24 @@ def split_leakage_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.leaks(orders)
 
 
+def cases_in_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A case for each region, whose query sums up its orders by customer; one of another field, one wrong, one refused, one whose inner value is absent."""
+    regions = [r[0] for r in spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey").orderBy("r_regionkey").collect()]
+    text = "db.customer.aggregate([{'$lookup': {'from': 'nation', 'localField': 'c_nationkey', 'foreignField': 'n_nationkey', 'as': 'n'}}, {'$unwind': '$n'}, {'$match': {'n.n_regionkey': %s}}, {'$lookup': {'from': 'orders', 'localField': 'c_custkey', 'foreignField': 'o_custkey', 'as': 'o'}}, {'$project': {'_id': 0, 'c_custkey': 1, 'n': {'$size': '$o'}}}])"
+    gold = {str(k): text % k for k in regions}
+    queries = dict(gold)
+    queries["1"] = (text % 1).replace("'n': {'$size'", "'count': {'$size'")
+    queries["2"] = text % 3
+    gold |= {"count": "db.orders.count_documents({})", "refused": "db.orders.find({})", "absent": "db.orders.find({})"}
+    queries |= {"count": "db.orders.count_documents({'o_orderkey': {'$gte': 0}})", "refused": "db.orders.find({}).count()", "absent": "db.orders.find({'o_totalprice': {'$gt': db.orders.find_one({'o_orderkey': -1})['o_totalprice']}})"}
+    cases = [{"id": i, "database": "tables", "normalized_query": q} for i, q in queries.items()]
+    made = Catalog(spark)
+    for name, order in (("customer", "c_custkey"), ("nation", "n_nationkey"), ("orders", "o_orderkey")):
+        made.register("tables", name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), [order])
+    rows = [(r["id"], r["status"], r["size"], r["execution_accuracy"], len(r["result"]) if isinstance(r.get("result"), list) else None) for r in scoring.run_in_cluster(made, cases, gold)]
+    return spark.createDataFrame(rows, "id string, status string, size long, accurate boolean, sampled long")
+
+
 _GRAMS = r"""WITH d AS (SELECT row_number() OVER () AS r, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda t: t <> '') AS a, list_filter(string_split_regex(regexp_replace(coalesce(text, ''), ' (the|of) ', ' a ', 'g'), '\s+'), lambda t: t <> '') AS b FROM documents),
 s AS (SELECT r, n, unnest(list_transform(range(1, len(a) - n + 2), lambda i: array_to_string(a[i:i + n - 1], ' '))) AS g, 1 AS x, 0 AS y FROM d, range(1, 3) t(n) UNION ALL
   SELECT r, n, unnest(list_transform(range(1, len(b) - n + 2), lambda i: array_to_string(b[i:i + n - 1], ' '))), 0, 1 FROM d, range(1, 3) t(n)),
@@ -187,6 +205,12 @@ SELECT min(ts) AS "windowStart", max(ts) + INTERVAL 5 HOUR AS "windowEnd", user_
     "ngram_match_scores": (ngram_match_scores, _SCORES),
     "dump_round_trip": (dump_round_trip, "SELECT o_orderpriority AS _id, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, max(o_totalprice) AS top FROM orders WHERE o_orderstatus = 'P' GROUP BY 1"),
     "ragged_dump": (ragged_dump, "SELECT event_type AS _id, count(*) AS n, CASE WHEN event_type = 'purchase' THEN count(*) ELSE 0 END AS \"full\", count(*) AS listed FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1"),
+    "cases_in_cluster": (
+        cases_in_cluster,
+        """WITH k AS (SELECT r_regionkey AS r, count(c_custkey) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)
+SELECT CAST(a.r AS VARCHAR) AS id, 'PASS' AS status, coalesce(b.n, 0) AS size, a.r NOT IN (1, 2) AS accurate, least(b.n, 20) AS sampled FROM k a JOIN k b ON b.r = CASE WHEN a.r = 2 THEN 3 ELSE a.r END
+UNION ALL SELECT 'count', 'PASS', NULL, TRUE, NULL UNION ALL SELECT 'refused', 'FAIL', NULL, FALSE, NULL UNION ALL SELECT 'absent', 'FAIL', NULL, FALSE, NULL""",
+    ),
     "split_leakage_found": (
         split_leakage_found,
         "SELECT count(*) FILTER (WHERE t > 0 AND p > 0) AS overlap, count(*) FILTER (WHERE p > 1) AS pool_duplicates, count(*) FILTER (WHERE t > 1) AS test_duplicates FROM (SELECT o_custkey, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS t, count(*) FILTER (WHERE o_orderkey % 5 <> 0) AS p FROM orders GROUP BY 1)",
