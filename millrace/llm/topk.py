@@ -30,13 +30,13 @@ def _packed(rows: DataFrame, n: int, kind: str) -> DataFrame:
 
     def pack(t: pa.Table) -> pa.Table:
         ids, parts = t["id"].to_numpy(), [t[c].combine_chunks() for c in ("terms", "weights")]
-        order = np.argsort(ids, kind="stable")
+        order = np.lexsort((t["key"].to_numpy(), ids))  # rows of one id in an order of their own, so that a task that runs again gives the same
         rows = [p.take(pa.array(order)) for p in parts]
         ends = np.cumsum([len(x) for x in rows[0]], dtype=np.int64)
         terms, weights = (r.flatten().to_numpy() for r in rows)
         return pa.Table.from_batches([common.batch(PACKED, [t["block"][0].as_py()], [ids[order].astype(np.int64).tobytes()], [ends.tobytes()], [terms.astype(np.int32).tobytes()], [weights.astype(kind).tobytes()])])
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    dealt = rows.withColumn("key", F.xxhash64("terms", "weights")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     return dealt.groupBy("block").applyInArrow(pack, "block int, ids binary, ends binary, terms binary, weights binary")
 
 
@@ -79,8 +79,8 @@ class BlockIndex:
                     out[np.ix_(mine, who)] += np.multiply.outer(weights[order[i:j]], values)
         return out
 
-    def best(self, queries: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query ids, ids and scores of the k best of each query but its own; equal scores by smaller id."""
+    def best(self, queries: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places among the queries, query ids, ids and scores of the k best of each query but its own; equal scores by smaller id."""
         n, lowest = scores.shape[1], np.iinfo(scores.dtype).min
         for r, (i, j) in enumerate(zip(np.searchsorted(self.ids, queries, "left"), np.searchsorted(self.ids, queries, "right"), strict=True)):
             scores[r, i:j] = lowest
@@ -90,7 +90,7 @@ class BlockIndex:
             at = np.flatnonzero(s >= max(least[r], lowest + 1))  # ids ascend
             if len(at) > k:
                 at = np.sort(np.concatenate([at[s[at] > least[r]], at[s[at] == least[r]]])[:k])
-            out.append((np.full(len(at), queries[r]), self.ids[at], s[at].astype(np.int64)))
+            out.append((np.full(len(at), r), np.full(len(at), queries[r]), self.ids[at], s[at].astype(np.int64)))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -100,7 +100,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     Both sides hold id (long), terms (array of int) and weights (array of long),
     a row's terms without repeats and without zero weights; a row without terms
     scores 0. A candidate with the query's own id takes no part. Ties go to the
-    smaller id; repeated ids stay as separate candidates. Queries and candidates
+    smaller id; repeated ids stay as separate candidates. A query that occurs
+    again is asked once; different rows of one id are queries of their own, each
+    with its ranks. Queries and candidates
     meet block by block; an empty side gives no rows. Nulls are for the caller
     to leave out. Every pair is scored: no pruning, no approximation.
     """
@@ -112,7 +114,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     kind = "int32" if int(most) * int(wq) < 2**31 - 2 else "int64"  # no sum can leave its bits
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
+        schema = pa.schema([("q_block", pa.int32()), ("q_row", pa.int32()), ("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
         kinds = (np.int64, np.int64, np.int32, np.dtype(kind))
         at, index = None, None
         for b in batches:
@@ -124,16 +126,17 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
                 for i in range(0, len(qids), TILE):
                     base, ends = (qends[i - 1] if i else 0), qends[i : i + TILE]
                     scores = index.scores(ends - base, qterms[base : ends[-1]], qweights[base : ends[-1]])
-                    yield common.batch(schema, *index.best(qids[i : i + TILE], scores, k))
+                    rows, *found = index.best(qids[i : i + TILE], scores, k)
+                    yield common.batch(schema, np.full(len(rows), row["q_block"]), rows + i, *found)
 
     left = _packed(candidates.select("id", "terms", "weights"), blocks, kind)
-    right = _packed(queries.select("id", "terms", "weights"), query_blocks, kind)
+    right = _packed(queries.select("id", "terms", "weights").distinct(), query_blocks, kind)
     right = right.select(F.col("block").alias("q_block"), *[F.col(c).alias("q_" + c) for c in ("ids", "ends", "terms", "weights")])
     # a stated query set against all rows, block by block
     pairs = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(left.hint("merge"), "block")
     met = pairs.repartition(min(blocks * query_blocks, 4096), "block", "q_block").sortWithinPartitions("block")
-    found = met.mapInArrow(score, "query_id long, id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    found = met.mapInArrow(score, "q_block int, q_row int, query_id long, id long, score long")
+    rank = F.row_number().over(Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
@@ -165,10 +168,10 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS w FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+  SELECT q.vec_id AS query_id, q.w, c.vec_id, CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score
+  FROM (SELECT DISTINCT * FROM v WHERE vec_id % 20 = 0) q JOIN v c ON q.vec_id <> c.vec_id
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, w ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM s
 )
 SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 20"""
 }

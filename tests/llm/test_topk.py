@@ -43,3 +43,19 @@ def test_vectors_whose_scores_need_not_fit_take_no_part(spark):
     assert sorted(r["id"] for r in made.collect()) == [0, 3, 40]
     got = topk.top_k(made.where("id % 20 = 0"), made, 20).collect()
     assert sorted((r["query_id"], r["id"], r["score"]) for r in got) == [(0, 3, 128 * 32 + 64 * 640_000_000), (0, 40, 0), (40, 0, 0), (40, 3, 0)]
+
+
+def test_repeated_queries(spark):
+    """A copy of a query changes nothing; another vector of its id has ranks of its own."""
+    rng = random.Random(5)
+    vectors = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(60)]
+    twice = [*vectors, vectors[20], vectors[20], (40, [0.5, 0.5, -0.5, 0.25])]
+    df = spark.createDataFrame(twice, "vec_id long, embedding array<double>").repartition(3)
+    rows = topk.whole_vectors(df, "vec_id", "embedding", 64)
+    got = sorted(tuple(r) for r in topk.top_k(rows.where("id % 20 = 0"), rows, 20).collect())
+    scaled = [(i, [math.floor(64 * x) for x in v]) for i, v in twice]
+    want = []
+    for q, qv in {(i, tuple(v)) for i, v in scaled if i % 20 == 0}:
+        found = sorted((-sum(a * b for a, b in zip(qv, v, strict=True)), i) for i, v in scaled if i != q)[:20]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
+    assert got == sorted(want) and sum(r[0] == 40 for r in got) == 40
