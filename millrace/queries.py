@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import queries_joined, queries_windowed
+from . import queries_joined, queries_retrieved, queries_windowed
 from .operators import results, retrieval, scoring
 from .plans.compiler import Compiler
 from .sources.catalog import Catalog
@@ -442,8 +442,8 @@ FROM e JOIN c USING ("Model") JOIN b USING ("Model")""",
 }
 
 
-TEXTS |= queries_joined.TEXTS | queries_windowed.TEXTS
-CALLS |= queries_joined.CALLS | queries_windowed.CALLS
+TEXTS |= queries_joined.TEXTS | queries_windowed.TEXTS | queries_retrieved.TEXTS
+CALLS |= queries_joined.CALLS | queries_windowed.CALLS | queries_retrieved.calls(catalog, CALLS["schema_cards"][1])
 
 
 def _text_query(text: str) -> Callable[[SparkSession, str], DataFrame]:

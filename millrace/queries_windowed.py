@@ -165,8 +165,8 @@ def cases_in_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = dict(gold)
     queries["1"] = (text % 1).replace("'n': {'$size'", "'count': {'$size'")
     queries["2"] = text % 3
-    gold |= {"count": "db.orders.count_documents({})", "refused": "db.orders.find({})", "absent": "db.orders.find({})"}
-    queries |= {"count": "db.orders.count_documents({'o_orderkey': {'$gte': 0}})", "refused": "db.orders.find({}).count()", "absent": "db.orders.find({'o_totalprice': {'$gt': db.orders.find_one({'o_orderkey': -1})['o_totalprice']}})"}
+    gold |= {"count": "db.orders.count_documents({})", "refused": "db.orders.find({})", "absent": "db.orders.find({})", "stage": "db.orders.find({})"}
+    queries |= {"stage": "db.orders.aggregate([{'$filter': {'input': '$o', 'cond': True}}])", "count": "db.orders.count_documents({'o_orderkey': {'$gte': 0}})", "refused": "db.orders.find({}).count()", "absent": "db.orders.find({'o_totalprice': {'$gt': db.orders.find_one({'o_orderkey': -1})['o_totalprice']}})"}
     cases = [{"id": i, "database": "tables", "normalized_query": q} for i, q in queries.items()]
     made = Catalog(spark)
     for name, order in (("customer", "c_custkey"), ("nation", "n_nationkey"), ("orders", "o_orderkey")):
@@ -209,7 +209,7 @@ SELECT min(ts) AS "windowStart", max(ts) + INTERVAL 5 HOUR AS "windowEnd", user_
         cases_in_cluster,
         """WITH k AS (SELECT r_regionkey AS r, count(c_custkey) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)
 SELECT CAST(a.r AS VARCHAR) AS id, 'PASS' AS status, coalesce(b.n, 0) AS size, a.r NOT IN (1, 2) AS accurate, least(b.n, 20) AS sampled FROM k a JOIN k b ON b.r = CASE WHEN a.r = 2 THEN 3 ELSE a.r END
-UNION ALL SELECT 'count', 'PASS', NULL, TRUE, NULL UNION ALL SELECT 'refused', 'FAIL', NULL, FALSE, NULL UNION ALL SELECT 'absent', 'FAIL', NULL, FALSE, NULL""",
+UNION ALL SELECT 'count', 'PASS', NULL, TRUE, NULL UNION ALL SELECT 'refused', 'FAIL', NULL, FALSE, NULL UNION ALL SELECT 'absent', 'FAIL', NULL, FALSE, NULL UNION ALL SELECT 'stage', 'FAIL', NULL, FALSE, NULL""",
     ),
     "split_leakage_found": (
         split_leakage_found,
