@@ -226,24 +226,47 @@ def group(frame: Frame, spec: dict, context: Context | None = None) -> Frame:
 def _rank(frame: Frame, key: Column) -> tuple[Frame, Column]:
     """A column whose ascending order within a group's ``key`` is the order of the rows.
 
-    Numbers and times that rank downwards are negated. Other types cannot be; with
-    such a key rows are numbered by a window.
+    Keys that rank downwards are turned round. Arrays inside documents and maps cannot
+    be; with such a key rows are numbered by a window.
     """
     parts: list[Column] = []
     for name in frame.hidden:
-        kind, c = frame.df.schema[name].dataType, F.col(name)
-        if not name.startswith(DOWN):
-            parts.append(c)
-        elif isinstance(kind, T.BooleanType | T.NumericType | T.TimestampType | T.TimestampNTZType):
-            number = c if isinstance(kind, T.NumericType) else c.cast("int") if isinstance(kind, T.BooleanType) else F.unix_micros(c.cast("timestamp"))
-            whole = isinstance(kind, T.IntegralType) or not isinstance(kind, T.NumericType | T.BooleanType)
-            parts += [c.isNull(), -(number.cast("decimal(20,0)") if whole else number)]  # the least number has no negative of its own type
-        else:
+        turned = _turned(F.col(name), frame.df.schema[name].dataType) if name.startswith(DOWN) else [F.col(name)]
+        if turned is None:
             numbered = frame.df.withColumn(f"{HIDDEN}rank", F.row_number().over(Window.partitionBy(*frame.carried, key).orderBy(*frame.natural())))
             return frame.of(numbered), F.col(f"{HIDDEN}rank")
+        parts += turned
     return frame, F.struct(*parts)
 
 
+def _turned(c: Column, kind: T.DataType) -> list[Column] | None:
+    """Columns that rank upwards as ``c`` ranks downwards, nulls last; None for types that have none.
+
+    Texts become the complements of their bytes, in hexadecimal digits; the letter
+    behind them ranks above all digits, so that a text's beginning comes after it.
+    """
+    if isinstance(kind, T.NullType):
+        return []
+    if isinstance(kind, T.StructType):
+        inner = [_turned(c.getField(f.name), f.dataType) for f in kind.fields]
+        return None if None in inner else [c.isNull(), *(x for parts in inner for x in parts)]
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return [c.isNull(), F.concat(F.translate(F.hex(c), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))]
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        return [c.isNull(), ~F.isnan(c), -c]
+    if isinstance(kind, T.DecimalType):
+        return [c.isNull(), -c]
+    if isinstance(kind, T.BooleanType):
+        return [c.isNull(), ~c]
+    if isinstance(kind, T.IntegralType):
+        return [c.isNull(), -c.cast("decimal(20,0)")]  # the least number has no negative of its own type
+    if isinstance(kind, T.DateType):
+        return [c.isNull(), -F.unix_date(c)]
+    if isinstance(kind, T.TimestampType | T.TimestampNTZType):
+        return [c.isNull(), -F.unix_micros(c.cast("timestamp")).cast("decimal(20,0)")]
+    return None
+
+
 def unwind(frame: Frame, spec: Any, context: Context | None = None) -> Frame:
     """$unwind: a row for each element in the field's place; a value that is no array is its only element."""
     spec = spec if isinstance(spec, dict) else {"path": spec}

@@ -1,3 +1,4 @@
+import datetime
 import random
 from collections import Counter
 
@@ -107,3 +108,28 @@ def test_all(run):
     for wanted in ([1], [1, 2], [8, 8], []):
         assert {r["i"] for r in run(f"db.t.find({{'xs': {{'$all': {wanted}}}}}, {{'i': 1}})")} == {r[0] for r in ROWS if wanted and set(wanted) <= set(r[3])}
     assert {r["i"] for r in run("db.t.find({'k': {'$all': ['a']}}, {'i': 1})")} == {r[0] for r in ROWS if r[1] == "a"}
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "date", "struct", "boolean", "arrays"])
+def test_groups_follow_a_downward_sort_without_a_window(spark, kind):
+    """$first and $push take what ranks first downwards, nulls last; only arrays inside documents need a window."""
+    letters = ["", "a", "ab", "b", "B", "é", "ß", "a\x00", "~", "\U0001f600", None]
+    ddl, some = {
+        "string": ("string", letters),
+        "double": ("double", [0.5, -1.0, float("nan"), float("inf"), float("-inf"), None]),
+        "date": ("date", [datetime.date(1, 1, 1), datetime.date(1969, 5, 1), datetime.date(2024, 2, 29), None]),
+        "struct": ("struct<a: string, b: int>", [*((a, b) for a in letters[:5] for b in (-(2**31), None, 3)), None]),
+        "boolean": ("boolean", [True, False, None]),
+        "arrays": ("struct<a: array<int>>", [([1],), ([1, 2],), ([],), (None,), None]),
+    }[kind]
+    rows = [(i, rng.choice("xy"), rng.choice(some)) for i in range(120)]
+    df = spark.createDataFrame(rows, f"i long, k string, v {ddl}").repartition(4)
+    made = Catalog(spark)
+    made.register("d", "t", df, ["i"])
+    frame = Compiler(made, "d").compile("db.t.aggregate([{'$sort': {'v': -1}}, {'$group': {'_id': '$k', 'f': {'$first': '$i'}, 'all': {'$push': '$i'}}}])").dataframe()
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert ("Window" in plan) == (kind == "arrays")
+    got = {r["_id"]: (r["f"], r["all"]) for r in frame.collect()}
+    for k in "xy":  # as Spark itself sorts
+        want = [r["i"] for r in df.where(F.col("k") == k).orderBy(F.col("v").desc(), "i").collect()]
+        assert got[k] == (want[0], want)
