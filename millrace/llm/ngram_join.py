@@ -320,18 +320,27 @@ def _level() -> Column:
     return F.pmod("key", F.lit(1 << LEVEL_BITS)).cast("int").alias("level")
 
 
+def _of_several(rows: DataFrame, tmp: common.Scratch) -> DataFrame:
+    """Those of the rows (id, key) whose key has several, and n, their number.
+
+    Counts are partial before their shuffle, and a table of their own in the join, so
+    that rows of one key can be split.
+    """
+    several = tmp.keep(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "all")
+    return rows.join(several, "key").select("id", "key", "n")
+
+
 def _meetings(sets: DataFrame, tmp: common.Scratch) -> DataFrame:
     """id, key and weight: the keys of several ids, without the most frequent ones that a set can do without.
 
     Of the keys that the same ids have the smallest stays, and weight is their number.
     """
     rows = sets.select("id", F.explode("keys").alias("key"))
-    # an id has a key once, so a key of several rows is one of several ids; one shuffle finds and keeps them
-    n = F.count("*").over(Window.partitionBy("key"))
-    every = tmp.keep(rows.select("id", "key", n.alias("n")).where("n > 1").distinct(), "all")
+    every = tmp.keep(_of_several(rows, tmp), "all")
     own = sets.select("id", F.col("level").alias("first"), "over").dropDuplicates(["id"])
     turn = F.row_number().over(Window.partitionBy("id", "level").orderBy(F.desc("n"), "key"))
-    ranked = every.join(own, "id").withColumn("level", _level()).withColumn("turn", turn)
+    # by id first: rows of one id may have keys in common, and all that follows goes by id
+    ranked = every.repartition("id").distinct().join(own, "id").withColumn("level", _level()).withColumn("turn", turn)
     rows = tmp.keep(ranked.where(F.col("turn") > F.get("over", F.col("level") - F.col("first"))).select("id", "key"), "all")
     # who meets under a key: their number, the first and the last, and two sums of 64-bit hashes
     who = [F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]

@@ -116,3 +116,22 @@ def test_passages_that_most_documents_share(spark, words):
     for k, per_cent in ((5, 80), (2, 60)):
         got = ngram_join.components(df, k, per_cent).collect()
         assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(rows, k, per_cent)
+
+
+def test_a_key_of_all_documents_is_split(spark):
+    """Rows of a key that every document has are counted and kept by several tasks."""
+    narrow = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    old = {k: spark.conf.get(k, None) for k in narrow}
+    for k, v in narrow.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 100_000, 1, 8).selectExpr("id", "explode(array(7L, 1000 + id)) AS key")
+        with common.Scratch(spark) as tmp:
+            got = ngram_join._of_several(rows, tmp)
+            found = got.collect()
+            plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(found) == 100_000 and {(r["key"], r["n"]) for r in found} == {(7, 100_000)}
+    assert "skew=true" in plan and "Window" not in plan
