@@ -21,8 +21,8 @@ GRAM = 6
 #: A word is a run of these characters, after A-Z have become a-z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows (of about 100 bytes) that may be broadcast; beyond it tables are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Bytes that may be broadcast, and those of a row without its lists and texts; beyond it tables are joined by a shuffle.
+BROADCAST_BYTES, ROW_BYTES = 20_000_000, 100
 
 
 def words(text: Column) -> Column:
@@ -63,9 +63,21 @@ def _fingerprints(ws: Column, window: int, short: list[int]) -> Column:
     return F.concat(*found, *[_grams(ws, n) for n in short])
 
 
-def _join_small(rows: DataFrame, other: DataFrame, on, how: str = "inner") -> DataFrame:
-    """A join that broadcasts ``other`` if it is small; larger ones are left to a shuffle."""
-    return rows.join(F.broadcast(other) if other.count() <= BROADCAST_ROWS else other, on, how)
+def _join_small(rows: DataFrame, other: DataFrame, on, how: str = "inner", more: Column | None = None) -> DataFrame:
+    """A join that broadcasts ``other`` if it is small; larger ones are left to a shuffle. ``more`` are the bytes of a row's lists and texts."""
+    each = F.lit(ROW_BYTES) if more is None else ROW_BYTES + more
+    size = other.agg(F.coalesce(F.sum(each.cast("long")), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(other) if size <= BROADCAST_BYTES else other, on, how)
+
+
+def _dealt(prints: Column) -> Column:
+    """The fingerprints in about as many lists as each of them then holds: fingerprint p of n lists in list p mod n."""
+    n = F.ceil(F.sqrt(F.size(prints))).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.filter(prints, lambda p: F.pmod(p, n) == i))
+
+
+def _among(lists: Column, p: Column) -> Column:
+    return F.array_contains(F.get(lists, F.pmod(p, F.size(lists)).cast("int")), p)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -98,12 +110,12 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame
     met = common.written(met, "met")
     # the hit documents again, to extend the hits to whole windows
     key = [rows["doc_id"].eqNullSafe(met["doc_id"]), rows["text_hash"] == met["text_hash"]]
-    found = _join_small(rows.where("text IS NOT NULL"), met, key).select(rows["doc_id"], rows["text_hash"], words(F.col("text")).alias("ws"), "prints")
+    found = _join_small(rows.where("text IS NOT NULL"), met, key, more=8 * F.size("prints")).select(rows["doc_id"], rows["text_hash"], words(F.col("text")).alias("ws"), _dealt(F.col("prints")).alias("prints"))
     found = found.dropDuplicates(["doc_id", "text_hash"])
 
     def starts(ws: Column, prints: Column, n: int, size: int) -> Column:
         """Where windows of ``size`` words begin that hold a hit gram of ``n`` words."""
-        at = _once(_grams(ws, n), lambda h: F.filter(_positions(F.size(h)), lambda i: F.array_contains(prints, F.get(h, i))))
+        at = _once(_grams(ws, n), lambda h: F.filter(_positions(F.size(h)), lambda i: _among(prints, F.get(h, i))))
         begin = F.flatten(F.transform(at, lambda p: F.sequence(F.greatest(p - (size - n), F.lit(0)), p)))
         return F.filter(F.array_distinct(begin), lambda s: s <= F.size(ws) - size)
 
@@ -114,7 +126,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame
         return F.concat(of(gram, window), *[of(n, n) for n in short])
 
     tried = found.select("doc_id", "text_hash", F.explode(_once(F.struct("ws", "prints"), lambda r: candidates(r["ws"], r["prints"]))).alias("w")).select("doc_id", "text_hash", "w.*")
-    spans = _join_small(tried, windows, ["length", "said"]).select("doc_id", "text_hash", "start", "length", "item_id")
+    spans = _join_small(tried, windows, ["length", "said"], more=F.octet_length("said")).select("doc_id", "text_hash", "start", "length", "item_id")
     return spans, marked.select("doc_id", "text_hash", "n_words")
 
 
@@ -146,7 +158,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
     )
     per = common.written(per, "hits").select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "n_hit", "items")
-    out = _join_small(rows, per, [rows["doc_id"].eqNullSafe(per["hit_id"]), rows["text_hash"] == per["hit_hash"]], "left")
+    out = _join_small(rows, per, [rows["doc_id"].eqNullSafe(per["hit_id"]), rows["text_hash"] == per["hit_hash"]], "left", F.octet_length(F.array_join("items", ",")) + 8 * F.size("items"))
     n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate
 
@@ -72,3 +73,22 @@ def test_main_path_is_native(spark, docs):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
     plan = decontaminate.contamination(docs[0], bench)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_a_long_text_full_of_hits(spark):
+    """Fingerprints are dealt into lists, each word's gram is looked for in one of them; tables with long lists are not broadcast."""
+    rng = random.Random(6)
+    said = [f"w{rng.randrange(900)}" for _ in range(6000)]
+    df = spark.createDataFrame([(1, " ".join(["first", *said, "last"])), (2, "nothing at all")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(said[i : i + 3000])) for i in range(0, 6000, 1500)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate.contamination(df, bench).collect()}
+    assert got == {1: (6002, 6000, 4), 2: (3, 0, 0)}
+
+
+def test_broadcasts_are_bounded_in_bytes(spark, monkeypatch):
+    left = spark.range(3)
+    right = spark.createDataFrame([(1, "x" * 5000)], "id long, s string")
+    plan = lambda: decontaminate._join_small(left, right, "id", more=F.octet_length("s"))._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan()
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 5000)
+    assert "broadcast" not in plan()
