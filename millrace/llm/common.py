@@ -289,12 +289,19 @@ class WordEncoder(Encoder):
 
 
 def read_encoder(path: str, **limits: int) -> Encoder:
-    """An encoder for the tokenizer file ``path``: by words if its rules are WORD_RULES, else of whole texts."""
+    """An encoder for the tokenizer file ``path``: by words if its rules are WORD_RULES and nothing else works on texts, else of whole texts.
+
+    Nothing else does if it neither cuts, pads nor adds to ids, and its added tokens begin
+    with ``<|``, may stand anywhere and hold no white space.
+    """
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
     rules = json.loads(made.to_str())
-    by_words = all(rules.get(k) == v for k, v in WORD_RULES.items()) and rules["model"]["type"] == "BPE" and not rules["model"].get("dropout")
+    plain = not any(rules[k] for k in ("truncation", "padding", "post_processor")) and rules["model"]["type"] == "BPE" and not rules["model"].get("dropout")
+    # added tokens are looked for before all rules: none may be a part of plain words or reach over white space
+    apart = all(t["content"].startswith("<|") and not t["single_word"] and not re.search(r"\s", t["content"]) for t in rules["added_tokens"])
+    by_words = all(rules.get(k) == v for k, v in WORD_RULES.items()) and plain and apart
     return WordEncoder(made, **limits) if by_words else Encoder(made)
 
 

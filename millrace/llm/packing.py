@@ -25,8 +25,8 @@ from . import common
 
 #: Documents and token ids of a shard, about: they bound a task's memory (about 60 bytes an id).
 SHARD_DOCS, SHARD_IDS = 1024, 1_000_000
-#: BM25 parameters, and the share of a shard's documents above which a token id is a stop word: at 1 none is.
-K1, B, STOP = 1.2, 0.75, 1.0
+#: BM25 parameters.
+K1, B = 1.2, 0.75
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PIECES_DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -49,7 +49,7 @@ class Bm25Shard:
         weights = idf[terms] * tf * (K1 + 1) / (tf + norm[rows])
         self._rows, self._weights = rows[order], weights[order].astype(np.float32)
         self._first, self._n = np.concatenate([[0], np.cumsum(df)]), n
-        self._df = np.where((df >= 2) & (df <= max(2, STOP * n)), df, 0)
+        self._df = np.where(df >= 2, df, 0)
 
     def scores(self, seed: int) -> np.ndarray:
         """The BM25 scores of all documents of the shard for the seed's terms."""

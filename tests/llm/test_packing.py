@@ -56,7 +56,7 @@ def test_bm25_against_the_formula():
         want = np.zeros(n)
         for t in set(docs[seed].tolist()):
             df = sum(t in d for d in docs)
-            if not 2 <= df <= max(2, packing.STOP * n):
+            if df < 2:
                 continue
             for i, d in enumerate(docs):
                 tf = int((d == t).sum())

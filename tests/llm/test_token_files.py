@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
+from tokenizers.processors import TemplateProcessing
 
 from millrace.llm import common, token_files
 
@@ -56,6 +57,17 @@ def test_rules_that_differ_are_not_taken_for_words(tmp_path):
     assert np.frombuffer(enc.ids("two words"), "<u4").tolist() == library.encode("two words", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("change", [lambda t: t.add_tokens(["hello world"]), lambda t: t.add_tokens(["hello"]), lambda t: t.add_special_tokens(["<|a b|>"]), lambda t: t.enable_truncation(3), lambda t: t.enable_padding(length=9), lambda t: setattr(t, "post_processor", TemplateProcessing(single="$A <|endoftext|>", special_tokens=[("<|endoftext|>", t.token_to_id("<|endoftext|>"))]))])
+def test_what_else_works_on_texts_rules_words_out(change, tmp_path):
+    made, path = Tokenizer.from_file(common.tokenizer_path()), str(tmp_path / "changed.json")
+    change(made)
+    made.save(path)
+    enc, library = common.read_encoder(path), Tokenizer.from_file(path)
+    assert not isinstance(enc, common.WordEncoder)
+    for text in ["hello world, hello", "Othello worlds", "a <|a b|> b", "", "one two three four five"]:
+        assert np.frombuffer(enc.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_files_hold_every_document(spark, docs, whole, tmp_path):
     df, rows = docs
     path = str(tmp_path / "tokens")
