@@ -69,3 +69,30 @@ def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, blank and long texts, and columns of the stages' own names."""
+    shared = " ".join(f"word{i}" for i in range(60))
+    long = "\n".join(f"line {i} " + " ".join(f"x{i}y{j}" for j in range(9)) for i in range(4000))
+    rows = [(1, shared, "en", "a", 5), (1, shared, "en", "a", 5), (None, None, None, None, None), (2, None, None, "a", None), (3, "", "en", None, 0), (4, " \n\t", "en", "a", 3), (None, shared, None, None, None), (5, shared + " more", "en", "a", 7), (6, long, "en", "a", len(long)), (7, "a single fresh text of its own", "en", "a", 30)]
+    clash = "1 AS score, 2 AS predicted, 3 AS component_id, 4 AS removed, 5 AS contaminated, 6 AS text_hash, 7 AS ids"
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *clash.split(", "))
+    spark.createDataFrame([(1, "nothing that occurs anywhere in these rows at all, not once"), (None, shared), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert near.columns == corpus_pipeline.COLUMNS
+    assert sorted(str(r["doc_id"]) for r in near.collect()) == sorted(["1", "1", "None", "2", "3", "4", "None", "6", "7"])
+    cut = corpus_pipeline.drop_repeated_passages(spark, docs, str(tmp_path))
+    assert cut.columns == corpus_pipeline.COLUMNS
+    got = [(r["doc_id"], r["text"]) for r in cut.collect()]
+    # the null id ranks first; both rows of document 1 repeat its line
+    assert sorted(map(str, got)) == sorted(map(str, [(1, ""), (1, ""), *[(d, t) for d, t, *_ in rows if d != 1]]))
+    clean = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert clean.columns == corpus_pipeline.COLUMNS and clean.count() == len(rows)
+    pieces = corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()
+    per = {}
+    for p in pieces:
+        per.setdefault(p["doc_id"], []).append(p["length"])
+    assert per[3] == [1] and per[2] == [1] and len(per[1]) >= 2 and set(per) == {r[0] for r in rows}
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_repeated_passages, corpus_pipeline.drop_contaminated, corpus_pipeline.pack):
+        assert stage(spark, docs.limit(0), str(tmp_path)).isEmpty()
