@@ -497,6 +497,91 @@ def _equality(c: Any, fields: Fields, inside: dict[str, Value]) -> tuple[Column,
     return (left.column, right.column) if left.bracket == right.bracket and left.bracket not in _EMPTY else None
 
 
+def _single(v: Value, kind: T.DataType) -> Column:
+    """The values that a start or a link has: a value itself, or an array's elements, each once."""
+    return F.explode(F.array_distinct(v.column.cast(T.ArrayType(kind)))) if isinstance(v.kind, T.ArrayType) else v.column.cast(kind)
+
+
+def _walked(frame: Frame, spec: dict, context: Context) -> tuple[Frame, Value, Value, T.DataType | None, Any, Any]:
+    """What a $graphLookup walks on: the documents, start and end of their links, the type of values, starts with their values, links.
+
+    Without a type nothing is reached; without links nothing is reached from documents. Links that nothing can lead to are left out.
+    """
+    foreign = context.collection(spec["from"])
+    if spec.get("restrictSearchWithMatch"):
+        foreign = matching(foreign, spec["restrictSearchWithMatch"], context)
+    start, to, onward = evaluate(spec["startWith"], Scope(frame.fields)), resolve(foreign.fields, spec["connectToField"]), resolve(foreign.fields, spec["connectFromField"])
+    element = lambda v: v.kind.elementType if isinstance(v.kind, T.ArrayType) else v.kind
+    kinds = {bracket(element(v)) for v in (start, to)}
+    if len(kinds) > 1 or kinds & set(_EMPTY):
+        return foreign, start, to, None, None, None
+    kind = common_number(element(start), element(to)) if kinds == {"number"} else element(to)
+    starts = frame.df.select(start.column.alias("__start")).distinct()
+    values = starts.select("__start", _single(Value(F.col("__start"), start.kind), kind).alias("__value")).distinct()
+    links = None
+    if bracket(element(onward)) in kinds and spec.get("maxDepth") != 0:
+        links = foreign.df.select(_single(to, kind).alias("__value"), onward.column.alias("__onward"))
+        links = stored(links.select("__value", _single(Value(F.col("__onward"), onward.kind), kind).alias("__next")).distinct())
+        led = values.select(F.col("__value").alias("__led")).unionByName(links.select(F.col("__next").alias("__led"))).distinct()
+        links = stored(links.join(led, F.col("__value").eqNullSafe(F.col("__led")), "left_semi"))
+    return foreign, start, to, kind, values, links
+
+
+#: Values whose reach is found once for all starts that reach them.
+HUBS = 32
+
+
+def _reached_counts(frame: Frame, spec: dict, context: Context, counts: Callable[[Fields], list[Column]]) -> tuple[Column, Any] | None:
+    """The local key, and for each start (__key) sums of counts over the documents reached; None where they depend on more than values.
+
+    What a start reaches is not listed. Some values, evenly chosen by hash, are
+    hubs; rings forward and backward tell what each reaches and what reaches it.
+    A start that reaches hubs has all that the hub of the widest reach reaches,
+    as one sum, and is walked on only outside of that: a walk that enters it
+    stays in it. A start that reaches no hub meets no value that reaches one. So
+    the part of a graph that reaches most of itself, of which the number of pairs
+    grows with the square, is walked by the hubs alone.
+    """
+    if "depthField" in spec or spec.get("maxDepth") is not None or {"from", "startWith", "connectFromField", "connectToField", "as"} - set(spec):
+        return None
+    foreign, start, to, kind, values, links = _walked(frame, spec, context)
+    if kind is None or links is None or isinstance(to.kind, T.ArrayType):
+        return None
+    per = foreign.documents().groupBy(to.column.cast(kind).alias("__to")).agg(*counts(foreign.fields))
+    names = per.columns[1:]
+    per = stored(per)
+    values = stored(values)
+    chosen = values.select("__value").unionByName(links.select(F.col("__next").alias("__value"))).distinct().join(links.select(F.col("__value").alias("__from")), F.col("__value").eqNullSafe(F.col("__from")), "left_semi")
+    hubs = stored(chosen.orderBy(F.xxhash64("__value"), "__value").limit(HUBS).select(F.monotonically_increasing_id().alias("__start"), "__value"))
+    turned = links.select(F.col("__next").alias("__value"), F.col("__value").alias("__next"))
+    reach, reaching = _rings(hubs, links), _rings(hubs, turned)
+    wide = reach.groupBy(F.col("__start").alias("__hub")).agg(F.count(F.lit(1)).alias("__wide"))
+    from_hub = lambda df: df.select(F.col("__start").alias("__hub"), F.col("__value").alias("__in"))
+    best = values.join(from_hub(reaching), F.col("__value").eqNullSafe(F.col("__in"))).join(F.broadcast(wide), "__hub")
+    best = best.groupBy(F.col("__start").alias("__who")).agg(F.max(F.struct("__wide", "__hub"))["__hub"].alias("__hub"))
+    begun = stored(values.join(best, F.col("__start").eqNullSafe(F.col("__who")), "left").drop("__who"))
+    rest = _rings(begun, links, from_hub(reach))
+    sums = [F.sum(n).alias(n) for n in names]
+    alone = rest.select(F.col("__start").alias("__key"), "__value").join(per, F.col("__value").eqNullSafe(F.col("__to"))).select("__key", *names)
+    total = reach.join(per, F.col("__value").eqNullSafe(F.col("__to"))).groupBy(F.col("__start").alias("__hub")).agg(*sums)
+    shared = begun.select(F.col("__start").alias("__key"), "__hub").distinct().join(F.broadcast(total), "__hub").select("__key", *names)
+    return start.column, alone.unionByName(shared).groupBy("__key").agg(*sums)
+
+
+def _rings(values: Any, links: Any, known: Any = None) -> Any:
+    """__start and each __value that is reached from it, once, ring by ring; ``values`` that have a __hub stay out of what ``known`` (__hub, __in) lists for it."""
+    more = [c for c in values.columns if c == "__hub"]
+    outside = lambda ring: ring.join(known, (ring["__hub"] == known["__hub"]) & F.col("__value").eqNullSafe(F.col("__in")), "left_anti") if more else ring
+    rings = [stored(outside(values))]
+    while True:
+        found = rings[-1].join(links.withColumnRenamed("__value", "__from"), F.col("__value").eqNullSafe(F.col("__from"))).select("__start", F.col("__next").alias("__value"), *more).distinct()
+        before = reduce(lambda a, b: a.unionByName(b), rings).select(F.col("__start").alias("__old"), F.col("__value").alias("__seen"))
+        ring = stored(outside(found).join(before, F.col("__start").eqNullSafe(F.col("__old")) & F.col("__value").eqNullSafe(F.col("__seen")), "left_anti"))
+        if ring.isEmpty():
+            return reduce(lambda a, b: a.unionByName(b), rings)
+        rings.append(ring)
+
+
 def _reached(frame: Frame, spec: dict, context: Context) -> tuple[Fields, Column, Column, Any]:
     """$graphLookup: for each different start, as __start, the documents that are reached from it, each once.
 
@@ -511,24 +596,11 @@ def _reached(frame: Frame, spec: dict, context: Context) -> tuple[Fields, Column
     most = spec.get("maxDepth")
     if most is not None and (not isinstance(most, int) or isinstance(most, bool) or most < 0):
         raise QueryError("maxDepth must be a whole number")
-    foreign = context.collection(spec["from"])
-    if spec.get("restrictSearchWithMatch"):
-        foreign = matching(foreign, spec["restrictSearchWithMatch"], context)
-    start, to, onward = evaluate(spec["startWith"], Scope(frame.fields)), resolve(foreign.fields, spec["connectToField"]), resolve(foreign.fields, spec["connectFromField"])
-    element = lambda v: v.kind.elementType if isinstance(v.kind, T.ArrayType) else v.kind
-    single = lambda v, kind: F.explode(F.array_distinct(v.column.cast(T.ArrayType(kind)))) if isinstance(v.kind, T.ArrayType) else v.column.cast(kind)
-    kinds = {bracket(element(v)) for v in (start, to)}
+    foreign, start, to, kind, values, links = _walked(frame, spec, context)
     df = foreign.documents()
-    if len(kinds) > 1 or kinds & set(_EMPTY):  # nothing of one type reaches another
+    if kind is None:  # nothing of one type reaches another
         df = df.withColumns({"__start": F.lit(1), "__depth": F.lit(0).cast("long")}).filter(F.lit(False))
         return _with_depth(foreign.fields, spec, df, F.lit(2), F.col("__start"))
-    kind = common_number(element(start), element(to)) if kinds == {"number"} else element(to)
-    starts = frame.df.select(start.column.alias("__start")).distinct()
-    values = starts.select("__start", single(Value(F.col("__start"), start.kind), kind).alias("__value")).distinct()
-    links = None
-    if bracket(element(onward)) in kinds:
-        links = foreign.df.select(single(to, kind).alias("__value"), onward.column.alias("__onward"))
-        links = links.select("__value", single(Value(F.col("__onward"), onward.kind), kind).alias("__next")).distinct()
     keep = lambda ring: stored(ring.select("__start", "__value", "__depth"))
     ring = keep(values.withColumn("__depth", F.lit(0).cast("long")))
     rings, depth = [ring], 0
@@ -545,7 +617,7 @@ def _reached(frame: Frame, spec: dict, context: Context) -> tuple[Fields, Column
     if isinstance(to.kind, T.ArrayType):  # a document is reached by the first of its values that is
         at = F.struct(*[F.col(n) for n in foreign.hidden]) if foreign.hidden else F.struct(*[F.col(quoted(n)) for n in foreign.fields])
         keyed = foreign.df.withColumn("__at", at)
-        least = keyed.select("__at", single(to, kind).alias("__to")).join(visited, F.col("__to").eqNullSafe(F.col("__value"))).groupBy("__start", "__at").agg(F.min("__depth").alias("__depth"))
+        least = keyed.select("__at", _single(to, kind).alias("__to")).join(visited, F.col("__to").eqNullSafe(F.col("__value"))).groupBy("__start", "__at").agg(F.min("__depth").alias("__depth"))
         found = least.withColumnRenamed("__at", "__met").join(keyed, F.col("__met").eqNullSafe(F.col("__at"))).drop("__met", "__at", *foreign.hidden)
     else:
         found = visited.join(df.withColumn("__to", to.column.cast(kind)), F.col("__value").eqNullSafe(F.col("__to"))).drop("__value", "__to")
@@ -608,9 +680,13 @@ def exists_lookup(frame: Frame, node: ExistsLookup, context: Context) -> Frame:
 
 def count_lookup(frame: Frame, node: CountLookup, context: Context) -> Frame:
     """A lookup whose matches are only counted: a join with one row of counts for each key."""
-    fields, local, other, df = _sides(frame, node.spec, context)
-    meets = {"all": lambda c: F.lit(True), "expression": lambda c: truth(evaluate(c, Scope(fields))), "filter": lambda c: condition(c, fields, context.scalar)}
-    right = df.groupBy(other.alias("__key")).agg(*[F.count_if(F.coalesce(meets[how](cond), F.lit(False))).alias(n) for n, how, cond in node.counts])
+    meets = {"all": lambda c, fields: F.lit(True), "expression": lambda c, fields: truth(evaluate(c, Scope(fields))), "filter": lambda c, fields: condition(c, fields, context.scalar)}
+    counts = lambda fields: [F.count_if(F.coalesce(meets[how](cond, fields), F.lit(False))).alias(n) for n, how, cond in node.counts]
+    if "startWith" in node.spec and (found := _reached_counts(frame, node.spec, context, counts)):
+        local, right = found
+    else:
+        fields, local, other, df = _sides(frame, node.spec, context)
+        right = df.groupBy(other.alias("__key")).agg(*counts(fields))
     joined = frame.df.join(right, local.eqNullSafe(F.col("__key")), "left")
     made = {n: Value(F.coalesce(F.col(n), F.lit(0)), T.LongType(), full=True) for n, _, _ in node.counts}
     return frame.show({n: v for n, v in frame.values().items() if n != node.spec["as"]} | made, joined, sorted=False)

@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 
+from millrace.operators import stages
 from millrace.plans.compiler import Compiler
 from millrace.plans.ir import QueryError
 from millrace.sources.catalog import Catalog
@@ -163,3 +164,24 @@ def test_push_below_a_descending_sort_of_the_least_numbers(spark):
     for f in "wbsl":
         (r,) = Compiler(made, "d").compile(f"db.t.aggregate([{{'$sort': {{'{f}': -1}}}}, {{'$group': {{'_id': None, 'x': {{'$push': '${f}'}}, 'y': {{'$last': '${f}'}}}}}}])").materialize()
         assert r["x"][0] == 5 and r["y"] < 0
+
+
+@pytest.mark.parametrize("hubs", [1, 3])
+def test_graph_lookup_that_is_counted_lists_no_square_of_pairs(spark, monkeypatch, hubs):
+    """Most nodes reach most others; beside them are tails, a part of its own, a null and nodes without links."""
+    rng = random.Random(8)
+    edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(360)] + [(200 + i, 201 + i % 4) for i in range(6)] + [(None, 3), (90, None)]
+    made = Catalog(spark)
+    made.register("d", "edges", spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(edges)], "e long, a long, b int"), ["e"])
+    nodes = [*range(130), *range(199, 208), None]
+    made.register("d", "nodes", spark.createDataFrame([(n,) for n in nodes], "n int"), ["n"])
+    sizes, keep = [], stages.stored
+    monkeypatch.setattr(stages, "stored", lambda df: sizes.append((out := keep(df)).count()) or out)
+    monkeypatch.setattr(stages, "HUBS", hubs)
+    look = "{'$graphLookup': {'from': 'edges', 'startWith': '$n', 'connectFromField': 'b', 'connectToField': 'a', 'as': 'm'}}"
+    got = Compiler(made, "d").compile(f"db.nodes.aggregate([{look}, {{'$project': {{'_id': 0, 'n': 1, 'all': {{'$size': '$m'}}}}}}])").materialize()
+    counted = list(sizes)
+    listed = Compiler(made, "d", False).compile(f"db.nodes.aggregate([{look}, {{'$unwind': '$m'}}, {{'$group': {{'_id': '$n', 'k': {{'$sum': 1}}}}}}])").materialize()
+    each = {r["_id"]: r["k"] for r in listed}
+    assert {r["n"]: r["all"] for r in got} == {n: each.get(n, 0) for n in nodes}
+    assert max(each.values()) > 200 and max(counted) < 1000 < max(sizes)
