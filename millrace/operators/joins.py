@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from ..session import stored
 
 #: Rows of a bin of the finest level that it is cut again for, about.
 HEAVY = 4096
+#: Pairs that a task looks at, about.
+CELL = 4_000_000
 #: Spans in units of 2 to this power at least: doubles are no finer.
 FINEST = -1000
 
@@ -34,7 +37,9 @@ def range_join(left: DataFrame, right: DataFrame, left_span: tuple[Column, Colum
     that belong to it or to a finer one visit it. A pair counts in the first bin
     that both touch, so it comes once. The finest level is made finer where a
     bin of it holds many rows. The join is by level and bin: rows are dealt by
-    both, and adaptive execution splits a bin that many equal values fall into.
+    both. The rows of a bin are cut so that the pairs of two cuts are about CELL
+    at most; each such cell is a key of its own, and there are as many tasks as
+    the pairs ask for, so that more pairs make more tasks and not longer ones.
     """
     sides, seen = [], []
     for df, span in ((left, left_span), (right, right_span)):
@@ -64,8 +69,35 @@ def range_join(left: DataFrame, right: DataFrame, left_span: tuple[Column, Colum
     meets = (F.col("__from0") <= F.col("__to1")) & (F.col("__from1") <= F.col("__to0"))
     once = F.col("__bin0") == F.greatest("__first0", "__first1")
     keys = (F.col("__at0") == F.col("__at1")) & (F.col("__whose0") == F.col("__whose1")) & (F.col("__bin0") == F.col("__bin1"))
-    joined = visit[0].join(visit[1], keys & once & meets if on is None else keys & once & meets & on)
-    return joined.drop(*[f"{c}{k}" for k in (0, 1) for c in ("__from", "__to", "__at", "__whose", "__first", "__bin")])
+    visit, cells = _cells(visit)
+    keys = keys & (F.col("__row0") == F.col("__row1")) & (F.col("__column0") == F.col("__column1"))
+    dealt = [df.repartition(cells, *[f"{c}{k}" for c in _KEY]) for k, df in enumerate(visit)]
+    joined = dealt[0].hint("merge").join(dealt[1].hint("merge"), keys & once & meets if on is None else keys & once & meets & on)
+    return joined.drop(*[f"{c}{k}" for k in (0, 1) for c in ("__from", "__to", "__first", *_KEY)])
+
+
+_KEY = ("__at", "__whose", "__bin", "__row", "__column")
+
+
+def _cells(visit: list[DataFrame]) -> tuple[list[DataFrame], int]:
+    """The two sides with __row and __column of their cells, a row in each cell of its cut, and how many tasks the pairs ask for."""
+    bins = [df.groupBy(*[F.col(f"{c}{k}").alias(f"{c}{k}_") for c in _KEY[:3]]).agg(F.count(F.lit(1)).alias(f"__n{k}")) for k, df in enumerate(visit)]
+    met = bins[0].join(bins[1], reduce(lambda a, b: a & b, [F.col(f"{c}0_") == F.col(f"{c}1_") for c in _KEY[:3]]))
+    side = int(CELL**0.5)
+    cuts = [F.ceil(F.col(f"__n{k}") / F.greatest(F.lit(side), F.floor(F.lit(CELL) / F.col(f"__n{1 - k}")))) for k in (0, 1)]
+    sized = stored(met.select(*[f"{c}{k}_" for k in (0, 1) for c in _KEY[:3]], (F.col("__n0") * F.col("__n1")).alias("__pairs"), cuts[0].cast("int").alias("__rows"), cuts[1].cast("int").alias("__columns")))
+    pairs = sized.agg(F.sum(F.col("__pairs").cast("double"))).first()[0] or 0.0
+    # a bin that only one side touches gives no pairs
+    out = []
+    for k, df in enumerate(visit):
+        mine = sized.select(*[f"{c}{k}_" for c in _KEY[:3]], "__rows", "__columns")
+        found = df.join(mine, reduce(lambda a, b: a & b, [F.col(f"{c}{k}") == F.col(f"{c}{k}_") for c in _KEY[:3]]))
+        own, other = (("__rows", "__row"), ("__columns", "__column"))[:: 1 if k == 0 else -1]
+        every = F.explode(F.sequence(F.lit(0), F.col(other[0]) - 1)).alias(f"{other[1]}{k}")
+        cut = F.pmod(F.monotonically_increasing_id(), F.col(own[0])).cast("int").alias(f"{own[1]}{k}")
+        out.append(found.select(*df.columns, other[0], cut).select(*df.columns, f"{own[1]}{k}", every))
+    n = int(visit[0].sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return out, max(n, math.ceil(pairs / CELL))
 
 
 def _finest(sides: list[DataFrame], low: float, high: float, n: int) -> int:

@@ -42,6 +42,19 @@ def test_range_join_of_times_and_of_nothing(spark):
     assert join(points.limit(0), hours) == [] and join(points, hours.limit(0)) == []
 
 
+def test_range_join_makes_more_tasks_of_more_pairs(spark, monkeypatch):
+    """Every fourth row has one value: the pairs of its bin are cut into cells, and no pair is lost or comes twice."""
+    monkeypatch.setattr(joins, "CELL", 50)
+    rng = random.Random(4)
+    a, b = ([(i, rng.choice([1.0, rng.uniform(0, 20), rng.uniform(0, 20), rng.uniform(0, 20)])) for i in range(n)] for n in (120, 40))
+    left, right = spark.createDataFrame(a, "i long, x double"), spark.createDataFrame(b, "j long, y double")
+    met = joins.range_join(left, right, (F.col("x"), F.col("x")), (F.col("y"), F.col("y") + 1)).select("i", "j", F.spark_partition_id().alias("task"))
+    want = [(i, j) for i, x in a for j, y in b if y <= x <= y + 1]
+    rows = met.collect()
+    assert Counter((r["i"], r["j"]) for r in rows) == Counter(want) and len(want) > 300
+    assert max(Counter(r["task"] for r in rows).values()) < len(want) / 6  # of 4 shuffle partitions one would have a quarter at least
+
+
 def test_range_join_plan(spark):
     a, b = spark.range(1000).select(F.col("id").alias("i"), F.rand(1).alias("x")), spark.range(1000).select(F.col("id").alias("j"), F.rand(2).alias("y"))
     plan = joins.range_join(a, b, (F.col("x"), F.col("x")), (F.col("y") - 0.001, F.col("y") + 0.001))._jdf.queryExecution().executedPlan().toString()
