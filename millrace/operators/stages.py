@@ -325,7 +325,7 @@ def _meeting(local: Value, other: Value) -> tuple[Column, Column]:
     return F.coalesce(mark(local), F.lit(2)), F.coalesce(mark(other), F.lit(3))
 
 
-def _sides(frame: Frame, spec: dict, context: Context) -> tuple[Fields, Column, Column, Any]:
+def _sides(frame: Frame, spec: dict, context: Context, exists: bool = False) -> tuple[Fields, Column, Column, Any]:
     """The foreign fields, the local and the foreign key, which are comparable without coercion, and the foreign rows."""
     if "startWith" in spec:
         return _reached(frame, spec, context)
@@ -334,7 +334,7 @@ def _sides(frame: Frame, spec: dict, context: Context) -> tuple[Fields, Column,
         raise QueryError(f"$lookup needs {', '.join(sorted(missing))}")
     foreign = context.collection(spec["from"])
     if "pipeline" in spec:
-        return _correlated(frame, foreign, spec, context)
+        return _correlated(frame, foreign, spec, context, exists)
     local, other = resolve(frame.fields, spec["localField"]), resolve(foreign.fields, spec["foreignField"])
     df = foreign.documents()
     whole = other
@@ -385,14 +385,15 @@ def _reads(spec: Any) -> tuple[bool, bool]:
     return False, False
 
 
-def _correlated(frame: Frame, foreign: Frame, spec: dict, context: Context) -> tuple[Fields, Column, Column, Any]:
+def _correlated(frame: Frame, foreign: Frame, spec: dict, context: Context, exists: bool = False) -> tuple[Fields, Column, Column, Any]:
     """A lookup with a pipeline: its result for each different tuple of variables, with the tuple as __tuple.
 
     The pipeline runs once over all tuples. Of its first filters, equalities of
     a field and a variable join foreign rows to the tuples, and others of
     variables are conditions of that join; those of fields alone filter before
     it. What follows is done for each tuple: groups and counts by it, limits by
-    the place in its order.
+    the place in its order. Where it is only asked whether a tuple ``exists``
+    in the result, rows that differ in one bounded field are one row.
     """
     scope = Scope(frame.fields)
     values = {n: evaluate(x, scope) for n, x in (spec.get("let") or {}).items()}
@@ -433,6 +434,13 @@ def _correlated(frame: Frame, foreign: Frame, spec: dict, context: Context) -> t
     else:
         variables = {n: v for n, v in inside.items()}
         seen = Scope(Fields.of(plain.df.schema, (HIDDEN, CARRIED), variables))
+        if exists and keys and not rest and (extreme := _extreme(conditions, plain.fields, inside)):  # whether any row meets the conditions, the greatest or least value tells
+            at, most = extreme
+            groups = plain.df.select(*[b.alias(f"__key{i}") for i, (_, b) in enumerate(keys)], evaluate(f"${at}", seen).column.alias("__at"))
+            utmost = F.max("__at") if most else F.when(F.count("__at") == F.count(F.lit(1)), F.min("__at"))  # null is less than any value
+            ends = groups.groupBy(*[f"__key{i}" for i in range(len(keys))]).agg(utmost.alias(at))
+            met = tuples.join(ends, reduce(lambda a, b: a & b, [a.eqNullSafe(F.col(f"__key{i}")) for i, (a, _) in enumerate(keys)] + [truth(evaluate(c, seen)) for c in conditions]))
+            return plain.fields, F.struct(*[v.column.alias(c) for c, v in made.items()]), F.col("__tuple"), met.select(F.struct(*made).alias("__tuple"))
         right = plain.df.select("*", *[b.alias(f"__key{i}") for i, (_, b) in enumerate(keys)])
         on = [a.eqNullSafe(F.col(f"__key{i}")) for i, (a, _) in enumerate(keys)] + [truth(evaluate(c, seen)) for c in conditions]
         ranged = None if keys else _ranged(tuples, right, conditions, plain.fields, inside, seen)
@@ -446,6 +454,24 @@ def _correlated(frame: Frame, foreign: Frame, spec: dict, context: Context) -> t
     return ended.fields, F.struct(*[v.column.alias(c) for c, v in made.items()]), F.col("__tuple"), ended.df.select(*columns, F.struct(*made).alias("__tuple"))
 
 
+def _extreme(conditions: list, fields: Fields, inside: dict[str, Value]) -> tuple[str, bool] | None:
+    """The column that all conditions bound by variables from one side, and whether it is from below; None if they are others."""
+    found = set()
+    for c in conditions:
+        if not (isinstance(c, dict) and len(c) == 1 and (op := next(iter(c))) in _TURNED and isinstance(c[op], list) and len(c[op]) == 2):
+            return None
+        a, b = c[op]
+        if _reads(a) == (False, True):
+            a, b, op = b, a, _TURNED[op]
+        if not (isinstance(a, str) and a[1:] in fields and a[1:] not in fields.ragged and _reads(a) == (True, False) and _reads(b) == (False, True)):
+            return None
+        at, value = evaluate(a, Scope(fields, {})), evaluate(b, Scope({}, inside))
+        if at.bracket != value.bracket or at.bracket not in ("number", "time", "string"):
+            return None
+        found.add((a[1:], op.startswith("$gt")))
+    return found.pop() if len(found) == 1 else None
+
+
 #: Comparisons of a field and a variable: of a field first, and turned round.
 _TURNED = {"$lt": "$gt", "$lte": "$gte", "$gt": "$lt", "$gte": "$lte"}
 
@@ -672,7 +698,7 @@ def flat_lookup(frame: Frame, node: FlatLookup, context: Context, below: set[str
 
 def exists_lookup(frame: Frame, node: ExistsLookup, context: Context) -> Frame:
     """A lookup that is only asked whether it found something."""
-    _, local, other, df = _sides(frame, node.spec, context)
+    _, local, other, df = _sides(frame, node.spec, context, exists=True)
     right = df.select(other.alias("__key"))
     kept = frame.df.join(right, local.eqNullSafe(F.col("__key")), "left_semi" if node.found else "left_anti")
     return frame.of(kept.drop(node.spec["as"]) if node.spec["as"] in frame.fields else kept, sorted=False)

@@ -185,3 +185,16 @@ def test_graph_lookup_that_is_counted_lists_no_square_of_pairs(spark, monkeypatc
     each = {r["_id"]: r["k"] for r in listed}
     assert {r["n"]: r["all"] for r in got} == {n: each.get(n, 0) for n in nodes}
     assert max(each.values()) > 200 and max(counted) < 1000 < max(sizes)
+
+
+@pytest.mark.parametrize("op", ["$gt", "$gte", "$lt", "$lte"])
+@pytest.mark.parametrize("turned", [False, True])
+def test_a_lookup_that_only_asks_whether_a_bound_is_met_joins_no_pairs(shop, op, turned):
+    """A row for each key, with nulls on both sides; the greatest or least value tells."""
+    test = f"{{'{op}': ['$$c', '$n']}}" if turned else f"{{'{op}': ['$n', '$$c']}}"
+    look = f"{{'$lookup': {{'from': 'right', 'let': {{'c': '$cap', 'm': {{'$subtract': ['$id', 1]}}}}, 'pipeline': [{{'$match': {{'$expr': {{'$and': [{{'$eq': ['$k', '$$m']}}, {test}]}}}}}}], 'as': 'r'}}}}"
+    text = f"db.left.aggregate([{look}, {{'$match': {{'r': {{'$size': 0}}}}}}, {{'$project': {{'_id': 0, 'id': 1}}}}])"
+    both = [sorted(r["id"] for r in Compiler(shop, "d", fuse).compile(text).materialize()) for fuse in (True, False)]
+    assert both[0] == both[1] and 0 < len(both[0]) < len(LEFT) + 1
+    plan = Compiler(shop, "d").compile(text).dataframe()._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(" in plan or "min(" in plan
