@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,39 +17,50 @@ def overlaps(pairs: DataFrame, longest: int = 4, keywords: list[str] | None = No
     """n, matched, predicted and expected: n-grams of each length over all pairs (id, reference, prediction).
 
     A text's tokens are what white space parts; null texts have none. Of each
-    n-gram of a pair as many match as both sides have; equal ids are one pair
-    each, told apart by their texts. ``predicted`` and ``expected`` count a pair
-    without such an n-gram as one. With ``keywords`` single tokens count as
-    ``other_weight`` unless they are keywords. Every n-gram is counted by its
-    pair, so a frequent one is no hot key.
+    n-gram of a pair as many match as both sides have; rows of equal ids are
+    pairs of their own. ``predicted`` and ``expected`` count a pair without such
+    an n-gram as one. With ``keywords`` single tokens count as ``other_weight``
+    unless they are keywords. A pair's n-grams never meet those of another, so
+    they are counted where the row is. Texts are dealt evenly once, since a small
+    file may be one part; of the n-grams only a batch's sums are shuffled.
     """
-    tokens = lambda c: F.filter(F.split(F.coalesce(F.col(c), F.lit("")), r"\s+"), lambda t: t != "")
-    texts = pairs.groupBy("id", "reference", "prediction").agg(F.count(F.lit(1)).alias("times"))
-    split = texts.select(F.struct("id", "reference", "prediction").alias("whole"), "times", tokens("reference").alias("r"), tokens("prediction").alias("p"))
-    keyed = split.select(F.xxhash64("whole").alias("pair"), F.md5(F.to_json("whole")).alias("key"), "times", "r", "p")
-
-    def grams(c: str, side: int) -> Column:
-        def of(n: int) -> Column:
-            size = F.size(c)
-            at = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
-            return F.transform(at, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(c, i + 1, n), " ").alias("gram"), F.lit(side).alias("side")))
-
-        return reduce(lambda a, b: F.concat(a, b), [of(n) for n in range(1, longest + 1)])
-
-    each = keyed.select("pair", "key", "times", F.explode(F.concat(grams("r", 0), grams("p", 1))).alias("g")).select("pair", "key", "times", "g.*")
-    met = each.groupBy("pair", "key", "times", "n", "gram").agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("p"))
-    weight = F.when((F.col("n") > 1) | F.col("gram").isin(keywords), 1.0).otherwise(other_weight) if keywords is not None else F.lit(1.0)
-    per = met.groupBy("pair", "key", "times", "n").agg(*[F.sum(F.col(c) * weight).alias(o) for c, o in (("p", "predicted"), ("r", "expected"))], F.sum(F.least("r", "p") * weight).alias("matched"))
-    # pairs with no n-gram of a length count as one that does not match
-    lacking = keyed.select("pair", "key", "times", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n"))
-    whole = lacking.unionByName(per, allowMissingColumns=True).groupBy("pair", "key", "times", "n").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("matched", "predicted", "expected")])
-    times = F.col("times")
-    return whole.groupBy("n").agg(F.sum(F.col("matched") * times).alias("matched"), F.sum(F.greatest("predicted", F.lit(1.0)) * times).alias("predicted"), F.sum(F.greatest("expected", F.lit(1.0)) * times).alias("expected"))
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = pairs.select("reference", "prediction").repartition(n).select(_tokens("reference").alias("r"), _tokens("prediction").alias("p"))
+    weigh = None if keywords is None else (frozenset(keywords), other_weight)
+    per = rows.mapInArrow(_counted(longest, weigh), "n int, matched double, predicted double, expected double")
+    return per.groupBy("n").agg(*[F.sum(c).alias(c) for c in ("matched", "predicted", "expected")])
+
+
+def _tokens(c: str) -> Column:
+    return F.filter(F.split(F.coalesce(F.col(c), F.lit("")), r"\s+"), lambda t: t != "")
+
+
+def _counted(longest: int, weigh: tuple[frozenset[str], float] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each length and batch of token lists (r, p): sums of matched, predicted and expected n-grams."""
+
+    def weight(n: int, gram: tuple[str, ...]) -> float:
+        return weigh[1] if weigh and n == 1 and gram[0] not in weigh[0] else 1.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = [[0.0, 0.0, 0.0] for _ in range(longest)]
+            for r, p in zip(b.column(0), b.column(1), strict=True):
+                r, p = r.as_py(), p.as_py()
+                for n, out in enumerate(sums, 1):
+                    expected, predicted = (Counter(zip(*[side[i:] for i in range(n)], strict=False)) for side in (r, p))
+                    met = expected & predicted
+                    total = lambda c: float(c.total()) if n > 1 or not weigh else sum(k * weight(n, g) for g, k in c.items())  # noqa: B023, E731
+                    out[0] += total(met)
+                    out[1] += max(total(predicted), 1.0)
+                    out[2] += max(total(expected), 1.0)
+            yield pa.RecordBatch.from_pydict({"n": pa.array(range(1, longest + 1), pa.int32()), **{c: pa.array([x[i] for x in sums]) for i, c in enumerate(("matched", "predicted", "expected"))}})
+
+    return run
 
 
 def lengths(pairs: DataFrame) -> DataFrame:
     """The numbers of tokens of all references and predictions."""
-    count = lambda c: F.coalesce(F.sum(F.size(F.filter(F.split(F.coalesce(F.col(c), F.lit("")), r"\s+"), lambda t: t != ""))), F.lit(0))
+    count = lambda c: F.coalesce(F.sum(F.size(_tokens(c))), F.lit(0))
     return pairs.agg(count("reference").alias("reference"), count("prediction").alias("prediction"))
 
 

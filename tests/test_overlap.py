@@ -49,3 +49,12 @@ def test_nothing_in_common(spark):
     assert list(ngram_scores(df, ["a"]).first()) == [0.0, 0.0]
     assert list(ngram_scores(df.limit(0), ["a"]).first()) == [0.0, 0.0]
     assert {r["n"]: (r["matched"], r["predicted"], r["expected"]) for r in overlaps(df).collect()} == {1: (0, 3, 3), 2: (0, 2, 2), 3: (0, 2, 2), 4: (0, 2, 2)}
+
+
+def test_ngrams_are_not_shuffled(spark):
+    """A pair's n-grams are counted in its row: nothing is exploded or grouped by n-gram, and rows of one pair count each."""
+    df = spark.createDataFrame([(1, "a b a b", "a b a")] * 3, "id long, reference string, prediction string")
+    found = overlaps(df, 2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Aggregate") == 1
+    assert {r["n"]: (r["matched"], r["predicted"], r["expected"]) for r in found.collect()} == {1: (9, 9, 12), 2: (6, 6, 9)}
