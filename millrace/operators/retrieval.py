@@ -84,15 +84,20 @@ def neighbours(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
 
 
 def _unit(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
-    """The rows whose vectors have a direction, and the vectors at unit length."""
+    """The rows whose vectors have a direction, without them, and the vectors at unit length."""
     v = pc.list_flatten(rows["vector"]).to_numpy().astype(np.float64).reshape(len(rows), -1)
+    rows = rows.drop_columns("vector")
     size = np.linalg.norm(v, axis=1)
-    return rows.filter(pa.array(size > 0)), v[size > 0] / size[size > 0][:, None]
+    if not (size > 0).all():
+        rows, v, size = rows.filter(pa.array(size > 0)), v[size > 0], size[size > 0]
+    v = v if v.flags.writeable else v.copy()
+    v /= size[:, None]
+    return rows, v
 
 
 def _nearest(k: int, schema: pa.Schema) -> Callable[[pa.Table], pa.Table]:
     def run(both: pa.Table) -> pa.Table:
-        asked, offered = both.filter(pc.is_null(both["pooled"])), both.filter(pc.is_valid(both["pooled"]))
+        asked, offered = both.filter(pc.is_null(both["pooled"])).select(["query_id", "vector"]), both.filter(pc.is_valid(both["pooled"])).select(["id", "label", "vector"])
         if not len(asked) or not len(offered):
             return schema.empty_table()
         asked, q = _unit(asked)
