@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import common, decontaminate, ngram_join, packing, substring_dedup, toxicity
+from millrace.llm import common, decontaminate, ngram_join, packing, passages, substring_dedup, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -51,6 +51,17 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return cut.withColumn("n_chars", n).select(*COLUMNS)
 
 
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeating lines and passages of over 50 words go, but for their first occurrence; n_chars follows the text.
+
+    A passage goes wherever it lies in its lines. Null and empty texts, ranks and rows that repeat a document are as in
+    drop_repeated_passages, which takes whole lines alone.
+    """
+    cut = passages.dedup(docs)
+    n = F.when(F.col("n_removed") + F.col("n_cut") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", n).select(*COLUMNS)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go.
 
@@ -72,7 +83,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", reject_toxic),
     ("n-gram Jaccard join", drop_near_duplicates),
-    ("substring dedup", drop_repeated_passages),
+    ("substring dedup", drop_repeats),
     ("benchmark decontamination", drop_contaminated),
     ("packing", pack),
 ]
