@@ -2,6 +2,7 @@ import json
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators.retrieval import neighbours
 from millrace.operators.scoring import run_case
@@ -119,3 +120,27 @@ def test_neighbours_of_odd_vectors(spark):
     queries = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0]), (2, [0.0, math.inf])], "id long, vector array<double>")
     got = neighbours(queries, spark.createDataFrame(pool, "id long, vector array<double>, label string"), 2).collect()
     assert sorted((r["query_id"], r["rank"], r["id"]) for r in got) == [(0, 1, 1), (0, 2, 2), (1, 1, 5)]
+
+
+def test_array_dumps_are_written_and_read_in_parts(spark, tmp_path):
+    rows = [{"i": i, "s": f'x "{i}", [{{\n' * (i % 3)} for i in range(3000)]
+    df = spark.createDataFrame([json.dumps(r) for r in rows], "string").coalesce(1).repartitionByRange(5, F.get_json_object("value", "$.i").cast("long"))
+    dumps.write_lines(df.where(F.get_json_object("value", "$.i").cast("long") >= 1000), str(tmp_path / "a"))
+    files = sorted((tmp_path / "a").glob("part-*"))
+    assert len(files) > 2 and json.loads("".join(f.read_text() for f in files)) == rows[1000:]
+    (tmp_path / "one.json").write_text("[" + ",\n ".join(map(json.dumps, rows)) + "\n]\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        for path, want in (("a", rows[1000:]), ("one.json", rows)):
+            back = dumps.read_dump(spark, str(tmp_path / path))
+            assert back.rdd.getNumPartitions() > 1
+            assert [(r[dumps.ORDINAL], r["_id"], {"i": r["i"], "s": r["s"]}) for r in back.orderBy(dumps.ORDINAL).collect()] == [(n, f"{n:024x}", r) for n, r in enumerate(want)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+@pytest.mark.parametrize("text", ['[{"a": 1, "k": [\n{"a": 2},\n{"a": 3}\n]}, {"a": 4}]', '[{"a": 1}\n,\n{"a": 4}, {"a": 5}]', '[\n\n{"a": 1},{"a": 4}\n ,{"a": 5}\n]', '[\n  {\n  "a": 1\n  },\n  {"a": 4}]'])
+def test_layouts_of_arrays(spark, tmp_path, text):
+    (tmp_path / "d.json").write_text(text)
+    assert [r["a"] for r in dumps.read_dump(spark, str(tmp_path / "d.json")).orderBy(dumps.ORDINAL).collect()] == [d["a"] for d in json.loads(text)]
