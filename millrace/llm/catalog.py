@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, chat, decontaminate, html_wrappers, lexical, licenses, ngram_join, packing, pieces, substring_dedup, token_files, topk, toxicity
+from . import centroids, chat, decontaminate, html_wrappers, lexical, licenses, ngram_join, packing, passages, pieces, substring_dedup, token_files, topk, toxicity
 
-_MODULES = (token_files, substring_dedup, decontaminate, ngram_join, licenses, html_wrappers, packing, toxicity, chat, topk, pieces, lexical, centroids)
+_MODULES = (token_files, substring_dedup, passages, decontaminate, ngram_join, licenses, html_wrappers, packing, toxicity, chat, topk, pieces, lexical, centroids)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,5 +1,10 @@
 import random
 
+import duckdb
+import pyarrow as pa
+import pytest
+
+import __spark_entry__ as entry
 import corpus_pipeline
 from millrace.llm import passages
 
@@ -65,3 +70,35 @@ def test_a_passage_inside_a_line_goes_from_the_stage(spark):
 
 def test_no_documents(none):
     assert passages.dedup(none).count() == 0
+
+
+@pytest.mark.parametrize("size", [4 << 20, 300])
+def test_windows_of_slices(monkeypatch, words, size):
+    monkeypatch.setattr(passages.common, "SLICE", size)
+    rng = random.Random(6)
+    texts = [*ODD, *[rng.choice(["", "\n", " "]) + " ".join(rng.choice(words) for _ in range(n)) for n in (50, 51, 52, 130, 3, 400, 51)], None]
+    stays = [t and t.encode().lower().split() for t in texts]
+    got = [(of, start, seen[at : at + W].tobytes()) for seen, _, ats, ofs, starts in passages._windows(pa.array(texts)) for at, of, start in zip(ats, ofs, starts, strict=True)]
+    want = [(i, k, b" ".join(x[k : k + W])) for i, x in enumerate(stays) if x for k in range(len(x) - W + 1)]
+    assert [g[:2] for g in got] == [w[:2] for w in want] and len({g[2] for g in got}) == len({w[2] for w in want}) == len({(g[2], w[2]) for g, w in zip(got, want, strict=True)})
+
+
+def test_passages_inside_lines_go_from_a_registered_query(spark, tmp_path, words):
+    passage = " ".join(f"W{i}" for i in range(51))
+    short = " ".join(f"s{i}" for i in range(50))
+    rng = random.Random(5)
+    some = " ".join(rng.choice(words) for _ in range(150))
+    texts = [f" own head {passage}\ttail ", f"a\n\tb {passage.lower()}  c \n\nd", f"{passage}\ne {passage} f", f"g {short}", f"h {short}", "a", "", None, f"{some} i", f"j\n{some}\x0b\n a", " \n\r"]
+    texts += [" ".join(["ha"] * 300), "É\x1c\xa0ß " * 40, "É\x1c\xa0ß\u2003 " * 52 + passage]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = entry.queries()["op2_repeated_passages"](spark, str(tmp_path))
+    got = {r["doc_id"]: tuple(r)[1:] for r in out.collect()}
+    assert {i: got[i] for i in range(11)} == {
+        0: (0, 0, 0, texts[0]), 1: (1, 0, 51, "a\n\tb  c \n\nd"), 2: (2, 0, 102, "e f"), 3: (0, 0, 0, texts[3]), 4: (0, 0, 0, texts[4]), 5: (0, 1, 0, ""),
+        6: (0, 0, 0, ""), 7: (0, 0, 0, None), 8: (0, 0, 0, texts[8]), 9: (1, 1, 150, "j"), 10: (0, 0, 0, texts[10]),
+    }
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        found = db.sql(entry.oracle_sql()["op2_repeated_passages"])
+        assert found.columns == out.columns and sorted(found.fetchall(), key=str) == sorted(map(tuple, out.collect()), key=str)
