@@ -29,6 +29,10 @@ into fragments, and a document's set falls into one segment per fragment.
    ones. What is not ruled out is counted as in 3. No pair is left out, none is
    listed within a component.
 
+Keys are dealt into parts by their bits. Meetings are found (1) and fine digests
+compared (4) for one part after the other, and a part's shuffles are freed before
+the next, so that the disk does not hold those of all keys at once.
+
 Components are found by hooking and pointer jumping over tables in the shared
 folder. Nothing is collected; the driver sees counts.
 """
@@ -38,8 +42,8 @@ from __future__ import annotations
 import hashlib
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +59,8 @@ SEGMENTS = 4
 BLOCK, DIGESTS = 1024, 2048
 #: Bits of a key that hold its size class.
 LEVEL_BITS = 9
+#: Parts of the keys that follow each other, where meetings are found and where fine digests are compared.
+PARTS, FINE_PARTS = 4, 2
 #: Ids (8 bytes each) that may be broadcast; beyond it tables are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -170,8 +176,16 @@ def _possible(differ, n, m, per_cent: int):
 
 
 def _sets(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if it is empty or has no id), keys, the first size class and what each class can do without."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("level", pa.int32()), ("over", pa.list_(pa.int32()))])
+    """doc_id, n_shingles, digest of the set (null if it is empty or has no id), the first size class, what each class can do without, and keys by part."""
+    parts = [f"keys_{p}" for p in range(PARTS)]
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("level", pa.int32()), ("over", pa.list_(pa.int32())), *((p, pa.list_(pa.int64())) for p in parts)])
+
+    def dealt(keys: list[np.ndarray]) -> Iterator[pa.Array]:
+        flat, of = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+        part = (flat >> np.uint64(LEVEL_BITS)) % np.uint64(PARTS)
+        for p in range(PARTS):
+            ends = np.cumsum([0, *np.bincount(of[part == p], minlength=len(keys))]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[part == p].astype(np.int64)))
 
     @common.tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,10 +201,9 @@ def _sets(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
                     keys.append(own)
                     overs.append(over)
                     levels.append(_levels(len(h), per_cent)[0] if linked else None)
-                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                yield common.batch(schema, part.column(0), sizes, names, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).astype(np.int64))), levels, overs)
+                yield common.batch(schema, part.column(0), sizes, names, levels, overs, *dealt(keys))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n_shingles long, digest binary, keys array<long>, level int, over array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n_shingles long, digest binary, level int, over array<int>" + "".join(f", {p} array<long>" for p in parts))
 
 
 def _with_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -320,6 +333,15 @@ def _level() -> Column:
     return F.pmod("key", F.lit(1 << LEVEL_BITS)).cast("int").alias("level")
 
 
+def _by_parts(make: Callable[[int], DataFrame], parts: int, name: str, tmp: common.Scratch) -> DataFrame:
+    """The rows of ``make`` for each of the parts, a table before the next begins."""
+    tables = []
+    for p in range(parts):
+        tables.append(tmp.keep(make(p), name))
+        tmp.free()
+    return reduce(DataFrame.union, tables)
+
+
 def _of_several(rows: DataFrame, tmp: common.Scratch) -> DataFrame:
     """Those of the rows (id, key) whose key has several, and n, their number.
 
@@ -327,17 +349,16 @@ def _of_several(rows: DataFrame, tmp: common.Scratch) -> DataFrame:
     that rows of one key can be split.
     """
     several = tmp.keep(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "all")
+    tmp.free()
     return rows.join(several, "key").select("id", "key", "n")
 
 
-def _meetings(sets: DataFrame, tmp: common.Scratch) -> DataFrame:
-    """id, key and weight: the keys of several ids, without the most frequent ones that a set can do without.
+def _meetings(every: DataFrame, members: DataFrame, tmp: common.Scratch) -> DataFrame:
+    """id, key and weight: the keys of several ids (id, key, n), without the most frequent ones that a set can do without.
 
     Of the keys that the same ids have the smallest stays, and weight is their number.
     """
-    rows = sets.select("id", F.explode("keys").alias("key"))
-    every = tmp.keep(_of_several(rows, tmp), "all")
-    own = sets.select("id", F.col("level").alias("first"), "over").dropDuplicates(["id"])
+    own = members.select("id", F.col("level").alias("first"), "over").dropDuplicates(["id"])
     turn = F.row_number().over(Window.partitionBy("id", "level").orderBy(F.desc("n"), "key"))
     # by id first: rows of one id may have keys in common, and all that follows goes by id
     ranked = every.repartition("id").distinct().join(own, "id").withColumn("level", _level()).withColumn("turn", turn)
@@ -500,11 +521,13 @@ def _components(docs: DataFrame, k: int, per_cent: int, tmp: common.Scratch) ->
     """What components() gives, for documents whose texts are the same if their ids are; lasts as long as ``tmp``."""
     sets = tmp.keep(_sets(docs, k, per_cent), "sets")
     classes = tmp.keep(sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
-    firsts = _with_ids(sets.withColumnRenamed("doc_id", "id"), classes.select("id").distinct(), "id")
-    met = tmp.keep(_meetings(firsts, tmp), "met")
-    tmp.drop("all")
-    members = tmp.keep(sets.select("doc_id", "n_shingles", "digest"), "members")
+    members = tmp.keep(sets.select("doc_id", "n_shingles", "digest", "level", "over"), "members")
+    firsts = tmp.keep(classes.select("id").distinct(), "firsts")
+    of_firsts = lambda rows: _with_ids(rows.withColumnRenamed("doc_id", "id"), firsts, "id")
+    every = _by_parts(lambda p: _of_several(of_firsts(sets.select("doc_id", f"keys_{p}")).select("id", F.explode(f"keys_{p}").alias("key")), tmp), PARTS, "all", tmp)
     tmp.drop("sets")
+    met = tmp.keep(_meetings(every, of_firsts(members), tmp), "met")
+    tmp.drop("all")
     labels = tmp.keep(met.select("id").distinct().withColumn("component", F.col("id")), "labels")
     marks = tmp.keep(_digest_rows(docs, labels.select("id"), k, per_cent), "marks")
     for second in (False, True):
@@ -515,7 +538,10 @@ def _components(docs: DataFrame, k: int, per_cent: int, tmp: common.Scratch) ->
     open_rows = tmp.keep(_open(met, labels, tmp), "open")
     digest = lambda name: marks.select("id", "level", "n", F.col(name).alias("digest"))
     left = tmp.keep(_block_pairs(open_rows, digest("coarse"), per_cent, pairs=False), "left")
-    pairs = _block_pairs(open_rows.join(left, ["key", "id"]), digest("fine"), per_cent, pairs=True)
+    rest = tmp.keep(open_rows.join(left, ["key", "id"]), "open")
+    tmp.free()
+    part = F.shiftrightunsigned("key", LEVEL_BITS) % FINE_PARTS
+    pairs = _by_parts(lambda p: _block_pairs(rest.where(part == p), digest("fine"), per_cent, pairs=True), FINE_PARTS, "possible", tmp).distinct()
     labels = connect(labels, _links(pairs, docs, k, per_cent, tmp), tmp)
     tmp.drop("open")
     of_class = classes.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))

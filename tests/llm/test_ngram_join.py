@@ -135,3 +135,30 @@ def test_a_key_of_all_documents_is_split(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert len(found) == 100_000 and {(r["key"], r["n"]) for r in found} == {(7, 100_000)}
     assert "skew=true" in plan and "Window" not in plan
+
+
+def test_keys_meet_part_by_part(spark, words, monkeypatch):
+    """No shuffle by key takes the keys of all parts, and the parts have every key once."""
+    rng = random.Random(6)
+    base = [[rng.choice(words) for _ in range(150)] for _ in range(8)]
+    rows = [(i, " ".join(w if rng.random() > 0.02 else f"w{rng.random()}" for w in base[i % 8])) for i in range(64)]
+    taken, compared = [], []
+    several, blocks = ngram_join._of_several, ngram_join._block_pairs
+
+    def of_several(pairs, tmp):
+        taken.append({r["key"] for r in pairs.collect()})
+        return several(pairs, tmp)
+
+    def block_pairs(met, marks, per_cent, pairs):
+        if pairs:
+            compared.append({r["key"] for r in met.collect()})
+        return blocks(met, marks, per_cent, pairs)
+
+    monkeypatch.setattr(ngram_join, "_of_several", of_several)
+    monkeypatch.setattr(ngram_join, "_block_pairs", block_pairs)
+    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 5, 80)
+    keys = set().union(*taken)
+    assert keys == {int(k) for _, t in rows for k in ngram_join.signatures(ngram_join.shingle_hashes(t, 5), 80).astype(np.int64)}
+    assert sum(map(len, taken)) == len(keys) and max(map(len, taken)) < 0.3 * len(keys)
+    assert len(compared) == 2 and not compared[0] & compared[1]
